@@ -45,25 +45,28 @@ def tokenize(s) -> Column:
 
 
 def ngrams(tokens, lo: int = 1, hi: int = 3) -> Column:
-    """All lo..hi-grams of a token array, joined by a space."""
+    """All lo..hi-grams of a token array, joined by a space (n-grams in order).
+
+    Built from shifted slices with ``zip_with``; the token array is only an
+    argument, never re-evaluated per element.
+    """
     t = _c(tokens)
-    per_n = []
-    for n in range(lo, hi + 1):
-        grams = F.transform(
-            F.sequence(F.lit(0), F.size(t) - n),
-            lambda i, n=n: F.array_join(F.slice(t, i + 1, n), " "),
-        )
-        per_n.append(F.when(F.size(t) >= n, grams).otherwise(F.array().cast("array<string>")))
-    return F.flatten(F.array(*per_n))
+    size = F.size(t)
+    grams = {1: t}
+    for n in range(2, hi + 1):
+        m = F.greatest(size - n + 1, F.lit(0))
+        grams[n] = F.zip_with(F.slice(grams[n - 1], 1, m), F.slice(t, n, m),
+                              lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.concat(*[grams[n] for n in range(lo, hi + 1)])
 
 
-def term_frequencies(terms) -> Column:
-    """Array of terms -> array<struct<term, tf>> counted inside the row.
+def term_frequencies(sorted_terms: str) -> Column:
+    """Sorted term array column -> array<struct<term, tf>>, counted in the row.
 
-    Sort, mark run starts, count run lengths: no shuffle is needed to count
-    the terms of one row.
+    Expects the name of an already sorted array column (see
+    ``operators.features.term_counts``): lambdas read it by reference.
     """
-    s = F.array_sort(_c(terms))
+    s = F.col(sorted_terms)
     starts = F.filter(
         F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0))),
         lambda i: (F.size(s) > 0) & ((i == 0) | (F.get(s, i) != F.get(s, i - 1))),

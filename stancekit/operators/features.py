@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stancekit.functions.text import ngrams, term_frequencies, tokenize
+from stancekit.functions.text import ngrams, tokenize
 
 KEY = ["speech_id", "sent_idx"]
 
@@ -20,10 +20,16 @@ def _weight(weight_col: str | None) -> Column:
 
 def term_counts(df: DataFrame, keys=KEY, text_col: str = "sentence", lo: int = 1, hi: int = 3,
                 extra: list[str] | None = None) -> DataFrame:
-    """(keys..., term, tf): n-gram frequency per row, counted inside the row."""
+    """(keys..., term, tf): n-gram frequency per row.
+
+    The count is a hash aggregate on (row, term); its map-side partial
+    aggregate already merges a row's repeats, and the shuffle key includes
+    the row, so no term can skew it.
+    """
     extra = extra or []
-    grams = ngrams(tokenize(F.col(text_col)), lo, hi)
-    return df.select(*keys, *extra, F.inline(term_frequencies(grams))).withColumn("tf", F.col("tf").cast("long"))
+    toks = df.select(*keys, *extra, tokenize(F.col(text_col)).alias("_tok"))
+    grams = toks.select(*keys, *extra, F.explode(ngrams(F.col("_tok"), lo, hi)).alias("term"))
+    return grams.groupBy(*keys, *extra, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_total(df: DataFrame, weight_col: str | None = None) -> Column:

@@ -1 +1,204 @@
-"""Catalog entries."""
+"""Catalog: lexical features and the linear model."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from stancekit.functions import labels as L
+from stancekit.functions.text import ngrams, tokenize
+from stancekit.operators import features as FE
+from stancekit.operators import linear as LN
+from stancekit.operators import sampling as S
+from stancekit.plans.catalog import register
+from stancekit.plans.sqlfrag import KEY_SQL, U, cte, lit, with_ctes
+from stancekit.sources import fixtures as fx
+from stancekit.functions.text import TOKEN_PATTERN
+
+KEY = ["speech_id", "sent_idx"]
+
+
+def _train_w(spark, sf):
+    return S.upsample_weights(fx.sentences(spark, sf).where(F.col("split") == "train").drop("split"))
+
+
+def _test(spark, sf):
+    return fx.sentences(spark, sf).where(F.col("split") == "test").drop("split")
+
+
+def train_features(spark, sf):
+    """(vocab, train term rows, train tf-idf rows) for the upsampled train split."""
+    train = _train_w(spark, sf)
+    vocab, terms = FE.fit_tfidf(train, weight_col="copies")
+    return vocab, terms, FE.tfidf(terms, vocab)
+
+
+def test_tfidf(spark, sf, vocab):
+    return FE.tfidf(FE.term_counts(_test(spark, sf)), vocab)
+
+
+# ---------------------------------------------------------------- SQL side
+def sql_tokens(s: str) -> str:
+    return f"regexp_extract_all(lower({s}), {lit(TOKEN_PATTERN)}, 1)"
+
+
+def sql_ngrams(t: str, lo: int = 1, hi: int = 3) -> str:
+    parts = [f"list_transform(range(0, len({t}) - {n - 1}), lambda i: array_to_string(list_slice({t}, i + 1, i + {n}), ' '))"
+             for n in range(lo, hi + 1)]
+    return f"flatten([{', '.join(parts)}])"
+
+
+cte("train_w", ["train_rows"], "SELECT *, CASE WHEN class_code <> 0 THEN 6 ELSE 1 END AS copies FROM train_rows")
+cte("train_terms", ["train_w"], f"""
+SELECT speech_id, sent_idx, copies, term, COUNT(*)::BIGINT AS tf
+FROM (SELECT speech_id, sent_idx, copies, unnest({sql_ngrams('t')}) AS term
+      FROM (SELECT speech_id, sent_idx, copies, {sql_tokens('sentence')} AS t FROM train_w))
+GROUP BY speech_id, sent_idx, copies, term""")
+cte("vocab", ["train_terms", "train_w"], """
+SELECT term, df, ctf, ln((1 + n) / (1 + df)) + 1 AS idf
+FROM (SELECT term, SUM(copies)::BIGINT AS df, SUM(tf * copies)::BIGINT AS ctf FROM train_terms GROUP BY term),
+     (SELECT SUM(copies)::DOUBLE AS n FROM train_w)
+WHERE df >= 20 AND df <= 0.5 * n
+ORDER BY ctf DESC, term LIMIT 10000""")
+cte("train_tfidf", ["train_terms", "vocab"], """
+SELECT speech_id, sent_idx, term, tf, w / sqrt(SUM(w * w) OVER (PARTITION BY speech_id, sent_idx)) AS weight
+FROM (SELECT t.speech_id, t.sent_idx, t.term, t.tf, t.tf * v.idf AS w FROM train_terms t JOIN vocab v ON t.term = v.term)""")
+cte("test_terms", ["test_rows"], f"""
+SELECT speech_id, sent_idx, term, COUNT(*)::BIGINT AS tf
+FROM (SELECT speech_id, sent_idx, unnest({sql_ngrams('t')}) AS term
+      FROM (SELECT speech_id, sent_idx, {sql_tokens('sentence')} AS t FROM test_rows))
+GROUP BY speech_id, sent_idx, term""")
+cte("test_tfidf", ["test_terms", "vocab"], """
+SELECT speech_id, sent_idx, term, tf, w / sqrt(SUM(w * w) OVER (PARTITION BY speech_id, sent_idx)) AS weight
+FROM (SELECT t.speech_id, t.sent_idx, t.term, t.tf, t.tf * v.idf AS w FROM test_terms t JOIN vocab v ON t.term = v.term)""")
+cte("coef", ["vocab"], f"""
+SELECT term, label, {U('201 + label', 'term')} - 0.5 AS weight
+FROM (SELECT term, unnest([0, 1, 2]) AS label FROM vocab)""")
+cte("test_margins", ["test_rows", "test_tfidf", "coef"], f"""
+SELECT speech_id, sent_idx, label, SUM(c) + {fx.COEF_BIAS} AS margin
+FROM (
+  SELECT t.speech_id, t.sent_idx, c.label, t.weight * c.weight AS c FROM test_tfidf t JOIN coef c ON t.term = c.term
+  UNION ALL
+  SELECT speech_id, sent_idx, unnest([0, 1, 2]) AS label, 0.0 AS c FROM test_rows
+) GROUP BY speech_id, sent_idx, label""")
+
+
+# ---------------------------------------------------------------- queries
+@register("tokenize", with_ctes(["test_rows"], f"""
+SELECT speech_id, sent_idx, array_to_string({sql_tokens('sentence')}, ' ') AS tokens FROM test_rows"""))
+def q_tokenize(spark, sf):
+    return _test(spark, sf).select(*KEY, F.array_join(tokenize(F.col("sentence")), " ").alias("tokens"))
+
+
+@register("ngrams", with_ctes(["test_rows"], f"""
+SELECT speech_id, sent_idx, len(g)::BIGINT AS n_grams, array_to_string(g, '|') AS grams
+FROM (SELECT speech_id, sent_idx, {sql_ngrams('t')} AS g FROM (SELECT speech_id, sent_idx, {sql_tokens('sentence')} AS t FROM test_rows))"""))
+def q_ngrams(spark, sf):
+    g = ngrams(tokenize(F.col("sentence")), 1, 3)
+    return _test(spark, sf).select(*KEY, F.size(g).alias("n_grams"), F.array_join(g, "|").alias("grams"))
+
+
+@register("term_counts", with_ctes(["test_terms"], "SELECT speech_id, sent_idx, term, tf FROM test_terms"))
+def q_term_counts(spark, sf):
+    """1-3-gram frequency per test row, counted inside each row."""
+    return FE.term_counts(_test(spark, sf))
+
+
+@register("vocabulary", with_ctes(["vocab"], "SELECT term, df, ctf FROM vocab"))
+def q_vocabulary(spark, sf):
+    """20 <= df <= 0.5 n over the upsampled train split, top 10,000 by count."""
+    vocab, _, _ = train_features(spark, sf)
+    return vocab.select("term", "df", "ctf")
+
+
+@register("idf", with_ctes(["vocab"], "SELECT term, round(idf, 6) AS idf FROM vocab"))
+def q_idf(spark, sf):
+    vocab, _, _ = train_features(spark, sf)
+    return vocab.select("term", "idf")
+
+
+@register("tfidf", with_ctes(["train_tfidf"], "SELECT speech_id, sent_idx, term, tf, round(weight, 6) AS weight FROM train_tfidf"))
+def q_tfidf(spark, sf):
+    """Train rows (copies share one row) as L2-normalised tf-idf."""
+    _, _, tf = train_features(spark, sf)
+    return tf
+
+
+@register("tfidf_transform", with_ctes(["test_tfidf"], "SELECT speech_id, sent_idx, term, tf, round(weight, 6) AS weight FROM test_tfidf"))
+def q_tfidf_transform(spark, sf):
+    """Test rows with the train vocabulary and idf."""
+    vocab, _, _ = train_features(spark, sf)
+    return test_tfidf(spark, sf, vocab)
+
+
+@register("tfidf_vectors", with_ctes(["test_rows", "test_tfidf"], """
+SELECT r.speech_id, r.sent_idx, COALESCE(n.nnz, 0)::BIGINT AS nnz, round(COALESCE(n.norm, 0.0), 6) AS norm,
+       round(COALESCE(n.total, 0.0), 6) AS total
+FROM test_rows r LEFT JOIN (
+  SELECT speech_id, sent_idx, COUNT(*) AS nnz, sqrt(SUM(weight * weight)) AS norm, SUM(weight) AS total
+  FROM test_tfidf GROUP BY speech_id, sent_idx) n
+ON r.speech_id = n.speech_id AND r.sent_idx = n.sent_idx"""))
+def q_tfidf_vectors(spark, sf):
+    """Vector form (spark.ml) of the test tf-idf: non-zeros, norm and sum per row."""
+    vocab, _, _ = train_features(spark, sf)
+    terms, idf = LN.collect_vocabulary(vocab)
+    t = _test(spark, sf).withColumn("grams", ngrams(tokenize(F.col("sentence")), 1, 3))
+    v = LN.tfidf_vectors(t, terms, idf)
+    from pyspark.ml.functions import vector_to_array
+    arr = vector_to_array(F.col("features"))
+    return v.select(*KEY,
+                    F.size(F.filter(arr, lambda x: x != 0)).alias("nnz"),
+                    F.sqrt(F.aggregate(arr, F.lit(0.0), lambda a, x: a + x * x)).alias("norm"),
+                    F.aggregate(arr, F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+def fit_baseline(spark, sf, max_iter: int = 50):
+    """Train three linear SVMs on the upsampled train split; score test."""
+    vocab, _, _ = train_features(spark, sf)
+    terms, idf = LN.collect_vocabulary(vocab)
+    train = _train_w(spark, sf).withColumn("grams", ngrams(tokenize(F.col("sentence")), 1, 3)) \
+        .withColumn("gold_vec", L.multi_hot(L.label_ids(F.col("class_code"))))
+    vecs = LN.tfidf_vectors(train, terms, idf)
+    coef, bias = LN.train_linear_svm(vecs, terms, weight_col="copies", max_iter=max_iter)
+    return vocab, coef, bias
+
+
+@register("train_linear_svm")
+def q_train_linear_svm(spark, sf):
+    """Fit on train, predict test: (key, predicted vector, margins)."""
+    vocab, coef, bias = fit_baseline(spark, sf)
+    t = _test(spark, sf)
+    m = LN.score_linear(test_tfidf(spark, sf, vocab), t.select(*KEY), coef, bias)
+    p = LN.predictions(m)
+    return p.select(*KEY, F.array_join(F.transform("pred_vec", lambda x: x.cast("string")), ",").alias("pred_vec"))
+
+
+@register("linear_baseline_report")
+def q_linear_baseline_report(spark, sf):
+    """Report of the fitted linear baseline on the test split."""
+    from stancekit.operators import metrics as M
+    vocab, coef, bias = fit_baseline(spark, sf)
+    t = _test(spark, sf)
+    p = LN.predictions(LN.score_linear(test_tfidf(spark, sf, vocab), t.select(*KEY), coef, bias))
+    g = t.select(*KEY, L.multi_hot(L.label_ids(F.col("class_code"))).alias("gold_vec"))
+    return M.classification_report(g.join(p, KEY))
+
+
+@register("score_linear", with_ctes(["test_margins"], """
+SELECT speech_id, sent_idx, label::BIGINT AS label, round(margin, 6) AS margin, CAST(margin > 0 AS INT)::BIGINT AS pred
+FROM test_margins"""))
+def q_score_linear(spark, sf):
+    """Fixed weights (hash) over the train vocabulary: margin per test row and label."""
+    vocab, _, _ = train_features(spark, sf)
+    coef, bias = fx.coef(spark, sf)
+    t = _test(spark, sf)
+    return LN.score_linear(test_tfidf(spark, sf, vocab), t.select(*KEY), coef, bias)
+
+
+@register("top_terms", with_ctes(["coef"], """
+SELECT label::BIGINT AS label, direction, rank::BIGINT AS rank, term, round(weight, 6) AS weight FROM (
+  SELECT label, 'positive' AS direction, row_number() OVER (PARTITION BY label ORDER BY weight DESC, term) AS rank, term, weight FROM coef
+  UNION ALL
+  SELECT label, 'negative' AS direction, row_number() OVER (PARTITION BY label ORDER BY weight ASC, term) AS rank, term, weight FROM coef
+) WHERE rank <= 10"""))
+def q_top_terms(spark, sf):
+    coef, _ = fx.coef(spark, sf)
+    return LN.top_terms(coef, 10)
