@@ -1 +1,188 @@
-"""Catalog entries."""
+"""Catalog: attribution of predictions to terms, tokens and words."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from stancekit.functions import labels as L
+from stancekit.functions.hashing import sentence_key
+from stancekit.operators import attribution as A
+from stancekit.operators import linear as LN
+from stancekit.plans import q_features  # noqa: F401  (registers feature CTEs)
+from stancekit.plans.catalog import register
+from stancekit.plans.q_features import _test, test_tfidf, train_features
+from stancekit.plans.sqlfrag import KEY_SQL, U, cte, lit, with_ctes
+from stancekit.sources import fixtures as fx
+
+KEY = ["speech_id", "sent_idx"]
+
+
+def linear_explained(spark, sf):
+    """(test tf-idf, margins, explained classes) under the fixed weights."""
+    vocab, _, _ = train_features(spark, sf)
+    coef, bias = fx.coef(spark, sf)
+    tt = test_tfidf(spark, sf, vocab)
+    m = LN.score_linear(tt, _test(spark, sf).select(*KEY), coef, bias)
+    explained = m.where(F.col("pred") == 1).select(*KEY, F.col("label").alias("class_id"))
+    return tt, coef, m, explained
+
+
+cte("explained", ["test_margins"], "SELECT speech_id, sent_idx, label AS class_id FROM test_margins WHERE margin > 0")
+cte("rel_linear", ["test_tfidf", "explained", "coef"], """
+SELECT t.speech_id, t.sent_idx, e.class_id, t.term, t.weight * c.weight AS relevance
+FROM test_tfidf t JOIN explained e ON t.speech_id = e.speech_id AND t.sent_idx = e.sent_idx
+JOIN coef c ON c.term = t.term AND c.label = e.class_id""")
+cte("conserv", ["explained", "test_margins", "rel_linear"], """
+SELECT e.speech_id, e.sent_idx, e.class_id, m.margin AS logit, COALESCE(s.sr, 0.0) AS sum_relevance, m.margin - COALESCE(s.sr, 0.0) AS gap
+FROM explained e JOIN test_margins m ON m.speech_id = e.speech_id AND m.sent_idx = e.sent_idx AND m.label = e.class_id
+LEFT JOIN (SELECT speech_id, sent_idx, class_id, SUM(relevance) AS sr FROM rel_linear GROUP BY ALL) s
+ON s.speech_id = e.speech_id AND s.sent_idx = e.sent_idx AND s.class_id = e.class_id""")
+
+
+@register("relevance_linear", with_ctes(["rel_linear"], """
+SELECT speech_id, sent_idx, class_id::BIGINT AS class_id, term, round(relevance, 6) AS relevance FROM rel_linear"""))
+def q_relevance_linear(spark, sf):
+    """weight x tf-idf per (test row, predicted class, term)."""
+    tt, coef, _, ex = linear_explained(spark, sf)
+    return A.relevance_linear(tt, coef, ex)
+
+
+@register("conservation", with_ctes(["conserv"], """
+SELECT speech_id, sent_idx, class_id::BIGINT AS class_id, round(logit, 6) AS logit, round(sum_relevance, 6) AS sum_relevance,
+       round(gap, 6) AS gap FROM conserv"""))
+def q_conservation(spark, sf):
+    """Summed relevance against the logit; the gap is the bias."""
+    tt, coef, m, ex = linear_explained(spark, sf)
+    c = A.conservation(A.relevance_linear(tt, coef, ex), m, ex)
+    return c.select(*KEY, "class_id", "logit", "sum_relevance", "gap")
+
+
+@register("conservation_summary", with_ctes(["conserv"], f"""
+SELECT COUNT(*)::BIGINT AS n, round(max(abs(gap - {fx.COEF_BIAS})), 6) AS max_gap_error, round(corr(sum_relevance, logit), 6) AS corr FROM conserv"""))
+def q_conservation_summary(spark, sf):
+    tt, coef, m, ex = linear_explained(spark, sf)
+    return A.conservation_summary(A.conservation(A.relevance_linear(tt, coef, ex), m, ex), fx.COEF_BIAS)
+
+
+_TKEY = f"({KEY_SQL} || '-' || CAST(pos AS VARCHAR))"
+_G = "[" + ", ".join(f"{U(str(401 + j), _TKEY)} - 0.5" for j in range(4)) + "]"
+_X = "[" + ", ".join(f"{U(str(411 + j), _TKEY)} - 0.5" for j in range(4)) + "]"
+
+
+@register("relevance_grad_input", with_ctes(["bpe_tokens"], f"""
+SELECT speech_id, sent_idx, pos, token, round(list_sum(list_transform(list_zip(g, x), lambda p: p[1] * p[2])), 6) AS relevance
+FROM (SELECT *, {_G} AS g, {_X} AS x FROM bpe_tokens)"""))
+def q_relevance_grad_input(spark, sf):
+    """Gradient x input summed over dimensions, per token."""
+    t = fx.grad_tokens(spark, sf)
+    return t.select(*KEY, "pos", "token", A.relevance_grad_input("grad", "input").alias("relevance"))
+
+
+@register("relevance_grad_l1", with_ctes(["bpe_tokens"], f"""
+SELECT speech_id, sent_idx, pos, token, round(list_sum(list_transform(g, lambda v: abs(v))), 6) AS relevance
+FROM (SELECT *, {_G} AS g FROM bpe_tokens)"""))
+def q_relevance_grad_l1(spark, sf):
+    t = fx.grad_tokens(spark, sf)
+    return t.select(*KEY, "pos", "token", A.relevance_grad_l1("grad").alias("relevance"))
+
+
+@register("select_logit", with_ctes(["logits"], """
+SELECT speech_id, sent_idx, (i - 1)::BIGINT AS class_id, round(logits[i], 6) AS logit
+FROM (SELECT *, unnest(generate_series(1, 3)) AS i FROM logits) WHERE logits[i] > 0"""))
+def q_select_logit(spark, sf):
+    """The explained class's logit for every explained (row, class)."""
+    lg = fx.logits(spark, sf)
+    ex = lg.select(*KEY, "logits", F.explode(L.explained_classes(L.threshold_logits(F.col("logits")))).alias("class_id"))
+    return ex.select(*KEY, "class_id", A.select_logit("logits", "class_id").alias("logit"))
+
+
+@register("margin_to_runner_up", with_ctes(["logits"], """
+SELECT speech_id, sent_idx, (list_position(logits, list_max(logits)) - 1)::BIGINT AS argmax,
+       round(list_sort(logits, 'DESC')[1] - list_sort(logits, 'DESC')[2], 6) AS margin FROM logits"""))
+def q_margin_to_runner_up(spark, sf):
+    lg = fx.logits(spark, sf)
+    return lg.select(*KEY, A.argmax("logits").alias("argmax"), A.margin_to_runner_up("logits").alias("margin"))
+
+
+cte("merged_max", ["bpe_tokens"], """
+SELECT speech_id, sent_idx, word_idx,
+       CASE WHEN min(pos) = 0 OR min(pos) = max(last) THEN string_agg(token, '' ORDER BY pos)
+            ELSE replace(string_agg(token, '' ORDER BY pos), 'Ġ', '') END AS word,
+       max(score) AS score
+FROM (SELECT *, SUM(CAST(pos <= 1 OR pos = last OR starts_with(token, 'Ġ') AS INT))
+                  OVER (PARTITION BY speech_id, sent_idx ORDER BY pos ROWS UNBOUNDED PRECEDING) - 1 AS word_idx
+      FROM (SELECT *, max(pos) OVER (PARTITION BY speech_id, sent_idx) AS last FROM bpe_tokens))
+GROUP BY speech_id, sent_idx, word_idx""")
+
+
+@register("merge_words_max", with_ctes(["merged_max"], """
+SELECT speech_id, sent_idx, word_idx::BIGINT AS word_idx, word, round(score, 6) AS score FROM merged_max"""))
+def q_merge_words_max(spark, sf):
+    """'Ġ'-marked pieces of the test sentences back to words, max score."""
+    return A.merge_words_max(fx.bpe_tokens(spark, sf))
+
+
+@register("merge_words_sum", with_ctes(["wordpiece_tokens"], """
+SELECT speech_id, sent_idx, word_idx::BIGINT AS word_idx, string_agg(piece, '' ORDER BY pos) AS word, round(SUM(score), 6) AS score
+FROM (SELECT *, SUM(CAST(pos = 0 OR NOT (starts_with(token, '##') OR starts_with(token, '_')) AS INT))
+                  OVER (PARTITION BY speech_id, sent_idx ORDER BY pos ROWS UNBOUNDED PRECEDING) - 1 AS word_idx,
+             CASE WHEN starts_with(token, '##') THEN substring(token, 3) WHEN starts_with(token, '_') THEN substring(token, 2) ELSE token END AS piece
+      FROM wordpiece_tokens)
+GROUP BY speech_id, sent_idx, word_idx"""))
+def q_merge_words_sum(spark, sf):
+    """'##' continuation pieces back to words, summed score."""
+    return A.merge_words_sum(fx.wordpiece_tokens(spark, sf))
+
+
+def _fold_rows(spark, sf, fn):
+    arr = A.token_arrays(fx.symbol_tokens(spark, sf))
+    out = arr.select(*KEY, F.posexplode(fn(F.col("toks"), F.col("scores"))).alias("word_idx", "w"))
+    return out.select(*KEY, "word_idx", F.col("w.token").alias("token"), F.col("w.score").alias("score"))
+
+
+@register("merge_hyphens")
+def q_merge_hyphens(spark, sf):
+    """'x - y' token triples of the test sentences merged (left-to-right fold)."""
+    return _fold_rows(spark, sf, A.merge_hyphens)
+
+
+@register("merge_symbols")
+def q_merge_symbols(spark, sf):
+    """Brackets, currency, quotes and percent glued to their neighbours."""
+    return _fold_rows(spark, sf, A.merge_symbols)
+
+
+def _sql_split(family: str) -> str:
+    two = ", ".join(lit(x) for x in A.SPLIT_TWO_CHARS[family])
+    last = ", ".join(lit(x) for x in A.SPLIT_LAST_CHAR[family])
+    return f"""CASE WHEN token IN ({two}) THEN [substring(token, 1, 1), substring(token, 2)]
+        WHEN token IN ({last}) THEN [substring(token, 1, length(token) - 1), substring(token, length(token), 1)]
+        WHEN token = 'cannot' THEN ['can', 'not'] ELSE [token] END"""
+
+
+@register("split_contractions", with_ctes(["bpe_tokens"], f"""
+SELECT speech_id, sent_idx, pos, (sub - 1)::BIGINT AS sub, parts[sub] AS token, round(CASE WHEN sub = 1 THEN score ELSE 0.0 END, 6) AS score
+FROM (SELECT *, generate_subscripts(parts, 1) AS sub FROM (SELECT *, {_sql_split('gpt2')} AS parts FROM bpe_tokens))"""))
+def q_split_contractions(spark, sf):
+    """gpt2-family rules over the test pieces; later parts score 0."""
+    return A.split_contraction_rows(fx.bpe_tokens(spark, sf), "gpt2")
+
+
+@register("normalize_relevance", with_ctes(["merged_max"], """
+SELECT speech_id, sent_idx, word_idx::BIGINT AS word_idx,
+       round(COALESCE(score / NULLIF(max(abs(score)) OVER (PARTITION BY speech_id, sent_idx), 0), 0.0), 6) AS norm_score
+FROM merged_max"""))
+def q_normalize_relevance(spark, sf):
+    """Merged word scores divided by the sentence's largest absolute score."""
+    m = A.merge_words_max(fx.bpe_tokens(spark, sf))
+    return A.normalize_relevance(m, KEY).select(*KEY, "word_idx", "norm_score")
+
+
+@register("word_relevance_summary", with_ctes(["rel_linear"], """
+SELECT class_id::BIGINT AS class_id, term, round(total, 6) AS total, round(mean, 6) AS mean, n::BIGINT AS n, rank::BIGINT AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY class_id ORDER BY total DESC, term) AS rank
+  FROM (SELECT class_id, term, SUM(relevance) AS total, AVG(relevance) AS mean, COUNT(*) AS n FROM rel_linear GROUP BY class_id, term))
+WHERE rank <= 20"""))
+def q_word_relevance_summary(spark, sf):
+    """Per class the 20 terms with the largest total relevance."""
+    tt, coef, _, ex = linear_explained(spark, sf)
+    return A.word_relevance_summary(A.relevance_linear(tt, coef, ex), "term", "class_id", "relevance", 20)
