@@ -59,7 +59,8 @@ def q_write_responses(spark, sf):
 
 
 # ------------------------------------------------------------- position TSV files
-_LETTER_CODE = F.array_position(F.array(*[F.lit(x) for x in L.LETTERS]), parse_answer(F.col("model_response"))) - 1
+def _letter_code():
+    return F.array_position(F.array(*[F.lit(x) for x in L.LETTERS]), parse_answer(F.col("model_response"))) - 1
 
 
 def gold_rows(spark, sf):
@@ -72,7 +73,7 @@ def prediction_file(spark, sf):
     """One run's answers as a position TSV (round trip) -> (idx, run_tag, source, text, code)."""
     r = fx.responses(spark, sf).where(F.col("run_tag") == PRED_RUN)
     r = W.global_index(r, KEY, out="idx")
-    code = F.when(_LETTER_CODE >= 0, _LETTER_CODE).otherwise(F.lit(4))
+    code = F.when(_letter_code() >= 0, _letter_code()).otherwise(F.lit(4))
     path = scratch_path(spark, "pred_tsv")
     IO.write_position_tsv(r.select("idx", "run_tag", F.lit("stub").alias("source"), F.col("sentence").alias("text"),
                                    code.alias("code")), path)
@@ -198,7 +199,7 @@ def q_write_relevance(spark, sf):
 
 
 # ------------------------------------------------------------- scoring rows
-MAX_CHARS = 2000
+MAX_CHARS = 1000
 _ZS = q_prompts.s_zero("sentence")
 cte("annotated", ["test_rows"], f"""
 SELECT speech_id, sent_idx, class_code, p,
