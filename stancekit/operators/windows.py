@@ -23,17 +23,15 @@ CLS, SEP, PAD = "<cls>", "<sep>", "<pad>"
 
 
 def with_halo(df: DataFrame, order: str, before: int, after: int, block: int = BLOCK) -> DataFrame:
-    """Add ``_blk`` and ``_halo``: each row once in its own block, plus copies
-    in the next block (last ``before`` rows) and previous block (first ``after``)."""
+    """Add ``_blk`` and ``_halo``: each row once in its own block (``_halo``
+    false) and once in every other block whose frames reach it: rows up to
+    ``before`` positions later or ``after`` positions earlier."""
     o = F.col(order)
-    blk = F.floor(o / block).cast("long")
-    entries = [F.struct(blk.alias("_blk"), F.lit(False).alias("_halo"))]
-    if before > 0:
-        entries.append(F.when(o % block >= block - before, F.struct((blk + 1).alias("_blk"), F.lit(True).alias("_halo"))))
-    if after > 0:
-        entries.append(F.when((o % block < after) & (blk > 0), F.struct((blk - 1).alias("_blk"), F.lit(True).alias("_halo"))))
-    e = F.explode(F.array_compact(F.array(*entries))) if len(entries) > 1 else F.explode(F.array(*entries))
-    return df.select("*", e.alias("_e")).select("*", "_e._blk", "_e._halo").drop("_e")
+    own = F.floor(o / block).cast("long")
+    lo = F.floor(F.greatest(o - after, F.lit(0)) / block).cast("long")
+    hi = F.floor((o + before) / block).cast("long")
+    x = df.select("*", F.explode(F.sequence(lo, hi)).alias("_blk"))
+    return x.withColumn("_halo", F.col("_blk") != own)
 
 
 def block_window(group: str, order: str) -> Window:
