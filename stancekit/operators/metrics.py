@@ -112,7 +112,11 @@ def metrics_samples(df: DataFrame, gold="gold_vec", pred="pred_vec") -> DataFram
 def score_line(df: DataFrame, by: str = "run_tag", gold="gold_vec", pred="pred_vec",
                k: int = N_LABELS) -> DataFrame:
     """One row per run: F1 of each label and macro F1."""
-    sums = label_sums(df, gold, pred, (by,), k)
+    return score_line_from_sums(label_sums(df, gold, pred, (by,), k), by, k)
+
+
+def score_line_from_sums(sums: DataFrame, by: str = "run_tag", k: int = N_LABELS) -> DataFrame:
+    """Score line from the per-group sums (e.g. a streaming aggregate)."""
     f1s = [_per_label(j)[2] for j in range(k)]
     return sums.select(by, *[f.alias(f"f1_{j}") for j, f in enumerate(f1s)],
                        (sum(f1s, F.lit(0.0)) / k).alias("macro_f1"), F.col("n_rows"))

@@ -14,7 +14,7 @@ from stancekit.operators import prompts as P
 from stancekit.operators import windows as W
 from stancekit.plans import q_attribution, q_prompts  # noqa: F401  (register CTEs)
 from stancekit.plans.catalog import register
-from stancekit.plans.q_core import _report_sql, baseline_scored, sql_report
+from stancekit.plans.q_core import _SCORE_LINE, _report_sql, baseline_scored, sql_report
 from stancekit.plans.sqlfrag import KEY_SQL, U, cte, label_ids, lit, multi_hot, with_ctes
 from stancekit.plans import sqlfrag as sqlf
 from stancekit.session import scratch_path
@@ -240,3 +240,12 @@ def q_audit_report(spark, sf):
     s = a.select(L.multi_hot(L.label_ids(F.col("class_code"))).alias("gold_vec"),
                  L.letter_vector(parse_answer(F.col("model_response"))).alias("pred_vec"))
     return M.classification_report(s)
+
+
+@register("stream_score_line", _SCORE_LINE)
+def q_stream_score_line(spark, sf):
+    """Answers written as files, scored by a streaming aggregation (availableNow)."""
+    from stancekit.streaming.scores import stream_score_line
+    path = scratch_path(spark, "answers")
+    IO.write_responses(fx.responses(spark, sf), path)
+    return stream_score_line(spark, path)
