@@ -229,3 +229,51 @@ def word_relevance_summary(df: DataFrame, word: str = "term", cls: str = "class_
     g = df.groupBy(cls, word).agg(F.sum(rel).alias("total"), F.avg(rel).alias("mean"), F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(cls).orderBy(F.col("total").desc(), word)
     return g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+# ------------------------------------------------------------ pieces to words
+NORMALIZE = "[^a-zA-Z0-9.]"   # fixed value: characters compared when aligning
+
+
+def align_to_words(pieces: DataFrame, words: DataFrame, agg: str = "max", keys=KEY) -> DataFrame:
+    """Map sub-word pieces onto reference words; aggregate scores per word.
+
+    pieces: (keys..., pos, piece, score) without special tokens or markers;
+    words: (keys..., word_idx, word). Both sides are normalised to
+    ``[a-zA-Z0-9.]``; running sums of the normalised lengths give character
+    offsets. A piece belongs to the word whose span holds its start: one
+    window per sentence ordered by offset carries the last word start
+    forward (no pairwise join). Pieces with no normalised text meet empty
+    words at the same offset in order; otherwise they join the word ending
+    there. ``aligned`` says whether the joined pieces equal the word.
+    Output: (keys..., word_idx, word, text, score, aligned).
+    """
+    keys = list(keys)
+    norm = lambda c: F.regexp_replace(F.col(c), NORMALIZE, "")
+    wk = Window.partitionBy(*keys)
+    p = pieces.withColumn("_n", norm("piece"))
+    p = p.withColumn("_e", F.sum(F.length("_n")).over(wk.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    p = p.withColumn("_s", F.col("_e") - F.length("_n"))
+    w = words.withColumn("_n", norm("word"))
+    w = w.withColumn("_e", F.sum(F.length("_n")).over(wk.orderBy("word_idx").rowsBetween(Window.unboundedPreceding, 0)))
+    w = w.withColumn("_s", F.col("_e") - F.length("_n"))
+    # empty pieces meet empty words at the same offset, k-th with k-th
+    pe = p.where(F.length("_n") == 0).withColumn("_k", F.row_number().over(wk.partitionBy(*keys, "_s").orderBy("pos")))
+    we = w.where(F.length("_n") == 0).withColumn("_k", F.row_number().over(wk.partitionBy(*keys, "_s").orderBy("word_idx")))
+    matched = pe.join(we.select(*keys, "_s", "_k", "word_idx"), keys + ["_s", "_k"]).select(*keys, "pos", "word_idx")
+    # everything else: the word whose span holds the piece start (empty: the word ending there)
+    rest = p.join(matched.select(*keys, "pos"), keys + ["pos"], "left_anti")
+    at = F.when(F.length("_n") > 0, F.col("_s")).otherwise(F.greatest(F.col("_s") - 1, F.lit(0)))
+    ev_p = rest.select(*keys, at.alias("_o"), F.lit(1).alias("_kind"), "pos", F.lit(None).cast("long").alias("_w"))
+    ev_w = w.where(F.length("_n") > 0).select(*keys, F.col("_s").alias("_o"), F.lit(0).alias("_kind"),
+                                               F.lit(None).cast("int").alias("pos"), F.col("word_idx").cast("long").alias("_w"))
+    ev = ev_p.unionByName(ev_w)
+    carried = F.last("_w", ignorenulls=True).over(
+        wk.orderBy("_o", "_kind", "pos").rowsBetween(Window.unboundedPreceding, 0))
+    placed = ev.withColumn("word_idx", carried).where(F.col("_kind") == 1).select(*keys, "pos", "word_idx")
+    assign = placed.where(F.col("word_idx").isNotNull()).unionByName(matched.withColumn("word_idx", F.col("word_idx").cast("long")))
+    j = pieces.join(assign, keys + ["pos"])
+    sc = F.max("score") if agg == "max" else F.sum("score")
+    g = j.groupBy(*keys, "word_idx").agg(_joined("piece").alias("text"), sc.alias("score"))
+    out = g.join(words.select(*keys, F.col("word_idx").cast("long"), "word"), keys + ["word_idx"])
+    return out.withColumn("aligned", F.regexp_replace("text", NORMALIZE, "") == F.regexp_replace("word", NORMALIZE, ""))

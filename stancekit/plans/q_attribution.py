@@ -186,3 +186,55 @@ def q_word_relevance_summary(spark, sf):
     """Per class the 20 terms with the largest total relevance."""
     tt, coef, _, ex = linear_explained(spark, sf)
     return A.word_relevance_summary(A.relevance_linear(tt, coef, ex), "term", "class_id", "relevance", 20)
+
+
+def _pieces_words(spark, sf):
+    t = fx.bpe_tokens(spark, sf)
+    last = F.max("pos").over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy(*KEY))
+    p = t.withColumn("_last", last).where((F.col("pos") > 0) & (F.col("pos") < F.col("_last")))
+    p = p.select(*KEY, "pos", F.replace(F.col("token"), F.lit("Ġ"), F.lit("")).alias("piece"), "score")
+    s = _test(spark, sf)
+    w = s.select(*KEY, F.posexplode(F.split(F.col("sentence"), " ", -1)).alias("word_idx", "word"))
+    return p, w
+
+
+cte("pw_pieces", ["bpe_tokens"], """
+SELECT speech_id, sent_idx, pos, replace(token, 'Ġ', '') AS piece, score
+FROM (SELECT *, max(pos) OVER (PARTITION BY speech_id, sent_idx) AS last FROM bpe_tokens) WHERE pos > 0 AND pos < last""")
+cte("pw_words", ["test_rows"], """
+SELECT speech_id, sent_idx, unnest(string_split(sentence, ' ')) AS word, generate_subscripts(string_split(sentence, ' '), 1) - 1 AS word_idx
+FROM test_rows""")
+cte("aligned_words", ["pw_pieces", "pw_words"], """
+WITH p AS (
+  SELECT *, SUM(length(n)) OVER (PARTITION BY speech_id, sent_idx ORDER BY pos ROWS UNBOUNDED PRECEDING) - length(n) AS s
+  FROM (SELECT *, regexp_replace(piece, '[^a-zA-Z0-9.]', '', 'g') AS n FROM pw_pieces)),
+w AS (
+  SELECT *, SUM(length(n)) OVER (PARTITION BY speech_id, sent_idx ORDER BY word_idx ROWS UNBOUNDED PRECEDING) - length(n) AS s
+  FROM (SELECT *, regexp_replace(word, '[^a-zA-Z0-9.]', '', 'g') AS n FROM pw_words)),
+pe AS (SELECT *, row_number() OVER (PARTITION BY speech_id, sent_idx, s ORDER BY pos) AS k FROM p WHERE length(n) = 0),
+we AS (SELECT *, row_number() OVER (PARTITION BY speech_id, sent_idx, s ORDER BY word_idx) AS k FROM w WHERE length(n) = 0),
+matched AS (SELECT pe.speech_id, pe.sent_idx, pe.pos, we.word_idx FROM pe JOIN we
+            ON pe.speech_id = we.speech_id AND pe.sent_idx = we.sent_idx AND pe.s = we.s AND pe.k = we.k),
+ev AS (
+  SELECT speech_id, sent_idx, CASE WHEN length(n) > 0 THEN s ELSE greatest(s - 1, 0) END AS o, 1 AS kind, pos, NULL::BIGINT AS wi
+  FROM p WHERE NOT EXISTS (SELECT 1 FROM matched m WHERE m.speech_id = p.speech_id AND m.sent_idx = p.sent_idx AND m.pos = p.pos)
+  UNION ALL
+  SELECT speech_id, sent_idx, s AS o, 0 AS kind, NULL AS pos, word_idx AS wi FROM w WHERE length(n) > 0),
+placed AS (
+  SELECT speech_id, sent_idx, pos, last_value(wi IGNORE NULLS) OVER (PARTITION BY speech_id, sent_idx ORDER BY o, kind, pos
+         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS word_idx, kind FROM ev),
+assign AS (SELECT speech_id, sent_idx, pos, word_idx FROM placed WHERE kind = 1 AND word_idx IS NOT NULL
+           UNION ALL SELECT speech_id, sent_idx, pos, word_idx FROM matched)
+SELECT a.speech_id, a.sent_idx, a.word_idx, string_agg(pp.piece, '' ORDER BY pp.pos) AS text, max(pp.score) AS score
+FROM assign a JOIN pw_pieces pp ON pp.speech_id = a.speech_id AND pp.sent_idx = a.sent_idx AND pp.pos = a.pos
+GROUP BY a.speech_id, a.sent_idx, a.word_idx""")
+
+
+@register("align_to_words", with_ctes(["aligned_words", "pw_words"], """
+SELECT a.speech_id, a.sent_idx, a.word_idx::BIGINT AS word_idx, w.word, a.text, round(a.score, 6) AS score,
+       CAST(regexp_replace(a.text, '[^a-zA-Z0-9.]', '', 'g') = regexp_replace(w.word, '[^a-zA-Z0-9.]', '', 'g') AS INT)::BIGINT AS aligned
+FROM aligned_words a JOIN pw_words w ON w.speech_id = a.speech_id AND w.sent_idx = a.sent_idx AND w.word_idx = a.word_idx"""))
+def q_align_to_words(spark, sf):
+    """BPE pieces of the test sentences mapped back onto their space-split words (max)."""
+    p, w = _pieces_words(spark, sf)
+    return A.align_to_words(p, w, "max").select(*KEY, "word_idx", "word", "text", "score", "aligned")
