@@ -103,13 +103,15 @@ def predictions(margins: DataFrame, keys=KEY, k: int = N_LABELS) -> DataFrame:
 def top_terms(coef: DataFrame, n: int = 10) -> DataFrame:
     """n highest and n lowest weights per label: (label, direction, rank, term, weight).
 
-    Limited windows: Spark keeps only n rows per label and task before the
-    shuffle (WindowGroupLimit), so the vocabulary size never meets one task.
+    One pass over the coefficient table (bounded by labels x vocabulary):
+    both ranks come from windows over the same input, then one filter.
     """
-    hi = coef.withColumn("rank", F.row_number().over(
-        Window.partitionBy("label").orderBy(F.col("weight").desc(), "term"))).where(F.col("rank") <= n)
-    lo = coef.withColumn("rank", F.row_number().over(
-        Window.partitionBy("label").orderBy(F.col("weight").asc(), "term"))).where(F.col("rank") <= n)
-    return (hi.withColumn("direction", F.lit("positive"))
-            .unionByName(lo.withColumn("direction", F.lit("negative")))
-            .select("label", "direction", "rank", "term", "weight"))
+    w_hi = Window.partitionBy("label").orderBy(F.col("weight").desc(), "term")
+    w_lo = Window.partitionBy("label").orderBy(F.col("weight").asc(), "term")
+    r = coef.select("label", "term", "weight", F.row_number().over(w_hi).alias("_hi"),
+                    F.row_number().over(w_lo).alias("_lo")).where((F.col("_hi") <= n) | (F.col("_lo") <= n))
+    sides = F.array(F.struct(F.lit("positive").alias("direction"), F.col("_hi").alias("rank")),
+                    F.struct(F.lit("negative").alias("direction"), F.col("_lo").alias("rank")))
+    x = r.select("label", "term", "weight", F.explode(sides).alias("_s"))
+    return x.where(F.col("_s.rank") <= n).select("label", F.col("_s.direction").alias("direction"),
+                                                  F.col("_s.rank").alias("rank"), "term", "weight")

@@ -144,8 +144,9 @@ def knn_cosine(queries: DataFrame, corpus: DataFrame, k: int = 8, qid: str = "qi
 
 def sparse_rows(tfidf_long: DataFrame, vocab: DataFrame, keys) -> DataFrame:
     """(keys..., idx array, w array) per row; idx = term position in the vocabulary."""
-    from pyspark.sql import Window as W
-    v = vocab.select("term", F.row_number().over(W.orderBy("term")).alias("tidx"))  # <= max_features rows
+    from stancekit.operators.linear import collect_vocabulary
+    terms, _ = collect_vocabulary(vocab)                      # bounded by max_features
+    v = vocab.sparkSession.createDataFrame(list(enumerate(terms)), "tidx int, term string")
     j = tfidf_long.join(F.broadcast(v), "term")
     g = j.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("tidx", "weight"))).alias("_e"))
     return g.select(*keys, F.transform("_e", lambda e: e["tidx"]).alias("idx"),
