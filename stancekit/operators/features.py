@@ -73,10 +73,21 @@ def tfidf(terms: DataFrame, vocab: DataFrame, keys=KEY) -> DataFrame:
 
 
 def fit_tfidf(train: DataFrame, keys=KEY, text_col: str = "sentence", weight_col: str | None = None,
-              min_df: int = 20, max_df: float = 0.5, max_features: int = 10000, lo: int = 1, hi: int = 3):
-    """Vocabulary and train term rows from one pass over the train rows."""
+              min_df: int = 20, max_df: float = 0.5, max_features: int = 10000, lo: int = 1, hi: int = 3,
+              materialize: bool = True):
+    """Vocabulary and train term rows.
+
+    With ``materialize`` the vocabulary (<= max_features rows) is written
+    once to the checkpoint folder, so the many small jobs that read it
+    (vectors, scoring, retrieval blocks) do not recompute the corpus pass.
+    """
+    from stancekit.session import checkpoint_root
+
     extra = [weight_col] if weight_col else []
     terms = term_counts(train, keys, text_col, lo, hi, extra)
     n_docs = document_total(train, weight_col)
     vocab = vocabulary(terms, n_docs, min_df, max_df, max_features, weight_col)
+    if materialize:
+        checkpoint_root(train.sparkSession)
+        vocab = vocab.checkpoint(eager=True)
     return vocab, terms

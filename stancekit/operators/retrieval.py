@@ -21,6 +21,7 @@ from stancekit.functions.hashing import portable_hash
 SIM_DIGITS = 9
 MAX_QUERY_BLOCK = 20000      # queries per broadcast block (dense vectors)
 MAX_QUERY_NNZ = 2_000_000    # non-zeros per broadcast block (sparse vectors)
+SCORE_CELLS = 4_000_000      # largest (queries x rows) score block held by a task
 
 
 def _topk_merge(best_s, best_k1, best_k2, s, k1, k2, k):
@@ -52,9 +53,7 @@ def _dense_kernel(qids, qmat, k, positive_only=False):
         best_s = np.full((nq, 0), -np.inf)
         best_k1 = np.zeros((nq, 0), dtype="int64")
         best_k2 = np.zeros((nq, 0), dtype="int64")
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
+        for pdf in _slices(batches, nq):
             c = np.stack(pdf["vec"].to_numpy()).astype("float64")
             norms = np.linalg.norm(c, axis=1)
             norms[norms == 0] = 1.0
@@ -70,24 +69,49 @@ def _dense_kernel(qids, qmat, k, positive_only=False):
     return fn
 
 
-def _sparse_kernel(qids, postings, k):
-    """postings: term index -> (query positions, weights)."""
+def _slices(batches, nq):
+    """Cut Arrow batches so that a (queries x rows) score block stays <= SCORE_CELLS."""
+    step = max(1, SCORE_CELLS // max(nq, 1))
+    for pdf in batches:
+        for a in range(0, len(pdf), step):
+            part = pdf.iloc[a:a + step]
+            if len(part):
+                yield part
+
+
+def _sparse_kernel(qids, ptr, post_q, post_w, k):
+    """Query postings in CSR form over term indexes: ``post_q[ptr[t]:ptr[t+1]]``."""
     def fn(batches):
         nq = len(qids)
         best_s = np.full((nq, 0), -np.inf)
         best_k1 = np.zeros((nq, 0), dtype="int64")
         best_k2 = np.zeros((nq, 0), dtype="int64")
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
+        for pdf in _slices(batches, nq):
             b = len(pdf)
-            s = np.zeros((nq, b))
-            for j, (idx, w) in enumerate(zip(pdf["idx"], pdf["w"])):
-                for t, x in zip(idx, w):
-                    p = postings.get(int(t))
-                    if p is not None:
-                        s[p[0], j] += x * p[1]
-            s = np.round(s, SIM_DIGITS)
+            lens = pdf["idx"].map(len).to_numpy()
+            rows = np.repeat(np.arange(b), lens)
+            terms = np.concatenate(pdf["idx"].to_numpy()).astype("int64") if lens.sum() else np.zeros(0, "int64")
+            vals = np.concatenate(pdf["w"].to_numpy()).astype("float64") if lens.sum() else np.zeros(0)
+            s = np.zeros(nq * b)
+            plen = ptr[terms + 1] - ptr[terms]
+            # expand (row, term) entries into (query, row) products, in bounded chunks
+            ends = np.cumsum(plen)
+            start = 0
+            while start < len(terms):
+                stop = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SCORE_CELLS, side="right"))
+                stop = max(stop, start + 1)
+                L = plen[start:stop]
+                tot = int(L.sum())
+                if tot:
+                    first = np.repeat(ptr[terms[start:stop]], L)
+                    off = np.arange(tot) - np.repeat(np.cumsum(L) - L, L)
+                    pi = first + off
+                    q = post_q[pi]
+                    r = np.repeat(rows[start:stop], L)
+                    v = np.repeat(vals[start:stop], L) * post_w[pi]
+                    s += np.bincount(q * b + r, weights=v, minlength=nq * b)
+                start = stop
+            s = np.round(s.reshape(nq, b), SIM_DIGITS)
             s = np.where(s > 0, s, -np.inf)                  # share at least one term
             k1 = np.broadcast_to(pdf["cid1"].to_numpy("int64"), s.shape)
             k2 = np.broadcast_to(pdf["cid2"].to_numpy("int64"), s.shape)
@@ -161,6 +185,8 @@ def knn_lexical(q_tfidf: DataFrame, c_tfidf: DataFrame, vocab: DataFrame, k: int
     Output: (q_speech_id, q_sent_idx, c_speech_id, c_sent_idx, rank, sim).
     """
     keys = list(keys)
+    from stancekit.operators.linear import collect_vocabulary
+    vocab_size = len(collect_vocabulary(vocab)[0])
     qs = sparse_rows(q_tfidf, vocab, keys)
     cs = sparse_rows(c_tfidf, vocab, keys).select(
         F.col(keys[0]).cast("long").alias("cid1"), F.col(keys[1]).cast("long").alias("cid2"), "idx", "w")
@@ -173,16 +199,18 @@ def knn_lexical(q_tfidf: DataFrame, c_tfidf: DataFrame, vocab: DataFrame, k: int
         if not rows:
             continue
         qids = np.arange(len(rows), dtype="int64")
-        post: dict[int, tuple[list, list]] = {}
-        for qi, r in enumerate(rows):
-            for t, x in zip(r[2], r[3]):
-                post.setdefault(int(t), ([], []))
-                post[int(t)][0].append(qi)
-                post[int(t)][1].append(x)
-        postings = {t: (np.array(a, dtype="int64"), np.array(b)) for t, (a, b) in post.items()}
+        qi = np.repeat(qids, [len(r[2]) for r in rows])
+        ti = np.concatenate([np.asarray(r[2], dtype="int64") for r in rows]) if len(qi) else np.zeros(0, "int64")
+        wi = np.concatenate([np.asarray(r[3], dtype="float64") for r in rows]) if len(qi) else np.zeros(0)
+        order = np.argsort(ti, kind="stable")
+        n_terms = int(vocab_size)
+        ptr = np.zeros(n_terms + 1, dtype="int64")
+        np.add.at(ptr, ti + 1, 1)
+        ptr = np.cumsum(ptr)
+        post_q, post_w = qi[order], wi[order]
         qmap = blk.sparkSession.createDataFrame(
             [(i, int(r[0]), int(r[1])) for i, r in enumerate(rows)], f"qid long, q_{keys[0]} long, q_{keys[1]} long")
-        part = _rank(cs.mapInPandas(_sparse_kernel(qids, postings, k), _OUT), k)
+        part = _rank(cs.mapInPandas(_sparse_kernel(qids, ptr, post_q, post_w, k), _OUT), k)
         part = part.join(F.broadcast(qmap), "qid").drop("qid")           # bounded like the block
         out = part if out is None else out.unionByName(part)
     return out.select(f"q_{keys[0]}", f"q_{keys[1]}", F.col("cid1").alias(f"c_{keys[0]}"),
