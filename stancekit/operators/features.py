@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stancekit.functions.text import ngrams, tokenize
+from stancekit.functions.text import tokenize
 
 KEY = ["speech_id", "sent_idx"]
 
@@ -26,9 +26,18 @@ def term_counts(df: DataFrame, keys=KEY, text_col: str = "sentence", lo: int = 1
     aggregate already merges a row's repeats, and the shuffle key includes
     the row, so no term can skew it.
     """
+    from pyspark.ml.feature import NGram
+
     extra = extra or []
     toks = df.select(*keys, *extra, tokenize(F.col(text_col)).alias("_tok"))
-    grams = toks.select(*keys, *extra, F.explode(ngrams(F.col("_tok"), lo, hi)).alias("term"))
+    cols = []
+    for n in range(lo, hi + 1):
+        if n == 1:
+            cols.append("_tok")
+        else:  # spark.ml NGram: compiled sliding window, same 'a b c' form as functions.text.ngrams
+            toks = NGram(n=n, inputCol="_tok", outputCol=f"_g{n}").transform(toks)
+            cols.append(f"_g{n}")
+    grams = toks.select(*keys, *extra, F.explode(F.concat(*cols)).alias("term"))
     return grams.groupBy(*keys, *extra, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -77,9 +86,11 @@ def fit_tfidf(train: DataFrame, keys=KEY, text_col: str = "sentence", weight_col
               materialize: bool = True):
     """Vocabulary and train term rows.
 
-    With ``materialize`` the vocabulary (<= max_features rows) is written
-    once to the checkpoint folder, so the many small jobs that read it
-    (vectors, scoring, retrieval blocks) do not recompute the corpus pass.
+    With ``materialize`` the term rows are persisted (memory and disk, so a
+    lost executor only recomputes its part) and the vocabulary (<=
+    max_features rows) is written once to the checkpoint folder, so the many
+    small jobs that read them (vectors, scoring, retrieval blocks) do not
+    recompute the corpus pass. Call ``terms.unpersist()`` when done.
     """
     from stancekit.session import checkpoint_root
 
@@ -88,6 +99,9 @@ def fit_tfidf(train: DataFrame, keys=KEY, text_col: str = "sentence", weight_col
     n_docs = document_total(train, weight_col)
     vocab = vocabulary(terms, n_docs, min_df, max_df, max_features, weight_col)
     if materialize:
+        # n-gram rows are read by both the vocabulary and the vectors: one pass
+        from pyspark import StorageLevel
+        terms = terms.persist(StorageLevel.MEMORY_AND_DISK)
         checkpoint_root(train.sparkSession)
         vocab = vocab.checkpoint(eager=True)
     return vocab, terms
