@@ -22,14 +22,15 @@ def term_counts(df: DataFrame, keys=KEY, text_col: str = "sentence", lo: int = 1
                 extra: list[str] | None = None) -> DataFrame:
     """(keys..., term, tf): n-gram frequency per row.
 
-    The count is a hash aggregate on (row, term); its map-side partial
-    aggregate already merges a row's repeats, and the shuffle key includes
-    the row, so no term can skew it.
+    The compact sentence rows are hash-partitioned by row key once, before
+    tokenizing; the per-row count (and later the per-row norm window) then
+    needs no exchange, so the exploded n-gram rows never cross the network.
+    Row keys are unique, so this partitioning cannot skew.
     """
     from pyspark.ml.feature import NGram
 
     extra = extra or []
-    toks = df.select(*keys, *extra, tokenize(F.col(text_col)).alias("_tok"))
+    toks = df.repartition(*keys).select(*keys, *extra, tokenize(F.col(text_col)).alias("_tok"))
     cols = []
     for n in range(lo, hi + 1):
         if n == 1:
