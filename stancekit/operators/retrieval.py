@@ -138,12 +138,17 @@ def _blocks(queries: DataFrame, qid: str, n_blocks: int) -> list[DataFrame]:
 
 
 def knn_cosine(queries: DataFrame, corpus: DataFrame, k: int = 8, qid: str = "qid", cid=("cid",),
-               vec: str = "embedding", max_block: int = MAX_QUERY_BLOCK) -> DataFrame:
+               vec: str = "embedding", max_block: int = MAX_QUERY_BLOCK, method: str = "block") -> DataFrame:
     """(qid, cid..., rank, sim): the k corpus vectors of highest cosine per query.
 
+    ``method='block'`` (default) is exact; ``method='lsh'`` approximate.
     ``cid`` is one or two long key columns of the corpus.
     """
-    cid = list(cid)
+    if method == "lsh":
+        return knn_cosine_lsh(queries, corpus, k, qid, cid[0] if not isinstance(cid, str) else cid, vec)
+    if method != "block":
+        raise ValueError("method is 'block' or 'lsh'")
+    cid = [cid] if isinstance(cid, str) else list(cid)
     c1 = F.col(cid[0]).cast("long")
     c2 = F.col(cid[1]).cast("long") if len(cid) > 1 else F.lit(0).cast("long")
     corp = corpus.select(c1.alias("cid1"), c2.alias("cid2"), F.col(vec).alias("vec"))

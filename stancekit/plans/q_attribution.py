@@ -1,6 +1,7 @@
 """Catalog: attribution of predictions to terms, tokens and words."""
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stancekit.functions import labels as L
@@ -190,7 +191,7 @@ def q_word_relevance_summary(spark, sf):
 
 def _pieces_words(spark, sf):
     t = fx.bpe_tokens(spark, sf)
-    last = F.max("pos").over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy(*KEY))
+    last = F.max("pos").over(Window.partitionBy(*KEY))
     p = t.withColumn("_last", last).where((F.col("pos") > 0) & (F.col("pos") < F.col("_last")))
     p = p.select(*KEY, "pos", F.replace(F.col("token"), F.lit("Ġ"), F.lit("")).alias("piece"), "score")
     s = _test(spark, sf)

@@ -110,7 +110,8 @@ def q_run_tag(spark, sf):
 # ------------------------------------------------------ 2.2 filters and limits
 @register("filter_positive", with_ctes(["sentences"], "SELECT speech_id, sent_idx, class_code FROM sentences WHERE class_code <> 0"))
 def q_filter_positive(spark, sf):
-    return fx.sentences(spark, sf).where(F.col("class_code") != 0).select(*KEY, "class_code")
+    from stancekit.operators.encoding import filter_positive
+    return filter_positive(fx.sentences(spark, sf)).select(*KEY, "class_code")
 
 
 @register("filter_word_band", with_ctes(["sentences"], """
@@ -118,7 +119,8 @@ SELECT speech_id, sent_idx, class_code, len(string_split(sentence, ' '))::BIGINT
 FROM sentences WHERE len(string_split(sentence, ' ')) BETWEEN 9 AND 31"""))
 def q_filter_word_band(spark, sf):
     """Strictly 8 < words < 32."""
-    s = S.word_band(fx.sentences(spark, sf), 9, 31)
+    from stancekit.operators.encoding import filter_word_band
+    s = filter_word_band(fx.sentences(spark, sf), 9, 31)
     return s.select(*KEY, "class_code", word_count(F.col("sentence")).alias("n_words"))
 
 
@@ -191,26 +193,17 @@ def q_gold_vector(spark, sf):
     return _test(spark, sf).select(*KEY, _ints(L.multi_hot(L.label_ids(F.col("class_code")))).alias("gold_vec"))
 
 
-def fit_classes(df, ids_col="ids"):
-    """Sorted class set seen in the data (bounded by the label space)."""
-    rows = df.select(F.explode(ids_col).alias("c")).distinct().collect()
-    return sorted(r[0] for r in rows)
-
-
-def encode_with(ids, classes):
-    return F.transform(F.array(*[F.lit(c) for c in classes]), lambda c: F.array_contains(ids, c).cast("int"))
-
-
 @register("binarize_fit", with_ctes(["train_rows", "test_rows"], f"""
 SELECT speech_id, sent_idx,
        array_to_string(list_transform(cls, lambda c: CAST(list_contains({label_ids('class_code')}, c) AS INT)), ',') AS vec
 FROM test_rows, (SELECT list_sort(list(DISTINCT c)) AS cls FROM (SELECT unnest({label_ids('class_code')}) AS c FROM train_rows))"""))
 def q_binarize_fit(spark, sf):
     """Learn the class set on train, encode test with it."""
+    from stancekit.operators.encoding import binarize, fit_classes
     train = _train(spark, sf).select(L.label_ids(F.col("class_code")).alias("ids"))
     classes = fit_classes(train)
-    t = _test(spark, sf)
-    return t.select(*KEY, _ints(encode_with(L.label_ids(F.col("class_code")), classes)).alias("vec"))
+    t = binarize(_test(spark, sf).withColumn("ids", L.label_ids(F.col("class_code"))), classes)
+    return t.select(*KEY, _ints(F.col("vec")).alias("vec"))
 
 
 @register("hot_to_ids", with_ctes(["logits"], f"""
@@ -256,8 +249,8 @@ FROM (SELECT *, {_FUSED_SQL} AS fused, unnest(generate_series(1, 3)) AS i FROM (
 WHERE v[i] = 1"""))
 def q_explode_explained(spark, sf):
     """One row per (test row, class to explain); code 5 rows vanish."""
-    f = _fused(spark, sf)
-    return f.select(*KEY, "fused", F.explode(L.explained_classes(F.col("pred_vec"))).alias("class_id"))
+    from stancekit.operators.encoding import explode_explained
+    return explode_explained(_fused(spark, sf)).select(*KEY, "fused", "class_id")
 
 
 @register("filter_explainable", with_ctes(["logits"], f"""
