@@ -89,11 +89,11 @@ def fit_tfidf(train: DataFrame, keys=KEY, text_col: str = "sentence", weight_col
 
     With ``materialize`` the term rows are persisted (memory and disk, so a
     lost executor only recomputes its part) and the vocabulary (<=
-    max_features rows) is written once to the checkpoint folder, so the many
+    max_features rows) is written once as a table in the checkpoint folder, so the many
     small jobs that read them (vectors, scoring, retrieval blocks) do not
     recompute the corpus pass. Call ``terms.unpersist()`` when done.
     """
-    from stancekit.session import checkpoint_root
+    from stancekit.session import materialize
 
     extra = [weight_col] if weight_col else []
     terms = term_counts(train, keys, text_col, lo, hi, extra)
@@ -103,6 +103,5 @@ def fit_tfidf(train: DataFrame, keys=KEY, text_col: str = "sentence", weight_col
         # n-gram rows are read by both the vocabulary and the vectors: one pass
         from pyspark import StorageLevel
         terms = terms.persist(StorageLevel.MEMORY_AND_DISK)
-        checkpoint_root(train.sparkSession)
-        vocab = vocab.checkpoint(eager=True)
+        vocab = materialize(vocab, "vocabulary")
     return vocab, terms

@@ -86,18 +86,18 @@ def dense_index(df: DataFrame, group: str = "speech_id", order: str = "sent_idx"
 def global_index(df: DataFrame, order: list[str], partitions: int | None = None, out: str = "row_idx") -> DataFrame:
     """0-based global position by ``order`` without a single-partition window.
 
-    Range-partition and sort, checkpoint (reliable, in the checkpoint dir)
-    so the layout is fixed, then add per-partition offsets from a table of
-    one row per partition.
+    Range-partition and sort, stamp each row with its partition and local
+    position, write that once to the checkpoint folder (so the stamps are
+    data, fixed across retries), then add per-partition offsets from a table
+    of one row per partition.
     """
-    from stancekit.session import checkpoint_root
+    from stancekit.session import materialize
 
     spark = df.sparkSession
-    checkpoint_root(spark)
     p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     laid = df.repartitionByRange(p, *order).sortWithinPartitions(*order)
     laid = laid.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
-    laid = laid.checkpoint(eager=True)
+    laid = materialize(laid, "global-index")
     counts = laid.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(
         Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row per partition

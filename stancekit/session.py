@@ -50,3 +50,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def data_path(sf_dir: str, table: str) -> str:
     return os.path.join(sf_dir, f"{table}.parquet")
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as Parquet below the checkpoint root and read it back.
+
+    Cuts the lineage like ``checkpoint()`` but computes the plan only once
+    and leaves a durable table a restarted job can read.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
