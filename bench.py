@@ -18,7 +18,6 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
 from stancekit.functions import labels as L  # noqa: E402
-from stancekit.functions.text import ngrams, tokenize  # noqa: E402
 from stancekit.operators import attribution as A  # noqa: E402
 from stancekit.operators import features as FE  # noqa: E402
 from stancekit.operators import linear as LN  # noqa: E402
@@ -89,8 +88,7 @@ def main():
             term_list, idf = LN.collect_vocabulary(vocab)
             state["terms"] = term_list
             state["tv"] = LN.tfidf_vectors(
-                tw.withColumn("grams", ngrams(tokenize(F.col("sentence")), 1, 3))
-                .withColumn("gold_vec", L.multi_hot(L.label_ids(F.col("class_code")))), term_list, idf)
+                FE.with_grams(tw).withColumn("gold_vec", L.multi_hot(L.label_ids(F.col("class_code")))), term_list, idf)
         return state
 
     def q_knn_lexical():

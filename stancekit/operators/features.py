@@ -18,6 +18,25 @@ def _weight(weight_col: str | None) -> Column:
     return F.col(weight_col).cast("long") if weight_col else F.lit(1).cast("long")
 
 
+def with_grams(df: DataFrame, text_col: str = "sentence", out: str = "grams", lo: int = 1, hi: int = 3) -> DataFrame:
+    """Add the lo..hi-grams of the lower-cased tokens as an array column.
+
+    Tokens are extracted once; spark.ml ``NGram`` (compiled sliding window)
+    builds the longer grams in the same 'a b c' form as ``functions.text.ngrams``.
+    """
+    from pyspark.ml.feature import NGram
+
+    x = df.withColumn("_tok", tokenize(F.col(text_col)))
+    cols = []
+    for n in range(lo, hi + 1):
+        if n == 1:
+            cols.append("_tok")
+        else:
+            x = NGram(n=n, inputCol="_tok", outputCol=f"_g{n}").transform(x)
+            cols.append(f"_g{n}")
+    return x.withColumn(out, F.concat(*cols)).drop(*{"_tok", *cols})
+
+
 def term_counts(df: DataFrame, keys=KEY, text_col: str = "sentence", lo: int = 1, hi: int = 3,
                 extra: list[str] | None = None) -> DataFrame:
     """(keys..., term, tf): n-gram frequency per row.
@@ -27,18 +46,9 @@ def term_counts(df: DataFrame, keys=KEY, text_col: str = "sentence", lo: int = 1
     needs no exchange, so the exploded n-gram rows never cross the network.
     Row keys are unique, so this partitioning cannot skew.
     """
-    from pyspark.ml.feature import NGram
-
     extra = extra or []
-    toks = df.repartition(*keys).select(*keys, *extra, tokenize(F.col(text_col)).alias("_tok"))
-    cols = []
-    for n in range(lo, hi + 1):
-        if n == 1:
-            cols.append("_tok")
-        else:  # spark.ml NGram: compiled sliding window, same 'a b c' form as functions.text.ngrams
-            toks = NGram(n=n, inputCol="_tok", outputCol=f"_g{n}").transform(toks)
-            cols.append(f"_g{n}")
-    grams = toks.select(*keys, *extra, F.explode(F.concat(*cols)).alias("term"))
+    rows = df.repartition(*keys).select(*keys, *extra, text_col)
+    grams = with_grams(rows, text_col, "_grams", lo, hi).select(*keys, *extra, F.explode("_grams").alias("term"))
     return grams.groupBy(*keys, *extra, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

@@ -140,7 +140,7 @@ def q_tfidf_vectors(spark, sf):
     """Vector form (spark.ml) of the test tf-idf: non-zeros, norm and sum per row."""
     vocab, _, _ = train_features(spark, sf)
     terms, idf = LN.collect_vocabulary(vocab)
-    t = _test(spark, sf).withColumn("grams", ngrams(tokenize(F.col("sentence")), 1, 3))
+    t = FE.with_grams(_test(spark, sf))
     v = LN.tfidf_vectors(t, terms, idf)
     from pyspark.ml.functions import vector_to_array
     arr = vector_to_array(F.col("features"))
@@ -154,8 +154,7 @@ def fit_baseline(spark, sf, max_iter: int = 50):
     """Train three linear SVMs on the upsampled train split; score test."""
     vocab, _, _ = train_features(spark, sf)
     terms, idf = LN.collect_vocabulary(vocab)
-    train = _train_w(spark, sf).withColumn("grams", ngrams(tokenize(F.col("sentence")), 1, 3)) \
-        .withColumn("gold_vec", L.multi_hot(L.label_ids(F.col("class_code"))))
+    train = FE.with_grams(_train_w(spark, sf)).withColumn("gold_vec", L.multi_hot(L.label_ids(F.col("class_code"))))
     vecs = LN.tfidf_vectors(train, terms, idf)
     coef, bias = LN.train_linear_svm(vecs, terms, weight_col="copies", max_iter=max_iter)
     return vocab, coef, bias
