@@ -104,7 +104,7 @@ FROM (
          unnest(sents) AS sentence,
          generate_subscripts(sents, 1) - 1 AS sent_idx
   FROM (
-    SELECT d.doc_id AS speech_id, ((1 - l.quality) + 2 * l.toxic)::INT AS class_code,
+    SELECT d.doc_id AS speech_id, ((1 - l.quality) + 2 * l.toxic)::BIGINT AS class_code,
            list_filter(list_transform(string_split(regexp_replace(d.text, '([.!?])[ \\n]+', '\\1' || chr(31), 'g'), chr(31)),
                                       lambda x: trim(x)), lambda x: x <> '') AS sents
     FROM documents d JOIN labels l ON d.doc_id = l.doc_id
@@ -114,10 +114,10 @@ FROM (
 cte("test_rows", ["sentences"], "SELECT speech_id, sent_idx, sentence, class_code FROM sentences WHERE split = 'test'")
 cte("train_rows", ["sentences"], "SELECT speech_id, sent_idx, sentence, class_code FROM sentences WHERE split = 'train'")
 
-cte("turns", [], "SELECT conv_id AS speech_id, turn::INT AS sent_idx, text AS sentence, role FROM conversations")
+cte("turns", [], "SELECT conv_id AS speech_id, turn::BIGINT AS sent_idx, text AS sentence, role FROM conversations")
 
 cte("vectors", [], """
-SELECT vec_id, embedding, (label % 4)::INT AS class_code,
+SELECT vec_id, embedding, (label % 4)::BIGINT AS class_code,
        CASE WHEN vec_id % 10 = 0 THEN 'query' ELSE 'corpus' END AS role
 FROM embeddings""")
 

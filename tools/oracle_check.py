@@ -82,6 +82,13 @@ def main():
             print(f"COLS {name}: spark={scols} duck={dcols}")
             bad += 1
             continue
+        tmap = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR"}
+        stypes = {f.name: tmap.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+        dtypes = dict(zip(dcols, [str(t) for t in con.sql(sql).types]))
+        if stypes != dtypes:
+            print(f"TYPES {name}: spark={stypes} duck={dtypes}")
+            bad += 1
+            continue
         a, b = rows_of(scols, [tuple(r) for r in srows]), rows_of(dcols, drows)
         if a == b:
             print(f"ok {name}: {len(a)} rows spark {ts:.1f}s duck {td:.1f}s")
