@@ -46,11 +46,18 @@ def train_linear_svm(vecs: DataFrame, terms: list[str], gold: str = "gold_vec",
     w = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
     data = vecs.select(features, gold, w.alias("_w")).persist(StorageLevel.MEMORY_AND_DISK)
     n = data.agg(F.sum("_w")).first()[0]
-    coef_rows, bias_rows = [], []
-    for j in range(k):
+    def fit(j):
         d = data.withColumn("_y", F.coalesce(F.get(F.col(gold), j), F.lit(0)).cast("double"))
-        model = LinearSVC(featuresCol=features, labelCol="_y", weightCol="_w", regParam=1.0 / (C * n),
-                          maxIter=max_iter, standardization=False, fitIntercept=True).fit(d)
+        return LinearSVC(featuresCol=features, labelCol="_y", weightCol="_w", regParam=1.0 / (C * n),
+                         maxIter=max_iter, standardization=False, fitIntercept=True).fit(d)
+
+    # the per-label fits are independent jobs over the same persisted vectors:
+    # submit them together so their small per-iteration jobs overlap
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=k) as pool:
+        models = list(pool.map(fit, range(k)))
+    coef_rows, bias_rows = [], []
+    for j, model in enumerate(models):
         cs = model.coefficients.toArray().tolist()
         coef_rows += [(t, j, float(c)) for t, c in zip(terms, cs)]
         bias_rows.append((j, float(model.intercept)))
