@@ -169,3 +169,25 @@ def test_annotate_failures_kept(spark):
     ok, bad = AN.split_failed(a)
     assert ok.count() + bad.count() == t.count() and bad.count() > 0
     assert bad.where("model_response is not null").count() == 0
+
+
+def test_copies_as_weights_equal_physical_copies(spark):
+    """Fitting with a copies weight agrees with fitting on duplicated rows."""
+    from stancekit.operators import features as FE
+    from stancekit.operators import linear as LN
+    tr = fx.sentences(spark, SF_SMALL).where("split = 'train'")
+    weighted = S.upsample_weights(tr)
+    physical = S.upsample_minority(tr).withColumn("sent_idx", F.col("sent_idx") * 10 + F.col("copy_no"))
+    vocab, _ = FE.fit_tfidf(weighted, weight_col="copies", min_df=5)
+    vocab_p, _ = FE.fit_tfidf(physical, min_df=5)
+    assert sorted(r[0] for r in vocab.select("term").collect()) == sorted(r[0] for r in vocab_p.select("term").collect())
+    terms, idf = LN.collect_vocabulary(vocab)
+    gold = L.multi_hot(L.label_ids(F.col("class_code")))
+    vw = LN.tfidf_vectors(FE.with_grams(weighted).withColumn("gold_vec", gold), terms, idf)
+    vp = LN.tfidf_vectors(FE.with_grams(physical).withColumn("gold_vec", gold), terms, idf)
+    cw, _ = LN.train_linear_svm(vw, terms, weight_col="copies", max_iter=50, k=1)
+    cp, _ = LN.train_linear_svm(vp, terms, max_iter=50, k=1)
+    a = {r[0]: r[1] for r in cw.select("term", "weight").collect()}
+    b = {r[0]: r[1] for r in cp.select("term", "weight").collect()}
+    same_sign = sum((a[t] > 0) == (b[t] > 0) for t in a) / len(a)
+    assert same_sign >= 0.95
