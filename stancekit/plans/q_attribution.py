@@ -134,19 +134,53 @@ def q_merge_words_sum(spark, sf):
     return A.merge_words_sum(fx.wordpiece_tokens(spark, sf))
 
 
+def _fold_sql(span: str) -> str:
+    """DuckDB oracle for a left-to-right fold: a recursive walk of cursors.
+
+    ``span`` sees the cursor row ``c`` (token at i), ``n1``/``n2`` (tokens at
+    i+1, i+2), the cursor ``w.i`` and the token count ``c.n``.
+    """
+    look = ("JOIN t c ON c.speech_id = w.speech_id AND c.sent_idx = w.sent_idx AND c.pos = w.i "
+            "LEFT JOIN t n1 ON n1.speech_id = w.speech_id AND n1.sent_idx = w.sent_idx AND n1.pos = w.i + 1 "
+            "LEFT JOIN t n2 ON n2.speech_id = w.speech_id AND n2.sent_idx = w.sent_idx AND n2.pos = w.i + 2")
+    base = with_ctes(["symbol_tokens"], "SELECT 1")
+    base = "WITH RECURSIVE " + base[len("WITH "):base.rfind("\nSELECT 1")]
+    return base + f""",
+t AS (
+  SELECT speech_id, sent_idx, pos, token, score, COUNT(*) OVER (PARTITION BY speech_id, sent_idx) AS n FROM symbol_tokens),
+walk(speech_id, sent_idx, i, word_idx) AS (
+  SELECT DISTINCT speech_id, sent_idx, 0::BIGINT, 0::BIGINT FROM t
+  UNION ALL
+  SELECT w.speech_id, w.sent_idx, w.i + ({span}), w.word_idx + 1 FROM walk w {look}
+),
+spans AS (SELECT w.speech_id, w.sent_idx, w.i, w.word_idx, ({span}) AS span FROM walk w {look})
+SELECT s.speech_id, s.sent_idx, s.word_idx::BIGINT AS word_idx, string_agg(t.token, '' ORDER BY t.pos) AS token,
+       round(SUM(t.score), 6) AS score
+FROM spans s JOIN t ON t.speech_id = s.speech_id AND t.sent_idx = s.sent_idx AND t.pos >= s.i AND t.pos < s.i + s.span
+GROUP BY s.speech_id, s.sent_idx, s.word_idx"""
+
+
+_HYPHEN_SPAN = "CASE WHEN n1.token = '-' AND w.i + 2 < c.n THEN 3 ELSE 1 END"
+_OPENS = ", ".join(lit(x) for x in A.OPEN_SYMBOLS)
+_CLOSES = ", ".join(lit(x) for x in A.CLOSE_SYMBOLS)
+_A = f"(w.i <= c.n - 2 AND c.token IN ({_OPENS}))"
+_SYMBOL_SPAN = (f"1 + CAST({_A} AS INT) + CAST(w.i <= c.n - 2 AND w.i + CAST({_A} AS INT) < c.n - 1 AND "
+                f"COALESCE(CASE WHEN {_A} THEN n2.token ELSE n1.token END IN ({_CLOSES}), false) AS INT)")
+
+
 def _fold_rows(spark, sf, fn):
     arr = A.token_arrays(fx.symbol_tokens(spark, sf))
     out = arr.select(*KEY, F.posexplode(fn(F.col("toks"), F.col("scores"))).alias("word_idx", "w"))
     return out.select(*KEY, "word_idx", F.col("w.token").alias("token"), F.col("w.score").alias("score"))
 
 
-@register("merge_hyphens")
+@register("merge_hyphens", _fold_sql(_HYPHEN_SPAN))
 def q_merge_hyphens(spark, sf):
     """'x - y' token triples of the test sentences merged (left-to-right fold)."""
     return _fold_rows(spark, sf, A.merge_hyphens)
 
 
-@register("merge_symbols")
+@register("merge_symbols", _fold_sql(_SYMBOL_SPAN))
 def q_merge_symbols(spark, sf):
     """Brackets, currency, quotes and percent glued to their neighbours."""
     return _fold_rows(spark, sf, A.merge_symbols)

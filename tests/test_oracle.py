@@ -14,7 +14,7 @@ NAMES = ["classification_report", "load_split", "label_ids_folded", "hot_to_ids_
          "vocabulary", "tfidf_transform", "score_linear", "top_terms", "knn_cosine", "knn_lexical",
          "prompt_kshot_dialogue", "prompt_kshot_grouped", "inject_distribution", "relevance_linear", "conservation",
          "merge_words_max", "merge_words_sum", "split_contractions", "align_predictions", "audit_report",
-         "read_responses", "read_list_predictions"]
+         "read_responses", "read_list_predictions", "merge_hyphens", "merge_symbols"]
 
 
 @pytest.fixture(scope="module")
