@@ -25,14 +25,30 @@ SCORE_CELLS = 4_000_000      # largest (queries x rows) score block held by a ta
 
 
 def _topk_merge(best_s, best_k1, best_k2, s, k1, k2, k):
-    """Merge candidate columns into per-query top-k (rows = queries)."""
+    """Merge candidate columns into per-query top-k (rows = queries).
+
+    Order: similarity descending, then corpus key ascending; -inf marks an
+    empty slot. ``argpartition`` finds each row's k-th best in linear time;
+    only rows with ties across that boundary need the full key sort.
+    """
     S = np.concatenate([best_s, s], axis=1)
     K1 = np.concatenate([best_k1, k1], axis=1)
     K2 = np.concatenate([best_k2, k2], axis=1)
-    # order: sim desc, key1 asc, key2 asc ; -inf marks empty slots
-    order = np.lexsort((K2, K1, -S), axis=1)[:, :k]
     take = np.take_along_axis
-    return take(S, order, 1), take(K1, order, 1), take(K2, order, 1)
+    if S.shape[1] <= k:
+        order = np.lexsort((K2, K1, -S), axis=1)
+        return take(S, order, 1), take(K1, order, 1), take(K2, order, 1)
+    part = np.argpartition(-S, k - 1, axis=1)[:, :k]
+    thr = take(S, part, 1).min(axis=1)
+    tied = (S >= thr[:, None]).sum(axis=1) > k
+    ps, p1, p2 = take(S, part, 1), take(K1, part, 1), take(K2, part, 1)
+    o = np.lexsort((p2, p1, -ps), axis=1)
+    out_s, out_1, out_2 = take(ps, o, 1), take(p1, o, 1), take(p2, o, 1)
+    if tied.any():
+        r = np.nonzero(tied)[0]
+        full = np.lexsort((K2[r], K1[r], -S[r]), axis=1)[:, :k]
+        out_s[r], out_1[r], out_2[r] = take(S[r], full, 1), take(K1[r], full, 1), take(K2[r], full, 1)
+    return out_s, out_1, out_2
 
 
 def _emit(qids, best_s, best_k1, best_k2):
