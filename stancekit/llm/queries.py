@@ -6,9 +6,10 @@ columns from what the operator returns.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from stancekit.llm import ann, counts, decontam, html_extract, orc_ids, packing, quality, sharding, simhash, toxicity
 from stancekit.llm import common as C
-from stancekit.llm import orc_ids, packing
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +17,42 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
+def op2_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = sharding.assign(C.table(spark, sf_dir, "documents"), ["source", "lang", "size"])
+    return x.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents")
+    return toxicity.classify(docs, toxicity.fit(docs, C.table(spark, sf_dir, "labels")))
+
+
+def op4_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = C.table(spark, sf_dir, "embeddings")
+    return ann.nearest(x, x.where(F.col("vec_id") % 20 == 0))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.fit(docs, C.table(spark, sf_dir, "labels")))
+
+
+def op6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees of all documents, kept as a table; then edits to every document."""
+    trees = C.written(counts.build(C.table(spark, sf_dir, "documents")), "count-trees")
+    edited = counts.apply_edits(trees.withColumn("edits", counts.derived_edits()))
+    return edited.select("doc_id", "n_before", "n_tokens", "n_edits", "chars_encoded",
+                         F.length("text").cast("long").alias("n_chars"), F.crc32(F.encode("text", "utf-8")).alias("text_crc32"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(C.table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def op9_orc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = C.scratch(spark, "orc-ids")
     orc_ids.write_ids(C.table(spark, sf_dir, "documents"), path)
@@ -24,5 +61,10 @@ def op9_orc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_ids.with_start(rows)
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op9_orc_ids)}
-ORACLE: dict[str, str] = {}
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(C.table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_pack, op2_hilbert, op3_toxicity, op4_graph, op5_quality, op6_counts, op7_decontaminate, op8_simhash, op9_orc_ids, op10_main_text)}
+ORACLE = {"op7_decontaminate": decontam.ORACLE}
