@@ -34,7 +34,7 @@ def chunk_starts(d: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     p = np.zeros((5, n), np.uint8)      # the byte itself and the four before it
     for k in range(5):
-        p[k, k:] = d[:n - k] if k else d
+        p[k, k:] = d[:max(0, n - k)]
     one, two, three, four = p[1], p[2], p[3], p[4]
     high = one >= 0x80
     solid = ~high & ~_SPACE[one]
