@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from stancekit.llm import common as C
 from stancekit.llm.encoder import ChunkEncoder, arrow_text, chunk_starts, encoder
 
-CHUNKS = 32
+CHUNKS = 16
 TREE = "width int, tree_chars array<int>, tree_tokens array<int>"
 EDITS = "array<struct<start:bigint,removed:bigint,inserted:string>>"
 
@@ -70,7 +70,7 @@ class Document:
     """A text with its tree; ``encoded`` counts the characters encoded by edits."""
 
     def __init__(self, enc: ChunkEncoder, text: str, chars: np.ndarray, tokens: np.ndarray):
-        self.enc, self.text, self.chars, self.tokens, self.encoded = enc, text, chars, tokens, 0
+        self.text, self.chars, self.tokens, self.encoded, self.span = text, chars, tokens, 0, None
         # special tokens may span chunk borders: such texts are counted whole
         self.special = [s for s in enc.special if s]
 
@@ -78,39 +78,65 @@ class Document:
     def total(self) -> int:
         return int(self.tokens[1])
 
-    def rebuild(self) -> None:
-        parts = segments(self.text) or [""]
-        if any(s in self.text for s in self.special):
-            parts = [self.text]
-        self.chars = heap(np.array([len(p) for p in parts]))
-        self.tokens = heap(count_tokens(self.enc, parts))
-        self.encoded += len(self.text)
+    def layout(self) -> list[str]:
+        """The segments of a new tree."""
+        return [self.text] if any(s in self.text for s in self.special) else segments(self.text) or [""]
 
-    def edit(self, start: int, removed: int, inserted: str) -> None:
-        """Replace ``removed`` characters from ``start``; both are clamped to the text."""
+    def open(self, start: int, removed: int, inserted: str) -> list[str]:
+        """Replace ``removed`` characters from ``start`` (both clamped to the text); returns what
+        has to be encoded: the region, or all segments if the tree is to be built anew."""
         n = len(self.text)
         start = min(max(0, start), n)
         end = min(n, start + max(0, removed))
+        self.span = None
         if start == end and not inserted:
-            return
+            return []
         width = len(self.chars) // 2
         first, a = locate(self.chars, max(0, start - 1))
         last, b = locate(self.chars, end) if end < n else (width - 1, n - int(self.chars[-1]))
-        first, a = (first, a) if first <= last else (last, b)
+        if first > last:
+            first, a = last, b
         stop = b + int(self.chars[width + last])
         region = self.text[a:start] + inserted + self.text[end:stop]
         self.text = self.text[:a] + region + self.text[stop:]
-        if any(s in region for s in self.special) or any(s in self.text[max(0, a - 64):a + len(region) + 64] for s in self.special):
-            return self.rebuild()
+        near = self.text[max(0, a - 64):a + len(region) + 64]
+        # a segment that outgrows the others would make later edits in it dear
+        if any(s in near for s in self.special) or len(region) > 64 * max(64, n // width):
+            self.encoded += len(self.text)
+            self.span = (0, -1, 0)
+            return self.layout()
         self.encoded += len(region)
+        self.span = (first, last, len(region))
+        return [region]
+
+    def close(self, parts: list[str], counted: np.ndarray) -> None:
+        """Puts the counts of what ``open`` returned into the tree."""
+        if self.span is None:
+            return
+        first, last, size = self.span
+        if last < first:
+            self.chars, self.tokens = heap(np.array([len(p) for p in parts])), heap(counted)
+            return
         for leaf in range(first + 1, last + 1):
             update(self.chars, leaf, 0)
             update(self.tokens, leaf, 0)
-        update(self.chars, first, len(region))
-        update(self.tokens, first, int(count_tokens(self.enc, [region])[0]) if region else 0)
-        # a segment that has outgrown the others would make later edits in it dear
-        if len(region) > 64 * max(64, int(self.chars[1]) // width):
-            self.rebuild()
+        update(self.chars, first, size)
+        update(self.tokens, first, int(counted[0]))
+
+
+def edit_all(enc: ChunkEncoder, docs: list[Document], edits: list[list[dict]]) -> None:
+    """The k-th edits of all documents are encoded together, then the next."""
+    for k in range(max(map(len, edits), default=0)):
+        work = []
+        for doc, todo in zip(docs, edits):
+            e = todo[k] if k < len(todo) else None
+            if e is not None:
+                work.append((doc, doc.open(e["start"] or 0, e["removed"] or 0, e["inserted"] or "")))
+        n = count_tokens(enc, [p for _, parts in work for p in parts])
+        at = 0
+        for doc, parts in work:
+            doc.close(parts, n[at:at + len(parts)])
+            at += len(parts)
 
 
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
@@ -156,19 +182,17 @@ def apply_edits(trees: DataFrame, edits: str = "edits", id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
-            done = []
-            for text, chars, tokens, todo in zip(*(batch.column(c).to_pylist() for c in ("text", "tree_chars", "tree_tokens", "edits"))):
-                doc = Document(enc, text or "", np.array(chars, np.int64), np.array(tokens, np.int64))
-                for e in todo or []:
-                    if e is not None:
-                        doc.edit(e["start"] or 0, e["removed"] or 0, e["inserted"] or "")
-                done.append((doc, len(todo or [])))
-            docs = [d for d, _ in done]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([d.text for d in docs], pa.string()), batch.column("n_tokens"), pa.array([d.total for d in docs], pa.int64()),
-                 pa.array([k for _, k in done], pa.int32()), pa.array([d.encoded for d in docs], pa.int64()),
-                 pa.array([len(d.chars) // 2 for d in docs], pa.int32()), _lists([d.chars for d in docs]), _lists([d.tokens for d in docs])],
-                ["id", "text", "n_before", "n_tokens", "n_edits", "chars_encoded", "width", "tree_chars", "tree_tokens"])
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                docs = [Document(enc, t or "", np.array(c, np.int64), np.array(k, np.int64)) for t, c, k in zip(
+                    *(part.column(c).to_pylist() for c in ("text", "tree_chars", "tree_tokens")))]
+                todo = [e or [] for e in part.column("edits").to_pylist()]
+                edit_all(enc, docs, todo)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), pa.array([d.text for d in docs], pa.string()), part.column("n_tokens"), pa.array([d.total for d in docs], pa.int64()),
+                     pa.array([len(e) for e in todo], pa.int32()), pa.array([d.encoded for d in docs], pa.int64()),
+                     pa.array([len(d.chars) // 2 for d in docs], pa.int32()), _lists([d.chars for d in docs]), _lists([d.tokens for d in docs])],
+                    ["id", "text", "n_before", "n_tokens", "n_edits", "chars_encoded", "width", "tree_chars", "tree_tokens"])
 
     x = trees.select(F.col(id_col).alias("id"), "text", "n_tokens", "tree_chars", "tree_tokens", F.col(edits).cast(EDITS).alias("edits"))
     out = x.mapInArrow(run, f"id {kind}, text string, n_before bigint, n_tokens bigint, n_edits int, chars_encoded bigint, {TREE}")

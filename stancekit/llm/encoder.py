@@ -156,12 +156,11 @@ class ChunkEncoder:
         return pool[take], size, starts
 
     def _grow(self, keys: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
-        at = len(self.pool) + np.cumsum(size) - size
-        keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys, kind="stable")
-        self.keys = keys[order]
-        self.at = np.concatenate([self.at, at])[order]
-        self.size = np.concatenate([self.size, size])[order]
+        """Adds ascending keys that are not there yet."""
+        place = np.searchsorted(self.keys, keys)
+        self.at = np.insert(self.at, place, len(self.pool) + np.cumsum(size) - size)
+        self.size = np.insert(self.size, place, size)
+        self.keys = np.insert(self.keys, place, keys)
         self.pool = np.concatenate([self.pool, ids])
 
 

@@ -124,9 +124,13 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: int, folds: i
             .groupBy(F.col(id_col).alias("id")).agg(F.max(label).cast("int").alias("y")))
 
 
-def sample_texts(docs: DataFrame, marked: DataFrame, cap: int, seed: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Texts of at most ``cap`` marked ids, the first by a seeded hash (so a fixed, bounded sample)."""
-    few = marked.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(cap)
+def first_by_hash(marked: DataFrame, cap: int, seed: int) -> DataFrame:
+    """A fixed sample: the first ``cap`` rows (id, y) by a seeded hash of the id."""
+    return marked.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(cap)
+
+
+def sample_texts(docs: DataFrame, few: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, y, text) of a bounded sample of ids; of rows that share an id the smallest text."""
     one = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    # bounded by cap rows of two integers
-    return one.join(F.broadcast(few), "id").groupBy("id").agg(F.first("y").alias("y"), F.min("text").alias("text"))
+    # the caps of the sample bound what is broadcast: two numbers a row
+    return one.join(F.broadcast(few), "id").groupBy("id", "y").agg(F.min("text").alias("text"))

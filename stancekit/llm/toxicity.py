@@ -4,7 +4,7 @@ positive-unlabelled learning of a linear model over word indicators.
 Risk: pi R+(P) + max(0, R-(U) - pi R-(P)), sigmoid loss; when the bracket falls
 below zero a step goes up its gradient instead. The class prior pi is the
 share of toxic rows among the labelled ones of the learning folds. Document
-frequencies, which say what words are features, cover all documents; weights
+frequencies, which decide what words are features, cover all documents; weights
 are fitted on at most ``cap`` confirmed and ``cap_unlabelled`` other documents,
 whose labels are not read.
 """
@@ -39,11 +39,10 @@ def _padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, size: int, epochs: int = 30, batch: int = 500,
-          rate: float = 0.05, decay: float = 2e-4, beta: float = 0.0, seed: int = 5) -> tuple[np.ndarray, float]:
+          rate: float = 0.05, decay: float = 1e-5, beta: float = 0.0, seed: int = 5) -> tuple[np.ndarray, float]:
     """Adam over mini-batches of positives and unlabelled rows in fixed proportion."""
     rng = np.random.default_rng(seed)
     w = np.zeros(size + 1)
-    w[-1] = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
     m, v, t = np.zeros(size + 1), np.zeros(size + 1), 0
     steps = max(1, -(-(len(pos) + len(unl)) // batch))
 
@@ -75,12 +74,13 @@ def train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, size: int,
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int = 0, folds: int = 5, cap: int = CAP,
-        cap_unlabelled: int = CAP_UNLABELLED, least_share: float = 1e-3, bits: int = BITS, words: int = WORDS,
+        cap_unlabelled: int = CAP_UNLABELLED, least_seen: int = 5, least_z: float = 4.0, bits: int = BITS, words: int = WORDS,
         seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Learn from confirmed rows outside ``fold`` and unlabelled texts.
 
-    Features are buckets that at least ``least_share`` of all documents have. Without a
-    confirmed example every text scores below 0.5.
+    Features are buckets that at least ``least_seen`` confirmed examples have, and
+    ``least_z`` standard deviations more of them than the document frequency over the whole
+    corpus lets expect. Without a confirmed example every text scores below 0.5.
     """
     y = X.labelled(docs, labels, label, fold, folds, id_col)
     stats = y.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("y") > 0, 1).otherwise(0)).alias("p")).first()
@@ -89,18 +89,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int = 0,
         return Model(np.zeros(size, np.float32), -5.0)
     prior = stats["p"] / stats["n"]
     ids = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    counts = X.bucket_counts(ids.select("text", F.lit(1).alias("n")), ["n"], bits, words, 0)
+    count = np.zeros(size)
+    got = X.bucket_counts(ids.select("text", F.lit(1).alias("n")), ["n"], bits, words, 0).toArrow()   # at most 2**bits rows
+    count[np.asarray(got.column("bucket"))] = np.asarray(got.column("n"))
     total = docs.count()
-    common = counts.where(F.col("n") >= max(2, least_share * total)).select("bucket").toArrow()   # at most 2**bits rows
-    used = np.zeros(size, bool)
-    used[np.asarray(common.column("bucket"))] = True
-    few = X.sample_texts(docs, y.where("y > 0"), cap, seed, id_col, text_col)
     other = (ids.select("id").where(F.col("id").isNotNull() & (F.crc32(F.col("id").cast("string").cast("binary")) % folds != fold))
-             .distinct().withColumn("y", F.lit(0)))
-    many = X.sample_texts(docs, other, cap_unlabelled, seed + 1, id_col, text_col)
-    got = X.sparse_rows(few.unionByName(many), ["y"], bits, words, 0).toArrow()
+             .withColumn("y", F.lit(0)))
+    picked = X.first_by_hash(y.where("y > 0"), cap, seed).unionByName(X.first_by_hash(other, cap_unlabelled, seed + 1)).distinct()
+    got = X.sparse_rows(X.sample_texts(docs, picked, id_col, text_col), ["y"], bits, words, 0).toArrow()
     rows = sorted(zip(got.column("y").to_pylist(), got.column("buckets").to_pylist()))   # order of tasks must not matter
     have = [(y, np.frombuffer(b, "<u4").astype(np.int64)) for y, b in rows]
+    # a word is a feature if confirmed examples have it oftener than chance, by the corpus-wide share, explains
+    own = np.bincount(np.concatenate([k for y, k in have if y > 0] or [np.zeros(0, np.int64)]), minlength=size)
+    chance = sum(y > 0 for y, _ in have) * count / max(total, 1)
+    used = (own >= least_seen) & ((own - chance) >= least_z * np.sqrt(np.maximum(chance, 1e-9)))
     pos = [k[used[k]] for y, k in have if y > 0]
     unl = [k[used[k]] for y, k in have if y == 0]
     if not pos or not unl:
