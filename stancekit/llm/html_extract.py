@@ -230,7 +230,7 @@ def cost(b: Block) -> float:
     s += min(2.0, math.log(words) / 1.5) - 1.0
     s -= 4.0 * min(1.0, b.linked / max(1, len(b.text)))
     s += 0.5 if b.text[-1] in ".!?:;\"')…。»”" else 0.0
-    s += 0.5 if b.heading else 0.0
+    s += 1.0 if b.heading else 0.0
     s -= 0.5 if b.item else 0.0
     return s
 
@@ -251,7 +251,8 @@ def edges(found: list[Block], strength: float = 1.0) -> list[tuple[int, int, flo
     out, last = [], {}
     for i, b in enumerate(found):
         if i:
-            out.append((i - 1, i, strength * shared_path(found[i - 1].at, b.at)[1] ** 2))
+            before = found[i - 1].at
+            out.append((i - 1, i, strength * shared_path(before.up or before, b.at.up or b.at)[1] ** 2))
         parent = b.at.up or b.at
         j = last.get(id(parent))
         if j is not None and j != i - 1:
