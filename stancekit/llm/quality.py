@@ -1,8 +1,8 @@
 """Quality classifier: n-gram indicators scaled by class log-count ratios, linear hinge
 loss by dual coordinate descent, logistic calibration.
 
-Counts for the ratios cover every labelled document of the learning folds; the
-weights are fitted on at most ``cap`` of them (a fixed sample by hash of the id).
+Ratios and weights are fitted on at most ``cap`` labelled documents of the learning
+folds, a fixed sample by hash of the id; every document is scored.
 """
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from stancekit.llm import features as X
 
 BITS, WORDS, SHAPES = 18, 2, 3
-CAP = 6000
+CAP = 8000
 
 
 @dataclass
@@ -86,22 +86,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int =
     0.5, or that class's side.
     """
     y = X.labelled(docs, labels, label, fold, folds, id_col)
-    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    known = text.join(y, "id").select("text", (F.col("y") > 0).cast("int").alias("pos"), (F.col("y") <= 0).cast("int").alias("neg"))
     size = 1 << bits
-    p, q = np.zeros(size), np.zeros(size)
-    got = X.bucket_counts(known, ["pos", "neg"], bits, words, shapes).toArrow()   # at most 2**bits rows
-    at = np.asarray(got.column("bucket"))
-    p[at], q[at] = np.asarray(got.column("pos")), np.asarray(got.column("neg"))
+    few = X.sparse_rows(X.sample_texts(docs, X.first_by_hash(y, cap, seed), id_col, text_col), ["y"], bits, words, shapes).toArrow()
+    have = [(1.0 if y > 0 else -1.0, np.frombuffer(b, "<u4")) for b, y in
+            sorted(zip(few.column("buckets").to_pylist(), few.column("y").to_pylist()))]      # order of tasks must not matter
+    p, q = (np.bincount(np.concatenate([k for t, k in have if t == c] or [np.zeros(0, np.uint32)]), minlength=size) for c in (1.0, -1.0))
     r = np.log((p + smooth) / (p.sum() + smooth * size)) - np.log((q + smooth) / (q.sum() + smooth * size))
-    few = X.sparse_rows(X.sample_texts(docs, y, cap, seed, id_col, text_col), ["y"], bits, words, shapes).toArrow()
     rows, sign = [], []
-    for b, yy in sorted(zip(few.column("buckets").to_pylist(), few.column("y").to_pylist())):   # order of tasks must not matter
-        k = np.frombuffer(b, "<u4")
+    for t, k in have:
         v = r[k]
         norm = np.sqrt(v @ v)
         rows.append((k, v / norm if norm else v))
-        sign.append(1.0 if yy > 0 else -1.0)
+        sign.append(t)
     sign = np.array(sign)
     if not len(sign) or abs(sign.sum()) == len(sign):
         return Model(np.zeros(size, np.float32), np.zeros(size, np.float32), 0.0, 1.0, float(sign.sum() and np.sign(sign.sum()) * 2))
