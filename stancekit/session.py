@@ -1,7 +1,8 @@
 """Session and scratch-location helpers."""
 from __future__ import annotations
 
-import os
+import contextlib
+import re
 import tempfile
 import uuid
 
@@ -29,35 +30,77 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) do we create our own.
+    Only a local master without one (tests) gets a folder of its own, once a
+    session; any other master has to name a folder that all executors share.
     """
     sc = spark.sparkContext
     root = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
     if not root:
         root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="stancekit-ckpt-")
+        root = own_root(spark.conf.get("spark.master", ""))
         sc.setCheckpointDir(root)
         root = sc.getCheckpointDir() or root
     return root
 
 
+def own_root(master: str) -> str:
+    """A machine-local folder, for a local master only."""
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"master {master!r} needs spark.checkpoint.dir: a folder that all executors share")
+    return tempfile.mkdtemp(prefix="stancekit-ckpt-")
+
+
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder below the checkpoint root for a written table."""
     root = checkpoint_root(spark).rstrip("/")
-    return f"{root}/stancekit/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{root}/stancekit/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession, since: int = 0) -> int:
+    """Delete the scratch tables this process has made (from the ``since``-th on)."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    paths, _SCRATCH[since:] = _SCRATCH[since:], []
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(hadoop).delete(path, True)
+    return len(paths)
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession):
+    """Owns the scratch tables and persisted frames made inside: use the results
+    inside, both are gone afterwards."""
+    since, before = len(_SCRATCH), set(_persisted(spark))
+    try:
+        yield
+    finally:
+        for k, rdd in _persisted(spark).items():
+            if k not in before:
+                rdd.unpersist(False)
+        drop_scratch(spark, since)
+
+
+def _persisted(spark: SparkSession) -> dict:
+    return dict(spark.sparkContext._jsc.getPersistentRDDs())
 
 
 def data_path(sf_dir: str, table: str) -> str:
-    return os.path.join(sf_dir, f"{table}.parquet")
+    return f"{sf_dir.rstrip('/')}/{table}.parquet"
 
 
 def materialize(df, name: str):
     """Write ``df`` once as Parquet below the checkpoint root and read it back.
 
     Cuts the lineage like ``checkpoint()`` but computes the plan only once
-    and leaves a durable table a restarted job can read.
+    and leaves a durable table a restarted job can read (``scratch_scope`` or
+    ``drop_scratch`` removes it).
     """
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,4 +1,4 @@
-"""Running scores over answer files as they land.
+"""Running scores over answer files as they land (outside the survey, not counted there).
 
 Model answers arrive as JSON-line files (one folder per run). A streaming
 read parses each answer and keeps, per run, the label sums of the report
@@ -18,7 +18,7 @@ from stancekit.functions.answers import parse_answer
 from stancekit.operators import metrics as M
 from stancekit.session import scratch_path
 
-STREAM_SCHEMA = ("run_tag string, speech_id long, sent_idx int, sentence string, class_code int, "
+STREAM_SCHEMA = ("run_tag string, speech_id string, sent_idx int, sentence string, class_code int, "
                  "model_response string")
 
 
