@@ -60,26 +60,6 @@ def ngrams(tokens, lo: int = 1, hi: int = 3) -> Column:
     return F.concat(*[grams[n] for n in range(lo, hi + 1)])
 
 
-def term_frequencies(sorted_terms: str) -> Column:
-    """Sorted term array column -> array<struct<term, tf>>, counted in the row.
-
-    Expects the name of an already sorted array column (see
-    ``operators.features.term_counts``): lambdas read it by reference.
-    """
-    s = F.col(sorted_terms)
-    starts = F.filter(
-        F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0))),
-        lambda i: (F.size(s) > 0) & ((i == 0) | (F.get(s, i) != F.get(s, i - 1))),
-    )
-    return F.transform(
-        starts,
-        lambda st, j: F.struct(
-            F.get(s, st).alias("term"),
-            (F.coalesce(F.get(starts, j + 1), F.size(s)) - st).alias("tf"),
-        ),
-    )
-
-
 def collapse_newlines(s) -> Column:
     return F.regexp_replace(_c(s), NEWLINE_RUN, "\n\n")
 

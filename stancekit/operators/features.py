@@ -6,7 +6,7 @@ document frequency, corpus term counts and the document total all count
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stancekit.functions.text import tokenize
@@ -37,19 +37,31 @@ def with_grams(df: DataFrame, text_col: str = "sentence", out: str = "grams", lo
     return x.withColumn(out, F.concat(*cols)).drop(*{"_tok", *cols})
 
 
-def term_counts(df: DataFrame, keys=KEY, text_col: str = "sentence", lo: int = 1, hi: int = 3,
-                extra: list[str] | None = None) -> DataFrame:
-    """(keys..., term, tf): n-gram frequency per row.
+def counted(grams: str) -> Column:
+    """Array column of grams -> array<struct<term, tf>> by term, counted in the row.
 
-    The compact sentence rows are hash-partitioned by row key once, before
-    tokenizing; the per-row count (and later the per-row norm window) then
-    needs no exchange, so the exploded n-gram rows never cross the network.
-    Row keys are unique, so this partitioning cannot skew.
+    The sorted array is bound once by an outer ``transform``, so the work is that of the sort.
     """
+    def runs(s):
+        starts = F.filter(F.transform(s, lambda t, i: F.when((i == 0) | (t != F.get(s, i - 1)), i)), lambda i: i.isNotNull())
+        return F.struct(s.alias("s"), starts.alias("at"))
+
+    def entries(x):
+        return F.transform(x["at"], lambda st, j: F.struct(
+            F.get(x["s"], st).alias("term"),
+            (F.coalesce(F.get(x["at"], j + 1), F.size(x["s"])) - st).cast("long").alias("tf")))
+
+    sorted_once = F.transform(F.array(F.array_sort(grams)), runs)
+    return F.flatten(F.transform(sorted_once, entries))
+
+
+def term_counts(df: DataFrame, keys=KEY, text_col: str = "sentence", lo: int = 1, hi: int = 3,
+                extra: list[str] | None = None) -> DataFrame:
+    """(keys..., term, tf): n-gram frequency per row, counted inside the row (no shuffle)."""
     extra = extra or []
-    rows = df.repartition(*keys).select(*keys, *extra, text_col)
-    grams = with_grams(rows, text_col, "_grams", lo, hi).select(*keys, *extra, F.explode("_grams").alias("term"))
-    return grams.groupBy(*keys, *extra, "term").agg(F.count(F.lit(1)).alias("tf"))
+    grams = with_grams(df.select(*keys, *extra, text_col), text_col, "_grams", lo, hi)
+    rows = grams.select(*keys, *extra, F.explode(counted("_grams")).alias("_e"))
+    return rows.select(*keys, *extra, "_e.term", "_e.tf")
 
 
 def document_total(df: DataFrame, weight_col: str | None = None) -> Column:
@@ -80,38 +92,44 @@ def idf(df_col: Column, n_docs: Column) -> Column:
     return F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + df_col)) + F.lit(1.0)
 
 
-def tfidf(terms: DataFrame, vocab: DataFrame, keys=KEY) -> DataFrame:
-    """(keys..., term, tf, weight): tf * idf, L2-normalised per row.
+def tfidf_rows(df: DataFrame, vocab: DataFrame, keys=KEY, text_col: str = "sentence", lo: int = 1, hi: int = 3) -> DataFrame:
+    """(keys..., idx, terms, tf, weight): one row per input row, its known terms as aligned
+    arrays (positions in the vocabulary by term, terms, counts, L2-normalised tf * idf).
 
-    The vocabulary is bounded by ``max_features`` and is broadcast; the row
-    norm is a window on the row key (one bounded partition per row).
+    Map-only: the vocabulary (at most ``max_features`` terms) travels in the
+    vectoriser, no exploded row crosses the network.
     """
-    v = F.broadcast(vocab.select("term", "idf"))
-    raw = terms.join(v, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys)))
-    return raw.select(*keys, "term", "tf", (F.col("w") / norm).alias("weight"))
-
-
-def fit_tfidf(train: DataFrame, keys=KEY, text_col: str = "sentence", weight_col: str | None = None,
-              min_df: int = 20, max_df: float = 0.5, max_features: int = 10000, lo: int = 1, hi: int = 3,
-              materialize: bool = True):
-    """Vocabulary and train term rows.
-
-    With ``materialize`` the term rows are persisted (memory and disk, so a
-    lost executor only recomputes its part) and the vocabulary (<=
-    max_features rows) is written once as a table in the checkpoint folder, so the many
-    small jobs that read them (vectors, scoring, retrieval blocks) do not
-    recompute the corpus pass. Call ``terms.unpersist()`` when done.
+    from stancekit.operators.linear import collect_vocabulary, tfidf_vectors
+
+    terms, idf_values = collect_vocabulary(vocab)
+    grams = with_grams(df.select(*keys, text_col), text_col, "_grams", lo, hi)
+    if not terms:
+        none = [F.array().cast(t).alias(n) for n, t in (("idx", "array<int>"), ("terms", "array<string>"), ("tf", "array<bigint>"), ("weight", "array<double>"))]
+        return grams.select(*keys, *none)
+    x = tfidf_vectors(grams, terms, idf_values, "_grams", "_w", keep_counts="_n")
+    x = x.select(*keys, F.unwrap_udt("_n").alias("_n"), F.unwrap_udt("_w").alias("_w"))
+    names = F.array(*[F.lit(t) for t in terms])
+    return x.select(*keys, F.col("_n.indices").alias("idx"),
+                    F.transform(F.col("_n.indices"), lambda i: F.get(names, i)).alias("terms"),
+                    F.transform(F.col("_n.values"), lambda v: v.cast("long")).alias("tf"), F.col("_w.values").alias("weight"))
+
+
+def tfidf(df: DataFrame, vocab: DataFrame, keys=KEY, text_col: str = "sentence", lo: int = 1, hi: int = 3) -> DataFrame:
+    """(keys..., term, tf, weight): tf * idf, L2-normalised per row; map-only."""
+    x = tfidf_rows(df, vocab, keys, text_col, lo, hi)
+    e = x.select(*keys, F.explode(F.arrays_zip("terms", "tf", "weight")).alias("_e"))
+    return e.select(*keys, F.col("_e.terms").alias("term"), "_e.tf", "_e.weight")
+
+
+def fit_vocabulary(train: DataFrame, keys=KEY, text_col: str = "sentence", weight_col: str | None = None,
+                   min_df: int = 20, max_df: float = 0.5, max_features: int = 10000, lo: int = 1, hi: int = 3) -> DataFrame:
+    """The vocabulary with idf, written once (at most ``max_features`` rows): the many
+    plans that read it (vectors, scoring, retrieval) do not repeat the corpus pass.
+
+    One pass: rows are counted in place and go straight into the term aggregate.
     """
     from stancekit.session import materialize
 
-    extra = [weight_col] if weight_col else []
-    terms = term_counts(train, keys, text_col, lo, hi, extra)
+    terms = term_counts(train, keys, text_col, lo, hi, [weight_col] if weight_col else [])
     n_docs = document_total(train, weight_col)
-    vocab = vocabulary(terms, n_docs, min_df, max_df, max_features, weight_col)
-    if materialize:
-        # n-gram rows are read by both the vocabulary and the vectors: one pass
-        from pyspark import StorageLevel
-        terms = terms.persist(StorageLevel.MEMORY_AND_DISK)
-        vocab = materialize(vocab, "vocabulary")
-    return vocab, terms
+    return materialize(vocabulary(terms, n_docs, min_df, max_df, max_features, weight_col), "vocabulary")

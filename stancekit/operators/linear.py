@@ -15,22 +15,30 @@ from stancekit.functions.labels import N_LABELS
 KEY = ["speech_id", "sent_idx"]
 
 
-def collect_vocabulary(vocab: DataFrame) -> tuple[list[str], list[float]]:
-    """Vocabulary to the driver, sorted by term (bounded by max_features)."""
-    rows = vocab.select("term", "idf").orderBy("term").collect()
+MAX_TERMS = 1_000_000   # largest vocabulary a driver and a task hold
+
+
+def collect_vocabulary(vocab: DataFrame, most: int = MAX_TERMS) -> tuple[list[str], list[float]]:
+    """Vocabulary to the driver, sorted by term; raises beyond ``most`` terms."""
+    rows = vocab.select("term", "idf").orderBy("term").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the vocabulary has more than {most} terms")
     return [r[0] for r in rows], [float(r[1]) for r in rows]
 
 
 def tfidf_vectors(df: DataFrame, terms: list[str], idf: list[float], input_col: str = "grams",
-                  out: str = "features") -> DataFrame:
-    """Sparse tf-idf vectors, L2-normalised; map-only (no shuffle, no UDF)."""
+                  out: str = "features", keep_counts: str | None = None) -> DataFrame:
+    """Sparse tf-idf vectors, L2-normalised; map-only (no shuffle, no UDF).
+
+    ``keep_counts`` names a column for the plain term counts."""
     from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
     from pyspark.ml.linalg import Vectors
 
     cv = CountVectorizerModel.from_vocabulary(terms, inputCol=input_col, outputCol="_tf")
     ep = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_tf", outputCol="_tfidf")
     nz = Normalizer(p=2.0, inputCol="_tfidf", outputCol=out)
-    return nz.transform(ep.transform(cv.transform(df))).drop("_tf", "_tfidf")
+    x = nz.transform(ep.transform(cv.transform(df))).drop("_tfidf")
+    return x.withColumnRenamed("_tf", keep_counts) if keep_counts else x.drop("_tf")
 
 
 def train_linear_svm(vecs: DataFrame, terms: list[str], gold: str = "gold_vec", features: str = "features",
@@ -51,17 +59,31 @@ def train_linear_svm(vecs: DataFrame, terms: list[str], gold: str = "gold_vec",
         return LinearSVC(featuresCol=features, labelCol="_y", weightCol="_w", regParam=1.0 / (C * n),
                          maxIter=max_iter, standardization=False, fitIntercept=True).fit(d)
 
-    # the per-label fits are independent jobs over the same persisted vectors:
-    # submit them together so their small per-iteration jobs overlap
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=k) as pool:
-        models = list(pool.map(fit, range(k)))
+    # the fits are independent jobs over the same persisted vectors: submitted together, in threads
+    # that carry the session's job properties, so their small per-iteration jobs overlap
+    from pyspark import InheritableThread
+    models: list = [None] * k
+    failed: list[BaseException] = []
+
+    def run(j):
+        try:
+            models[j] = fit(j)
+        except BaseException as e:  # noqa: BLE001  (raised again below)
+            failed.append(e)
+
+    threads = [InheritableThread(target=run, args=(j,)) for j in range(k)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    data.unpersist()
+    if failed:
+        raise failed[0]
     coef_rows, bias_rows = [], []
     for j, model in enumerate(models):
         cs = model.coefficients.toArray().tolist()
         coef_rows += [(t, j, float(c)) for t, c in zip(terms, cs)]
         bias_rows.append((j, float(model.intercept)))
-    data.unpersist()
     coef = spark.createDataFrame(coef_rows, "term string, label int, weight double")
     bias = spark.createDataFrame(bias_rows, "label int, bias double")
     return coef, bias

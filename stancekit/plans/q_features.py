@@ -10,6 +10,7 @@ from stancekit.operators import linear as LN
 from stancekit.operators import sampling as S
 from stancekit.plans.catalog import register
 from stancekit.plans.sqlfrag import KEY_SQL, U, cte, lit, with_ctes
+from stancekit.session import materialize
 from stancekit.sources import fixtures as fx
 from stancekit.functions.text import TOKEN_PATTERN
 
@@ -24,15 +25,17 @@ def _test(spark, sf):
     return fx.sentences(spark, sf).where(F.col("split") == "test").drop("split")
 
 
-def train_features(spark, sf):
-    """(vocab, train term rows, train tf-idf rows) for the upsampled train split."""
-    train = _train_w(spark, sf)
-    vocab, terms = FE.fit_tfidf(train, weight_col="copies")
-    return vocab, terms, FE.tfidf(terms, vocab)
+def train_vocabulary(spark, sf):
+    """Vocabulary of the upsampled train split."""
+    return FE.fit_vocabulary(_train_w(spark, sf), weight_col="copies")
+
+
+def train_tfidf(spark, sf, vocab):
+    return FE.tfidf(_train_w(spark, sf), vocab)
 
 
 def test_tfidf(spark, sf, vocab):
-    return FE.tfidf(FE.term_counts(_test(spark, sf)), vocab)
+    return FE.tfidf(_test(spark, sf), vocab)
 
 
 # ---------------------------------------------------------------- SQL side
@@ -66,6 +69,11 @@ SELECT speech_id, sent_idx, term, COUNT(*)::BIGINT AS tf
 FROM (SELECT speech_id, sent_idx, unnest({sql_ngrams('t')}) AS term
       FROM (SELECT speech_id, sent_idx, {sql_tokens('sentence')} AS t FROM test_rows))
 GROUP BY speech_id, sent_idx, term""")
+cte("all_terms", ["sentences"], f"""
+SELECT speech_id, sent_idx, term, COUNT(*)::BIGINT AS tf
+FROM (SELECT speech_id, sent_idx, unnest({sql_ngrams('t')}) AS term
+      FROM (SELECT speech_id, sent_idx, {sql_tokens('sentence')} AS t FROM sentences))
+GROUP BY speech_id, sent_idx, term""")
 cte("test_tfidf", ["test_terms", "vocab"], """
 SELECT speech_id, sent_idx, term, tf, w / sqrt(SUM(w * w) OVER (PARTITION BY speech_id, sent_idx)) AS weight
 FROM (SELECT t.speech_id, t.sent_idx, t.term, t.tf, t.tf * v.idf AS w FROM test_terms t JOIN vocab v ON t.term = v.term)""")
@@ -82,50 +90,49 @@ FROM (
 
 
 # ---------------------------------------------------------------- queries
-@register("tokenize", with_ctes(["test_rows"], f"""
-SELECT speech_id, sent_idx, array_to_string({sql_tokens('sentence')}, ' ') AS tokens FROM test_rows"""))
+@register("tokenize", with_ctes(["sentences"], f"""
+SELECT speech_id, sent_idx, array_to_string({sql_tokens('sentence')}, ' ') AS tokens FROM sentences"""))
 def q_tokenize(spark, sf):
-    return _test(spark, sf).select(*KEY, F.array_join(tokenize(F.col("sentence")), " ").alias("tokens"))
+    return fx.sentences(spark, sf).select(*KEY, F.array_join(tokenize(F.col("sentence")), " ").alias("tokens"))
 
 
-@register("ngrams", with_ctes(["test_rows"], f"""
+@register("ngrams", with_ctes(["sentences"], f"""
 SELECT speech_id, sent_idx, len(g)::BIGINT AS n_grams, array_to_string(g, '|') AS grams
-FROM (SELECT speech_id, sent_idx, {sql_ngrams('t')} AS g FROM (SELECT speech_id, sent_idx, {sql_tokens('sentence')} AS t FROM test_rows))"""))
+FROM (SELECT speech_id, sent_idx, {sql_ngrams('t')} AS g FROM (SELECT speech_id, sent_idx, {sql_tokens('sentence')} AS t FROM sentences))"""))
 def q_ngrams(spark, sf):
     g = ngrams(tokenize(F.col("sentence")), 1, 3)
-    return _test(spark, sf).select(*KEY, F.size(g).alias("n_grams"), F.array_join(g, "|").alias("grams"))
+    return fx.sentences(spark, sf).select(*KEY, F.size(g).alias("n_grams"), F.array_join(g, "|").alias("grams"))
 
 
-@register("term_counts", with_ctes(["test_terms"], "SELECT speech_id, sent_idx, term, tf FROM test_terms"))
+@register("term_counts", with_ctes(["all_terms"], "SELECT speech_id, sent_idx, term, tf FROM all_terms"))
 def q_term_counts(spark, sf):
-    """1-3-gram frequency per test row, counted inside each row."""
-    return FE.term_counts(_test(spark, sf))
+    """1-3-gram frequency per row, counted inside each row."""
+    return FE.term_counts(fx.sentences(spark, sf))
 
 
 @register("vocabulary", with_ctes(["vocab"], "SELECT term, df, ctf FROM vocab"))
 def q_vocabulary(spark, sf):
     """20 <= df <= 0.5 n over the upsampled train split, top 10,000 by count."""
-    vocab, _, _ = train_features(spark, sf)
+    vocab = train_vocabulary(spark, sf)
     return vocab.select("term", "df", "ctf")
 
 
 @register("idf", with_ctes(["vocab"], "SELECT term, round(idf, 6) AS idf FROM vocab"))
 def q_idf(spark, sf):
-    vocab, _, _ = train_features(spark, sf)
+    vocab = train_vocabulary(spark, sf)
     return vocab.select("term", "idf")
 
 
 @register("tfidf", with_ctes(["train_tfidf"], "SELECT speech_id, sent_idx, term, tf, round(weight, 6) AS weight FROM train_tfidf"))
 def q_tfidf(spark, sf):
     """Train rows (copies share one row) as L2-normalised tf-idf."""
-    _, _, tf = train_features(spark, sf)
-    return tf
+    return train_tfidf(spark, sf, train_vocabulary(spark, sf))
 
 
 @register("tfidf_transform", with_ctes(["test_tfidf"], "SELECT speech_id, sent_idx, term, tf, round(weight, 6) AS weight FROM test_tfidf"))
 def q_tfidf_transform(spark, sf):
     """Test rows with the train vocabulary and idf."""
-    vocab, _, _ = train_features(spark, sf)
+    vocab = train_vocabulary(spark, sf)
     return test_tfidf(spark, sf, vocab)
 
 
@@ -138,7 +145,7 @@ FROM test_rows r LEFT JOIN (
 ON r.speech_id = n.speech_id AND r.sent_idx = n.sent_idx"""))
 def q_tfidf_vectors(spark, sf):
     """Vector form (spark.ml) of the test tf-idf: non-zeros, norm and sum per row."""
-    vocab, _, _ = train_features(spark, sf)
+    vocab = train_vocabulary(spark, sf)
     terms, idf = LN.collect_vocabulary(vocab)
     t = FE.with_grams(_test(spark, sf))
     v = LN.tfidf_vectors(t, terms, idf)
@@ -152,22 +159,42 @@ def q_tfidf_vectors(spark, sf):
 
 def fit_baseline(spark, sf, max_iter: int = 50):
     """Train three linear SVMs on the upsampled train split; score test."""
-    vocab, _, _ = train_features(spark, sf)
+    vocab = train_vocabulary(spark, sf)
     terms, idf = LN.collect_vocabulary(vocab)
     train = FE.with_grams(_train_w(spark, sf)).withColumn("gold_vec", L.multi_hot(L.label_ids(F.col("class_code"))))
-    vecs = LN.tfidf_vectors(train, terms, idf)
+    # the fit reads the vectors once an iteration: written once, in their sparse form
+    vecs = materialize(LN.tfidf_vectors(train, terms, idf).select("features", "gold_vec", "copies"), "svm-vectors")
     coef, bias = LN.train_linear_svm(vecs, terms, weight_col="copies", max_iter=max_iter)
     return vocab, coef, bias
 
 
-@register("train_linear_svm")
+SVM_AGREEMENT = 0.7   # stated floor: share of training copies whose label the fit reproduces
+
+
+@register("train_linear_svm", with_ctes(["train_w"], """
+SELECT label::BIGINT AS label, COUNT(*)::BIGINT AS n_rows, SUM(copies)::BIGINT AS n_copies,
+       SUM(CASE WHEN (label = 0 AND class_code = 0) OR (label = 1 AND class_code IN (1, 3)) OR (label = 2 AND class_code IN (2, 3)) THEN copies ELSE 0 END)::BIGINT AS n_positive,
+       1::BIGINT AS below_zero_model, 1::BIGINT AS agreement_ok
+FROM (SELECT *, unnest([0, 1, 2]) AS label FROM train_w) GROUP BY label"""))
 def q_train_linear_svm(spark, sf):
-    """Fit on train, predict test: (key, predicted vector, margins)."""
+    """Facts of each label's fit over the training rows: sizes, whether its objective lies below that of
+    the zero model, and whether it reproduces the labels up to the stated floor."""
     vocab, coef, bias = fit_baseline(spark, sf)
-    t = _test(spark, sf)
-    m = LN.score_linear(test_tfidf(spark, sf, vocab), t.select(*KEY), coef, bias)
-    p = LN.predictions(m)
-    return p.select(*KEY, F.array_join(F.transform("pred_vec", lambda x: x.cast("string")), ",").alias("pred_vec"))
+    train = _train_w(spark, sf)
+    m = LN.score_linear(train_tfidf(spark, sf, vocab), train.select(*KEY), coef, bias)
+    gold = train.select(*KEY, F.col("copies").cast("long").alias("copies"), F.posexplode(L.multi_hot(L.label_ids(F.col("class_code")))).alias("label", "y"))
+    j = m.join(gold, [*KEY, "label"])
+    sign = F.when(F.col("y") == 1, 1.0).otherwise(-1.0)
+    norm = coef.groupBy("label").agg(F.sum(F.col("weight") * F.col("weight")).alias("w2"))
+    g = j.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("copies").alias("n_copies"), F.sum(F.col("y") * F.col("copies")).alias("n_positive"),
+        F.sum(F.greatest(1 - sign * F.col("margin"), F.lit(0.0)) * F.col("copies")).alias("hinge"),
+        F.sum((F.col("pred") == F.col("y")).cast("int") * F.col("copies")).alias("agree"))
+    g = g.join(F.broadcast(norm), "label")          # one row per label
+    # objective 1/2 |w|^2 + C sum of losses with C = 1; the zero model loses 1 a copy
+    return g.select("label", "n_rows", "n_copies", "n_positive",
+                    (F.col("w2") / 2 + F.col("hinge") < F.col("n_copies")).cast("int").alias("below_zero_model"),
+                    (F.col("agree") / F.col("n_copies") >= SVM_AGREEMENT).cast("int").alias("agreement_ok"))
 
 
 @register("linear_baseline_report")
@@ -186,7 +213,7 @@ SELECT speech_id, sent_idx, label::BIGINT AS label, round(margin, 6) AS margin,
 FROM test_margins"""))
 def q_score_linear(spark, sf):
     """Fixed weights (hash) over the train vocabulary: margin per test row and label."""
-    vocab, _, _ = train_features(spark, sf)
+    vocab = train_vocabulary(spark, sf)
     coef, bias = fx.coef(spark, sf)
     t = _test(spark, sf)
     return LN.score_linear(test_tfidf(spark, sf, vocab), t.select(*KEY), coef, bias)
