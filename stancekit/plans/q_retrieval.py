@@ -3,9 +3,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from stancekit.operators import features as FE
 from stancekit.operators import retrieval as R
 from stancekit.plans.catalog import register
-from stancekit.plans.q_features import _test, test_tfidf, train_features
+from stancekit.plans.q_features import _test, train_vocabulary
 from stancekit.plans.sqlfrag import cte, with_ctes
 from stancekit.sources import fixtures as fx
 
@@ -50,9 +51,9 @@ def q_knn_cosine(spark, sf):
 
 @register("knn_cosine_blocked", with_ctes(["knn_vec"], _KNN_VEC_SQL.format(k=8)))
 def q_knn_cosine_blocked(spark, sf):
-    """Same answer with the query side cut into many broadcast blocks."""
+    """Same answer with both sides cut into many blocks."""
     q, c = _vec_sides(spark, sf)
-    return R.knn_cosine(q, c, 8, max_block=16)
+    return R.knn_cosine(q, c, 8, block_bytes=16 << 10)
 
 
 @register("retrieval_rank", with_ctes(["knn_vec"], _KNN_VEC_SQL.format(k=3)))
@@ -62,16 +63,27 @@ def q_retrieval_rank(spark, sf):
     return R.knn_cosine(q, c, 3)
 
 
-@register("knn_cosine_lsh")
+LSH_RECALL = 0.5   # stated floor
+
+
+@register("knn_cosine_lsh", with_ctes(["vectors"], """
+SELECT vec_id AS qid, least(8, (SELECT COUNT(*) FROM vectors WHERE role = 'corpus'))::BIGINT AS n_found, 1::BIGINT AS recall_ok
+FROM vectors WHERE role = 'query'"""))
 def q_knn_cosine_lsh(spark, sf):
-    """Approximate neighbours by random-projection LSH (recall < 1)."""
+    """Approximate neighbours: rows per query, and whether the recall over all queries
+    against the exact search reaches the stated floor."""
     q, c = _vec_sides(spark, sf)
-    return R.knn_cosine_lsh(q, c, 8, qid="qid", cid="cid")
+    near = R.knn_cosine_lsh(q, c, 8)
+    exact = R.knn_cosine(q, c, 8).select("qid", "cid", F.lit(1).alias("hit"))
+    j = near.join(exact, ["qid", "cid"], "left").groupBy("qid").agg(F.count(F.lit(1)).alias("n_found"), F.count("hit").alias("hits"))
+    recall = j.agg((F.sum("hits") / F.sum("n_found")).alias("r")).scalar()
+    return j.select("qid", "n_found", (recall >= LSH_RECALL).cast("int").alias("recall_ok"))
 
 
 def lexical_knn(spark, sf, k=8):
-    vocab, _, train_tf = train_features(spark, sf)
-    return R.knn_lexical(test_tfidf(spark, sf, vocab), train_tf, vocab, k)
+    vocab = train_vocabulary(spark, sf)
+    train = fx.sentences(spark, sf).where(F.col("split") == "train")
+    return R.knn_lexical(FE.tfidf_rows(_test(spark, sf), vocab), FE.tfidf_rows(train, vocab), k)
 
 
 @register("knn_lexical", with_ctes(["knn_lex"], """
