@@ -2,13 +2,18 @@
 
 For a linear model relevance is exactly weight x input, so it is a join.
 For neural models the input is a token table with gradients computed
-elsewhere. Merging sub-word pieces into words is a run-id window inside
-each sentence (partitions are bounded by the sentence length); the two
-left-to-right rules that are not associative (hyphens, symbols) fold over
-one row's array while the corpus stays parallel.
+elsewhere. Merging works inside a row's arrays, in time linear in the tokens and
+without an exchange: token starts are found first, then the arrays are cut
+once. The two left-to-right rules that are not associative (hyphens,
+symbols) are regular: one letter per token is written into a string, and a
+regular expression's matches, leftmost and without overlap, are the merged runs.
 """
 from __future__ import annotations
 
+import bisect
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,14 +47,16 @@ def relevance_linear(tfidf_long: DataFrame, coef: DataFrame, explained: DataFram
     return j.select(*keys, "class_id", "term", (F.col("weight") * F.col("_w")).alias("relevance"))
 
 
-def conservation(relevance: DataFrame, margins: DataFrame, explained: DataFrame, keys=KEY) -> DataFrame:
-    """Per (row, class): summed relevance against the class logit; gap = logit - sum."""
+def conservation(relevance: DataFrame, explained: DataFrame, keys=KEY) -> DataFrame:
+    """Per (row, class): summed relevance against the class logit; gap = logit - sum.
+
+    ``explained`` carries the logit of each class to explain; both sides are added up in
+    one aggregate, so a row without a known term keeps its logit and no join is needed."""
     keys = list(keys)
-    sums = relevance.groupBy(*keys, "class_id").agg(F.sum("relevance").alias("sum_relevance"))
-    m = margins.select(*keys, F.col("label").alias("class_id"), F.col("margin").alias("logit"))
-    j = explained.select(*keys, "class_id").join(m, keys + ["class_id"]).join(sums, keys + ["class_id"], "left")
-    j = j.withColumn("sum_relevance", F.coalesce("sum_relevance", F.lit(0.0)))
-    return j.withColumn("gap", F.col("logit") - F.col("sum_relevance"))
+    parts = relevance.select(*keys, "class_id", F.col("relevance").alias("_r"), F.lit(None).cast("double").alias("_l")).unionByName(
+        explained.select(*keys, "class_id", F.lit(0.0).alias("_r"), F.col("logit").alias("_l")))
+    sums = parts.groupBy(*keys, "class_id").agg(F.sum("_r").alias("sum_relevance"), F.max("_l").alias("logit"))
+    return sums.where(F.col("logit").isNotNull()).withColumn("gap", F.col("logit") - F.col("sum_relevance"))
 
 
 def conservation_summary(cons: DataFrame, expected_gap: float = 0.0) -> DataFrame:
@@ -84,101 +91,110 @@ def argmax(logits) -> Column:
     return F.array_position(_c(logits), F.array_max(_c(logits))) - 1
 
 
-def _runs(tokens: DataFrame, boundary: Column, keys, pos: str = "pos") -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    return tokens.withColumn("word_idx", F.sum(boundary.cast("int")).over(w) - 1)
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once (a lambda's argument)."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def token_arrays(tokens: DataFrame, keys=KEY) -> DataFrame:
+    """Long token rows -> (keys..., toks, scores) arrays in position order (one sentence per group)."""
+    keys = list(keys)
+    g = tokens.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "token", "score"))).alias("_t"))
+    return g.select(*keys, F.transform("_t", lambda x: x["token"]).alias("toks"),
+                    F.transform("_t", lambda x: x["score"]).alias("scores"))
+
 
+def merged_rows(arrays: DataFrame, merged: Column, keys=KEY, word: str = "word") -> DataFrame:
+    """(keys..., word_idx, word, score) rows of a merge over arrays; map-only."""
+    x = arrays.select(*list(keys), F.posexplode(merged).alias("word_idx", "_w"))
+    return x.select(*list(keys), "word_idx", F.col("_w.token").alias(word), F.col("_w.score").alias("score"))
 
-def _joined(col: str, pos: str = "pos") -> Column:
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos, col))), lambda x: x[col]), "")
 
+def _cut(toks: Column, scores: Column, starts: Column, score, text=None) -> Column:
+    """Arrays cut at the ``starts`` (ascending positions): array<struct<token, score>>.
 
-def merge_words_max(tokens: DataFrame, keys=KEY, mark: str = BPE_MARK) -> DataFrame:
+    ``score`` turns an array of scores into one; ``text`` (start, end, size, joined) may change a word."""
+    def words(x):
+        n = F.size(x["t"])
+
+        def word(a, j):
+            end = F.coalesce(F.get(x["at"], j + 1), n)
+            joined = F.array_join(F.slice(x["t"], a + 1, end - a), "")
+            return F.struct((text(a, end, n, joined) if text else joined).alias("token"),
+                            score(F.slice(x["s"], a + 1, end - a)).cast("double").alias("score"))
+        return F.transform(x["at"], word)
+
+    return bound(F.struct(toks.alias("t"), scores.alias("s"), starts.alias("at")), words)
+
+
+def _where(flags: Column) -> Column:
+    """Positions at which an array of booleans is true."""
+    return F.filter(F.transform(flags, lambda f, i: F.when(f, i)), lambda i: i.isNotNull())
+
+
+def _sum(scores: Column) -> Column:
+    return F.aggregate(scores, F.lit(0.0), lambda a, x: a + x)
+
+
+def words_max(toks, scores, mark: str = BPE_MARK) -> Column:
     """Merge marked pieces into words; score = max of the pieces.
 
     The first and the last token stand alone; a word starts at position 1 or
     at a piece carrying ``mark``; the mark is removed from merged words.
     """
-    keys = list(keys)
-    last = F.max("pos").over(Window.partitionBy(*keys))
-    t = tokens.withColumn("_last", last)
-    b = (F.col("pos") <= 1) | (F.col("pos") == F.col("_last")) | F.col("token").startswith(mark)
-    r = _runs(t, b, keys)
-    g = r.groupBy(*keys, "word_idx").agg(_joined("token").alias("_w"), F.max("score").alias("score"),
-                                          F.min("pos").alias("_p0"), F.max("_last").alias("_last"))
-    edge = (F.col("_p0") == 0) | (F.col("_p0") == F.col("_last"))
-    word = F.when(edge, F.col("_w")).otherwise(F.replace(F.col("_w"), F.lit(mark), F.lit("")))
-    return g.select(*keys, "word_idx", word.alias("word"), "score")
+    t, s = _c(toks), _c(scores)
+    starts = bound(t, lambda x: _where(F.transform(x, lambda w, i: (i <= 1) | (i == F.size(x) - 1) | w.startswith(mark))))
+    return _cut(t, s, starts, F.array_max, lambda a, end, n, w: F.when((a == 0) | (end == n), w).otherwise(F.replace(w, F.lit(mark), F.lit(""))))
 
 
-def merge_words_sum(tokens: DataFrame, keys=KEY, marks=PIECE_MARKS) -> DataFrame:
+def words_sum(toks, scores, marks=PIECE_MARKS) -> Column:
     """Merge continuation pieces ('##' or '_' prefixed) into words; score = sum."""
-    keys = list(keys)
-    cont = None
-    stripped = F.col("token")
-    for m in marks:
-        c = F.col("token").startswith(m)
-        cont = c if cont is None else (cont | c)
-    for m in reversed(marks):
-        stripped = F.when(F.col("token").startswith(m), F.substring(F.col("token"), len(m) + 1, 1 << 30)).otherwise(stripped)
-    t = tokens.withColumn("_piece", stripped)
-    r = _runs(t, (F.col("pos") == 0) | ~cont, keys)
-    return r.groupBy(*keys, "word_idx").agg(_joined("_piece").alias("word"), F.sum("score").alias("score"))
+    t, s = _c(toks), _c(scores)
 
+    def joins(w):
+        c = F.lit(False)
+        for m in marks:
+            c = c | w.startswith(m)
+        return c
+
+    def bare(w):
+        out = w
+        for m in reversed(marks):
+            out = F.when(w.startswith(m), F.substring(w, len(m) + 1, 1 << 30)).otherwise(out)
+        return out
+
+    return _cut(F.transform(t, bare), s, _where(F.transform(t, lambda w, i: (i == 0) | ~joins(w))), _sum)
 
-def token_arrays(tokens: DataFrame, keys=KEY) -> DataFrame:
-    """Long token rows -> (keys..., toks, scores) arrays in position order (one sentence per group)."""
-    keys = list(keys)
-    g = tokens.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "token", "score"))).alias("_t"))
-    return g.select(*keys, F.transform("_t", lambda x: x["token"]).alias("toks"),
-                    F.transform("_t", lambda x: x["score"]).alias("scores"))
+
+def merge_words_max(tokens: DataFrame, keys=KEY, mark: str = BPE_MARK) -> DataFrame:
+    """``words_max`` over a long token table: (keys..., word_idx, word, score)."""
+    return merged_rows(token_arrays(tokens, keys), words_max("toks", "scores", mark), keys)
 
 
-def _fold(toks: Column, scores: Column, step) -> Column:
-    """Left-to-right fold over positions with a skip counter; returns array<struct<token, score>>."""
-    init = F.struct(F.lit(0).alias("skip"),
-                    F.array().cast("array<struct<token:string,score:double>>").alias("out"))
-    n = F.size(toks)
-    res = F.aggregate(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), init,
-                      lambda acc, i: F.when(acc["skip"] > 0, F.struct((acc["skip"] - 1).alias("skip"), acc["out"].alias("out")))
-                      .when(i >= n, acc)
-                      .otherwise(step(acc, i, n)))
-    return res["out"]
+def merge_words_sum(tokens: DataFrame, keys=KEY, marks=PIECE_MARKS) -> DataFrame:
+    """``words_sum`` over a long token table: (keys..., word_idx, word, score)."""
+    return merged_rows(token_arrays(tokens, keys), words_sum("toks", "scores", marks), keys)
 
 
-def _emit(acc, tok: Column, score: Column, skip: Column) -> Column:
-    item = F.array(F.struct(tok.alias("token"), score.cast("double").alias("score")))
-    return F.struct(skip.alias("skip"), F.concat(acc["out"], item).alias("out"))
+def _regular(toks: Column, scores: Column, letter, pattern: str, replacement: str) -> Column:
+    """Merge runs that a regular expression over one letter per token matches; the
+    replacement turns a run's first letter into 's', the mark of a start."""
+    letters = F.array_join(F.transform(toks, letter), "")
+    marks = F.regexp_extract_all(F.regexp_replace(letters, pattern, replacement), F.lit("."), 0)
+    return _cut(toks, scores, _where(F.transform(marks, lambda m: m == "s")), _sum)
 
 
 def merge_hyphens(toks, scores) -> Column:
     """'x', '-', 'y' become one token with summed score; left to right, no overlap."""
-    t, s = _c(toks), _c(scores)
-
-    def step(acc, i, n):
-        hit = (F.get(t, i + 1) == "-") & (i + 2 < n)
-        merged = _emit(acc, F.concat(F.get(t, i), F.get(t, i + 1), F.get(t, i + 2)),
-                       F.get(s, i) + F.get(s, i + 1) + F.get(s, i + 2), F.lit(2))
-        return F.when(hit, merged).otherwise(_emit(acc, F.get(t, i), F.get(s, i), F.lit(0)))
-    return _fold(t, s, step)
+    return _regular(_c(toks), _c(scores), lambda w: F.when(w == "-", "h").otherwise("x"), ".(h.)?", "s$1")
 
 
 def merge_symbols(toks, scores) -> Column:
     """Glue an opening symbol to the next token and a closing one to the previous."""
-    t, s = _c(toks), _c(scores)
-    opens = F.array(*[F.lit(x) for x in OPEN_SYMBOLS])
-    closes = F.array(*[F.lit(x) for x in CLOSE_SYMBOLS])
-
-    def step(acc, i, n):
-        inner = i <= n - 2
-        a = inner & F.array_contains(opens, F.get(t, i))
-        j = F.when(a, i + 1).otherwise(i)
-        b = inner & (j < n - 1) & F.array_contains(closes, F.get(t, j + 1))
-        tok = F.concat(F.get(t, i), F.when(a, F.get(t, i + 1)).otherwise(F.lit("")),
-                       F.when(b, F.get(t, j + 1)).otherwise(F.lit("")))
-        sc = F.get(s, i) + F.when(a, F.get(s, i + 1)).otherwise(F.lit(0.0)) + F.when(b, F.get(s, j + 1)).otherwise(F.lit(0.0))
-        return _emit(acc, tok, sc, (j - i) + b.cast("int"))
-    return _fold(t, s, step)
+    both = [x for x in OPEN_SYMBOLS if x in CLOSE_SYMBOLS]
+    letter = lambda w: (F.when(w.isin(*both), "B").when(w.isin(*OPEN_SYMBOLS), "O")
+                        .when(w.isin(*CLOSE_SYMBOLS), "C").otherwise("x"))
+    return _regular(_c(toks), _c(scores), letter, "[OB](.[CB]?)|[xC]([CB]?)|.", "s$1$2")
 
 
 def split_contractions(token, family: str = "roberta") -> Column:
@@ -235,45 +251,84 @@ def word_relevance_summary(df: DataFrame, word: str = "term", cls: str = "class_
 NORMALIZE = "[^a-zA-Z0-9.]"   # fixed value: characters compared when aligning
 
 
+def align_row(pieces: list[str], scores: list[float], words: list[str], agg: str = "max") -> list[dict]:
+    """Pieces of one sentence mapped onto its words, in one pass over both.
+
+    Both sides are normalised to ``[a-zA-Z0-9.]``; running lengths give character offsets. A
+    piece belongs to the word whose span holds its start. Pieces without
+    normalised text meet empty words at the same offset in order, otherwise they join the word
+    ending there. A piece without such a word goes to the nearest one (the last empty word
+    at its offset, else the first word; no word at all: index None) and that word is not aligned, so no
+    score is lost.
+    """
+    bare = [re.sub(NORMALIZE, "", w or "") for w in words]
+    at, starts, holders, empties = 0, [], [], {}
+    for i, w in enumerate(bare):
+        if w:
+            starts.append(at)
+            holders.append(i)
+            at += len(w)
+        else:
+            empties.setdefault(at, []).append(i)
+    out: dict = {}
+    used: dict[int, int] = {}
+    lost = set()
+    at = 0
+    for piece, score in zip(pieces, scores):
+        n = len(re.sub(NORMALIZE, "", piece or ""))
+        where = at if n else max(at - 1, 0)
+        k = bisect.bisect_right(starts, where) - 1
+        here = empties.get(at, [])
+        if not n and used.get(at, 0) < len(here):
+            word = here[used.get(at, 0)]
+            used[at] = used.get(at, 0) + 1
+        elif k >= 0:
+            word = holders[k]
+        else:
+            word = here[-1] if here else (0 if words else None)
+            lost.add(word)
+        out.setdefault(word, []).append((piece or "", score))
+        at += n
+    rows = []
+    for word in sorted(out, key=lambda i: -1 if i is None else i):
+        text = "".join(p for p, _ in out[word])
+        got = [s for _, s in out[word] if s is not None]
+        target = None if word is None else words[word]
+        rows.append({"word_idx": word, "word": target, "text": text,
+                     "score": (max(got) if agg == "max" else float(sum(got))) if got else None,
+                     "aligned": word not in lost and word is not None and re.sub(NORMALIZE, "", text) == bare[word]})
+    return rows
+
+
+def align_words(pieces, scores, words, agg: str = "max") -> Column:
+    """``align_row`` over array columns: array<struct<word_idx, word, text, score, aligned>>; map-only."""
+    if agg not in ("max", "sum"):
+        raise ValueError("agg is 'max' or 'sum'")
+
+    @F.pandas_udf("array<struct<word_idx:bigint,word:string,text:string,score:double,aligned:boolean>>")
+    def run(p: pd.Series, s: pd.Series, w: pd.Series) -> pd.Series:
+        none = lambda x: [] if x is None else list(x)
+        return pd.Series([align_row(none(a), none(b), none(c), agg) for a, b, c in zip(p, s, w)], dtype="object")
+
+    return run(_c(pieces), _c(scores), _c(words))
+
+
 def align_to_words(pieces: DataFrame, words: DataFrame, agg: str = "max", keys=KEY) -> DataFrame:
-    """Map sub-word pieces onto reference words; aggregate scores per word.
+    """``align_words`` over long tables.
 
     pieces: (keys..., pos, piece, score) without special tokens or markers;
-    words: (keys..., word_idx, word). Both sides are normalised to
-    ``[a-zA-Z0-9.]``; running sums of the normalised lengths give character
-    offsets. A piece belongs to the word whose span holds its start: one
-    window per sentence ordered by offset carries the last word start
-    forward (no pairwise join). Pieces with no normalised text meet empty
-    words at the same offset in order; otherwise they join the word ending
-    there. ``aligned`` says whether the joined pieces equal the word.
-    Output: (keys..., word_idx, word, text, score, aligned).
+    words: (keys..., word_idx, word), numbered from 0. Each side is gathered per sentence and
+    joined on its key. Output: (keys..., word_idx, word, text, score, aligned).
     """
     keys = list(keys)
-    norm = lambda c: F.regexp_replace(F.col(c), NORMALIZE, "")
-    wk = Window.partitionBy(*keys)
-    p = pieces.withColumn("_n", norm("piece"))
-    p = p.withColumn("_e", F.sum(F.length("_n")).over(wk.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
-    p = p.withColumn("_s", F.col("_e") - F.length("_n"))
-    w = words.withColumn("_n", norm("word"))
-    w = w.withColumn("_e", F.sum(F.length("_n")).over(wk.orderBy("word_idx").rowsBetween(Window.unboundedPreceding, 0)))
-    w = w.withColumn("_s", F.col("_e") - F.length("_n"))
-    # empty pieces meet empty words at the same offset, k-th with k-th
-    pe = p.where(F.length("_n") == 0).withColumn("_k", F.row_number().over(wk.partitionBy(*keys, "_s").orderBy("pos")))
-    we = w.where(F.length("_n") == 0).withColumn("_k", F.row_number().over(wk.partitionBy(*keys, "_s").orderBy("word_idx")))
-    matched = pe.join(we.select(*keys, "_s", "_k", "word_idx"), keys + ["_s", "_k"]).select(*keys, "pos", "word_idx")
-    # everything else: the word whose span holds the piece start (empty: the word ending there)
-    rest = p.join(matched.select(*keys, "pos"), keys + ["pos"], "left_anti")
-    at = F.when(F.length("_n") > 0, F.col("_s")).otherwise(F.greatest(F.col("_s") - 1, F.lit(0)))
-    ev_p = rest.select(*keys, at.alias("_o"), F.lit(1).alias("_kind"), "pos", F.lit(None).cast("long").alias("_w"))
-    ev_w = w.where(F.length("_n") > 0).select(*keys, F.col("_s").alias("_o"), F.lit(0).alias("_kind"),
-                                               F.lit(None).cast("int").alias("pos"), F.col("word_idx").cast("long").alias("_w"))
-    ev = ev_p.unionByName(ev_w)
-    carried = F.last("_w", ignorenulls=True).over(
-        wk.orderBy("_o", "_kind", "pos").rowsBetween(Window.unboundedPreceding, 0))
-    placed = ev.withColumn("word_idx", carried).where(F.col("_kind") == 1).select(*keys, "pos", "word_idx")
-    assign = placed.where(F.col("word_idx").isNotNull()).unionByName(matched.withColumn("word_idx", F.col("word_idx").cast("long")))
-    j = pieces.join(assign, keys + ["pos"])
-    sc = F.max("score") if agg == "max" else F.sum("score")
-    g = j.groupBy(*keys, "word_idx").agg(_joined("piece").alias("text"), sc.alias("score"))
-    out = g.join(words.select(*keys, F.col("word_idx").cast("long"), "word"), keys + ["word_idx"])
-    return out.withColumn("aligned", F.regexp_replace("text", NORMALIZE, "") == F.regexp_replace("word", NORMALIZE, ""))
+    p = token_arrays(pieces.withColumnRenamed("piece", "token"), keys)
+    w = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("word_idx", "word"))).alias("_w"))
+    w = w.select(*keys, F.transform("_w", lambda x: x["word"]).alias("words"))
+    return aligned_rows(p.join(w, keys, "left"), agg, keys)
+
+
+def aligned_rows(arrays: DataFrame, agg: str = "max", keys=KEY) -> DataFrame:
+    """Rows of ``align_words`` for a table with toks, scores and words arrays."""
+    keys = list(keys)
+    x = arrays.select(*keys, F.explode(align_words("toks", "scores", "words", agg)).alias("_a"))
+    return x.select(*keys, "_a.word_idx", "_a.word", "_a.text", "_a.score", "_a.aligned")

@@ -1,7 +1,6 @@
 """Catalog: attribution of predictions to terms, tokens and words."""
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stancekit.functions import labels as L
@@ -10,8 +9,9 @@ from stancekit.operators import attribution as A
 from stancekit.operators import linear as LN
 from stancekit.plans import q_features  # noqa: F401  (registers feature CTEs)
 from stancekit.plans.catalog import register
-from stancekit.plans.q_features import _test, test_tfidf, train_features
+from stancekit.plans.q_features import _test, test_tfidf, train_vocabulary
 from stancekit.plans.sqlfrag import KEY_SQL, U, cte, lit, with_ctes
+from stancekit.session import materialize
 from stancekit.sources import fixtures as fx
 
 KEY = ["speech_id", "sent_idx"]
@@ -19,11 +19,12 @@ KEY = ["speech_id", "sent_idx"]
 
 def linear_explained(spark, sf):
     """(test tf-idf, margins, explained classes) under the fixed weights."""
-    vocab, _, _ = train_features(spark, sf)
+    vocab = train_vocabulary(spark, sf)
     coef, bias = fx.coef(spark, sf)
     tt = test_tfidf(spark, sf, vocab)
-    m = LN.score_linear(tt, _test(spark, sf).select(*KEY), coef, bias)
-    explained = m.where(F.col("pred") == 1).select(*KEY, F.col("label").alias("class_id"))
+    # read by the explained classes and by whatever asks for their margins: computed once
+    m = materialize(LN.score_linear(tt, _test(spark, sf).select(*KEY), coef, bias), "margins")
+    explained = m.where(F.col("pred") == 1).select(*KEY, F.col("label").alias("class_id"), F.col("margin").alias("logit"))
     return tt, coef, m, explained
 
 
@@ -53,7 +54,7 @@ SELECT speech_id, sent_idx, class_id::BIGINT AS class_id, round(logit, 6) AS log
 def q_conservation(spark, sf):
     """Summed relevance against the logit; the gap is the bias."""
     tt, coef, m, ex = linear_explained(spark, sf)
-    c = A.conservation(A.relevance_linear(tt, coef, ex), m, ex)
+    c = A.conservation(A.relevance_linear(tt, coef, ex), ex)
     return c.select(*KEY, "class_id", "logit", "sum_relevance", "gap")
 
 
@@ -61,7 +62,7 @@ def q_conservation(spark, sf):
 SELECT COUNT(*)::BIGINT AS n, round(max(abs(gap - {fx.COEF_BIAS})), 6) AS max_gap_error, round(corr(sum_relevance, logit), 6) AS corr FROM conserv"""))
 def q_conservation_summary(spark, sf):
     tt, coef, m, ex = linear_explained(spark, sf)
-    return A.conservation_summary(A.conservation(A.relevance_linear(tt, coef, ex), m, ex), fx.COEF_BIAS)
+    return A.conservation_summary(A.conservation(A.relevance_linear(tt, coef, ex), ex), fx.COEF_BIAS)
 
 
 _TKEY = f"({KEY_SQL} || '-' || CAST(pos AS VARCHAR))"
@@ -119,7 +120,7 @@ GROUP BY speech_id, sent_idx, word_idx""")
 SELECT speech_id, sent_idx, word_idx::BIGINT AS word_idx, word, round(score, 6) AS score FROM merged_max"""))
 def q_merge_words_max(spark, sf):
     """'Ġ'-marked pieces of the test sentences back to words, max score."""
-    return A.merge_words_max(fx.bpe_tokens(spark, sf))
+    return A.merged_rows(fx.bpe_arrays(spark, sf), A.words_max("toks", "scores"))
 
 
 @register("merge_words_sum", with_ctes(["wordpiece_tokens"], """
@@ -131,7 +132,7 @@ FROM (SELECT *, SUM(CAST(pos = 0 OR NOT (starts_with(token, '##') OR starts_with
 GROUP BY speech_id, sent_idx, word_idx"""))
 def q_merge_words_sum(spark, sf):
     """'##' continuation pieces back to words, summed score."""
-    return A.merge_words_sum(fx.wordpiece_tokens(spark, sf))
+    return A.merged_rows(fx.wordpiece_arrays(spark, sf), A.words_sum("toks", "scores"))
 
 
 def _fold_sql(span: str) -> str:
@@ -169,9 +170,7 @@ _SYMBOL_SPAN = (f"1 + CAST({_A} AS INT) + CAST(w.i <= c.n - 2 AND w.i + CAST({_A
 
 
 def _fold_rows(spark, sf, fn):
-    arr = A.token_arrays(fx.symbol_tokens(spark, sf))
-    out = arr.select(*KEY, F.posexplode(fn(F.col("toks"), F.col("scores"))).alias("word_idx", "w"))
-    return out.select(*KEY, "word_idx", F.col("w.token").alias("token"), F.col("w.score").alias("score"))
+    return A.merged_rows(fx.symbol_arrays(spark, sf), fn("toks", "scores"), word="token")
 
 
 @register("merge_hyphens", _fold_sql(_HYPHEN_SPAN))
@@ -208,7 +207,7 @@ SELECT speech_id, sent_idx, word_idx::BIGINT AS word_idx,
 FROM merged_max"""))
 def q_normalize_relevance(spark, sf):
     """Merged word scores divided by the sentence's largest absolute score."""
-    m = A.merge_words_max(fx.bpe_tokens(spark, sf))
+    m = A.merged_rows(fx.bpe_arrays(spark, sf), A.words_max("toks", "scores"))
     return A.normalize_relevance(m, KEY).select(*KEY, "word_idx", "norm_score")
 
 
@@ -224,13 +223,11 @@ def q_word_relevance_summary(spark, sf):
 
 
 def _pieces_words(spark, sf):
-    t = fx.bpe_tokens(spark, sf)
-    last = F.max("pos").over(Window.partitionBy(*KEY))
-    p = t.withColumn("_last", last).where((F.col("pos") > 0) & (F.col("pos") < F.col("_last")))
-    p = p.select(*KEY, "pos", F.replace(F.col("token"), F.lit("Ġ"), F.lit("")).alias("piece"), "score")
-    s = _test(spark, sf)
-    w = s.select(*KEY, F.posexplode(F.split(F.col("sentence"), " ", -1)).alias("word_idx", "word"))
-    return p, w
+    """Pieces without the two wrapping tokens and without marks, and the words, as arrays."""
+    x = fx.bpe_arrays(spark, sf, "sentence")
+    inner = lambda c: F.slice(c, 2, F.size(c) - 2)
+    return x.select(*KEY, F.transform(inner("toks"), lambda t: F.replace(t, F.lit("Ġ"), F.lit(""))).alias("toks"),
+                    inner("scores").alias("scores"), F.split("sentence", " ", -1).alias("words"))
 
 
 cte("pw_pieces", ["bpe_tokens"], """
@@ -258,18 +255,34 @@ ev AS (
 placed AS (
   SELECT speech_id, sent_idx, pos, last_value(wi IGNORE NULLS) OVER (PARTITION BY speech_id, sent_idx ORDER BY o, kind, pos
          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS word_idx, kind FROM ev),
-assign AS (SELECT speech_id, sent_idx, pos, word_idx FROM placed WHERE kind = 1 AND word_idx IS NOT NULL
-           UNION ALL SELECT speech_id, sent_idx, pos, word_idx FROM matched)
-SELECT a.speech_id, a.sent_idx, a.word_idx, string_agg(pp.piece, '' ORDER BY pp.pos) AS text, max(pp.score) AS score
+lost AS (
+  SELECT pl.speech_id, pl.sent_idx, pl.pos, COALESCE(max(we.word_idx), min(w.word_idx)) AS word_idx
+  FROM placed pl JOIN p ON p.speech_id = pl.speech_id AND p.sent_idx = pl.sent_idx AND p.pos = pl.pos
+  JOIN w ON w.speech_id = pl.speech_id AND w.sent_idx = pl.sent_idx
+  LEFT JOIN we ON we.speech_id = pl.speech_id AND we.sent_idx = pl.sent_idx AND we.s = p.s
+  WHERE pl.kind = 1 AND pl.word_idx IS NULL GROUP BY pl.speech_id, pl.sent_idx, pl.pos),
+assign AS (SELECT speech_id, sent_idx, pos, word_idx, 0 AS is_lost FROM placed WHERE kind = 1 AND word_idx IS NOT NULL
+           UNION ALL SELECT speech_id, sent_idx, pos, word_idx, 0 FROM matched
+           UNION ALL SELECT speech_id, sent_idx, pos, word_idx, 1 FROM lost)
+SELECT a.speech_id, a.sent_idx, a.word_idx, string_agg(pp.piece, '' ORDER BY pp.pos) AS text, max(pp.score) AS score, sum(pp.score) AS total, max(a.is_lost) AS is_lost
 FROM assign a JOIN pw_pieces pp ON pp.speech_id = a.speech_id AND pp.sent_idx = a.sent_idx AND pp.pos = a.pos
 GROUP BY a.speech_id, a.sent_idx, a.word_idx""")
 
 
-@register("align_to_words", with_ctes(["aligned_words", "pw_words"], """
-SELECT a.speech_id, a.sent_idx, a.word_idx::BIGINT AS word_idx, w.word, a.text, round(a.score, 6) AS score,
-       CAST(regexp_replace(a.text, '[^a-zA-Z0-9.]', '', 'g') = regexp_replace(w.word, '[^a-zA-Z0-9.]', '', 'g') AS INT)::BIGINT AS aligned
-FROM aligned_words a JOIN pw_words w ON w.speech_id = a.speech_id AND w.sent_idx = a.sent_idx AND w.word_idx = a.word_idx"""))
+def _aligned_sql(score: str) -> str:
+    return with_ctes(["aligned_words", "pw_words"], f"""
+SELECT a.speech_id, a.sent_idx, a.word_idx::BIGINT AS word_idx, w.word, a.text, round(a.{score}, 6) AS score,
+       CAST(a.is_lost = 0 AND regexp_replace(a.text, '[^a-zA-Z0-9.]', '', 'g') = regexp_replace(w.word, '[^a-zA-Z0-9.]', '', 'g') AS INT)::BIGINT AS aligned
+FROM aligned_words a JOIN pw_words w ON w.speech_id = a.speech_id AND w.sent_idx = a.sent_idx AND w.word_idx = a.word_idx""")
+
+
+@register("align_to_words", _aligned_sql("score"))
 def q_align_to_words(spark, sf):
     """BPE pieces of the test sentences mapped back onto their space-split words (max)."""
-    p, w = _pieces_words(spark, sf)
-    return A.align_to_words(p, w, "max").select(*KEY, "word_idx", "word", "text", "score", "aligned")
+    return A.aligned_rows(_pieces_words(spark, sf), "max")
+
+
+@register("align_to_words_sum", _aligned_sql("total"))
+def q_align_to_words_sum(spark, sf):
+    """The same with summed scores."""
+    return A.aligned_rows(_pieces_words(spark, sf), "sum")

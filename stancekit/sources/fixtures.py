@@ -55,6 +55,13 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def paragraphs(rows: DataFrame, value: str, size: int = 5) -> DataFrame:
+    """(speech_id, paragraph, values): runs of ``size`` sentences with one value each, in order."""
+    g = rows.groupBy("speech_id", F.floor(F.col("sent_idx") / size).alias("paragraph")).agg(
+        F.array_sort(F.collect_list(F.struct("sent_idx", F.col(value).alias("v")))).alias("_v"))
+    return g.select("speech_id", "paragraph", F.transform("_v", lambda x: x["v"]).alias("values"))
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as a second sentence source."""
     c = table(spark, sf_dir, "conversations")
@@ -114,14 +121,20 @@ def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(*KEY, "sentence", "class_code", arr.alias("logits"))
 
 
-def _token_rows(s: DataFrame, toks, seed: int) -> DataFrame:
-    out = s.select(*KEY, F.posexplode(toks).alias("pos", "token"))
-    tkey = F.concat(sentence_key(), F.lit("-"), F.col("pos").cast("string"))
-    return out.withColumn("score", unit_hash(seed, tkey) - F.lit(0.5))
+def _token_array_rows(s: DataFrame, toks, seed: int, *keep: str) -> DataFrame:
+    """(keys..., toks, scores): one row per sentence."""
+    scores = F.transform("toks", lambda _, i: unit_hash(seed, F.concat(sentence_key(), F.lit("-"), i.cast("string"))) - F.lit(0.5))
+    return s.select(*KEY, *keep, toks.alias("toks")).withColumn("scores", scores)
 
 
-def bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Byte-pair style pieces of the test sentences, one row per piece.
+def _token_rows(arrays: DataFrame) -> DataFrame:
+    """(keys..., pos, token, score): one row per token."""
+    x = arrays.select(*KEY, F.posexplode(F.arrays_zip("toks", "scores")).alias("pos", "_t"))
+    return x.select(*KEY, "pos", F.col("_t.toks").alias("token"), F.col("_t.scores").alias("score"))
+
+
+def bpe_arrays(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    """Byte-pair style pieces of the test sentences, one row per sentence.
 
     Each space-split word is cut into its first 5 characters and the rest;
     word starts but the first carry 'Ġ'; wrapped in '<s>' ... '</s>'.
@@ -132,25 +145,28 @@ def bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length(x) > 5,
         F.array(F.concat(F.when(i > 0, F.lit("Ġ")).otherwise(F.lit("")), F.substring(x, 1, 5)), F.substring(x, 6, 1 << 30)),
     ).otherwise(F.array(F.concat(F.when(i > 0, F.lit("Ġ")).otherwise(F.lit("")), x)))))
-    toks = F.concat(F.array(F.lit("<s>")), pieces, F.array(F.lit("</s>")))
-    return _token_rows(s, toks, 301)
+    return _token_array_rows(s, F.concat(F.array(F.lit("<s>")), pieces, F.array(F.lit("</s>"))), 301, *keep)
+
+
+def bpe_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``bpe_arrays`` with one row per piece."""
+    return _token_rows(bpe_arrays(spark, sf_dir))
 
 
-def wordpiece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+def wordpiece_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word-piece style: the rest of a long word is a '##' continuation."""
     s = sentences(spark, sf_dir).where(F.col("split") == "test")
     w = words(F.col("sentence"))
     pieces = F.flatten(F.transform(w, lambda x: F.when(
         F.length(x) > 5, F.array(F.substring(x, 1, 5), F.concat(F.lit("##"), F.substring(x, 6, 1 << 30))),
     ).otherwise(F.array(x))))
-    return _token_rows(s, pieces, 302)
+    return _token_array_rows(s, pieces, 302)
 
 
-def symbol_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+def symbol_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols ( ) $ € " ' % - as tokens of their own, other runs between."""
     s = sentences(spark, sf_dir).where(F.col("split") == "test")
-    toks = F.regexp_extract_all(F.col("sentence"), F.lit(SYMBOL_TOKEN), 0)
-    return _token_rows(s, toks, 303)
+    return _token_array_rows(s, F.regexp_extract_all(F.col("sentence"), F.lit(SYMBOL_TOKEN), 0), 303)
 
 
 def grad_tokens(spark: SparkSession, sf_dir: str, dim: int = 4) -> DataFrame:
@@ -167,11 +183,11 @@ def coef(spark: SparkSession, sf_dir: str):
 
     Returns (coef(term, label, weight), bias(label, bias)).
     """
-    from stancekit.operators.features import fit_tfidf
+    from stancekit.operators.features import fit_vocabulary
     from stancekit.operators.sampling import upsample_weights
 
     train = upsample_weights(sentences(spark, sf_dir).where(F.col("split") == "train"))
-    vocab, _ = fit_tfidf(train, weight_col="copies")
+    vocab = fit_vocabulary(train, weight_col="copies")
     c = vocab.select("term", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("label"))
     c = c.withColumn("weight", unit_hash(F.lit(201) + F.col("label"), F.col("term")) - F.lit(0.5))
     bias = spark.range(3).select(F.col("id").cast("int").alias("label"), F.lit(COEF_BIAS).alias("bias"))
