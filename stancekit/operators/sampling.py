@@ -69,24 +69,28 @@ def train_test_split_exact(df: DataFrame, test_size: float = 0.2, keys=KEY, seed
     hash (bounded: 2**bucket_bits rows) locates the boundary bucket; only that
     bucket is ranked.
     """
+    from stancekit.session import materialize
+
     keys = list(keys)
-    h = portable_hash(seed, _row_key(keys))
     shift = 32 - bucket_bits
-    base = df.withColumn("_h", h).withColumn("_b", F.shiftright(F.col("_h"), shift))
-    n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    k = F.ceil(F.lit(test_size) * n)
-    hist = base.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
+    # the keys with their hash, written once: the histogram, the count and the rows read this narrow table
+    h = materialize(df.select(*keys, portable_hash(seed, _row_key(keys)).alias("_h")), "split-keys")
+    h = h.withColumn("_b", F.shiftright(F.col("_h"), shift))
+    hist = h.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
     # bounded frame (<= 2**bucket_bits rows): a global running sum is cheap
-    cum = hist.withColumn("_cum", F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)))
-    cut = cum.where(F.col("_cum") >= k).orderBy("_b").limit(1)
-    bstar = cut.select("_b").scalar()
-    need = cut.select(k - (F.col("_cum") - F.col("_c"))).scalar()
-    outside = base.where(F.col("_b") != bstar).withColumn(
-        out, F.when(F.col("_b") < bstar, "test").otherwise("train"))
+    order = Window.orderBy("_b")
+    cum = hist.select("_b", "_c", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("_cum"),
+                      F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_n"))
+    cut = cum.withColumn("_k", F.ceil(F.lit(test_size) * F.col("_n"))).where(F.col("_cum") >= F.col("_k")).orderBy("_b").limit(1)
+    edge = cut.select("_b", (F.col("_k") - (F.col("_cum") - F.col("_c"))).alias("_need")).first()   # one row
+    if edge is None:
+        return df.withColumn(out, F.lit("train"))
     rn = F.row_number().over(Window.partitionBy("_b").orderBy("_h", *keys))
-    inside = base.where(F.col("_b") == bstar).withColumn(
-        out, F.when(rn <= need, "test").otherwise("train"))
-    return outside.unionByName(inside).drop("_h", "_b")
+    at_edge = h.where(F.col("_b") == edge["_b"]).withColumn("_rn", rn).where(F.col("_rn") <= edge["_need"]).select(*keys)
+    mine = F.shiftright(portable_hash(seed, _row_key(keys)), shift)
+    # one bucket of 2**bucket_bits: about rows / 2**bucket_bits keys
+    marked = df.join(at_edge.withColumn("_in", F.lit(True)), keys, "left")
+    return marked.withColumn(out, F.when((mine < edge["_b"]) | F.col("_in"), "test").otherwise("train")).drop("_in")
 
 
 def seeded_shuffle(df: DataFrame, seed: int = 42, keys=KEY, out: str = "shuffle_hash") -> DataFrame:
@@ -100,12 +104,13 @@ def word_band(df: DataFrame, lo: int = 9, hi: int = 31, text_col: str = "sentenc
 
 def kshot_sample(df: DataFrame, k: int, seed: int = 42, order: str = "hash", keys=KEY,
                  code_col: str = "class_code", n_classes: int = 4, lo: int = 9, hi: int = 31,
-                 strict: bool = False) -> DataFrame:
+                 strict: bool = True) -> DataFrame:
     """k // n_classes rows per class from the word band, then mixed.
 
     ``order='hash'`` takes the first rows of a seeded shuffle per class,
     ``order='source'`` the first rows in key order. ``mix_hash`` gives the
-    mixed order of the shots. ``strict`` raises when a class is short.
+    mixed order of the shots. A class with too few rows raises; ``strict=False``
+    takes what there is.
     """
     keys = list(keys)
     per = k // n_classes
@@ -157,13 +162,3 @@ def class_distribution(df: DataFrame, code_col: str = "class_code") -> DataFrame
     total = counts.agg(F.sum("n")).scalar()
     return counts.withColumn("share", F.col("n") / total)
 
-
-def distribution_text(dist: DataFrame, names, code_col: str = "class_code") -> DataFrame:
-    """One-row frame with 'The label distribution is name (p%), ...'."""
-    name_arr = F.array(*[F.lit(x) for x in names])
-    part = F.concat(F.get(name_arr, F.col(code_col).cast("int")), F.lit(" ("),
-                    F.round(F.col("share") * 100).cast("long").cast("string"), F.lit("%)"))
-    parts = dist.select(F.struct(F.col(code_col).alias("c"), part.alias("p")).alias("s"))
-    return parts.agg(F.concat(F.lit("The label distribution is "),
-                              F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["p"]), ", "),
-                              F.lit(".")).alias("distribution"))

@@ -2,11 +2,11 @@
 
 A speech may hold a large share of all rows, so no window here is
 partitioned by the speech alone. Rows are cut into blocks of ``block``
-consecutive positions; each block also receives a halo (the few rows its
+consecutive rows; each block also receives a halo (the few rows its
 frames reach into the neighbouring block), so every frame is complete and
 no task holds more than ``block + before + after`` rows of one speech.
-Positions must be a dense 0-based index per speech (``dense_index`` makes
-one from any numeric order).
+Blocks and halo count rows, not positions: positions may have gaps, and no
+block size changes an answer.
 """
 from __future__ import annotations
 
@@ -42,13 +42,14 @@ def neighbours(df: DataFrame, value: Column | str, before: int, after: int, grou
                order: str = "sent_idx", block: int = BLOCK, prev_col: str = "prev", next_col: str = "next") -> DataFrame:
     """Arrays of up to ``before`` preceding and ``after`` following values."""
     v = value if isinstance(value, Column) else F.col(value)
-    x = with_halo(df.withColumn("_v", v), order, before, after, block)
-    w = block_window(group, order)
+    x = dense_index(df.withColumn("_v", v), group, order, block, "_row")
+    x = with_halo(x, "_row", before, after, block)
+    w = block_window(group, "_row")
     if before > 0:
         x = x.withColumn(prev_col, F.collect_list("_v").over(w.rowsBetween(-before, -1)))
     if after > 0:
         x = x.withColumn(next_col, F.collect_list("_v").over(w.rowsBetween(1, after)))
-    return x.where(~F.col("_halo")).drop("_v", "_blk", "_halo")
+    return x.where(~F.col("_halo")).drop("_v", "_row", "_blk", "_halo")
 
 
 def prior_context(df: DataFrame, n: int = 5, group: str = "speech_id", order: str = "sent_idx",
@@ -60,9 +61,8 @@ def prior_context(df: DataFrame, n: int = 5, group: str = "speech_id", order: st
 def speech_reset(df: DataFrame, group: str = "speech_id", order: str = "sent_idx", block: int = BLOCK,
                  out: str = "is_start") -> DataFrame:
     """1 where a new speech starts (no earlier row of the same speech)."""
-    x = with_halo(df, order, 1, 0, block)
-    prev = F.lag(F.col(order)).over(block_window(group, order))
-    return x.withColumn(out, prev.isNull().cast("int")).where(~F.col("_halo")).drop("_blk", "_halo")
+    x = dense_index(df, group, order, block, "_row")
+    return x.withColumn(out, (F.col("_row") == 0).cast("int")).drop("_row")
 
 
 def dense_index(df: DataFrame, group: str = "speech_id", order: str = "sent_idx", block: int = BLOCK,

@@ -27,7 +27,12 @@ def _train(spark, sf):
 
 
 def _out(df, col="prompt"):
-    return df.select(*KEY, F.md5(F.col(col)).alias("prompt_md5"), F.length(F.col(col)).alias("prompt_len"))
+    """md5 and length of the flat prompt, md5 and number of the messages."""
+    typed = "type" in df.schema["messages"].dataType.simpleString()
+    content = lambda m: F.array_join(F.transform(m["content"], lambda p: F.concat(p["type"], F.lit(":"), p["text"])), "") if typed else m["content"]
+    flat = F.array_join(F.transform("messages", lambda m: F.concat(F.lit("<|"), m["role"], F.lit("|>\n"), content(m), F.lit("\n"))), "")
+    return df.select(*KEY, F.md5(F.col(col)).alias("prompt_md5"), F.length(F.col(col)).alias("prompt_len"),
+                     F.md5(flat).alias("messages_md5"), F.size("messages").alias("n_messages"))
 
 
 # ---------------------------------------------------------------- SQL helpers
@@ -54,12 +59,18 @@ def s_sys(tpl=T) -> str:
     return s_msg("system", lit(tpl.system if tpl.use_system else ""))
 
 
-def s_out(expr: str, src: str) -> str:
-    return f"SELECT speech_id, sent_idx, md5(p) AS prompt_md5, length(p)::BIGINT AS prompt_len FROM (SELECT speech_id, sent_idx, {expr} AS p FROM {src})"
+def s_out(msgs, src: str, n: str = "2", prompt: str | None = None) -> str:
+    """``msgs``: the messages' SQL; ``n``: their number; ``prompt``: the flat text if it is not just theirs."""
+    return (f"SELECT speech_id, sent_idx, md5(p) AS prompt_md5, length(p)::BIGINT AS prompt_len, md5(m) AS messages_md5, n::BIGINT AS n_messages "
+            f"FROM (SELECT speech_id, sent_idx, {prompt or s_render(*msgs)} AS p, {' || '.join(msgs)} AS m, {n} AS n FROM {src})")
+
+
+def s_zero_msgs(s: str, tpl=T) -> list[str]:
+    return [s_sys(tpl), s_msg("user", f"{lit(tpl.instruction + chr(10) * 2)} || {s_q(s, tpl)}")]
 
 
 def s_zero(s: str, tpl=T) -> str:
-    return s_render(s_sys(tpl), s_msg("user", f"{lit(tpl.instruction + chr(10) * 2)} || {s_q(s, tpl)}"))
+    return s_render(*s_zero_msgs(s, tpl))
 
 
 cte("shots", ["train_rows"], f"""
@@ -80,23 +91,26 @@ FROM (SELECT c FROM range(0, 4) t(c)) cls
 LEFT JOIN (SELECT class_code, string_agg('- ' || sentence, chr(10) ORDER BY mix_hash, speech_id, sent_idx) AS b FROM shots GROUP BY class_code) g
 ON g.class_code = cls.c""")
 cte("dist_text", ["train_rows"], f"""
-SELECT 'The label distribution is ' || string_agg({_full}[class_code + 1] || ' (' || CAST(round(n * 100.0 / total)::BIGINT AS VARCHAR) || '%)', ', ' ORDER BY class_code) || '.' AS d
+SELECT {lit(T.shares[0])} || string_agg({lit(T.share[0])} || CAST(round(n * 100.0 / total)::BIGINT AS VARCHAR) || {lit(T.share[1])} || {_full}[class_code + 1] || {lit(T.share[2])}, {lit(T.shares[1])} ORDER BY class_code) || {lit(T.shares[2])} AS d
 FROM (SELECT class_code, n, SUM(n) OVER () AS total FROM (SELECT class_code, COUNT(*) AS n FROM train_rows GROUP BY class_code))""")
 
 
 # ---------------------------------------------------------------- queries
-@register("prompt_zero_shot", with_ctes(["test_rows"], s_out(s_zero("sentence"), "test_rows")))
+@register("prompt_zero_shot", with_ctes(["test_rows"], s_out(s_zero_msgs("sentence"), "test_rows")))
 def q_prompt_zero_shot(spark, sf):
     return _out(P.prompt_zero_shot(_test(spark, sf)))
 
 
-@register("prompt_typed_content", with_ctes(["test_rows"], s_out(s_zero("sentence"), "test_rows")))
+_TYPED = [s_msg("system", lit("text:" + T.system)), s_msg("user", f"{lit('text:' + T.instruction + chr(10) * 2)} || {s_q('sentence')}")]
+
+
+@register("prompt_typed_content", with_ctes(["test_rows"], s_out(_TYPED, "test_rows", prompt=s_zero("sentence"))))
 def q_prompt_typed_content(spark, sf):
     """Typed-part content; flattens to the same text."""
     return _out(P.prompt_typed_content(_test(spark, sf)))
 
 
-@register("prompt_option_order", with_ctes(["test_rows"], s_out(s_zero("sentence", P.ALT_ORDER), "test_rows")))
+@register("prompt_option_order", with_ctes(["test_rows"], s_out(s_zero_msgs("sentence", P.ALT_ORDER), "test_rows")))
 def q_prompt_option_order(spark, sf):
     """Answer options in the alternative order."""
     return _out(P.prompt_zero_shot(_test(spark, sf), P.ALT_ORDER))
@@ -108,8 +122,8 @@ _CTX_SRC = ("(SELECT *, COALESCE(list(sentence) OVER (PARTITION BY speech_id ORD
             "ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), []) AS ctx FROM test_rows)")
 
 
-@register("prompt_prior_context", with_ctes(["test_rows"], s_out(s_render(
-    s_sys(), s_msg("user", f"{lit(T.instruction + chr(10) * 2)} || {_CTX_BLOCK} || chr(10) || chr(10) || {s_q('sentence')}")), _CTX_SRC)))
+@register("prompt_prior_context", with_ctes(["test_rows"], s_out([
+    s_sys(), s_msg("user", f"{lit(T.instruction + chr(10) * 2)} || {_CTX_BLOCK} || chr(10) || chr(10) || {s_q('sentence')}")], _CTX_SRC)))
 def q_prompt_prior_context(spark, sf):
     """Bullets of up to 5 preceding sentences before the question."""
     c = W.prior_context(_test(spark, sf), 5)
@@ -120,8 +134,8 @@ _RAG_SRC = "(SELECT t.*, r.retrieved FROM test_rows t LEFT JOIN retrieved r ON t
 _RAG_BLOCK = f"({lit(T.rag_head[0] + '8' + T.rag_head[1])} || COALESCE(retrieved, '') || {lit(T.rag_focus)})"
 
 
-@register("prompt_retrieval", with_ctes(["test_rows", "retrieved"], s_out(s_render(
-    s_sys(), s_msg("user", f"{lit(T.instruction + chr(10) * 2)} || {_RAG_BLOCK} || chr(10) || chr(10) || {s_q('sentence')}")), _RAG_SRC)))
+@register("prompt_retrieval", with_ctes(["test_rows", "retrieved"], s_out([
+    s_sys(), s_msg("user", f"{lit(T.instruction + chr(10) * 2)} || {_RAG_BLOCK} || chr(10) || chr(10) || {s_q('sentence')}")], _RAG_SRC)))
 def q_prompt_retrieval(spark, sf):
     """The 8 nearest train sentences (tf-idf) listed before the question."""
     from stancekit.plans.q_retrieval import retrieved
@@ -134,15 +148,14 @@ def shots(spark, sf):
 
 
 @register("prompt_kshot_dialogue", with_ctes(["test_rows", "shot_prefix"], s_out(
-    s_collapse(f"{s_sys()} || prefix || {s_msg('user', s_q('sentence'))} || '<|assistant|>' || chr(10)"),
-    "test_rows, shot_prefix")))
+    [s_sys(), "prefix", s_msg("user", s_q("sentence"))], "test_rows, shot_prefix", "2 + 2 * n_shots")))
 def q_prompt_kshot_dialogue(spark, sf):
     """16 shots as alternating turns, then the sentence."""
     return _out(P.prompt_kshot_dialogue(_test(spark, sf), shots(spark, sf)))
 
 
-@register("prompt_kshot_grouped", with_ctes(["test_rows", "shot_groups"], s_out(s_render(
-    s_sys(), s_msg("user", f"{lit(T.instruction + chr(10) * 2)} || block || {s_q('sentence')}")), "test_rows, shot_groups")))
+@register("prompt_kshot_grouped", with_ctes(["test_rows", "shot_groups"], s_out([
+    s_sys(), s_msg("user", f"{lit(T.instruction + chr(10) * 2)} || block || {s_q('sentence')}")], "test_rows, shot_groups")))
 def q_prompt_kshot_grouped(spark, sf):
     """16 shots as bullets under one heading per class."""
     return _out(P.prompt_kshot_grouped(_test(spark, sf), shots(spark, sf)))
@@ -157,11 +170,11 @@ def q_attach_kshot(spark, sf):
 
 
 @register("inject_distribution", with_ctes(["test_rows", "dist_text"], s_out(
-    f"replace({s_zero('sentence')}, {lit(T.question_marker)}, d || chr(10) || chr(10) || {lit(T.question_marker)})",
-    "test_rows, dist_text")))
+    s_zero_msgs("sentence"), "test_rows, dist_text",
+    prompt=f"replace({s_zero('sentence')}, {lit(T.question_marker)}, d || chr(10) || chr(10) || {lit(T.question_marker)})")))
 def q_inject_distribution(spark, sf):
     """Class shares of the train split put before the question."""
-    dist = S.distribution_text(S.class_distribution(_train(spark, sf)), FULL_LABELS).first()[0]  # one row
+    dist = P.distribution_text(S.class_distribution(_train(spark, sf))).first()[0]  # one row
     return _out(P.inject_distribution(P.prompt_zero_shot(_test(spark, sf)), dist))
 
 

@@ -49,20 +49,20 @@ def q_speech_reset(spark, sf):
     return W.speech_reset(_test(spark, sf)).select(*KEY, "is_start")
 
 
-@register("row_index", with_ctes(["test_rows"], """
+@register("row_index", with_ctes(["sentences"], """
 SELECT speech_id, sent_idx, (row_number() OVER (PARTITION BY speech_id ORDER BY sent_idx) - 1)::BIGINT AS row_idx
-FROM test_rows WHERE len(string_split(sentence, ' ')) BETWEEN 9 AND 31"""))
+FROM sentences WHERE len(string_split(sentence, ' ')) BETWEEN 9 AND 31"""))
 def q_row_index(spark, sf):
     """Position within the speech after the word-band filter (gaps closed)."""
-    band = S.word_band(_test(spark, sf))
+    band = S.word_band(fx.sentences(spark, sf))
     return W.row_index(band, "speech_id", "sent_idx").select(*KEY, "row_idx")
 
 
-@register("row_index_global", with_ctes(["test_rows"], """
-SELECT speech_id, sent_idx, (row_number() OVER (ORDER BY speech_id, sent_idx) - 1)::BIGINT AS row_idx FROM test_rows"""))
+@register("row_index_global", with_ctes(["sentences"], """
+SELECT speech_id, sent_idx, (row_number() OVER (ORDER BY speech_id, sent_idx) - 1)::BIGINT AS row_idx FROM sentences"""))
 def q_row_index_global(spark, sf):
     """Global 0-based position in key order."""
-    t = _test(spark, sf).select(*KEY)
+    t = fx.sentences(spark, sf).select(*KEY)
     return W.global_index(t, KEY)
 
 
@@ -88,25 +88,25 @@ FROM (
     SELECT speech_id, sent_idx, {_U63} AS c,
            flatten(COALESCE(list({_U63}) OVER (PARTITION BY speech_id ORDER BY sent_idx ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), []))
            || flatten(COALESCE(list({_U63}) OVER (PARTITION BY speech_id ORDER BY sent_idx ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING), [])) AS nb
-    FROM test_rows
+    FROM sentences
   )
 )"""
 
 
-@register("pack_window", with_ctes(["test_rows"], _PACK_SQL))
+@register("pack_window", with_ctes(["sentences"], _PACK_SQL))
 def q_pack_window(spark, sf):
     """Centre sentence + 4 neighbours each side in 512 units, with mask."""
-    p = W.pack_window(_test(spark, sf))
+    p = W.pack_window(fx.sentences(spark, sf))
     return p.select(*KEY, F.array_join("units", " ").alias("units"),
                     F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("n_mask"))
 
 
-@register("truncate_pad", with_ctes(["test_rows"], f"""
+@register("truncate_pad", with_ctes(["sentences"], f"""
 SELECT speech_id, sent_idx,
        array_to_string(u || {_pad('128 - len(u)')}, ' ') AS units, len(u)::BIGINT AS n_mask
-FROM (SELECT speech_id, sent_idx, list_slice(string_split(sentence, ' '), 1, 128) AS u FROM test_rows)"""))
+FROM (SELECT speech_id, sent_idx, list_slice(string_split(sentence, ' '), 1, 128) AS u FROM sentences)"""))
 def q_truncate_pad(spark, sf):
     """Cut to 128 units, padded, with mask."""
-    p = W.truncate_pad(_test(spark, sf), 128, True)
+    p = W.truncate_pad(fx.sentences(spark, sf), 128, True)
     return p.select(*KEY, F.array_join("units", " ").alias("units"),
                     F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("n_mask"))
