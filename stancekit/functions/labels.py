@@ -100,11 +100,13 @@ def full_label(code) -> Column:
 
 
 def letter_vector(s) -> Column:
-    """Letter a..d -> multi-hot vector (null for anything else)."""
+    """Letter a..d, or a class name with or without its letter, -> multi-hot vector
+    (case and outer spaces do not matter; null for anything else)."""
     c = F.lower(F.trim(_c(s)))
     expr = F.when(F.lit(False), F.lit(None).cast("array<int>"))
-    for k, v in LETTER_VECTORS.items():
-        expr = expr.when(c == k, F.array(*[F.lit(x) for x in v]))
+    for (k, v), full in zip(LETTER_VECTORS.items(), FULL_LABELS):
+        name = full.lower()
+        expr = expr.when(c.isin(k, f"({k})", name, name.split(") ", 1)[1]), F.array(*[F.lit(x) for x in v]))
     return expr
 
 

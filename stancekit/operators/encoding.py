@@ -4,8 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stancekit.functions.labels import explained_classes, label_ids, multi_hot
-from stancekit.functions.text import word_count
+from stancekit.functions.labels import explained_classes
 
 
 def filter_positive(df: DataFrame, code_col: str = "class_code") -> DataFrame:
@@ -13,19 +12,12 @@ def filter_positive(df: DataFrame, code_col: str = "class_code") -> DataFrame:
     return df.where(F.col(code_col) != 0)
 
 
-def filter_word_band(df: DataFrame, lo: int = 9, hi: int = 31, text_col: str = "sentence") -> DataFrame:
-    """Strictly lo-1 < words < hi+1, words = space-split pieces (empty pieces count)."""
-    return df.where(word_count(F.col(text_col)).between(lo, hi))
-
-
-def encode_labels(df: DataFrame, code_col: str = "class_code", out: str = "gold_vec", fold4: bool = False) -> DataFrame:
-    """Class code -> multi-hot vector column."""
-    return df.withColumn(out, multi_hot(label_ids(F.col(code_col), fold4)))
-
-
-def fit_classes(df: DataFrame, ids_col: str = "ids") -> list[int]:
-    """Sorted class set seen in the data (bounded by the label space)."""
-    return sorted(r[0] for r in df.select(F.explode(ids_col).alias("c")).distinct().collect())
+def fit_classes(df: DataFrame, ids_col: str = "ids", most: int = 10000) -> list[int]:
+    """Sorted class set seen in the data; raises beyond ``most`` classes."""
+    found = df.select(F.explode(ids_col).alias("c")).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} classes")
+    return sorted(r[0] for r in found)
 
 
 def binarize(df: DataFrame, classes: list[int], ids_col: str = "ids", out: str = "vec") -> DataFrame:

@@ -119,8 +119,7 @@ SELECT speech_id, sent_idx, class_code, len(string_split(sentence, ' '))::BIGINT
 FROM sentences WHERE len(string_split(sentence, ' ')) BETWEEN 9 AND 31"""))
 def q_filter_word_band(spark, sf):
     """Strictly 8 < words < 32."""
-    from stancekit.operators.encoding import filter_word_band
-    s = filter_word_band(fx.sentences(spark, sf), 9, 31)
+    s = S.word_band(fx.sentences(spark, sf), 9, 31)
     return s.select(*KEY, "class_code", word_count(F.col("sentence")).alias("n_words"))
 
 
@@ -261,10 +260,10 @@ def q_filter_explainable(spark, sf):
     return _fused(spark, sf).where(F.size(L.explained_classes(F.col("pred_vec"))) > 0).select(*KEY, "fused")
 
 
-@register("letter_label", with_ctes(["test_rows"], f"""
-SELECT speech_id, sent_idx, {sqlf.letter('class_code')} AS letter, {sqlf.full_label('class_code')} AS full_label FROM test_rows"""))
+@register("letter_label", with_ctes(["sentences"], f"""
+SELECT speech_id, sent_idx, {sqlf.letter('class_code')} AS letter, {sqlf.full_label('class_code')} AS full_label FROM sentences"""))
 def q_letter_label(spark, sf):
-    t = _test(spark, sf)
+    t = fx.sentences(spark, sf)
     return t.select(*KEY, L.letter(F.col("class_code")).alias("letter"), L.full_label(F.col("class_code")).alias("full_label"))
 
 
@@ -274,6 +273,15 @@ def q_binary_gold(spark, sf):
     return fx.sentences(spark, sf).select(*KEY, L.binary_gold(F.col("class_code")).alias("gold"))
 
 
+@register("binary_gold_nested", with_ctes(["sentences"], """
+SELECT speech_id, (sent_idx // 5)::BIGINT AS paragraph, array_to_string(list(CAST(class_code <> 0 AS INT) ORDER BY sent_idx), ',') AS gold
+FROM sentences GROUP BY speech_id, sent_idx // 5"""))
+def q_binary_gold_nested(spark, sf):
+    """Per paragraph of 5 sentences the 0/1 gold of each sentence."""
+    p = fx.paragraphs(fx.sentences(spark, sf), "class_code")
+    return p.select("speech_id", "paragraph", _ints(L.binary_gold_nested(F.col("values"))).alias("gold"))
+
+
 @register("threshold_logits", with_ctes(["logits"], f"""
 SELECT speech_id, sent_idx, array_to_string({_THRESH_SQL}, ',') AS pred_vec FROM logits"""))
 def q_threshold_logits(spark, sf):
@@ -399,6 +407,21 @@ def q_letter_vector(spark, sf):
     return scored_responses(spark, sf).select("run_tag", *KEY, _ints(F.col("pred_vec")).alias("pred_vec"))
 
 
+_NAME = f"CASE (sent_idx + speech_id) % 4 WHEN 0 THEN {sqlf.letter('class_code')} WHEN 1 THEN {sqlf.full_label('class_code')} WHEN 2 THEN upper(substring({sqlf.full_label('class_code')}, 5)) ELSE 'none of these' END"
+
+
+@register("letter_vector_names", with_ctes(["sentences"], f"""
+SELECT speech_id, sent_idx, name, CASE WHEN (sent_idx + speech_id) % 4 = 3 THEN NULL ELSE array_to_string({multi_hot(label_ids('class_code'))}, ',') END AS vec
+FROM (SELECT *, {_NAME} AS name FROM sentences)"""))
+def q_letter_vector_names(spark, sf):
+    """Letters, full labels and bare class names to vectors; anything else is null."""
+    which, code = (F.col("sent_idx") + F.col("speech_id")) % 4, F.col("class_code")
+    name = (F.when(which == 0, L.letter(code)).when(which == 1, L.full_label(code))
+            .when(which == 2, F.upper(F.substring(L.full_label(code), 5, 1 << 20))).otherwise("none of these"))
+    s = fx.sentences(spark, sf).withColumn("name", name)
+    return s.select(*KEY, "name", _ints(L.letter_vector(F.col("name"))).alias("vec"))
+
+
 @register("unparsed_report", with_ctes(["responses"], f"""
 SELECT run_tag, COUNT(*) FILTER (WHERE pred_letter IS NULL)::BIGINT AS n_unparsed, COUNT(*)::BIGINT AS n_rows
 FROM {_RESP_SCORED} GROUP BY run_tag"""))
@@ -451,13 +474,13 @@ def q_classification_report_by_run(spark, sf):
     return M.classification_report(scored_responses(spark, sf), by=("run_tag",))
 
 
-def _score_line_sql():
+def _score_line_sql(digits: int = 6) -> str:
     f1 = [ratio(f"2 * tp{j}", f"pp{j} + ts{j}") for j in range(3)]
     sums = ", ".join(
         f"SUM(COALESCE(gold_vec[{j + 1}], 0) * COALESCE(pred_vec[{j + 1}], 0)) AS tp{j}, "
         f"SUM(COALESCE(pred_vec[{j + 1}], 0)) AS pp{j}, SUM(COALESCE(gold_vec[{j + 1}], 0)) AS ts{j}" for j in range(3))
     return (f"SELECT run_tag, {', '.join(f'round({f}, 6) AS f1_{j}' for j, f in enumerate(f1))}, "
-            f"round((({f1[0]}) + ({f1[1]}) + ({f1[2]})) / 3, 6) AS macro_f1, n_rows "
+            f"round((({f1[0]}) + ({f1[1]}) + ({f1[2]})) / 3, {digits}) AS macro_f1, n_rows "
             f"FROM (SELECT run_tag, {sums}, COUNT(*)::BIGINT AS n_rows FROM {_RESP_SCORED} GROUP BY run_tag)")
 
 
@@ -470,11 +493,11 @@ def q_score_line(spark, sf):
 
 
 @register("compare_runs", with_ctes(["responses"], f"""
-SELECT arg_max(run_tag, (macro_f1, run_tag)) AS best_run, max(macro_f1) AS best_macro_f1, COUNT(*)::BIGINT AS n_runs
-FROM ({_score_line_sql()})"""))
+SELECT arg_max(run_tag, (macro_f1, run_tag)) AS best_run, round(max(macro_f1), 6) AS best_macro_f1, COUNT(*)::BIGINT AS n_runs
+FROM ({_score_line_sql(15)})"""))
 def q_compare_runs(spark, sf):
     """Best of the stub runs by macro F1."""
-    return M.compare_runs(M.score_line(scored_responses(spark, sf)).withColumn("macro_f1", F.round("macro_f1", 6)))
+    return M.compare_runs(M.score_line(scored_responses(spark, sf)).withColumn("macro_f1", F.round("macro_f1", 15)))
 
 
 _LOGIT_SRC = (f"(SELECT speech_id, sent_idx, {multi_hot(label_ids('class_code'))} AS gold_vec, {_THRESH_SQL} AS pred_vec "

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stancekit.functions import labels as L
 from stancekit.functions.answers import parse_answer
 from stancekit.functions.hashing import sentence_key, unit_hash
+from stancekit.functions.text import tsv_text
 from stancekit.operators import align as AL
 from stancekit.operators import annotate as AN
 from stancekit.operators import metrics as M
@@ -45,7 +46,7 @@ def q_read_responses(spark, sf):
     path = scratch_path(spark, "responses")
     IO.write_responses(fx.responses(spark, sf), path)
     r = IO.read_responses(spark, path)
-    return r.select("run_tag", *KEY, "class_code", "model_response")
+    return r.select("run_tag", F.col("speech_id").cast("long"), "sent_idx", "class_code", "model_response")
 
 
 @register("write_responses", with_ctes(["responses"], """
@@ -179,41 +180,116 @@ def q_write_list_predictions(spark, sf):
     return spark.read.schema(IO.LIST_SCHEMA).options(**IO.TSV).csv(path).select("idx", "predictions")
 
 
-@register("write_metrics", _report_sql())
-def q_write_metrics(spark, sf):
-    """Baseline report written as JSON and read back."""
-    path = scratch_path(spark, "metrics")
-    IO.write_metrics(M.classification_report(baseline_scored(spark, sf)), path)
-    return IO.read_metrics(spark, path)
+_PARAS = """
+SELECT (row_number() OVER (ORDER BY speech_id, paragraph) - 1) AS idx, speech_id, paragraph, preds, golds FROM (
+  SELECT speech_id, sent_idx // 5 AS paragraph, list(pred_ids ORDER BY sent_idx) AS preds, list(gold_ids ORDER BY sent_idx) AS golds
+  FROM list_sent GROUP BY speech_id, sent_idx // 5)"""
+cte("list_sent", ["logits"], f"""
+SELECT speech_id, sent_idx,
+       list_filter(list_transform(list_transform(logits, lambda x: CAST(x > 0 AS INT)), lambda x, i: CASE WHEN x = 1 THEN i - 1 END), lambda x: x IS NOT NULL) AS pred_ids,
+       {label_ids('class_code')} AS gold_ids
+FROM logits""")
+cte("list_paras", ["list_sent"], _PARAS)
+_NEST = "'[' || array_to_string(list_transform({c}, lambda x: '[' || array_to_string(x, ', ') || ']'), ', ') || ']'"
+
+
+def _paragraph_lists(spark, sf):
+    """(idx, pred_ids, gold_ids): nested id lists per paragraph of 5 sentences."""
+    lg = fx.logits(spark, sf).withColumn("pg", F.struct(
+        L.hot_to_ids(L.threshold_logits(F.col("logits"))).alias("p"), L.label_ids(F.col("class_code")).alias("g")))
+    p = W.global_index(fx.paragraphs(lg, "pg"), ["speech_id", "paragraph"], out="idx")
+    return p.select("idx", F.transform("values", lambda x: x["p"]).alias("pred_ids"), F.transform("values", lambda x: x["g"]).alias("gold_ids"))
+
+
+@register("write_list_predictions_nested", with_ctes(["list_paras"], f"""
+SELECT idx::BIGINT AS idx, {_NEST.format(c='preds')} AS predictions, {_NEST.format(c='golds')} AS labels FROM list_paras"""))
+def q_write_list_predictions_nested(spark, sf):
+    """One list of id lists per paragraph; written, parsed and rendered again."""
+    path = scratch_path(spark, "nested_tsv")
+    IO.write_list_predictions(_paragraph_lists(spark, sf), path)
+    r = IO.read_list_predictions(spark, path, nested=True)
+    return r.select("idx", IO.list_literal("pred_ids", 2).alias("predictions"), IO.list_literal("gold_ids", 2).alias("labels"))
+
+
+@register("write_list_predictions_binary", with_ctes(["list_paras"], """
+SELECT idx::BIGINT AS idx, '[' || array_to_string(list_transform(preds, lambda x: CAST(len(list_filter(x, lambda i: i <> 0)) > 0 AS INT)), ', ') || ']' AS predictions,
+       '[' || array_to_string(list_transform(golds, lambda x: CAST(len(list_filter(x, lambda i: i <> 0)) > 0 AS INT)), ', ') || ']' AS labels FROM list_paras"""))
+def q_write_list_predictions_binary(spark, sf):
+    """One 0/1 per sentence of a paragraph: any class but 0."""
+    some = lambda c: F.transform(c, lambda x: F.exists(x, lambda i: i != 0).cast("int"))
+    path = scratch_path(spark, "binary_tsv")
+    IO.write_list_predictions(_paragraph_lists(spark, sf).select("idx", some("pred_ids").alias("pred_ids"), some("gold_ids").alias("gold_ids")), path)
+    return spark.read.schema(IO.LIST_SCHEMA).options(**IO.TSV).csv(path)
+
+
+@register("read_position_tsv_lines", with_ctes(["pred_file"], "SELECT idx::BIGINT AS idx, text, code::BIGINT AS code FROM pred_file"))
+def q_read_position_tsv_lines(spark, sf):
+    """The line counted by the reader: column 0 holds no number."""
+    r = W.global_index(fx.responses(spark, sf).where(F.col("run_tag") == PRED_RUN), KEY, out="idx")
+    code = F.when(_letter_code() >= 0, _letter_code()).otherwise(F.lit(4))
+    path = scratch_path(spark, "line_tsv")
+    rows = r.orderBy("idx").select(F.concat(F.lit("row-"), F.col("idx").cast("string")).alias("name"), "run_tag", F.lit("stub").alias("source"),
+                                   tsv_text(F.col("sentence")).alias("text"), code.cast("int").alias("code"))
+    rows.write.options(**IO.TSV_WRITE).csv(path)
+    return IO.read_position_tsv(spark, path, index="line").select("idx", "text", "code")
 
 
-@register("write_relevance", with_ctes(["rel_linear"], """
-SELECT speech_id, sent_idx, class_id::BIGINT AS class_id, term, round(relevance, 6) AS relevance FROM rel_linear"""))
+@register("write_metrics", f"""
+SELECT 'test' AS split, (SELECT COUNT(*) FROM ({with_ctes(['test_rows'], 'SELECT * FROM test_rows')}))::BIGINT AS n_samples, r.*
+FROM (\n{_report_sql()}\n) r""")
+def q_write_metrics(spark, sf):
+    """Baseline report with its split and sample count, written as JSON and read back."""
+    path = scratch_path(spark, "metrics")
+    counts = M.sample_counts(fx.sentences(spark, sf))
+    IO.write_metrics(M.classification_report(baseline_scored(spark, sf)), path, "test", counts)
+    return IO.read_metrics(spark, path, splits=True)
+
+
+@register("write_relevance", with_ctes(["rel_linear", "explained", "test_margins", "test_rows"], """
+SELECT e.speech_id, e.sent_idx, e.class_id::BIGINT AS class_id, COALESCE(t.tokens, '') AS tokens, COALESCE(t.scores, '') AS scores,
+       m.pred_vec, r.class_code::BIGINT AS gold, m.logits
+FROM explained e
+LEFT JOIN (SELECT speech_id, sent_idx, class_id, string_agg(term, '|' ORDER BY term) AS tokens,
+                  string_agg(CAST(CAST(round(relevance * 10000) AS BIGINT) AS VARCHAR), '|' ORDER BY term) AS scores
+           FROM rel_linear GROUP BY ALL) t ON t.speech_id = e.speech_id AND t.sent_idx = e.sent_idx AND t.class_id = e.class_id
+JOIN (SELECT speech_id, sent_idx, string_agg(CAST(CAST(margin > 0 AS INT) AS VARCHAR), ',' ORDER BY label) AS pred_vec,
+             string_agg(CAST(CAST(round(margin * 10000) AS BIGINT) AS VARCHAR), ',' ORDER BY label) AS logits
+      FROM test_margins GROUP BY ALL) m ON m.speech_id = e.speech_id AND m.sent_idx = e.sent_idx
+JOIN test_rows r ON r.speech_id = e.speech_id AND r.sent_idx = e.sent_idx"""))
 def q_write_relevance(spark, sf):
-    """Linear relevance rows as Parquet partitioned by class, read back."""
-    tt, coef, _, ex = q_attribution.linear_explained(spark, sf)
-    path = scratch_path(spark, "relevance")
+    """Per (test row, explained class) tokens, scores, prediction, gold and logits, as Parquet
+    partitioned by class, read back (scores and logits in ten-thousandths)."""
     from stancekit.operators import attribution as A
-    IO.write_relevance(A.relevance_linear(tt, coef, ex), path)
-    return spark.read.parquet(path).select(*KEY, F.col("class_id").cast("long"), "term", "relevance")
+    from stancekit.operators import linear as LN
+
+    tt, coef, m, ex = q_attribution.linear_explained(spark, sf)
+    side = LN.predictions(m).join(_test(spark, sf).select(*KEY, F.col("class_code").alias("gold")), KEY)
+    path = scratch_path(spark, "relevance")
+    IO.write_relevance(IO.relevance_rows(A.relevance_linear(tt, coef, ex), ex.drop("logit").join(side, KEY)), path)
+    r = spark.read.parquet(path)
+    ten = lambda c: F.transform(c, lambda x: F.round(x * 10000).cast("long").cast("string"))
+    return r.select(*KEY, F.col("class_id").cast("long"), F.array_join("tokens", "|").alias("tokens"), F.array_join(ten("scores"), "|").alias("scores"),
+                    F.array_join(F.transform("pred_vec", lambda x: x.cast("string")), ",").alias("pred_vec"), "gold",
+                    F.array_join(ten("logits"), ",").alias("logits"))
 
 
 # ------------------------------------------------------------- scoring rows
-MAX_CHARS = 1000
+FAIL_SHARE = 0.02
 _ZS = q_prompts.s_zero("sentence")
+_SHORT_NAMES = "[" + ", ".join(lit(x.split(") ", 1)[1].split(" ")[0]) for x in L.FULL_LABELS) + "]"
 cte("annotated", ["test_rows"], f"""
 SELECT speech_id, sent_idx, class_code, p,
-       CASE WHEN length(p) > {MAX_CHARS} THEN NULL
-            ELSE {lit(AN.ANSWER_OPENING)} || ['a', 'b', 'c', 'd'][code + 1] || ') ' || split_part(['No populism', 'Anti-elitism', 'People-centrism', 'Both people-centrism and anti-elitism'][code + 1], ' ', 1) END AS model_response,
-       CASE WHEN length(p) > {MAX_CHARS} THEN 'ValueError: prompt longer than the context window' END AS error
+       CASE WHEN fail < {FAIL_SHARE} THEN NULL
+            ELSE {lit(AN.ANSWER_OPENING)} || ['a', 'b', 'c', 'd'][code + 1] || ') ' || {_SHORT_NAMES}[code + 1] END AS model_response,
+       CASE WHEN fail < {FAIL_SHARE} THEN 'ValueError: generation failed' END AS error
 FROM (SELECT *, CASE WHEN u < 0.92 THEN 0 WHEN u < 0.96 THEN 1 WHEN u < 0.98 THEN 2 ELSE 3 END AS code
-      FROM (SELECT *, ('0x' || substr(md5(p), 1, 8))::BIGINT / 4294967296.0 AS u
+      FROM (SELECT *, ('0x' || substr(md5(p), 1, 8))::BIGINT / 4294967296.0 AS u, ('0x' || substr(md5(p), 9, 8))::BIGINT / 4294967296.0 AS fail
             FROM (SELECT speech_id, sent_idx, class_code, {_ZS} AS p FROM test_rows)))""")
 
 
-def annotated(spark, sf):
+def annotated(spark, sf, raising: bool = False):
     p = P.prompt_zero_shot(_test(spark, sf)).drop("messages")
-    return AN.annotate(p, lambda: AN.StubScorer(MAX_CHARS), "prompt", max_units=2)
+    return AN.annotate(p, lambda: AN.StubScorer(FAIL_SHARE, raising), "prompt", max_units=2)
 
 
 @register("annotate", with_ctes(["annotated"], "SELECT speech_id, sent_idx, model_response, error FROM annotated"))
@@ -224,8 +300,8 @@ def q_annotate(spark, sf):
 
 @register("quarantine_failed", with_ctes(["annotated"], "SELECT speech_id, sent_idx, error FROM annotated WHERE error IS NOT NULL"))
 def q_quarantine_failed(spark, sf):
-    """Rows whose scoring failed, kept aside with the error."""
-    _, bad = AN.split_failed(annotated(spark, sf))
+    """Rows whose scoring failed, kept aside with the error; the scorer raises for its whole batch."""
+    _, bad = AN.split_failed(annotated(spark, sf, raising=True))
     return bad.select(*KEY, "error")
 
 
