@@ -112,3 +112,53 @@ def test_split_contractions(spark):
     t5 = spark.createDataFrame([("▁(12)",), ("▁$45",), ("▁7,",)], "t string")
     got = [[p["token"] for p in r[0]] for r in t5.select(A.split_contractions("t", "t5")).collect()]
     assert got == [["▁(", "12", ")"], ["▁$", "45"], ["▁7", ","]]
+
+
+@pytest.mark.parametrize("agg,scores", [("max", [.4, .3, .7, -.1]), ("sum", [.6, .3, .4, -.1])])
+def test_align_to_words(spark, agg, scores):
+    """Pieces cut inside words, a hyphen that the words keep, a mark without letters."""
+    pieces = spark.createDataFrame([(0, 0, i, p, s) for i, (p, s) in enumerate(zip(
+        ["peace", "fully", "to", "co", "-", "exist", "!"], [.4, .2, .3, .7, -.5, .2, -.1]))],
+        "speech_id long, sent_idx int, pos int, piece string, score double")
+    words = spark.createDataFrame([(0, 0, i, w) for i, w in enumerate(["peacefully", "to", "co-exist", "!"])],
+                                  "speech_id long, sent_idx int, word_idx int, word string")
+    got = A.align_to_words(pieces, words, agg).orderBy("word_idx").collect()
+    assert [(r["word"], r["text"], round(r["score"], 6), r["aligned"]) for r in got] == [
+        ("peacefully", "peacefully", scores[0], True), ("to", "to", scores[1], True),
+        ("co-exist", "co-exist", scores[2], True), ("!", "!", scores[3], True)]
+
+
+def test_run_tag_parts(spark):
+    from stancekit.sources.runs import run_tag
+    df = spark.range(1).select(run_tag("org/Model-7B", lora=True, dist=True, prior=True, rag=True, k=8, seed=3), run_tag("Model", prior=True))
+    assert tuple(df.first()) == ("Model-7B_lora_dist_use_prior_rag_k_8_seed_3", "Model_use_prior_k_0_seed_42")
+
+
+def test_corrupt_responses(spark, tmp_path):
+    from stancekit.sources import io as IO
+    d = tmp_path / "run_tag=x"
+    d.mkdir()
+    (d / "a.json").write_text('{"speech_id": "s-1", "sent_idx": 0, "class_code": 1, "model_response": "(a)"}\n{broken\n{"speech_id": 7, "sent_idx": 1, "class_code": 2, "model_response": null}\n')
+    rows = IO.read_responses(spark, str(tmp_path)).cache().collect()
+    assert sorted((r["speech_id"], r["_corrupt_record"]) for r in rows if r["speech_id"]) == [("7", None), ("s-1", None)]
+    assert [r["_corrupt_record"] for r in rows if r["speech_id"] is None] == ["{broken"]
+
+
+def test_line_index(spark, tmp_path):
+    from stancekit.sources import io as IO
+    for name, part in (("a.tsv", range(0, 700)), ("b.tsv", range(700, 1000))):
+        (tmp_path / name).write_text("name\trun\tsrc\ttext\tcode\n" + "".join(f"row\tx\ty\t\"text {i}\t{i % 4}\n" for i in part))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128")
+    try:
+        rows = IO.read_position_tsv(spark, str(tmp_path), index="line").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted((r["idx"], r["text"], r["code"]) for r in rows) == [(i, f'"text {i}', i % 4) for i in range(1000)]
+
+
+def test_letter_vector_names(spark):
+    df = spark.createDataFrame([("a",), ("(b)",), ("(C) People-centrism",), ("both people-centrism and anti-elitism ",), ("x",), (None,)], "s string")
+    got = [r[0] if r[0] is None else list(r[0]) for r in df.select(L.letter_vector("s")).collect()]
+    assert got == [[1, 0, 0], [0, 1, 0], [0, 0, 1], [0, 1, 1], None, None]

@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
+from stancekit.operators import attribution as A
 from stancekit.operators import features as FE
 from stancekit.operators import metrics as M
 from stancekit.operators import retrieval as R
@@ -41,15 +42,22 @@ def test_context_window_is_blocked(spark):
     assert "hashpartitioning(speech_id" in p and "_blk" in p
 
 
-def test_tfidf_one_row_exchange(spark):
-    tr = S.upsample_weights(fx.sentences(spark, SF_SMALL).where("split = 'train'"))
-    vocab, terms = FE.fit_tfidf(tr, weight_col="copies")
-    df = FE.tfidf(terms, vocab)
-    df.count()
-    p = _plan(df)
-    window_part = p[: p.index("InMemoryTableScan")] if "InMemoryTableScan" in p else p
-    assert "Exchange hashpartitioning(speech_id" not in window_part   # norm window reuses the row partitioning
-    terms.unpersist()
+def test_tfidf_is_map_only(spark):
+    rows = spark.createDataFrame([(1, 0, "a text of some words", 1)], "speech_id long, sent_idx int, sentence string, copies int")
+    vocab = spark.createDataFrame([("text", 1.5), ("some words", 2.0)], "term string, idf double")
+    assert "Exchange" not in _plan(FE.tfidf(rows, vocab))
+    assert "Exchange" not in _plan(FE.term_counts(rows))
+    terms = FE.vocabulary(FE.term_counts(rows), F.lit(1.0), 1)
+    below = _plan(terms.select("term"))
+    assert below.count("Exchange hashpartitioning") == 1 and "hashpartitioning(term" in below   # the term aggregate's own
+
+
+def test_merges_of_arrays_need_no_exchange(spark):
+    x = fx.bpe_arrays(spark, SF_SMALL, "sentence").select("toks", "scores", F.split("sentence", " ", -1).alias("words"))
+    base = _plan(x).count("Exchange")
+    for c in (A.words_max("toks", "scores"), A.words_sum("toks", "scores"), A.merge_hyphens("toks", "scores"),
+              A.merge_symbols("toks", "scores"), A.align_words("toks", "scores", "words")):
+        assert _plan(x.select(c.alias("m"))).count("Exchange") == base
 
 
 def test_knn_has_no_pairwise_join(spark):
@@ -58,4 +66,4 @@ def test_knn_has_no_pairwise_join(spark):
     c = v.where("role = 'corpus'").select(F.col("vec_id").alias("cid"), "embedding")
     p = _plan(R.knn_cosine(q, c, 8))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
-    assert "MapInPandas" in p or "PythonMapInArrow" in p or "MapInArrow" in p
+    assert "FlatMapCoGroups" in p

@@ -94,7 +94,7 @@ def test_knn_blocked_matches_brute_force(spark):
     v = fx.vectors(spark, SF_MID)
     q = v.where("role = 'query'").select(F.col("vec_id").alias("qid"), "embedding")
     c = v.where("role = 'corpus'").select(F.col("vec_id").alias("cid"), "embedding")
-    got = {(r["qid"], r["rank"]): r["cid"] for r in R.knn_cosine(q, c, 5, max_block=7).collect()}
+    got = {(r["qid"], r["rank"]): r["cid"] for r in R.knn_cosine(q, c, 5, block_bytes=4096).collect()}
     qs, cs = q.collect(), c.collect()
     cm = np.array([np.asarray(r[1], dtype=float) for r in cs])
     cm = cm / np.linalg.norm(cm, axis=1)[:, None]
@@ -107,68 +107,188 @@ def test_knn_blocked_matches_brute_force(spark):
             assert got[(r[0], rank)] == cid[j]
 
 
-def _py_hyphens(t, s):
-    out, i = [], 0
-    while i < len(t):
-        if i + 1 < len(t) and t[i + 1] == "-" and i + 2 < len(t):
-            out.append((t[i] + t[i + 1] + t[i + 2], s[i] + s[i + 1] + s[i + 2]))
-            i += 3
-        else:
-            out.append((t[i], s[i]))
-            i += 1
-    return out
+TOKENS = ["a", "-", "(", ")", "$", "%", '"', "'", "b", "cd"]
 
 
-def _py_symbols(t, s):
-    opens, closes = set(A.OPEN_SYMBOLS), set(A.CLOSE_SYMBOLS)
-    out, i, n = [], 0, len(t)
-    while i <= n - 1:
-        tok, sc = t[i], s[i]
-        if i <= n - 2:
-            if t[i] in opens:
-                tok, sc, i = tok + t[i + 1], sc + s[i + 1], i + 1
-            if i < n - 1 and t[i + 1] in closes:
-                tok, sc, i = tok + t[i + 1], sc + s[i + 1], i + 1
-        out.append((tok, sc))
-        i += 1
-    return out
+def _folded(spark, fn, rows):
+    df = spark.createDataFrame([(i, t, [float(1 << k) for k in range(len(t))]) for i, t in enumerate(rows)],
+                               "i int, t array<string>, s array<double>")
+    return {r["i"]: [(x["token"], x["score"]) for x in r["m"]] for r in df.select("i", fn("t", "s").alias("m")).collect()}
 
 
-def test_folds_match_brute_force(spark):
-    arr = A.token_arrays(fx.symbol_tokens(spark, SF_MID))
-    for fn, py in ((A.merge_hyphens, _py_hyphens), (A.merge_symbols, _py_symbols)):
-        out = arr.select("toks", "scores", fn(F.col("toks"), F.col("scores")).alias("m")).collect()
-        for r in out:
-            want = [(a, round(b, 9)) for a, b in py(list(r["toks"]), list(r["scores"]))]
-            got = [(x["token"], round(x["score"], 9)) for x in r["m"]]
-            assert got == want
+def _runs(tokens, merged):
+    """Lengths of the runs; scores are powers of two, so each says which tokens it holds."""
+    out, at = [], 0
+    for token, score in merged:
+        n = 0
+        while sum(1 << k for k in range(at, at + n)) < score:
+            n += 1
+        assert sum(1 << k for k in range(at, at + n)) == score and "".join(tokens[at:at + n]) == token
+        out.append(tokens[at:at + n])
+        at += n
+    assert at == len(tokens)            # every token and score is kept, in order
+    return out
 
 
-def test_lsh_recall(spark):
+def test_fold_properties(spark):
+    rng = np.random.default_rng(3)
+    rows = [[TOKENS[k] for k in rng.integers(0, len(TOKENS), rng.integers(0, 25))] for _ in range(300)]
+    for i, merged in _folded(spark, A.merge_hyphens, rows).items():
+        runs = _runs(rows[i], merged)
+        assert all(len(r) == 1 or len(r) == 3 and r[1] == "-" for r in runs)
+        for a, b, c in zip(runs, runs[1:], runs[2:]):      # no hyphen is left that could have joined single tokens
+            assert not (len(a) == len(b) == 1 and b == ["-"])
+    both = set(A.OPEN_SYMBOLS) & set(A.CLOSE_SYMBOLS)
+    for i, merged in _folded(spark, A.merge_symbols, rows).items():
+        runs = _runs(rows[i], merged)
+        for r in runs:
+            assert len(r) <= 3
+            assert len(r) < 3 or r[0] in A.OPEN_SYMBOLS and r[2] in A.CLOSE_SYMBOLS
+            assert len(r) != 2 or r[0] in A.OPEN_SYMBOLS or r[1] in A.CLOSE_SYMBOLS
+        for r, nxt in zip(runs, runs[1:]):
+            assert not (len(r) == 1 and r[0] in A.OPEN_SYMBOLS)                    # a free opening symbol takes its next token
+            assert not (len(r) == 1 and nxt[0] in A.CLOSE_SYMBOLS and r[0] not in both)
+
+
+def test_merges_are_linear(spark):
+    import time
+    took = []
+    for n in (20000, 40000):
+        rows = spark.createDataFrame([(["a", "(", "b", ")", "-"] * (n // 5), [0.5] * n)], "t array<string>, s array<double>")
+        best = 1e9
+        for _ in range(3):
+            t0 = time.time()
+            rows.select(F.size(A.merge_symbols("t", "s")), F.size(A.merge_hyphens("t", "s")), F.size(A.words_max("t", "s"))).collect()
+            best = min(best, time.time() - t0)
+        took.append(best)
+    assert took[1] < 2.0 and took[1] < 4 * took[0]
+
+
+def test_align_rows():
+    got = A.align_row(["—", "—", "—"], [1.0, 1.0, 1.0], ["——", "—"], "sum")
+    assert [(r["word_idx"], r["score"], r["aligned"]) for r in got] == [(0, 1.0, True), (1, 2.0, False)]
+    assert A.align_row(["a", "b"], [1.0, 2.0], [], "sum")[0]["word_idx"] is None
+    assert A.align_row([], [], ["a"]) == []
+    rng = np.random.default_rng(5)
+    parts = ["ab", "—", "c.", "!", "7", "", "é"]
+    for _ in range(300):
+        p = [parts[k] for k in rng.integers(0, 7, rng.integers(0, 9))]
+        w = [parts[k] for k in rng.integers(0, 7, rng.integers(0, 6))]
+        rows = A.align_row(p, [1.0] * len(p), w, "sum")
+        assert sum(r["score"] for r in rows) == len(p)      # no score is lost, whatever the texts
+
+
+def _sides(spark, qid="qid", cid="cid"):
     v = fx.vectors(spark, SF_MID)
-    q = v.where("role = 'query'").select(F.col("vec_id").alias("qid"), "embedding")
-    c = v.where("role = 'corpus'").select(F.col("vec_id").alias("cid"), "embedding")
+    q = v.where("role = 'query'").select(F.col("vec_id").alias(qid), "embedding")
+    return q, v.where("role = 'corpus'").select(F.col("vec_id").alias(cid), "embedding")
+
+
+def test_lsh_finds_k_for_every_query(spark):
+    q, c = _sides(spark)
+    near = R.knn_cosine_lsh(q, c, 8)
     exact = {(r["qid"], r["cid"]) for r in R.knn_cosine(q, c, 8).collect()}
-    approx = {(r["qid"], r["cid"]) for r in R.knn_cosine_lsh(q, c, 8).collect()}
-    assert len(exact & approx) / len(exact) >= 0.3
+    approx = {(r["qid"], r["cid"]) for r in near.collect()}
+    assert len(approx) == len(exact) and len(exact & approx) / len(exact) >= 0.5
+    assert R.knn_cosine_lsh(q, c.limit(3), 8).count() == 3 * q.count()      # fewer rows than k
+    assert R.knn_cosine_lsh(q.limit(0), c, 8).count() == 0
+
+
+def test_knn_with_string_and_wide_keys(spark):
+    q, c = _sides(spark)
+    plain = {(r["qid"], r["rank"]): r["cid"] for r in R.knn_cosine(q, c, 5).collect()}
+    qs = q.withColumn("qid", F.format_string("q-%05d", "qid"))
+    cs = c.withColumn("cid", F.format_string("c-%05d", "cid"))
+    got = {(r["qid"], r["rank"]): r["cid"] for r in R.knn_cosine(qs, cs, 5, block_bytes=8192).collect()}
+    assert got == {(f"q-{a:05d}", k): f"c-{b:05d}" for (a, k), b in plain.items()}
+    wide = q.withColumn("qid", F.col("qid") + (1 << 60))
+    assert {(r["qid"] - (1 << 60), r["rank"]): r["cid"] for r in R.knn_cosine(wide, c, 5).collect()} == plain
+    for a, b in ((q.limit(0), c), (q, c.limit(0))):
+        none = R.knn_cosine(a, b, 5)
+        assert none.columns == ["qid", "cid", "rank", "sim"] and none.count() == 0
+
+
+def test_knn_lexical_blocks_and_string_ids(spark):
+    from stancekit.operators import features as FE
+    s = fx.sentences(spark, SF_SMALL).withColumn("speech_id", F.concat(F.lit("speech "), F.col("speech_id")))
+    tr, te = s.where("split = 'train'"), s.where("split = 'test'")
+    vocab = FE.fit_vocabulary(tr, min_df=5)
+    a, b = FE.tfidf_rows(te, vocab), FE.tfidf_rows(tr, vocab)
+    one = sorted(map(tuple, R.knn_lexical(a, b, 3).collect()))
+    many = sorted(map(tuple, R.knn_lexical(a, b, 3, block_bytes=20000).collect()))
+    assert one == many and one and one[0][0].startswith("speech ")
+    assert R.knn_lexical(a.limit(0), b, 3).count() == 0
+
+
+def test_windows_with_gaps(spark):
+    rows = [("s", p, f"t{p}") for p in range(0, 60, 3)] + [("t", 1000000, "x"), ("t", 2000000, "y")]
+    df = spark.createDataFrame(rows, "speech_id string, sent_idx int, sentence string")
+    sizes = []
+    for block in (2, 9, 4096):
+        got = {(r["speech_id"], r["sent_idx"]): list(r["context"]) for r in W.prior_context(df, 5, block=block).collect()}
+        sizes.append(got)
+        assert got[("s", 21)] == ["t6", "t9", "t12", "t15", "t18"] and got[("t", 2000000)] == ["x"]
+        starts = W.speech_reset(df, block=block).where("is_start = 1").select(*KEY).collect()
+        assert sorted(map(tuple, starts)) == [("s", 0), ("t", 1000000)]
+        packed = {(r[0], r[1]): list(r[2]) for r in W.pack_window(df, block=block).select(*KEY, "units").collect()}
+        sizes.append(packed)
+    assert sizes[0] == sizes[2] == sizes[4] and sizes[1] == sizes[3] == sizes[5]
 
 
 def test_kshot_short_class_raises(spark):
     import pytest
     tr = fx.sentences(spark, SF_SMALL).where("split = 'train'")
     with pytest.raises(ValueError):
-        S.kshot_sample(tr, 64, strict=True)
-    assert S.kshot_sample(tr, 16, strict=True).count() == 16
+        S.kshot_sample(tr, 64)
+    assert S.kshot_sample(tr, 16).count() == 16
+    assert 16 < S.kshot_sample(tr, 64, strict=False).count() < 64
 
 
 def test_annotate_failures_kept(spark):
     from stancekit.operators import annotate as AN
     from stancekit.operators import prompts as P
-    t = fx.sentences(spark, SF_SMALL).where("split = 'test'")
-    a = AN.annotate(P.prompt_zero_shot(t).drop("messages"), lambda: AN.StubScorer(700))
-    ok, bad = AN.split_failed(a)
+    t = P.prompt_zero_shot(fx.sentences(spark, SF_SMALL).where("split = 'test'")).drop("messages")
+    t = t.withColumn("prompt", F.concat("prompt", F.when(F.col("sent_idx") % 50 == 0, F.repeat(F.lit("long "), 20000)).otherwise("")))
+    quiet = AN.annotate(t, lambda: AN.StubScorer(0.05))
+    loud = AN.annotate(t, lambda: AN.StubScorer(0.05, raising=True))     # one exception must not end the job
+    ok, bad = AN.split_failed(loud)
     assert ok.count() + bad.count() == t.count() and bad.count() > 0
     assert bad.where("model_response is not null").count() == 0
+    assert sorted(map(str, loud.collect())) == sorted(map(str, quiet.collect()))
+    fails = {(r[0], r[1]) for r in bad.select(*KEY).collect()}
+    want = {(r[0], r[1]) for r in t.select(*KEY, "prompt").collect() if AN.StubScorer.draws(r["prompt"])[1] < 0.05}
+    assert fails == want                                                 # by hash, whatever the length
+
+
+def test_scratch_needs_a_shared_folder(spark):
+    import pytest
+
+    from stancekit import session
+    for master in ("local-cluster[2,1,1024]", "spark://host:7077", "yarn", "k8s://x", ""):
+        with pytest.raises(RuntimeError):
+            session.own_root(master)
+    assert session.own_root("local[4]") and session.own_root("local")
+
+
+def test_nothing_stays_behind(spark):
+    import os
+
+    from stancekit import session
+    from stancekit.plans import catalog
+    qs = catalog.QUERIES_LOADED()
+    before = set(session._persisted(spark))
+    with session.scratch_scope(spark):
+        for name in ("tfidf", "quarantine_failed", "knn_cosine"):
+            qs[name](spark, SF_SMALL).count()
+        made = [p.removeprefix("file:") for p in session._SCRATCH]
+        assert any(os.path.exists(p) for p in made)
+        assert set(session._persisted(spark)) <= before       # no frame is left persisted
+    assert not any(os.path.exists(p) for p in made[-5:])
+
+
+def test_exact_split_of_nothing(spark):
+    s = fx.sentences(spark, SF_SMALL).select(*KEY)
+    assert S.train_test_split_exact(s.limit(0), 0.2, KEY).count() == 0
 
 
 def test_copies_as_weights_equal_physical_copies(spark):
@@ -178,8 +298,8 @@ def test_copies_as_weights_equal_physical_copies(spark):
     tr = fx.sentences(spark, SF_SMALL).where("split = 'train'")
     weighted = S.upsample_weights(tr)
     physical = S.upsample_minority(tr).withColumn("sent_idx", F.col("sent_idx") * 10 + F.col("copy_no"))
-    vocab, _ = FE.fit_tfidf(weighted, weight_col="copies", min_df=5)
-    vocab_p, _ = FE.fit_tfidf(physical, min_df=5)
+    vocab = FE.fit_vocabulary(weighted, weight_col="copies", min_df=5)
+    vocab_p = FE.fit_vocabulary(physical, min_df=5)
     assert sorted(r[0] for r in vocab.select("term").collect()) == sorted(r[0] for r in vocab_p.select("term").collect())
     terms, idf = LN.collect_vocabulary(vocab)
     gold = L.multi_hot(L.label_ids(F.col("class_code")))
