@@ -50,7 +50,7 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def row_blocks(offsets: np.ndarray, size: int = 1 << 21):
+def row_blocks(offsets: np.ndarray, size: int = 1 << 20):
     """Row ranges of about ``size`` bytes (a longer row stands alone): bounds the
     memory of the byte kernels whatever the batch holds."""
     lo, n = 0, len(offsets) - 1
@@ -67,7 +67,7 @@ _POW: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n."""
     if len(_POW.get("up", ())) < n:
-        size = max(n, 1 << 21) + 1
+        size = max(n, 1 << 20) + 1
         inv = np.uint64(pow(int(BASE), -1, 1 << 64))
         for key, base in (("up", BASE), ("down", inv)):
             a = np.full(size, base, np.uint64)

@@ -91,7 +91,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int =
     have = [(1.0 if y > 0 else -1.0, np.frombuffer(b, "<u4")) for b, y in
             sorted(zip(few.column("buckets").to_pylist(), few.column("y").to_pylist()))]      # order of tasks must not matter
     p, q = (np.bincount(np.concatenate([k for t, k in have if t == c] or [np.zeros(0, np.uint32)]), minlength=size) for c in (1.0, -1.0))
-    r = np.log((p + smooth) / (p.sum() + smooth * size)) - np.log((q + smooth) / (q.sum() + smooth * size))
+    r = (np.log((p + smooth) / (p.sum() + smooth * size)) - np.log((q + smooth) / (q.sum() + smooth * size))).astype(np.float32)
     rows, sign = [], []
     for t, k in have:
         v = r[k]

@@ -38,11 +38,18 @@ def _padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(rows) if rows else np.zeros(0, np.int64)), np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
 
 
-def train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, size: int, epochs: int = 30, batch: int = 500,
+def train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, size: int, epochs: int = 30, least_steps: int = 1000, batch: int = 500,
           rate: float = 0.05, decay: float = 1e-5, beta: float = 0.0, seed: int = 5) -> tuple[np.ndarray, float]:
-    """Adam over mini-batches of positives and unlabelled rows in fixed proportion."""
+    """Adam over mini-batches of positives and unlabelled rows in fixed proportion.
+
+    The sigmoid loss is not convex and calling every row negative is a flat place of it, so
+    the start is the naive estimate: log ratios of the words' shares, and the prior's log odds.
+    """
     rng = np.random.default_rng(seed)
     w = np.zeros(size + 1)
+    share = [(np.bincount(_padded(rows)[0], minlength=size) + 0.5) / (len(rows) + 1) for rows in (pos, unl)]
+    w[:-1] = np.log(share[0] / share[1])
+    w[-1] = np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))
     m, v, t = np.zeros(size + 1), np.zeros(size + 1), 0
     steps = max(1, -(-(len(pos) + len(unl)) // batch))
 
@@ -56,7 +63,7 @@ def train(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, size: int,
         g[-1] = slope.mean()
         return s.mean(), g
 
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-least_steps // steps))):
         po, uo = rng.permutation(len(pos)), rng.permutation(len(unl))
         for k in range(steps):
             pick_p = po[k::steps] if len(po[k::steps]) else po[:1]
