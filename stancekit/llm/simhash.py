@@ -22,10 +22,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stancekit.llm import common as C
+from stancekit.llm.features import head_by_hash
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 SAMPLE, LEAF_ROWS, BLOCK = 16384, 8192, 512
@@ -200,7 +201,7 @@ def links(x: np.ndarray, home: np.ndarray, bits: int, seed: int = 0) -> tuple[np
 def near_links(prints: DataFrame, bits: int = MAX_BITS, sample: int = SAMPLE, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """(a, b): links that span the components of distinct fingerprints ``fp`` at most ``bits`` apart."""
     n = prints.count()
-    few = np.asarray(prints.orderBy(F.xxhash64(F.lit(SEED), "fp"), "fp").limit(sample).toArrow().column("fp")).astype(np.int64).view(np.uint64)
+    few = np.asarray(head_by_hash(prints.select("fp"), sample, F.xxhash64(F.lit(SEED), "fp"), "fp", n).toArrow().column("fp")).astype(np.int64).view(np.uint64)
     trees, leaves = [], 0
     for k, (mask, reach) in enumerate(blocks(bits)):
         tree, leaves = grow(few, [(mask, reach), (FULL, bits)], max(4.0, leaf_rows * len(few) / max(n, 1)), leaves, k)
@@ -220,7 +221,8 @@ def near_links(prints: DataFrame, bits: int = MAX_BITS, sample: int = SAMPLE, le
         a, b = links(x, home, bits)
         return pd.DataFrame({"a": x[a].view(np.int64), "b": x[b].view(np.int64)})
 
-    return (prints.select("fp").mapInArrow(place, "leaf int, fp bigint, home boolean")
+    # a partition of its own for each leaf: a shard is the unit of work and of recovery
+    return (prints.select("fp").mapInArrow(place, "leaf int, fp bigint, home boolean").repartition(max(1, leaves), "leaf")
             .groupBy("leaf").applyInPandas(compare, "a bigint, b bigint").distinct())
 
 
@@ -249,7 +251,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE,
-                    bits: int = MAX_BITS) -> DataFrame:
+                    bits: int = MAX_BITS, salts: int = 16) -> DataFrame:
     """One row per document: id, fingerprint (16 hex digits), component_id (the smallest id
     reachable), label (the component's smallest fingerprint).
 
@@ -259,9 +261,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = C.written(docs.select(F.col(id_col), fingerprint(F.col(text_col), n).alias("fp")), "prints")
     prints = C.written(rows.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct-prints")
     linked = components(near_links(prints, bits))
-    named = prints.join(linked, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    known = named.select("fp", "label").join(least, "label")
+    multi = prints.join(linked, "fp")
+    # a component may hold a third of all fingerprints: its smallest id goes to ``salts`` places
+    least = multi.groupBy("label").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    multi = multi.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(salts)).cast("int")).join(least, ["label", "salt"])
+    single = prints.join(linked, "fp", "left_anti").select("fp", F.col("fp").alias("label"), F.col("least").alias("component_id"))
+    known = C.written(multi.select("fp", "label", "component_id").unionByName(single), "known-prints")
     # a fingerprint may hold a third of all rows: one row here, and adaptive execution splits the other side
     return rows.join(known, "fp").select(
         id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "label")
@@ -273,17 +278,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     """
     found = C.written(near_duplicates(docs, id_col, text_col, n, bits), "components")
     stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    per_id = found.groupBy(F.col(id_col).alias("i")).agg(F.count(F.lit(1)).alias("n"))
-    once = stay.join(per_id.where("n = 1"), F.col(id_col) == F.col("i")).select("i")
-    kept = docs.join(once, docs[id_col] == F.col("i"), "left_semi")
-    again = per_id.where("n > 1 or i is null")
+    per_id = found.groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
+    once = stay.join(per_id.where("__n = 1"), F.col(id_col) == F.col("__id")).select("__id")
+    kept = docs.join(once, docs[id_col] == F.col("__id"), "left_semi")
+    again = per_id.where("__n > 1 or __id is null")
     if again.isEmpty():
         return kept
     # ids that several rows share: few in sound data, told apart by fingerprint
-    ids = again.select("i").join(stay.select(F.col(id_col).alias("j"), "fingerprint", "label").distinct(), F.col("i").eqNullSafe(F.col("j")))
-    shared = (docs.withColumn("_fp", F.lower(F.lpad(F.hex(fingerprint(F.col(text_col), n)), 16, "0")))
-              .join(ids.select("i", F.col("fingerprint").alias("_f"), F.col("label").alias("_label")),
-                    F.col(id_col).eqNullSafe(F.col("i")) & (F.col("_fp") == F.col("_f"))))
-    from pyspark.sql import Window
-    first = Window.partitionBy("i", "_label").orderBy(F.col(text_col).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in docs.columns])
-    return kept.unionByName(shared.withColumn("_k", F.row_number().over(first)).where("_k = 1").select(*docs.columns))
+    named = stay.select(F.col(id_col).alias("__j"), F.col("fingerprint").alias("__f"), F.col("label").alias("__label")).distinct()
+    ids = again.select("__id").join(named, F.col("__id").eqNullSafe(F.col("__j")))
+    shared = docs.withColumn("__fp", F.lower(F.lpad(F.hex(fingerprint(F.col(text_col), n)), 16, "0"))).join(
+        ids, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__f")))
+    first = Window.partitionBy("__id", "__label").orderBy(F.col(text_col).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in docs.columns])
+    return kept.unionByName(shared.withColumn("__k", F.row_number().over(first)).where("__k = 1").select(*docs.columns))
