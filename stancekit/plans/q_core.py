@@ -34,7 +34,7 @@ def baseline_scored(spark, sf):
 
 
 # ---- SQL: the same scoring on the DuckDB side ----
-_W = [0.92, 0.04, 0.02, 0.02]
+_W = S.CLASS_SHARES
 _BASE_U = U(str(BASELINE_SEED), KEY_SQL)
 _BASE_CODE = (f"(CASE WHEN {_BASE_U} < {_W[0]} THEN 0 WHEN {_BASE_U} < {_W[0] + _W[1]} THEN 1 "
               f"WHEN {_BASE_U} < {_W[0] + _W[1] + _W[2]} THEN 2 ELSE 3 END)")
