@@ -110,12 +110,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int = 0,
     own = np.bincount(np.concatenate([k for y, k in have if y > 0] or [np.zeros(0, np.int64)]), minlength=size)
     chance = sum(y > 0 for y, _ in have) * count / max(total, 1)
     used = (own >= least_seen) & ((own - chance) >= least_z * np.sqrt(np.maximum(chance, 1e-9)))
-    pos = [k[used[k]] for y, k in have if y > 0]
-    unl = [k[used[k]] for y, k in have if y == 0]
+    column = np.cumsum(used) - 1            # train over the features alone
+    pos = [column[k[used[k]]] for y, k in have if y > 0]
+    unl = [column[k[used[k]]] for y, k in have if y == 0]
     if not pos or not unl:
         return Model(np.zeros(size, np.float32), -5.0)
-    w, b = train(pos, unl, prior, size, seed=seed)
-    return Model(w.astype(np.float32), b)
+    w, b = train(pos, unl, prior, int(used.sum()), seed=seed)
+    weights = np.zeros(size, np.float32)
+    weights[used] = w
+    return Model(weights, b)
 
 
 def score(model: Model, text: Column, bits: int = BITS, words: int = WORDS) -> Column:
