@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 SIM_DIGITS = 9
 BLOCK_BYTES = 64 << 20       # one side of one task
+PART_BYTES = 256 << 10
 SCORE_CELLS = 4_000_000      # largest (queries x rows) score block held by a task
 
 
@@ -142,8 +143,10 @@ def blocked_topk(queries: DataFrame, corpus: DataFrame, qkeys, ckeys, values: li
         return int(df.agg(F.sum(F.lit(8) * cells + 64).cast("long")).first()[0] or 0)
 
     blocks = max(1, -(-measured(q) // block_bytes))
-    least = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks)
-    parts = max(least, -(-measured(c) // block_bytes))
+    size = measured(c)
+    # enough parts to use the cluster, none smaller than PART_BYTES for that alone
+    wide = min(int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks, -(-size // PART_BYTES))
+    parts = max(1, wide, -(-size // block_bytes))
     dealt_q = q.withColumn("_block", F.pmod(F.xxhash64(*qk), F.lit(blocks)).cast("int")).withColumn(
         "_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     dealt_c = c.withColumn("_part", F.pmod(F.xxhash64(*ck), F.lit(parts)).cast("int")).withColumn(
