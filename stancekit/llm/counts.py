@@ -13,10 +13,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stancekit.llm import common as C
 from stancekit.llm.encoder import ChunkEncoder, arrow_text, chunk_starts, encoder
 
 CHUNKS = 16
@@ -199,7 +198,7 @@ def apply_edits(trees: DataFrame, edits: str = "edits", id_col: str = "doc_id",
     return out.withColumnRenamed("id", id_col)
 
 
-def derived_edits(id_col: str = "doc_id", text_col: str = "text", n: int = 3):
+def derived_edits(id_col: str = "doc_id", text_col: str = "text", n: int = 3) -> Column:
     """An edit list for every document from its own text: at ``n`` hashed places up to 40 characters go
     and up to 60 from another place of the text come in."""
     size = F.length(text_col)
