@@ -4,7 +4,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from stancekit.functions import labels as L
-from stancekit.functions.hashing import sentence_key
 from stancekit.operators import attribution as A
 from stancekit.operators import linear as LN
 from stancekit.plans import q_features  # noqa: F401  (registers feature CTEs)

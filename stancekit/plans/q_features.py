@@ -9,7 +9,7 @@ from stancekit.operators import features as FE
 from stancekit.operators import linear as LN
 from stancekit.operators import sampling as S
 from stancekit.plans.catalog import register
-from stancekit.plans.sqlfrag import KEY_SQL, U, cte, lit, with_ctes
+from stancekit.plans.sqlfrag import U, cte, lit, with_ctes
 from stancekit.session import materialize
 from stancekit.sources import fixtures as fx
 from stancekit.functions.text import TOKEN_PATTERN

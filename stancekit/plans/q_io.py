@@ -15,7 +15,7 @@ from stancekit.operators import prompts as P
 from stancekit.operators import windows as W
 from stancekit.plans import q_attribution, q_prompts  # noqa: F401  (register CTEs)
 from stancekit.plans.catalog import register
-from stancekit.plans.q_core import _SCORE_LINE, _report_sql, baseline_scored, sql_report
+from stancekit.plans.q_core import _SCORE_LINE, _report_sql, baseline_scored
 from stancekit.plans.sqlfrag import KEY_SQL, U, cte, label_ids, lit, multi_hot, with_ctes
 from stancekit.plans import sqlfrag as sqlf
 from stancekit.session import scratch_path

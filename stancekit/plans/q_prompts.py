@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stancekit.functions.labels import FULL_LABELS, LETTERS
+from stancekit.functions.labels import FULL_LABELS
 from stancekit.functions.text import collapse_newlines
 from stancekit.operators import prompts as P
 from stancekit.operators import sampling as S

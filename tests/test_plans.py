@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL
 from stancekit.operators import attribution as A
 from stancekit.operators import features as FE
-from stancekit.operators import metrics as M
 from stancekit.operators import retrieval as R
 from stancekit.operators import sampling as S
 from stancekit.operators import windows as W
