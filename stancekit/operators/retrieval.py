@@ -212,33 +212,77 @@ def lsh_model(corpus: DataFrame, vec: str, dims: int, bits: int, tables: int, se
     return planes, np.median(np.einsum("nd,tbd->tbn", x, planes), axis=2)
 
 
+def lsh_bits(sims: np.ndarray, shared: np.ndarray, kth: np.ndarray, most: int, tables: int, recall: float) -> tuple[int, float, float]:
+    """(bits, cut, share of all pairs met) for the least work that holds ``recall``.
+
+    ``sims`` and ``shared`` are the similarity of true neighbours of a query sample and the longest
+    start their keys share in any table, so with keys of b bits a pair is met if ``shared >= b``. Pairs
+    are put into ten groups by similarity; ``cut`` is the top of the highest group whose share of
+    met pairs is not certain (two standard errors) to reach ``recall``. Queries with a k-th score up to
+    ``cut`` are searched exactly, which ``kth`` (the sample's k-th scores) tells the share of.
+    """
+    best = (0, np.inf, 1.0)
+    groups = [g for g in np.array_split(np.argsort(sims, kind="stable"), 10) if len(g)]
+    for bits in range(1, most + 1):
+        met = [(shared[g] >= bits).mean() for g in groups]
+        low = [sims[g[-1]] for g, m in zip(groups, met) if m - 2 * np.sqrt(m * (1 - m) / len(g)) < recall]
+        cut = max(low, default=-np.inf)
+        share = tables / (1 << bits) + float((kth <= cut).mean())
+        if share < best[2]:
+            best = (bits, float(cut), share)
+    return best
+
+
 def knn_cosine_lsh(queries: DataFrame, corpus: DataFrame, k: int = 8, qid="qid", cid="cid", vec: str = "embedding",
-                   tables: int = 14, bucket_rows: int = 32, least_bits: int = 5, salts: int = 8, seed: int = 7) -> DataFrame:
+                   tables: int = 14, bucket_rows: int = 32, least_bits: int = 5, salts: int = 8, seed: int = 7,
+                   recall: float = 0.9, sample: int = 256, most_met: float = 0.25) -> DataFrame:
     """Approximate form: a bucket key of several projections per table, exact scores of
-    the rows that share a bucket, top-k; queries that met fewer than k rows are
-    searched exactly, so every query gets its k.
-
-    A bucket holds about ``bucket_rows`` corpus rows; a hot one is split over ``salts``. No
-    distance cut. Recall is below 1 (on vectors without clusters about 0.6, for a fifth to a third
-    of all pairs met); the exact form is the default.
+    the rows that share a bucket, top-k.
+
+    ``recall`` holds at every size: ``sample`` queries are searched exactly and the bits are chosen
+    from how long a start of the keys their true neighbours share (``lsh_bits``). Queries that met fewer
+    than k rows, or whose k-th score is one at which neighbours are missed too often, are searched
+    exactly. Where all this would meet more than ``most_met`` of all pairs (vectors without
+    clusters), all queries are searched exactly. A bucket holds ``bucket_rows`` corpus rows or
+    more; a hot one is split over ``salts``.
     """
     from stancekit.session import materialize
 
     q, c = _keys(qid), _keys(cid)
     qk, ck = [f"q{j}" for j in range(len(q))], [f"c{j}" for j in range(len(c))]
-    qs = materialize(queries.select(*[F.col(n).alias(a) for n, a in zip(q, qk)], F.col(vec).cast("array<double>").alias("qv")), "lsh-q")
-    cs = materialize(corpus.select(*[F.col(n).alias(a) for n, a in zip(c, ck)], F.col(vec).cast("array<double>").alias("cv")), "lsh-c")
+    qs = materialize(queries.where(F.col(vec).isNotNull()).select(*[F.col(n).alias(a) for n, a in zip(q, qk)], F.col(vec).cast("array<double>").alias("qv")), "lsh-q")
+    cs = materialize(corpus.where(F.col(vec).isNotNull()).select(*[F.col(n).alias(a) for n, a in zip(c, ck)], F.col(vec).cast("array<double>").alias("cv")), "lsh-c")
     stat = cs.agg(F.count(F.lit(1)), F.max(F.size("cv"))).first()
     n, dims = stat[0], stat[1] or 1
-    bits = max(least_bits, int(np.ceil(np.log2(max(2, n / bucket_rows)))))
-    planes, middle = lsh_model(cs, "cv", dims, bits, tables, seed)
+    most = max(least_bits, int(np.ceil(np.log2(max(2, n / bucket_rows)))))
+    planes, middle = lsh_model(cs, "cv", dims, most, tables, seed)
 
-    @F.pandas_udf("array<long>")
-    def buckets(v: pd.Series) -> pd.Series:
+    def exact(some: DataFrame) -> DataFrame:
+        return blocked_topk(some.withColumnRenamed("qv", "vec"), cs.withColumnRenamed("cv", "vec"), qk, ck, ["vec"], k, dense_scorer).select(*qk, *ck, "rank", "sim")
+
+    def named(out: DataFrame) -> DataFrame:
+        return out.select(*[F.col(a).alias(b) for a, b in zip(qk, q)], *[F.col(a).alias(b) for a, b in zip(ck, c)], "rank", "sim")
+
+    def sides(v: pd.Series, bits: int) -> np.ndarray:
         x = np.stack(v.to_numpy()).astype("float64") if len(v) else np.zeros((0, dims))
         x = x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
-        on = np.einsum("nd,tbd->ntb", x, planes) > middle
-        key = (on * (1 << np.arange(bits))).sum(2) + (np.arange(tables) << 48)
+        return np.einsum("nd,tbd->ntb", x, planes[:, :bits]) > middle[:, :bits]
+
+    @F.pandas_udf("int")
+    def shared(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(np.cumprod(sides(a, most) == sides(b, most), axis=2).sum(2).max(1).astype("int32"))
+
+    # true neighbours of a bounded sample: at most sample * k rows
+    few = materialize(qs.orderBy(F.xxhash64(F.lit(seed), *qk), *qk).limit(sample), "lsh-sample")
+    pairs = cs.join(F.broadcast(exact(few).join(few, qk)), ck).select("rank", "sim", shared("qv", "cv").alias("shared")).collect()
+    rank, sims, start = (np.array([r[j] for r in pairs]) for j in range(3))
+    bits, cut, share = lsh_bits(sims, start, sims[rank == min(k, n)], most, tables, recall) if pairs else (0, 0.0, 1.0)
+    if share > most_met:
+        return named(exact(qs))
+
+    @F.pandas_udf("array<long>")
+    def buckets(v: pd.Series) -> pd.Series:
+        key = (sides(v, bits) * (1 << np.arange(bits))).sum(2) + (np.arange(tables) << 48)
         return pd.Series(list(key))
 
     cb = cs.select("*", F.explode(buckets("cv")).alias("_b")).withColumn("_s", F.pmod(F.xxhash64(*ck), F.lit(salts)))
@@ -249,11 +293,9 @@ def knn_cosine_lsh(queries: DataFrame, corpus: DataFrame, k: int = 8, qid="qid",
     sim = F.round(F.col("_d") / F.greatest(norm(F.col("qv")) * norm(F.col("cv")), F.lit(1e-300)), SIM_DIGITS)
     scored = met.withColumn("_d", dot(F.col("qv"), F.col("cv"))).select(*qk, *ck, sim.alias("sim"))
     near = materialize(ranked(scored.distinct(), qk, ck, k), "lsh-near")
-    full = near.groupBy(*qk).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min(k, n)).drop("_n")
-    short = qs.join(full, qk, "left_anti")
-    rest = blocked_topk(short.withColumnRenamed("qv", "vec"), cs.withColumnRenamed("cv", "vec"), qk, ck, ["vec"], k, dense_scorer)
-    out = near.join(full, qk, "left_semi").select(*qk, *ck, "rank", "sim").unionByName(rest.select(*qk, *ck, "rank", "sim"))
-    return out.select(*[F.col(a).alias(b) for a, b in zip(qk, q)], *[F.col(a).alias(b) for a, b in zip(ck, c)], "rank", "sim")
+    full = near.groupBy(*qk).agg(F.count(F.lit(1)).alias("_n"), F.min("sim").alias("_k")).where((F.col("_n") >= min(k, n)) & (F.col("_k") > F.lit(cut))).select(*qk)
+    out = near.join(full, qk, "left_semi").select(*qk, *ck, "rank", "sim").unionByName(exact(qs.join(full, qk, "left_anti")))
+    return named(out)
 
 
 def retrieved_docs(knn: DataFrame, corpus: DataFrame, qkeys, ckeys, text: str = "sentence",
