@@ -4,8 +4,8 @@ A text is cut into segments of about ``CHUNKS`` chunks; a chunk border is a plac
 pre-token can cross (see encoder.py), so the ids of a text are those of its segments. The
 tree holds character and token sums in heap order (node 1 is the root, the segments are
 the last ``width`` nodes). An edit re-encodes the segments from the one that holds the character before
-it to the one that holds the character after it, puts the result into the first of
-them, empties the others and updates the sums above.
+it to the one that holds the character after it (and the next, if that character is a newline
+at the segment's end), puts the result into the first of them, empties the others and updates the sums above.
 """
 from __future__ import annotations
 
@@ -96,6 +96,10 @@ class Document:
         if first > last:
             first, a = last, b
         stop = b + int(self.chars[width + last])
+        if stop == end + 1 and stop < n and self.text[end] == "\n":
+            # a border behind a lone newline also depends on the character before that newline
+            last, b = locate(self.chars, stop)
+            stop = b + int(self.chars[width + last])
         region = self.text[a:start] + inserted + self.text[end:stop]
         self.text = self.text[:a] + region + self.text[stop:]
         near = self.text[max(0, a - 64):a + len(region) + 64]
