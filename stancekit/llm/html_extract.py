@@ -46,7 +46,9 @@ FOR_TAGS = {"article": 5.0, "main": 4.0}
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 _PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
-_ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_TELLING = frozenset("class id role style hidden aria-hidden itemprop".split())
+_NEXT_BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK - {'option', 'optgroup'}))})(?=[\s/>])", re.I)
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 
 
@@ -68,12 +70,17 @@ def element_weight(name: str, attrs: str, in_article: bool) -> float:
     if attrs and name not in ("html", "body"):
         for m in _ATTR.finditer(attrs):
             key, value = m[1].lower(), (m[2] or "").strip("\"'")
+            if key not in _TELLING:
+                continue
             if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
                 w -= 8.0
             elif key == "style":
                 w -= 8.0 if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) else 0.0
             elif key != "hidden":
-                words = {x.lower() for x in _WORDS.findall(value)}
+                words = set()
+                for token in value.split():
+                    own = {x.lower() for x in _WORDS.findall(token)}
+                    words |= own - {"hidden"} if own & {"overflow", "backface"} else own      # these hide no text
                 if words & AGAINST:
                     w -= 6.0
                 elif words & FOR or value.lower() in FOR:
@@ -81,6 +88,19 @@ def element_weight(name: str, attrs: str, in_article: bool) -> float:
     return w
 
 
+def matching_ends(page: str, name: str, start: int) -> dict[int, int]:
+    """Where the element of each opening tag ``name`` from ``start`` on ends, by the tag's position;
+    tags without an end tag are left out, self-closing ones hold nothing."""
+    ends, opened = {}, []
+    for t in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*>", re.I).finditer(page, start):
+        if not t[1]:
+            if not t[0].endswith("/>"):
+                opened.append(t.start())
+        elif opened:
+            ends[opened.pop()] = t.end()
+    return ends
+
+
 class Block:
     __slots__ = ("text", "linked", "at", "heading", "item")
 
@@ -96,6 +116,8 @@ def blocks(page: str) -> list[Block]:
     buffer: list[str] = []
     linked = links = articles = 0
     n, pos, odd = len(page), 0, False
+    ends_of: dict[str, dict[int, int]] = {}
+    bare: set[str] = set()      # elements of raw text that have no end tag from here on
 
     def flush() -> None:
         nonlocal linked
@@ -154,22 +176,27 @@ def blocks(page: str) -> list[Block]:
         pos = m.end()
         if not closing:
             if name in RAW and not attrs.endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, pos)
-                pos = end.end() if end else n
+                end = None if name in bare else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, pos)
+                if end:
+                    pos = end.end()
+                elif name in ("script", "style"):
+                    pos = n
+                else:               # not closed: its own text goes, up to the next tag
+                    bare.add(name)
+                    lt = page.find("<", pos)
+                    pos = n if lt < 0 else lt
                 continue
             if name in SKIPPED and name != "head":
-                # nested skipping: to the matching end, or to the page's end
-                depth, seek = 1, re.compile(rf"<(/?){re.escape(name)}\b[^>]*>", re.I)
                 if attrs.endswith("/"):
                     continue
-                while depth:
-                    t = seek.search(page, pos)
-                    if not t:
-                        pos = n
-                        break
-                    depth += -1 if t[1] else 1
-                    pos = t.end()
-                continue
+                if name not in ends_of:
+                    ends_of[name] = matching_ends(page, name, lt)
+                if lt in ends_of[name]:
+                    pos = ends_of[name][lt]
+                elif name in ("select", "datalist"):        # not closed: its options go
+                    border = _NEXT_BLOCK.search(page, pos)
+                    pos = border.start() if border else pos
+                continue                                    # any other that is not closed: the tag alone
             if name == "br":
                 buffer.append(" ")
                 continue
