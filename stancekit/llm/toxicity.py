@@ -85,9 +85,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int = 0,
         seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Learn from confirmed rows outside ``fold`` and unlabelled texts.
 
-    Features are buckets that at least ``least_seen`` confirmed examples have, and
-    ``least_z`` standard deviations more of them than the document frequency over the whole
-    corpus lets expect. Without a confirmed example every text scores below 0.5.
+    Features are buckets that at least ``least_seen`` confirmed examples have (with few examples
+    the root of their number, but two), and ``least_z`` standard deviations more of them than the
+    document frequency over the whole corpus lets expect. Without a confirmed example every text
+    scores below 0.5.
     """
     y = X.labelled(docs, labels, label, fold, folds, id_col)
     stats = y.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("y") > 0, 1).otherwise(0)).alias("p")).first()
@@ -109,7 +110,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int = 0,
     # a word is a feature if confirmed examples have it oftener than chance, by the corpus-wide share, explains
     own = np.bincount(np.concatenate([k for y, k in have if y > 0] or [np.zeros(0, np.int64)]), minlength=size)
     chance = sum(y > 0 for y, _ in have) * count / max(total, 1)
-    used = (own >= least_seen) & ((own - chance) >= least_z * np.sqrt(np.maximum(chance, 1e-9)))
+    # of few examples no five may share a word; a word of one example says nothing
+    floor = min(least_seen, max(2, round(sum(y > 0 for y, _ in have) ** 0.5)))
+    used = (own >= floor) & ((own - chance) >= least_z * np.sqrt(np.maximum(chance, 1e-9)))
     column = np.cumsum(used) - 1            # train over the features alone
     pos = [column[k[used[k]]] for y, k in have if y > 0]
     unl = [column[k[used[k]]] for y, k in have if y == 0]
