@@ -144,3 +144,29 @@ def sample_texts(docs: DataFrame, few: DataFrame, id_col: str = "doc_id", text:
     one = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     # the caps of the sample bound what is broadcast: two numbers a row
     return one.join(F.broadcast(few), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+
+
+def key_filter(keys: DataFrame, col: str, bits: int = 24):
+    """A Column function: may the key be in ``keys``? A bitmap of 2**bits hashed places, whatever the
+    number of keys: never wrongly false; true by chance as often as the bitmap is full."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    at = keys.select(place(F.col(col)).alias("p"))
+    got = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("b")).toArrow()   # at most 2**(bits - 6) rows
+    words = np.zeros(1 << (bits - 6), np.int64)
+    words[np.asarray(got.column("w"))] = np.asarray(got.column("b"))
+
+    @F.arrow_udf("boolean")
+    def may(column: pa.Array) -> pa.Array:
+        p = np.asarray(column)
+        return pa.array(((words[p >> 6] >> (p & 63)) & 1).astype(bool))
+
+    return lambda c: may(place(c))
+
+
+def labelled_texts(docs: DataFrame, y: DataFrame, fold: int, folds: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(text, p, q) of every document with a label in ``y``: p and q say its class. Rows that share an id all count.
+    Where the labels are too many to be broadcast, a filter of bounded size keeps most other texts from moving."""
+    one = docs.where(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds != fold)
+    one = one.where(key_filter(y.select(F.col("id").cast(docs.schema[id_col].dataType).alias("id")), "id")(F.col(id_col)))
+    return one.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(y, "id").select(
+        "text", (F.col("y") > 0).cast("int").alias("p"), (F.col("y") <= 0).cast("int").alias("q"))

@@ -1,8 +1,8 @@
 """Quality classifier: n-gram indicators scaled by class log-count ratios, linear hinge
 loss by dual coordinate descent, logistic calibration.
 
-Ratios and weights are fitted on at most ``cap`` labelled documents of the learning
-folds, a fixed sample by hash of the id; every document is scored.
+Ratios come from all labelled documents of the learning folds, weights from at most
+``cap`` of them, a fixed sample by hash of the id; every document is scored.
 """
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stancekit.llm import common as C
 from stancekit.llm import features as X
 
 BITS, WORDS, SHAPES = 18, 2, 3
@@ -85,12 +86,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int =
     No usable labels, or one class only, gives a model that scores every text alike:
     0.5, or that class's side.
     """
-    y = X.labelled(docs, labels, label, fold, folds, id_col)
+    # written, so that its size is known before the join: a small one is broadcast and no text moves
+    y = C.written(X.labelled(docs, labels, label, fold, folds, id_col), "quality-labels")
     size = 1 << bits
     few = X.sparse_rows(X.sample_texts(docs, X.first_by_hash(y, cap, seed), id_col, text_col), ["y"], bits, words, shapes).toArrow()
     have = [(1.0 if y > 0 else -1.0, np.frombuffer(b, "<u4")) for b, y in
             sorted(zip(few.column("buckets").to_pylist(), few.column("y").to_pylist()))]      # order of tasks must not matter
-    p, q = (np.bincount(np.concatenate([k for t, k in have if t == c] or [np.zeros(0, np.uint32)]), minlength=size) for c in (1.0, -1.0))
+    got = X.bucket_counts(X.labelled_texts(docs, y, fold, folds, id_col, text_col), ["p", "q"], bits, words, shapes).toArrow()   # at most 2**bits rows
+    p, q = np.zeros(size), np.zeros(size)
+    for total, c in ((p, "p"), (q, "q")):
+        total[np.asarray(got.column("bucket"))] = np.asarray(got.column(c))
     r = (np.log((p + smooth) / (p.sum() + smooth * size)) - np.log((q + smooth) / (q.sum() + smooth * size))).astype(np.float32)
     rows, sign = [], []
     for t, k in have:
