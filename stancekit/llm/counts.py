@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stancekit.llm import common as C
 from stancekit.llm.encoder import ChunkEncoder, arrow_text, chunk_starts, encoder
 
 CHUNKS = 16
@@ -149,8 +150,8 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo, hi in slices(batch.column("text")):
+                part = batch.slice(lo, hi - lo)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 cut = [[t] if any(s in t for s in enc.special) else segments(t) or [""] for t in texts]
                 n = count_tokens(enc, [s for c in cut for s in c])
@@ -167,6 +168,21 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", token
     return out.withColumnRenamed("id", id_col)
 
 
+def slices(column: pa.Array, most: int = 64) -> Iterator[tuple[int, int]]:
+    """Row ranges of a batch of at most ``most`` rows and about 1 MB of text: what is worked on at once.
+    Freed buffers go back to the system behind each batch, so a worker stays as small as a range."""
+    offsets = C.utf8(column)[1]
+    for lo, hi in C.row_blocks(offsets):
+        yield from ((at, min(at + most, hi)) for at in range(lo, hi, most))
+    pa.default_memory_pool().release_unused()
+
+
+def _views(column: pa.Array) -> list[np.ndarray]:
+    """The rows of a list column as arrays of longs of their own."""
+    offs, flat = np.asarray(column.offsets), np.asarray(column.values)
+    return [flat[a:b].astype(np.int64) for a, b in zip(offs[:-1], offs[1:])]
+
+
 def _lists(rows: list[np.ndarray]) -> pa.Array:
     offs = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(rows).astype(np.int32)))
@@ -185,10 +201,10 @@ def apply_edits(trees: DataFrame, edits: str = "edits", id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                docs = [Document(enc, t or "", np.array(c, np.int64), np.array(k, np.int64)) for t, c, k in zip(
-                    *(part.column(c).to_pylist() for c in ("text", "tree_chars", "tree_tokens")))]
+            for lo, hi in slices(batch.column("text")):
+                part = batch.slice(lo, hi - lo)
+                docs = [Document(enc, t or "", c, k) for t, c, k in zip(
+                    part.column("text").to_pylist(), _views(part.column("tree_chars")), _views(part.column("tree_tokens")))]
                 todo = [e or [] for e in part.column("edits").to_pylist()]
                 edit_all(enc, docs, todo)
                 yield pa.RecordBatch.from_arrays(

@@ -42,7 +42,7 @@ def op6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     trees = C.written(counts.build(C.table(spark, sf_dir, "documents")), "count-trees")
     edited = counts.apply_edits(trees.withColumn("edits", counts.derived_edits()))
     return edited.select("doc_id", "n_before", "n_tokens", "n_edits", "chars_encoded",
-                         F.length("text").cast("long").alias("n_chars"), F.crc32(F.encode("text", "utf-8")).alias("text_crc32"))
+                         F.length("text").cast("long").alias("n_chars"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,6 +43,30 @@ def test_encoder_property(texts):
         assert [list(flat[a:b]) for a, b in zip(off[:-1], off[1:])] == [ids(f, t) for t in texts]
 
 
+WHITE = ["\u00a0", "\u3000", "\u2028", "\t", "\x85", " ", "\n", "\u200b"]
+
+
+@pytest.mark.parametrize("f", FILES)
+def test_rows_that_open_with_white_space(f):
+    """Whatever white space rows open with, in every order and with an empty chunk table."""
+    import itertools
+    rows = ["a"] + [w * n + tail for w in WHITE for n in (1, 2, 3, 4) for tail in ("b", "")] + [x + y + "c" for x, y in itertools.product(WHITE, WHITE)]
+    for order in (rows, rows[::-1], rows[1::2] + rows[::2]):
+        enc = encoder(f)
+        enc.reset()
+        flat, off = enc.ids(pa.array(order, pa.string()))
+        assert [list(flat[a:b]) for a, b in zip(off[:-1], off[1:])] == [ids(f, t) for t in order]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="a.\n \u00a0\u3000\t,B", max_size=12), max_size=8))
+def test_white_space_property(texts):
+    for f in FILES:
+        encoder(f).reset()
+        flat, off = encoder(f).ids(pa.array(texts, pa.string()))
+        assert [list(flat[a:b]) for a, b in zip(off[:-1], off[1:])] == [ids(f, t) for t in texts]
+
+
 def check_pieces(rows, want, most=1024):
     """Every id in one piece, sequences gapless and within the limit. want: id -> list of id arrays."""
     by = {}
