@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stancekit.llm import ann, counts, decontam, html_extract, orc_ids, packing, quality, sharding, simhash, toxicity
+from stancekit.llm import ann, counts, decontam, html_extract, mixing, orc_ids, packing, periodic, quality, sharding, simhash, toxicity
 from stancekit.llm import common as C
 
 
@@ -65,6 +65,20 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(C.table(spark, sf_dir, "pages"))
 
 
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.with_planted_periods(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return periodic.digests(periodic.find_runs(docs))
+
+
+def op13_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, patterns, sources = mixing.mix(C.table(spark, sf_dir, "documents"), F.array("source"), mixing.words("text"))
+    # one source a pattern here: both tables have a row for each source
+    named = patterns.select("pattern", F.get("members", F.lit(0)).alias("name")).join(
+        F.broadcast(sources), F.col("name").eqNullSafe(F.col("source")))
+    return docs.join(F.broadcast(named), "pattern").select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_pack, op2_hilbert, op3_toxicity, op4_graph, op5_quality, op6_counts, op7_decontaminate, op8_simhash, op9_orc_ids, op10_main_text)}
-ORACLE = {"op7_decontaminate": decontam.ORACLE}
+    op1_pack, op2_hilbert, op3_toxicity, op4_graph, op5_quality, op6_counts, op7_decontaminate, op8_simhash, op9_orc_ids, op10_main_text,
+    op12_runs, op13_mix)}
+ORACLE = {"op7_decontaminate": decontam.ORACLE, "op13_mix": mixing.ORACLE}
