@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stancekit.llm import ann, counts, decontam, html_extract, mixing, orc_ids, packing, periodic, quality, sharding, simhash, toxicity
+from stancekit.llm import ann, counts, decontam, html_extract, mixing, orc_ids, packing, periodic, quality, sharding, simhash, toxicity, trie
 from stancekit.llm import common as C
 
 
@@ -65,6 +65,10 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(C.table(spark, sf_dir, "pages"))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(*trie.spliced(trie.numbered(C.table(spark, sf_dir, "conversations"))))
+
+
 def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = periodic.with_planted_periods(C.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return periodic.digests(periodic.find_runs(docs))
@@ -80,5 +84,5 @@ def op13_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_pack, op2_hilbert, op3_toxicity, op4_graph, op5_quality, op6_counts, op7_decontaminate, op8_simhash, op9_orc_ids, op10_main_text,
-    op12_runs, op13_mix)}
-ORACLE = {"op7_decontaminate": decontam.ORACLE, "op13_mix": mixing.ORACLE}
+    op11_trie, op12_runs, op13_mix)}
+ORACLE = {"op7_decontaminate": decontam.ORACLE, "op11_trie": trie.ORACLE, "op13_mix": mixing.ORACLE}
