@@ -30,7 +30,7 @@ from stancekit.llm import common as C
 PRIME = (1 << 127) - 1
 BASE = 0x5D3C_9A1F_27B8_E46D_13F0_8C75_B29E_6A41 % PRIME
 ROOT = bytes(16)
-SHARD = 1 << 14       # weight of the shards of the first level
+SHARD = 1 << 10       # weight of the shards of the first level
 STEP = 64             # by which the bound grows from level to level
 KEEP = 100_000        # messages a queue keeps in memory
 CHUNK = 1 << 20       # bytes of a list of ids that travel as one row
