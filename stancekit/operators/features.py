@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stancekit.functions.text import tokenize
+from stancekit.session import spread
 
 KEY = ["speech_id", "sent_idx"]
 
@@ -51,7 +52,7 @@ def counted(grams: str) -> Column:
             F.get(x["s"], st).alias("term"),
             (F.coalesce(F.get(x["at"], j + 1), F.size(x["s"])) - st).cast("long").alias("tf")))
 
-    sorted_once = F.transform(F.array(F.array_sort(grams)), runs)
+    sorted_once = F.transform(F.array(F.sort_array(grams)), runs)
     return F.flatten(F.transform(sorted_once, entries))
 
 
@@ -59,11 +60,34 @@ def term_counts(df: DataFrame, keys=KEY, text_col: str = "sentence", lo: int = 1
                 extra: list[str] | None = None) -> DataFrame:
     """(keys..., term, tf): n-gram frequency per row, counted inside the row (no shuffle)."""
     extra = extra or []
-    grams = with_grams(df.select(*keys, *extra, text_col), text_col, "_grams", lo, hi)
+    grams = with_grams(spread(df.select(*keys, *extra, text_col), *keys), text_col, "_grams", lo, hi)
     rows = grams.select(*keys, *extra, F.explode(counted("_grams")).alias("_e"))
     return rows.select(*keys, *extra, "_e.term", "_e.tf")
 
 
+BUCKETS = 1 << 22
+
+
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def plausible(df: DataFrame, keys=KEY, text_col: str = "sentence", weight_col: str | None = None, min_df: int = 20,
+              lo: int = 1, hi: int = 3) -> DataFrame:
+    """(_bucket): the hash buckets, of ``BUCKETS``, whose weighted n-gram occurrences reach ``min_df``.
+
+    A term's document frequency is at most its bucket's sum, so a bucket below the limit holds no
+    term of the vocabulary. A task sends at most ``BUCKETS`` pairs of numbers, however many distinct n-grams it meets."""
+    from stancekit.session import materialize
+
+    extra = [weight_col] if weight_col else []
+    grams = with_grams(spread(df.select(*keys, *extra, text_col), *keys), text_col, "_grams", lo, hi)
+    # hashed inside the row: an explode of the grams themselves would have them built once more for an inferred filter
+    rows = grams.select(_weight(weight_col).alias("_w"), F.explode(F.transform("_grams", bucket)).alias("_bucket"))
+    sums = rows.groupBy("_bucket").agg(F.sum("_w").alias("_n"))
+    return materialize(sums.where(F.col("_n") >= min_df).select("_bucket"), "vocabulary-sketch")
+
+
 def document_total(df: DataFrame, weight_col: str | None = None) -> Column:
     """Number of documents (copies included) as a scalar subquery column."""
     return df.agg(F.sum(_weight(weight_col)).alias("n")).scalar()
@@ -97,18 +121,19 @@ def tfidf_rows(df: DataFrame, vocab: DataFrame, keys=KEY, text_col: str = "sente
     arrays (positions in the vocabulary by term, terms, counts, L2-normalised tf * idf).
 
     Map-only: the vocabulary (at most ``max_features`` terms) travels in the
-    vectoriser, no exploded row crosses the network.
+    vectoriser and as one value in the plan, no exploded row crosses the network.
     """
-    from stancekit.operators.linear import collect_vocabulary, tfidf_vectors
+    from stancekit.operators.linear import SEPARATOR, collect_vocabulary, tfidf_vectors
 
     terms, idf_values = collect_vocabulary(vocab)
-    grams = with_grams(df.select(*keys, text_col), text_col, "_grams", lo, hi)
+    grams = with_grams(spread(df.select(*keys, text_col), *keys), text_col, "_grams", lo, hi)
     if not terms:
         none = [F.array().cast(t).alias(n) for n, t in (("idx", "array<int>"), ("terms", "array<string>"), ("tf", "array<bigint>"), ("weight", "array<double>"))]
         return grams.select(*keys, *none)
     x = tfidf_vectors(grams, terms, idf_values, "_grams", "_w", keep_counts="_n")
     x = x.select(*keys, F.unwrap_udt("_n").alias("_n"), F.unwrap_udt("_w").alias("_w"))
-    names = F.array(*[F.lit(t) for t in terms])
+    # the dictionary is one value, split once when the plan is made: no expression a term
+    names = F.split(F.lit(SEPARATOR.join(terms)), SEPARATOR, -1)
     return x.select(*keys, F.col("_n.indices").alias("idx"),
                     F.transform(F.col("_n.indices"), lambda i: F.get(names, i)).alias("terms"),
                     F.transform(F.col("_n.values"), lambda v: v.cast("long")).alias("tf"), F.col("_w.values").alias("weight"))
@@ -126,10 +151,15 @@ def fit_vocabulary(train: DataFrame, keys=KEY, text_col: str = "sentence", weigh
     """The vocabulary with idf, written once (at most ``max_features`` rows): the many
     plans that read it (vectors, scoring, retrieval) do not repeat the corpus pass.
 
-    One pass: rows are counted in place and go straight into the term aggregate.
+    Two passes: a sketch (``plausible``) names the hash buckets in which a term can reach ``min_df`` at all; then
+    rows are counted in place and only terms of those buckets go into the term aggregate. Most
+    distinct n-grams are rare, so most never cross the network as strings.
     """
     from stancekit.session import materialize
 
-    terms = term_counts(train, keys, text_col, lo, hi, [weight_col] if weight_col else [])
+    extra = [weight_col] if weight_col else []
+    able = plausible(train, keys, text_col, weight_col, min_df, lo, hi)
+    terms = term_counts(train, keys, text_col, lo, hi, extra).withColumn("_bucket", bucket(F.col("term")))
+    terms = terms.join(F.broadcast(able), "_bucket", "left_semi").drop("_bucket")     # at most BUCKETS rows
     n_docs = document_total(train, weight_col)
     return materialize(vocabulary(terms, n_docs, min_df, max_df, max_features, weight_col), "vocabulary")

@@ -26,15 +26,29 @@ def collect_vocabulary(vocab: DataFrame, most: int = MAX_TERMS) -> tuple[list[st
     return [r[0] for r in rows], [float(r[1]) for r in rows]
 
 
+SEPARATOR = "\x01"      # in no term: terms are word characters and spaces
+
+
+def vectoriser(terms: list[str], input_col: str, out: str):
+    """A CountVectorizer model of a given vocabulary; its terms cross to the JVM as one string, not one by one."""
+    from pyspark import SparkContext
+    from pyspark.ml.feature import CountVectorizerModel
+
+    jvm = SparkContext._active_spark_context._jvm
+    names = jvm.java.util.regex.Pattern.compile(SEPARATOR).split(SEPARATOR.join(terms), -1)
+    model = CountVectorizerModel._create_from_java_class("org.apache.spark.ml.feature.CountVectorizerModel", names)
+    return model.setInputCol(input_col).setOutputCol(out)
+
+
 def tfidf_vectors(df: DataFrame, terms: list[str], idf: list[float], input_col: str = "grams",
                   out: str = "features", keep_counts: str | None = None) -> DataFrame:
     """Sparse tf-idf vectors, L2-normalised; map-only (no shuffle, no UDF).
 
     ``keep_counts`` names a column for the plain term counts."""
-    from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+    from pyspark.ml.feature import ElementwiseProduct, Normalizer
     from pyspark.ml.linalg import Vectors
 
-    cv = CountVectorizerModel.from_vocabulary(terms, inputCol=input_col, outputCol="_tf")
+    cv = vectoriser(terms, input_col, "_tf")
     ep = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="_tf", outputCol="_tfidf")
     nz = Normalizer(p=2.0, inputCol="_tfidf", outputCol=out)
     x = nz.transform(ep.transform(cv.transform(df))).drop("_tfidf")

@@ -104,3 +104,21 @@ def materialize(df, name: str):
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+ROW_GROUP = 128 << 20
+
+
+def input_bytes(df) -> int:
+    """Bytes of what a plan reads, as its sources state them (files: their size)."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def spread(df, *keys):
+    """Deals rows over all cores by ``keys`` where the input is less than a row group a core.
+
+    A file is read by row groups: a small input lands in a task or two, whatever the number of cores, and work of many times
+    the text's size (n-grams) would run there alone. Larger inputs, and ones of unknown size, stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if input_bytes(df) < cores * ROW_GROUP else df
