@@ -25,17 +25,21 @@ def with_grams(df: DataFrame, text_col: str = "sentence", out: str = "grams", lo
     Tokens are extracted once; spark.ml ``NGram`` (compiled sliding window)
     builds the longer grams in the same 'a b c' form as ``functions.text.ngrams``.
     """
+    return grams_of(df.withColumn("_tok", tokenize(F.col(text_col))), "_tok", out, lo, hi)
+
+
+def grams_of(df: DataFrame, tokens: str, out: str = "grams", lo: int = 1, hi: int = 3) -> DataFrame:
+    """``with_grams`` of a column of tokens, which it replaces."""
     from pyspark.ml.feature import NGram
 
-    x = df.withColumn("_tok", tokenize(F.col(text_col)))
-    cols = []
+    x, cols = df, []
     for n in range(lo, hi + 1):
         if n == 1:
-            cols.append("_tok")
+            cols.append(tokens)
         else:
-            x = NGram(n=n, inputCol="_tok", outputCol=f"_g{n}").transform(x)
+            x = NGram(n=n, inputCol=tokens, outputCol=f"_g{n}").transform(x)
             cols.append(f"_g{n}")
-    return x.withColumn(out, F.concat(*cols)).drop(*{"_tok", *cols})
+    return x.withColumn(out, F.concat(*cols)).drop(*{tokens, *cols})
 
 
 def counted(grams: str) -> Column:
@@ -61,8 +65,12 @@ def term_counts(df: DataFrame, keys=KEY, text_col: str = "sentence", lo: int = 1
     """(keys..., term, tf): n-gram frequency per row, counted inside the row (no shuffle)."""
     extra = extra or []
     grams = with_grams(spread(df.select(*keys, *extra, text_col), *keys), text_col, "_grams", lo, hi)
-    rows = grams.select(*keys, *extra, F.explode(counted("_grams")).alias("_e"))
-    return rows.select(*keys, *extra, "_e.term", "_e.tf")
+    return counted_rows(grams, [*keys, *extra])
+
+
+def counted_rows(grams: DataFrame, keep: list[str]) -> DataFrame:
+    rows = grams.select(*keep, F.explode(counted("_grams")).alias("_e"))
+    return rows.select(*keep, "_e.term", "_e.tf")
 
 
 BUCKETS = 1 << 22
@@ -72,16 +80,13 @@ def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def plausible(df: DataFrame, keys=KEY, text_col: str = "sentence", weight_col: str | None = None, min_df: int = 20,
-              lo: int = 1, hi: int = 3) -> DataFrame:
-    """(_bucket): the hash buckets, of ``BUCKETS``, whose weighted n-gram occurrences reach ``min_df``.
+def plausible(grams: DataFrame, weight_col: str | None = None, min_df: int = 20) -> DataFrame:
+    """(_bucket): the hash buckets, of ``BUCKETS``, whose weighted occurrences in the array ``_grams`` reach ``min_df``.
 
     A term's document frequency is at most its bucket's sum, so a bucket below the limit holds no
     term of the vocabulary. A task sends at most ``BUCKETS`` pairs of numbers, however many distinct n-grams it meets."""
     from stancekit.session import materialize
 
-    extra = [weight_col] if weight_col else []
-    grams = with_grams(spread(df.select(*keys, *extra, text_col), *keys), text_col, "_grams", lo, hi)
     # hashed inside the row: an explode of the grams themselves would have them built once more for an inferred filter
     rows = grams.select(_weight(weight_col).alias("_w"), F.explode(F.transform("_grams", bucket)).alias("_bucket"))
     sums = rows.groupBy("_bucket").agg(F.sum("_w").alias("_n"))
@@ -158,8 +163,11 @@ def fit_vocabulary(train: DataFrame, keys=KEY, text_col: str = "sentence", weigh
     from stancekit.session import materialize
 
     extra = [weight_col] if weight_col else []
-    able = plausible(train, keys, text_col, weight_col, min_df, lo, hi)
-    terms = term_counts(train, keys, text_col, lo, hi, extra).withColumn("_bucket", bucket(F.col("term")))
+    # cut once: both passes read tokens
+    tokens = materialize(spread(train.select(*keys, *extra, text_col), *keys).select(*extra, tokenize(F.col(text_col)).alias("_tok")), "vocabulary-tokens")
+    grams = grams_of(tokens, "_tok", "_grams", lo, hi)
+    able = plausible(grams, weight_col, min_df)
+    terms = counted_rows(grams, extra).withColumn("_bucket", bucket(F.col("term")))
     terms = terms.join(F.broadcast(able), "_bucket", "left_semi").drop("_bucket")     # at most BUCKETS rows
-    n_docs = document_total(train, weight_col)
+    n_docs = document_total(tokens, weight_col)
     return materialize(vocabulary(terms, n_docs, min_df, max_df, max_features, weight_col), "vocabulary")

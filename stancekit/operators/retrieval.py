@@ -54,45 +54,6 @@ def dense_scorer(q: pd.DataFrame):
     return lambda c: np.round(qm @ unit(c["vec"]).T, SIM_DIGITS)
 
 
-def sparse_scorer(q: pd.DataFrame):
-    """Dot products of sparse rows (idx, w); only rows that share a term score above -inf.
-
-    Query entries are held as postings by term; a slice's entries are expanded into
-    products in bounded chunks and summed per pair."""
-    size = q["idx"].map(len).to_numpy()
-    who = np.repeat(np.arange(len(q)), size)
-    term = np.concatenate(q["idx"].to_numpy()).astype("int64") if size.sum() else np.zeros(0, "int64")
-    weight = np.concatenate(q["w"].to_numpy()).astype("float64") if size.sum() else np.zeros(0)
-    order = np.argsort(term, kind="stable")
-    term, who, weight = term[order], who[order], weight[order]
-
-    def score(c: pd.DataFrame) -> np.ndarray:
-        n, b = len(q), len(c)
-        lens = c["idx"].map(len).to_numpy()
-        rows = np.repeat(np.arange(b), lens)
-        t = np.concatenate(c["idx"].to_numpy()).astype("int64") if lens.sum() else np.zeros(0, "int64")
-        w = np.concatenate(c["w"].to_numpy()).astype("float64") if lens.sum() else np.zeros(0)
-        lo, hi = np.searchsorted(term, t, "left"), np.searchsorted(term, t, "right")
-        width = hi - lo
-        ends = np.cumsum(width)
-        out = np.zeros(n * b)
-        start = 0
-        while start < len(t):
-            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SCORE_CELLS, "right")))
-            part = width[start:stop]
-            total = int(part.sum())
-            if total:
-                at = np.repeat(lo[start:stop] - (np.cumsum(part) - part), part) + np.arange(total)
-                cell = who[at] * b + np.repeat(rows[start:stop], part)
-                value = weight[at] * np.repeat(w[start:stop], part)
-                out += np.bincount(cell, weights=value, minlength=n * b)
-            start = stop
-        s = np.round(out.reshape(n, b), SIM_DIGITS)
-        return np.where(s > 0, s, -np.inf)
-
-    return score
-
-
 def local_topk(q: pd.DataFrame, c: pd.DataFrame, qkeys, ckeys, k: int, scorer) -> pd.DataFrame:
     """The k best corpus rows of one part for every query of one block."""
     c = c.sort_values(ckeys, kind="stable").reset_index(drop=True)
@@ -184,17 +145,166 @@ def knn_cosine(queries: DataFrame, corpus: DataFrame, k: int = 8, qid="qid", cid
     return out.select(*[F.col(f"q{j}").alias(n) for j, n in enumerate(q)], *[F.col(f"c{j}").alias(n) for j, n in enumerate(c)], "rank", "sim")
 
 
+# ------------------------------------------------------------ lexical form
+HEAD = 32              # rows of the strongest impact that give a first floor
+MARGIN = 1e-8          # above the rounding of a similarity
+
+
+class Postings:
+    """A term's rows in the order of their weights, largest first, and once more by row for lookups."""
+
+    def __init__(self, rows: np.ndarray, values: np.ndarray):
+        self.rows, self.values, self.fall = rows, values, -values
+        by = np.argsort(rows)
+        self.sorted, self.weights = rows[by], values[by]
+
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.sorted, rows), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == rows, self.weights[at], 0.0)
+
+    def reaching(self, weight: float, rest: float, longest: float, floor: float) -> slice:
+        """The rows that can still reach ``floor``: with value v here, and at most sqrt(longest^2 - v^2) elsewhere
+        against a rest of the query of length ``rest``. These v are an interval, so the rows are a slice."""
+        if floor <= 0:
+            return slice(0, len(self.rows))
+        full = np.hypot(weight, rest) * longest
+        if full < floor:
+            return slice(0, 0)
+        peak, wide = np.arctan2(weight, rest), np.arccos(min(1.0, floor / full))
+        low, high = longest * np.sin(max(0.0, peak - wide)), longest * np.sin(min(np.pi / 2, peak + wide))
+        return slice(np.searchsorted(self.fall, -high - MARGIN, "left"), np.searchsorted(self.fall, -low + MARGIN, "right"))
+
+
+def search_postings(lists: dict[int, Postings], longest: float, terms, weights, k: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(rows, similarities, postings shared, postings scored) of one query's k best rows, ties to the lower row.
+
+    The rows of the strongest impact give a first floor, the k-th similarity known so far. Terms follow by the
+    square of their weight over the length of their list, so long lists of little weight come last. A row not met yet can
+    gain no more than the length of the query's rest times its own, ``longest`` at most: a list's rows that cannot
+    reach the floor are skipped, and once the rest is below it no list is opened any more. Rows met
+    are scored up in the lists that follow and dropped as soon as what they may still gain is too little."""
+    mine = sorted(((w * w / len(lists[t].rows), t, w) for t, w in zip(terms, weights) if t in lists and w > 0), reverse=True)
+    post, x = [lists[t] for _, t, _ in mine], np.array([w for *_, w in mine])
+    rest = np.sqrt(np.append(np.cumsum((x * x)[::-1])[::-1], 0.0))
+    shared, scored, floor = sum(len(p.rows) for p in post), 0, -np.inf
+    if shared > 8 * HEAD * len(post):
+        head = np.unique(np.concatenate([p.rows[:HEAD] for p in post[:3]]))
+        found = [p.of(head) for p in post]
+        sums = sum(w * v for w, v in zip(x, found))
+        scored += sum(np.count_nonzero(v) for v in found)
+        if len(head) >= k:
+            floor = np.partition(sums, len(head) - k)[len(head) - k] - MARGIN
+    seen, got, used = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)      # rows met, their sums and squared lengths so far
+    for j, (w, p) in enumerate(zip(x, post)):
+        value = p.of(seen)
+        scored += np.count_nonzero(value)
+        got, used = got + w * value, used + value * value
+        if rest[j] * longest >= floor:
+            part = p.reaching(w, rest[j + 1], longest, floor)
+            rows, value = p.rows[part], p.values[part]
+            if len(seen):
+                fresh = seen[np.minimum(np.searchsorted(seen, rows), len(seen) - 1)] != rows
+                rows, value = rows[fresh], value[fresh]
+            scored += len(rows)
+            seen, got, used = np.concatenate([seen, rows]), np.concatenate([got, w * value]), np.concatenate([used, value * value])
+            by = np.argsort(seen)
+            seen, got, used = seen[by], got[by], used[by]
+        if len(got) >= k:
+            floor = max(floor, np.partition(got, len(got) - k)[len(got) - k] - MARGIN)
+        near = got + rest[j + 1] * np.sqrt(np.maximum(0.0, longest * longest - used)) >= floor
+        seen, got, used = seen[near], got[near], used[near]
+    sims = np.round(got, SIM_DIGITS)
+    seen, sims = seen[sims > 0], sims[sims > 0]
+    best = np.lexsort((seen, -sims))[:k]
+    return seen[best], sims[best], shared, scored
+
+
+def lexical_index(c: DataFrame, ck: list[str], parts: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, postings) of a written table c0.., idx, w. Rows: _part, _row (from 0, in key order), c0..; postings, an
+    inverted index in the order of impact: _part, term, rows, values (descending), written. Rows are dealt to parts by a hash of
+    their key; a part is bounded, and so are its lists. Rows that share a key are told apart by their terms."""
+    from stancekit.session import materialize
+
+    c = c.withColumn("_part", F.pmod(F.xxhash64(*ck), F.lit(parts)).cast("int"))
+    c = c.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(*ck, "idx", "w")) - 1)
+    flat = c.select("_part", "_row", F.explode(F.arrays_zip("idx", "w")).alias("e")).select("_part", F.col("e.idx").alias("term"), F.struct((-F.col("e.w")).alias("fall"), "_row").alias("p"))
+    lists = flat.groupBy("_part", "term").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    return c.drop("idx", "w"), materialize(lists.select("_part", "term", F.col("p._row").alias("rows"), F.transform("p.fall", lambda v: -v).alias("values")), "lexical-postings")
+
+
+def lexical_search(q_rows: DataFrame, c_rows: DataFrame, k: int = 8, keys=("speech_id", "sent_idx"),
+                   block_bytes: int = BLOCK_BYTES, queries: int = 16) -> tuple[DataFrame, DataFrame]:
+    """(found, rows). found: q0.., _part, _row, sim of the k best of each part, and one row per task with null
+    keys that tells the postings its queries share with the part and those it scored; rows: as ``lexical_index`` has them.
+
+    The index is cut by bytes alone: the larger a part, the sooner a query has a floor that spares it most of
+    the postings. Cores get work from blocks of queries, ``queries`` or more in each."""
+    from stancekit.session import materialize
+
+    spark, keys = q_rows.sparkSession, list(keys)
+    qk, ck = [f"q{j}" for j in range(len(keys))], [f"c{j}" for j in range(len(keys))]
+
+    def side(rows: DataFrame, names: list[str], name: str) -> tuple[DataFrame, int, int]:
+        x = rows.select(*[F.col(n).alias(a) for n, a in zip(keys, names)], "idx", F.col("weight").alias("w")).dropna(subset=[*names, "idx"])
+        x = materialize(x, name)
+        n, size = x.agg(F.count(F.lit(1)), F.sum(F.lit(16) * F.size("idx") + 64)).first()
+        return x, n, -(-(size or 0) // block_bytes)
+
+    q, n, q_blocks = side(q_rows, qk, "lexical-queries")
+    c, _, c_parts = side(c_rows, ck, "lexical-rows")
+    parts = max(1, c_parts)
+    blocks = max(1, q_blocks, min(int(spark.conf.get("spark.sql.shuffle.partitions")) // parts, n // queries))
+    rows, lists = lexical_index(c, ck, parts)
+    dealt_q = q.withColumn("_block", F.pmod(F.xxhash64(*qk), F.lit(blocks)).cast("int")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt_c = lists.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    names = [*qk, "_part", "_row", "sim", "shared", "scored"]
+
+    def meet(pair, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in names})
+        index = {t: Postings(np.asarray(r, np.int64), v) for t, r, v in zip(b["term"], b["rows"], b["values"])}
+        squares = np.zeros(max(p.sorted[-1] for p in index.values()) + 1)
+        for p in index.values():
+            squares[p.rows] += p.values ** 2
+        longest = float(np.sqrt(squares.max()))
+        who, where, sims, shared, scored = [], [], [], 0, 0
+        for i, (t, w) in enumerate(zip(a["idx"], a["w"])):
+            r, s, x, y = search_postings(index, longest, t.tolist(), w.tolist(), k)
+            who.append(np.full(len(r), i))
+            where.append(r)
+            sims.append(s)
+            shared, scored = shared + x, scored + y
+        who = np.concatenate(who)
+        m = len(who)
+        out = {c: pd.Series([*a[c].to_numpy(dtype=object)[who], None], dtype=object) for c in qk}
+        out |= {"_part": pd.Series([pair[1]] * (m + 1), dtype="int32"), "_row": pd.Series([*np.concatenate(where).tolist(), -1], dtype="int32"),
+                "sim": np.append(np.concatenate(sims), np.nan), "shared": pd.Series([0] * m + [shared]), "scored": pd.Series([0] * m + [scored])}
+        return pd.DataFrame(out)
+
+    types = dict(q.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in qk) + ", _part int, _row int, sim double, shared bigint, scored bigint"
+    return dealt_q.groupBy("_block", "_part").cogroup(dealt_c.groupBy("_block", "_part")).applyInPandas(meet, schema), rows
+
+
 def knn_lexical(q_rows: DataFrame, c_rows: DataFrame, k: int = 8, keys=("speech_id", "sent_idx"),
                 block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Top-k tf-idf cosine neighbours over ``features.tfidf_rows`` (rows are
     L2-normalised, so cosine = dot). Only corpus rows sharing a term are neighbours.
 
-    Output: (q_<key>..., c_<key>..., rank, sim).
+    Exact, through an inverted index whose posting lists are skipped where their maxima cannot change a query's k best
+    (``search_postings``). Output: (q_<key>..., c_<key>..., rank, sim). Rows with a null key take no part.
     """
     keys = list(keys)
-    out = blocked_topk(q_rows.withColumnRenamed("weight", "w"), c_rows.withColumnRenamed("weight", "w"), keys, keys, ["idx", "w"], k, sparse_scorer, block_bytes)
-    return out.select(*[F.col(f"q{j}").alias(f"q_{n}") for j, n in enumerate(keys)],
-                      *[F.col(f"c{j}").alias(f"c_{n}") for j, n in enumerate(keys)], "rank", "sim")
+    qk, ck = [f"q{j}" for j in range(len(keys))], [f"c{j}" for j in range(len(keys))]
+    found, rows = lexical_search(q_rows, c_rows, k, keys, block_bytes)
+    near = found.where("_row >= 0").join(rows, ["_part", "_row"])
+    return ranked(near, qk, ck, k).select(*[F.col(a).alias(f"q_{n}") for a, n in zip(qk, keys)], *[F.col(a).alias(f"c_{n}") for a, n in zip(ck, keys)], "rank", "sim")
+
+
+def lexical_work(q_rows: DataFrame, c_rows: DataFrame, k: int = 8, keys=("speech_id", "sent_idx"), block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row: postings that queries and corpus share, and how many of them ``knn_lexical`` scores."""
+    found, _ = lexical_search(q_rows, c_rows, k, keys, block_bytes)
+    return found.where("_row < 0").agg(F.coalesce(F.sum("shared"), F.lit(0)).alias("shared"), F.coalesce(F.sum("scored"), F.lit(0)).alias("scored"))
 
 
 # ------------------------------------------------------------ approximate form

@@ -93,6 +93,16 @@ def q_knn_lexical(spark, sf):
     return lexical_knn(spark, sf)
 
 
+@register("knn_lexical_work", with_ctes(["test_tfidf", "train_tfidf"], """
+SELECT COUNT(*)::BIGINT AS shared, 1::BIGINT AS half_skipped FROM test_tfidf q JOIN train_tfidf c ON q.term = c.term"""))
+def q_knn_lexical_work(spark, sf):
+    """Postings that the test sentences share with the train sentences, and whether the search scores fewer than half."""
+    vocab = train_vocabulary(spark, sf)
+    train = fx.sentences(spark, sf).where(F.col("split") == "train")
+    work = R.lexical_work(FE.tfidf_rows(_test(spark, sf), vocab), FE.tfidf_rows(train, vocab))
+    return work.select("shared", (F.col("scored") * 2 < F.col("shared")).cast("int").alias("half_skipped"))
+
+
 @register("exclude_train_leak", with_ctes(["knn_lex", "sentences"], """
 SELECT COUNT(DISTINCT (k.q_speech_id, k.q_sent_idx))::BIGINT AS n_queries, COUNT(*)::BIGINT AS n_pairs,
        COUNT(*) FILTER (WHERE s.split <> 'train')::BIGINT AS n_leaked
