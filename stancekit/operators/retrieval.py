@@ -308,6 +308,120 @@ def lexical_work(q_rows: DataFrame, c_rows: DataFrame, k: int = 8, keys=("speech
 
 
 # ------------------------------------------------------------ approximate form
+def unit_rows(v: pd.Series, dims: int) -> np.ndarray:
+    x = np.stack(v.to_numpy()).astype("float64") if len(v) else np.zeros((0, dims))
+    return x / np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
+
+
+def sphere_cells(x: np.ndarray, cells: int, seed: int, rounds: int = 10) -> np.ndarray:
+    """Centres (unit rows) of ``cells`` cells of the unit rows ``x``: k-means by inner product; empty cells keep their centre."""
+    rng = np.random.default_rng(seed)
+    centres = x[rng.choice(len(x), min(cells, len(x)), replace=False)].copy()
+    for _ in range(rounds):
+        at = np.concatenate([(x[lo:lo + 4096] @ centres.T).argmax(1) for lo in range(0, len(x), 4096)])
+        sums = np.zeros_like(centres)
+        np.add.at(sums, at, x)
+        size = np.linalg.norm(sums, axis=1)
+        centres[size > 0] = sums[size > 0] / size[size > 0, None]
+    return centres
+
+
+def probes_for(ranks: np.ndarray, cells: int, recall: float) -> int:
+    """Fewest cells, nearest first, that hold ``recall`` of the true neighbours by two standard errors;
+    ``ranks``: for a neighbour of a sampled row the place of its cell in that row's order."""
+    found = np.cumsum(np.bincount(ranks, minlength=cells)[:cells]) / max(1, len(ranks))
+    sure = found - 2 * np.sqrt(found * (1 - found) / max(1, len(ranks))) >= recall
+    return int(np.argmax(sure)) + 1 if sure.any() else cells
+
+
+def cell_search(qs: DataFrame, cs: DataFrame, k: int, recall: float = 0.9, seed: int = 7, sample: int = 256,
+                trained: int = 65536, most_cells: int = 4096, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(q.., c.., sim of the k best of each task, met) for written tables q.., qv and c.., cv: an inverted list per cell of
+    the sphere, and for each query the cells whose centres are nearest.
+
+    10 sqrt(n) cells (``most_cells`` at most) are fitted on ``trained`` corpus rows by hash; every row is placed. How many
+    cells a query opens is measured: for ``sample`` other rows (a quarter of a small corpus) the true neighbours are found exactly, and
+    so many cells are opened that they hold ``recall`` of those. Lists are dealt to parts by cell and a query goes to the parts it opens a
+    cell of. One row per task with null keys tells the pairs met."""
+    from stancekit.session import materialize
+
+    spark = cs.sparkSession
+    qk, ck = [c for c in qs.columns if c != "qv"], [c for c in cs.columns if c != "cv"]
+    n, dims = cs.agg(F.count(F.lit(1)), F.max(F.size("cv"))).first()
+    by_hash = lambda frame, keys, m: frame.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(m)
+    held = min(sample, n // 4)
+    few = unit_rows(by_hash(cs, ck, min(n, trained + held)).select("cv").toPandas()["cv"], dims)[held:]     # bounded by ``trained`` and ``sample``
+    centres = sphere_cells(few, int(min(most_cells, max(1, 10 * np.sqrt(n)))), seed)
+
+    def nearest(v: pd.Series) -> np.ndarray:
+        """All cells of each row, nearest first (ties: the lower number)."""
+        return np.argsort(-(unit_rows(v, dims) @ centres.T), axis=1, kind="stable")
+
+    @F.pandas_udf("int")
+    def cell(v: pd.Series) -> pd.Series:
+        return pd.Series(np.concatenate([(unit_rows(v[lo:lo + 4096], dims) @ centres.T).argmax(1) for lo in range(0, len(v), 4096)]) if len(v) else [], dtype="int32")
+
+    c = materialize(cs.withColumn("_cell", cell("cv")), "cells")
+    # rows that the cells were not fitted on, as queries: their true neighbours and the place of their cells
+    some = materialize(by_hash(c, ck, held).select(*[F.col(a).alias(f"q{j}") for j, a in enumerate(ck)], F.col("cv").alias("vec")), "cell-sample")
+    names = [f"q{j}" for j in range(len(ck))]
+    near = blocked_topk(some, c.withColumnRenamed("cv", "vec"), names, ck, ["vec"], k + 1, dense_scorer)
+    near = near.where(~_same(names, ck)).select(*names, *ck).join(some, names).join(c.select(*ck, "_cell"), ck)
+
+    @F.pandas_udf("int")
+    def place(v: pd.Series, at: pd.Series) -> pd.Series:
+        return pd.Series((nearest(v) == at.to_numpy()[:, None]).argmax(1).astype("int32"))
+
+    ranks = np.array([r[0] for r in near.select(place("vec", "_cell")).collect()], dtype=np.int64)   # at most sample * (k + 1)
+    opened = probes_for(ranks, len(centres), recall) if len(ranks) else len(centres)
+
+    size = int(n) * (8 * int(dims or 1) + 64)
+    blocks = max(1, -(-int(qs.count()) * (8 * int(dims or 1) + 64) // block_bytes))
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks, -(-size // PART_BYTES)), -(-size // block_bytes))
+
+    @F.pandas_udf("array<int>")
+    def parts_of(v: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(r % parts).astype("int32") for r in nearest(v)[:, :opened]], dtype=object)
+
+    dealt_q = qs.withColumn("_block", F.pmod(F.xxhash64(*qk), F.lit(blocks)).cast("int")).withColumn("_part", F.explode(parts_of("qv")))
+    dealt_c = c.withColumn("_part", F.col("_cell") % parts).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    columns = [*qk, *ck, "sim", "met"]
+
+    def meet(_, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({x: pd.Series([], dtype=object) for x in columns})
+        b = b.sort_values(ck, kind="stable").reset_index(drop=True)
+        x, y, at = unit_rows(a["qv"], dims), unit_rows(b["cv"], dims), b["_cell"].to_numpy()
+        open_ = np.zeros((len(a), len(centres)), bool)
+        np.put_along_axis(open_, nearest(a["qv"])[:, :opened], True, axis=1)
+        best_s, best_i, met = np.full((len(a), k), -np.inf), np.full((len(a), k), len(b)), 0
+        for j in np.unique(at):
+            rows, who = np.flatnonzero(at == j), np.flatnonzero(open_[:, j])
+            met += len(rows) * len(who)
+            for lo in range(0, len(who), max(1, SCORE_CELLS // max(1, len(rows)))):
+                w = who[lo:lo + max(1, SCORE_CELLS // max(1, len(rows)))]
+                s = np.concatenate([best_s[w], np.round(x[w] @ y[rows].T, SIM_DIGITS)], axis=1)
+                i = np.concatenate([best_i[w], np.broadcast_to(rows, (len(w), len(rows)))], axis=1)
+                order = np.lexsort((i, -s), axis=1)[:, :k]
+                best_s[w], best_i[w] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+        q, col = np.nonzero(np.isfinite(best_s))
+        i = best_i[q, col]
+        out = {m: pd.Series([*a[m].to_numpy(dtype=object)[q], None], dtype=object) for m in qk}
+        out |= {m: pd.Series([*b[m].to_numpy(dtype=object)[i], None], dtype=object) for m in ck}
+        return pd.DataFrame(out | {"sim": np.append(best_s[q, col], np.nan), "met": pd.Series([0] * len(q) + [met])})
+
+    types = {**dict(qs.dtypes), **dict(cs.dtypes)}
+    schema = ", ".join(f"{m} {types[m]}" for m in [*qk, *ck]) + ", sim double, met bigint"
+    return dealt_q.groupBy("_block", "_part").cogroup(dealt_c.groupBy("_block", "_part")).applyInPandas(meet, schema)
+
+
+def _same(a: list[str], b: list[str]):
+    out = F.lit(True)
+    for x, y in zip(a, b):
+        out = out & (F.col(x) == F.col(y))
+    return out
+
+
 def lsh_model(corpus: DataFrame, vec: str, dims: int, bits: int, tables: int, seed: int, sample: int = 20000):
     """Random directions and their medians over a bounded sample of unit vectors, so that each
     bit halves the corpus: ``tables`` keys of ``bits`` bits (AND within a key, OR over tables)."""
@@ -345,7 +459,7 @@ def lsh_bits(sims: np.ndarray, shared: np.ndarray, kth: np.ndarray, most: int, t
 
 def knn_cosine_lsh(queries: DataFrame, corpus: DataFrame, k: int = 8, qid="qid", cid="cid", vec: str = "embedding",
                    tables: int = 14, bucket_rows: int = 32, least_bits: int = 5, salts: int = 8, seed: int = 7,
-                   recall: float = 0.9, sample: int = 256, most_met: float = 0.25) -> DataFrame:
+                   recall: float = 0.9, sample: int = 256, most_met: float = 0.25, work: list | None = None) -> DataFrame:
     """Approximate form: a bucket key of several projections per table, exact scores of
     the rows that share a bucket, top-k.
 
@@ -353,8 +467,9 @@ def knn_cosine_lsh(queries: DataFrame, corpus: DataFrame, k: int = 8, qid="qid",
     from how long a start of the keys their true neighbours share (``lsh_bits``). Queries that met fewer
     than k rows, or whose k-th score is one at which neighbours are missed too often, are searched
     exactly. Where all this would meet more than ``most_met`` of all pairs (vectors without
-    clusters), all queries are searched exactly. A bucket holds ``bucket_rows`` corpus rows or
-    more; a hot one is split over ``salts``.
+    clusters), inverted lists over cells of the sphere are searched instead (``cell_search``), and exactly only queries
+    that met fewer than k rows there. A bucket holds ``bucket_rows`` corpus rows or
+    more; a hot one is split over ``salts``. ``work`` (a list) is given the share of all pairs met in the lists.
     """
     from stancekit.session import materialize
 
@@ -387,6 +502,13 @@ def knn_cosine_lsh(queries: DataFrame, corpus: DataFrame, k: int = 8, qid="qid",
     pairs = cs.join(F.broadcast(exact(few).join(few, qk)), ck).select("rank", "sim", shared("qv", "cv").alias("shared")).collect()
     rank, sims, start = (np.array([r[j] for r in pairs]) for j in range(3))
     bits, cut, share = lsh_bits(sims, start, sims[rank == min(k, n)], most, tables, recall) if pairs else (0, 0.0, 1.0)
+    if share > most_met and n:
+        found = materialize(cell_search(qs, cs, k, recall, seed, sample), "cells-found")
+        if work is not None:
+            work.append((found.agg(F.sum("met")).first()[0] or 0) / max(1, n * qs.count()))
+        near = ranked(found.where("sim is not null").drop("met"), qk, ck, k)
+        full = near.groupBy(*qk).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min(k, n)).select(*qk)
+        return named(near.join(full, qk, "left_semi").select(*qk, *ck, "rank", "sim").unionByName(exact(qs.join(full, qk, "left_anti"))))
     if share > most_met:
         return named(exact(qs))
 

@@ -67,17 +67,18 @@ LSH_RECALL = 0.9   # stated floor
 
 
 @register("knn_cosine_lsh", with_ctes(["vectors"], """
-SELECT vec_id AS qid, least(8, (SELECT COUNT(*) FROM vectors WHERE role = 'corpus'))::BIGINT AS n_found, 1::BIGINT AS recall_ok
+SELECT vec_id AS qid, least(8, (SELECT COUNT(*) FROM vectors WHERE role = 'corpus'))::BIGINT AS n_found, 1::BIGINT AS recall_ok, 1::BIGINT AS half_skipped
 FROM vectors WHERE role = 'query'"""))
 def q_knn_cosine_lsh(spark, sf):
-    """Approximate neighbours: rows per query, and whether the recall over all queries
-    against the exact search reaches the stated floor."""
+    """Approximate neighbours: rows per query, whether the recall over all queries against the exact
+    search reaches the stated floor, and whether the index met fewer than half of all pairs."""
     q, c = _vec_sides(spark, sf)
-    near = R.knn_cosine_lsh(q, c, 8)
+    work: list[float] = []
+    near = R.knn_cosine_lsh(q, c, 8, work=work)
     exact = R.knn_cosine(q, c, 8).select("qid", "cid", F.lit(1).alias("hit"))
     j = near.join(exact, ["qid", "cid"], "left").groupBy("qid").agg(F.count(F.lit(1)).alias("n_found"), F.count("hit").alias("hits"))
     recall = j.agg((F.sum("hits") / F.sum("n_found")).alias("r")).scalar()
-    return j.select("qid", "n_found", (recall >= LSH_RECALL).cast("int").alias("recall_ok"))
+    return j.select("qid", "n_found", (recall >= LSH_RECALL).cast("int").alias("recall_ok"), F.lit(int(max(work, default=0.0) < 0.5)).alias("half_skipped"))
 
 
 def lexical_knn(spark, sf, k=8):

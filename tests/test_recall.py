@@ -34,3 +34,28 @@ def test_lsh_bits_follow_measured_neighbours():
     kth = np.array([0.9] * 95 + [0.2] * 5)
     bits, cut, share = R.lsh_bits(sims, shared, kth, 10, 4, 0.9)
     assert (bits, cut) == (6, 0.2) and abs(share - (4 / 64 + 0.05)) < 1e-9
+
+
+def test_cells_hold_recall_without_exact_search(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3_300, 32))
+    x = np.concatenate([x, x[:20]])                                    # equal rows tie
+    q, c = x[:300], x[300:]
+    unit = lambda m: m / np.linalg.norm(m, axis=1)[:, None]
+    want = {(i, int(j)) for i, row in enumerate(np.argsort(-(unit(q) @ unit(c).T), axis=1, kind="stable")[:, :8]) for j in row}
+    work = []
+    got = [(r["qid"], r["cid"]) for r in R.knn_cosine_lsh(_table(spark, q, "qid"), _table(spark, c, "cid"), 8, work=work).collect()]
+    assert len(got) == len(set(got)) == len(want)
+    assert len(want & set(got)) / len(want) >= 0.9 and 0 < work[0] < 0.5
+
+
+def test_probes_follow_measured_ranks():
+    assert R.probes_for(np.array([0] * 500 + [3] * 500), 10, 0.9) == 4
+    assert R.probes_for(np.zeros(1000, np.int64), 10, 0.9) == 1
+    assert R.probes_for(np.arange(10), 10, 0.9) == 10
+
+
+def test_cells_of_the_sphere():
+    x = np.eye(4)[np.arange(40) % 4]
+    centres = R.sphere_cells(x, 4, 1)
+    assert np.allclose(np.linalg.norm(centres, axis=1), 1) and len(R.sphere_cells(x[:2], 5, 1)) == 2
