@@ -47,7 +47,7 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import the modules that register queries."""
     from stancekit.plans import (  # noqa: F401
-        q_attribution, q_core, q_features, q_io, q_prompts, q_retrieval, q_windows,
+        q_attribution, q_core, q_features, q_io, q_prompts, q_resume, q_retrieval, q_windows,
     )
 
 
