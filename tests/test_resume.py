@@ -10,20 +10,24 @@ from stancekit.operators import resume as RS
 KEYS = ("speech_id", "sent_idx")
 
 
-class Counting:
-    """Answers with the prompt, and leaves a file for each prompt it was asked for."""
+def counting():
+    """The class by value: workers do not have the tests on their path."""
+    class Counting:
+        """Answers with the prompt, and leaves a file for each prompt it was asked for."""
 
-    def __init__(self, folder: str, broken: str | None = None, failing: str | None = None, at: str = ""):
-        self.folder, self.broken, self.failing, self.at = folder, broken, failing, at
+        def __init__(self, folder: str, broken: str | None = None, failing: str | None = None, at: str = ""):
+            self.folder, self.broken, self.failing, self.at = folder, broken, failing, at
 
-    def __call__(self, prompts):
-        if self.broken and os.path.exists(self.broken) and self.at in prompts:
-            os._exit(3)                        # the worker dies, not just the row
-        out = []
-        for p in prompts:
-            open(os.path.join(self.folder, f"{p}-{os.urandom(4).hex()}"), "w").close()
-            out.append(ValueError("no") if self.failing and os.path.exists(self.failing) and p in ("p1", "p2") else f"{p} x y")
-        return out
+        def __call__(self, prompts):
+            if self.broken and os.path.exists(self.broken) and self.at in prompts:
+                os._exit(3)                        # the worker dies, not just the row
+            out = []
+            for p in prompts:
+                open(os.path.join(self.folder, f"{p}-{os.urandom(4).hex()}"), "w").close()
+                out.append(ValueError("no") if self.failing and os.path.exists(self.failing) and p in ("p1", "p2") else f"{p} x y")
+            return out
+
+    return Counting
 
 
 def rows(spark, n=60):
@@ -40,7 +44,8 @@ def test_a_broken_run_resumes(spark, tmp_path):
     flag.touch()
     df = rows(spark)
     at = df.where(F.pmod(F.xxhash64(*KEYS), F.lit(8)) == 4).first()["prompt"]      # in the fifth of eight commits
-    make = lambda: Counting(str(asked_in), str(flag), at=at)
+    kind = counting()
+    make = lambda: kind(str(asked_in), str(flag), at=at)
     with pytest.raises(Exception):
         RS.annotate_resumable(df, make, path, KEYS, commits=8).count()
     before = {r["prompt"] for r in RS.answers(spark, path, df.withColumns({"model_response": F.lit(""), "error": F.lit("")}).schema).collect()}
@@ -61,7 +66,8 @@ def test_unfinished_folders_do_not_count(spark, tmp_path):
     path = str(tmp_path / "log")
     df = rows(spark, 20)
     (tmp_path / "asked").mkdir()
-    make = lambda: Counting(str(tmp_path / "asked"))
+    kind = counting()
+    make = lambda: kind(str(tmp_path / "asked"))
     assert RS.annotate_resumable(df, make, path, KEYS, commits=4, most=2).count() < 20
     some = RS.committed(spark, path)
     os.unlink(os.path.join(some[0].removeprefix("file:"), "_SUCCESS"))
@@ -73,7 +79,8 @@ def test_more_rows_and_failed_ones(spark, tmp_path):
     path, fail = str(tmp_path / "log"), tmp_path / "fail"
     (tmp_path / "asked").mkdir()
     fail.touch()
-    make = lambda: Counting(str(tmp_path / "asked"), None, str(fail))
+    kind = counting()
+    make = lambda: kind(str(tmp_path / "asked"), None, str(fail))
     first = RS.annotate_resumable(rows(spark, 10), make, path, KEYS, commits=3)
     assert {r["prompt"] for r in first.where("error is not null").collect()} == {"p1", "p2"}
     fail.unlink()
