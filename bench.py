@@ -26,7 +26,7 @@ from stancekit.operators import retrieval as R  # noqa: E402
 from stancekit.operators import sampling as S  # noqa: E402
 from stancekit.operators import windows as W  # noqa: E402
 from stancekit.plans import catalog  # noqa: E402
-from stancekit.session import local_session, materialize, scratch_scope  # noqa: E402
+from stancekit.session import local_session, materialize, scratch_scope, spread  # noqa: E402
 from stancekit.sources import fixtures as fx  # noqa: E402
 
 KEY = ["speech_id", "sent_idx"]
@@ -83,7 +83,7 @@ def main():
     def q_svm():
         tw = S.upsample_weights(train)
         terms, idf = LN.collect_vocabulary(FE.fit_vocabulary(tw, weight_col="copies"))
-        gold = FE.with_grams(tw).withColumn("gold_vec", L.multi_hot(L.label_ids(F.col("class_code"))))
+        gold = FE.with_grams(spread(tw, *KEY)).withColumn("gold_vec", L.multi_hot(L.label_ids(F.col("class_code"))))
         vecs = materialize(LN.tfidf_vectors(gold, terms, idf).select("features", "gold_vec", "copies"), "bench-vectors")
         LN.train_linear_svm(vecs, terms, weight_col="copies", max_iter=50, k=1)
 

@@ -187,7 +187,7 @@ def train_linear_svm(vecs: DataFrame, terms: list[str], gold: str = "gold_vec",
     blocks = packed_blocks(vecs.coalesce(max(1, -(-vecs.count() // BLOCK_ROWS))), gold, features, weight, C, k)
     parts = blocks.count()
     sigma = max(1.0, parts / 2)                # how often a block counts its own changes
-    epochs = epochs if parts > 1 else 10 * epochs
+    epochs = epochs if parts > 1 else 2 * epochs
     w, share, best, low = np.zeros((k, len(terms) + 1)), np.zeros(k), None, np.zeros(k)
     mean = w
     for t in range(max_iter + 1):
