@@ -10,10 +10,6 @@ regular expression's matches, leftmost and without overlap, are the merged runs.
 """
 from __future__ import annotations
 
-import bisect
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -251,66 +247,74 @@ def word_relevance_summary(df: DataFrame, word: str = "term", cls: str = "class_
 NORMALIZE = "[^a-zA-Z0-9.]"   # fixed value: characters compared when aligning
 
 
-def align_row(pieces: list[str], scores: list[float], words: list[str], agg: str = "max") -> list[dict]:
-    """Pieces of one sentence mapped onto its words, in one pass over both.
+def _starts(lengths: Column) -> Column:
+    """The sum of the lengths before each entry. Linear: entry i is written length + 1 times,
+    and where its first copy stands, i copies too many stand before it."""
+    copies = F.flatten(F.transform(lengths, lambda n, i: F.array_repeat(i, n + 1)))
+    return bound(copies, lambda c: F.filter(
+        F.transform(c, lambda i, e: F.when((e == 0) | (F.get(c, e - 1) != i), e - i)), lambda v: v.isNotNull()))
+
+
+def _owners(lengths: Column) -> Column:
+    """For each character of the joined entries the entry that holds it."""
+    return F.flatten(F.transform(lengths, lambda n, i: F.array_repeat(i, n)))
+
+
+def align_words(pieces, scores, words, agg: str = "max") -> Column:
+    """Pieces of one sentence mapped onto its words: array<struct<word_idx, word, text, score,
+    aligned>> by word; map-only, linear in the characters but for one sort of the pieces.
 
     Both sides are normalised to ``[a-zA-Z0-9.]``; running lengths give character offsets. A
     piece belongs to the word whose span holds its start. Pieces without
     normalised text meet empty words at the same offset in order, otherwise they join the word
     ending there. A piece without such a word goes to the nearest one (the last empty word
-    at its offset, else the first word; no word at all: index None) and that word is not aligned, so no
-    score is lost.
+    at its offset, else the first word; no word at all: index null) and that word is not aligned, so no
+    score is lost. Null arrays are empty; null pieces and words are empty texts; null scores
+    are left out (all null: null).
     """
-    bare = [re.sub(NORMALIZE, "", w or "") for w in words]
-    at, starts, holders, empties = 0, [], [], {}
-    for i, w in enumerate(bare):
-        if w:
-            starts.append(at)
-            holders.append(i)
-            at += len(w)
-        else:
-            empties.setdefault(at, []).append(i)
-    out: dict = {}
-    used: dict[int, int] = {}
-    lost = set()
-    at = 0
-    for piece, score in zip(pieces, scores):
-        n = len(re.sub(NORMALIZE, "", piece or ""))
-        where = at if n else max(at - 1, 0)
-        k = bisect.bisect_right(starts, where) - 1
-        here = empties.get(at, [])
-        if not n and used.get(at, 0) < len(here):
-            word = here[used.get(at, 0)]
-            used[at] = used.get(at, 0) + 1
-        elif k >= 0:
-            word = holders[k]
-        else:
-            word = here[-1] if here else (0 if words else None)
-            lost.add(word)
-        out.setdefault(word, []).append((piece or "", score))
-        at += n
-    rows = []
-    for word in sorted(out, key=lambda i: -1 if i is None else i):
-        text = "".join(p for p, _ in out[word])
-        got = [s for _, s in out[word] if s is not None]
-        target = None if word is None else words[word]
-        rows.append({"word_idx": word, "word": target, "text": text,
-                     "score": (max(got) if agg == "max" else float(sum(got))) if got else None,
-                     "aligned": word not in lost and word is not None and re.sub(NORMALIZE, "", text) == bare[word]})
-    return rows
-
-
-def align_words(pieces, scores, words, agg: str = "max") -> Column:
-    """``align_row`` over array columns: array<struct<word_idx, word, text, score, aligned>>; map-only."""
     if agg not in ("max", "sum"):
         raise ValueError("agg is 'max' or 'sum'")
-
-    @F.pandas_udf("array<struct<word_idx:bigint,word:string,text:string,score:double,aligned:boolean>>")
-    def run(p: pd.Series, s: pd.Series, w: pd.Series) -> pd.Series:
-        none = lambda x: [] if x is None else list(x)
-        return pd.Series([align_row(none(a), none(b), none(c), agg) for a, b, c in zip(p, s, w)], dtype="object")
-
-    return run(_c(pieces), _c(scores), _c(words))
+    bare = lambda t: F.regexp_replace(F.coalesce(t, F.lit("")), NORMALIZE, "")
+    paired = bound(
+        F.struct(F.coalesce(_c(pieces), F.array().cast("array<string>")).alias("p"),
+                 F.coalesce(_c(scores).cast("array<double>"), F.array().cast("array<double>")).alias("s"),
+                 F.coalesce(_c(words), F.array().cast("array<string>")).alias("w")),
+        lambda x: F.struct(F.slice(x["p"], 1, F.least(F.size(x["p"]), F.size(x["s"]))).alias("p"), x["s"].alias("s"), x["w"].alias("w"),
+                           F.transform(x["w"], bare).alias("bare")))
+
+    def rows(x):
+        lengths = F.struct(F.transform(x["p"], lambda t: F.length(bare(t))).alias("p"),
+                           F.transform(x["bare"], lambda t: F.length(t)).alias("w"))
+        offsets = bound(lengths, lambda n: F.struct(
+            n["p"].alias("np"), n["w"].alias("nw"), _starts(n["p"]).alias("p"), _starts(n["w"]).alias("w"),
+            _owners(n["p"]).alias("op"), _owners(n["w"]).alias("ow")))
+        ordered = F.sort_array(bound(offsets, lambda o: F.transform(o["np"], lambda n, i: place(x, o, n, i))))
+        cuts = bound(ordered, lambda z: F.struct(z.alias("z"), _where(
+            F.transform(z, lambda v, k: (k == 0) | ~F.get(z, k - 1)["word"].eqNullSafe(v["word"]))).alias("at")))
+        return bound(cuts, lambda c: F.transform(c["at"], lambda a, j: bound(
+            F.slice(c["z"], a + 1, F.coalesce(F.get(c["at"], j + 1), F.size(c["z"])) - a), lambda g: word(x, g))))
+
+    def place(x, o, n, i):
+        """The word of piece i: the entries that start at its offset follow the owner of the character before."""
+        at, chars = F.get(o["p"], i), F.size(o["ow"])
+        after = lambda owners: F.when(at > 0, F.get(owners, at - 1) + 1).otherwise(0)
+        same = after(o["ow"]) + i - after(o["op"])
+        meets = F.coalesce((n == 0) & (F.get(o["nw"], same) == 0) & (F.get(o["w"], same) == at), F.lit(False))
+        start = F.when(n > 0, at).otherwise(F.greatest(at - 1, F.lit(0)))
+        nearest = F.when(F.size(x["w"]) > 0, F.when(at == 0, F.size(x["w"]) - 1).otherwise(0))
+        return F.struct(F.when(meets, same).when(chars > 0, F.get(o["ow"], F.least(start, chars - 1))).otherwise(nearest).alias("word"),
+                        i.alias("i"), (~meets & (chars == 0)).alias("lost"))
+
+    def word(x, g):
+        w = F.get(g, 0)["word"]
+        text = F.array_join(F.transform(g, lambda v: F.coalesce(F.get(x["p"], v["i"]), F.lit(""))), "")
+        got = F.filter(F.transform(g, lambda v: F.get(x["s"], v["i"])), lambda v: v.isNotNull())
+        score = F.array_max(got) if agg == "max" else bound(got, lambda v: F.when(F.size(v) > 0, _sum(v)))
+        return bound(text, lambda t: F.struct(
+            w.cast("bigint").alias("word_idx"), F.get(x["w"], w).alias("word"), t.alias("text"), score.alias("score"),
+            F.coalesce(~F.exists(g, lambda v: v["lost"]) & (bare(t) == F.get(x["bare"], w)), F.lit(False)).alias("aligned")))
+
+    return bound(paired, rows)
 
 
 def align_to_words(pieces: DataFrame, words: DataFrame, agg: str = "max", keys=KEY) -> DataFrame:

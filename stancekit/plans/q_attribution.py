@@ -19,7 +19,7 @@ KEY = ["speech_id", "sent_idx"]
 def linear_explained(spark, sf):
     """(test tf-idf, margins, explained classes) under the fixed weights."""
     vocab = train_vocabulary(spark, sf)
-    coef, bias = fx.coef(spark, sf)
+    coef, bias = fx.coef(spark, vocab)
     tt = test_tfidf(spark, sf, vocab)
     # read by the explained classes and by whatever asks for their margins: computed once
     m = materialize(LN.score_linear(tt, _test(spark, sf).select(*KEY), coef, bias), "margins")

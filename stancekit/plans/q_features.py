@@ -217,7 +217,7 @@ FROM test_margins"""))
 def q_score_linear(spark, sf):
     """Fixed weights (hash) over the train vocabulary: margin per test row and label."""
     vocab = train_vocabulary(spark, sf)
-    coef, bias = fx.coef(spark, sf)
+    coef, bias = fx.coef(spark, vocab)
     t = _test(spark, sf)
     return LN.score_linear(test_tfidf(spark, sf, vocab), t.select(*KEY), coef, bias)
 
@@ -229,5 +229,5 @@ SELECT label::BIGINT AS label, direction, rank::BIGINT AS rank, term, round(weig
   SELECT label, 'negative' AS direction, row_number() OVER (PARTITION BY label ORDER BY weight ASC, term) AS rank, term, weight FROM coef
 ) WHERE rank <= 10"""))
 def q_top_terms(spark, sf):
-    coef, _ = fx.coef(spark, sf)
+    coef, _ = fx.coef(spark, train_vocabulary(spark, sf))
     return LN.top_terms(coef, 10)

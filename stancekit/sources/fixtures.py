@@ -178,16 +178,11 @@ def grad_tokens(spark: SparkSession, sf_dir: str, dim: int = 4) -> DataFrame:
     return t.select(*KEY, "pos", "token", g.alias("grad"), x.alias("input"))
 
 
-def coef(spark: SparkSession, sf_dir: str):
-    """Fixed linear weights over the train vocabulary: u(201 + label, term) - 0.5.
+def coef(spark: SparkSession, vocab: DataFrame):
+    """Fixed linear weights over a vocabulary: u(201 + label, term) - 0.5.
 
     Returns (coef(term, label, weight), bias(label, bias)).
     """
-    from stancekit.operators.features import fit_vocabulary
-    from stancekit.operators.sampling import upsample_weights
-
-    train = upsample_weights(sentences(spark, sf_dir).where(F.col("split") == "train"))
-    vocab = fit_vocabulary(train, weight_col="copies")
     c = vocab.select("term", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("label"))
     c = c.withColumn("weight", unit_hash(F.lit(201) + F.col("label"), F.col("term")) - F.lit(0.5))
     bias = spark.range(3).select(F.col("id").cast("int").alias("label"), F.lit(COEF_BIAS).alias("bias"))

@@ -165,17 +165,46 @@ def test_merges_are_linear(spark):
 
 
 def test_align_rows():
-    got = A.align_row(["—", "—", "—"], [1.0, 1.0, 1.0], ["——", "—"], "sum")
+    from tests.align_brute import align_row
+    got = align_row(["—", "—", "—"], [1.0, 1.0, 1.0], ["——", "—"], "sum")
     assert [(r["word_idx"], r["score"], r["aligned"]) for r in got] == [(0, 1.0, True), (1, 2.0, False)]
-    assert A.align_row(["a", "b"], [1.0, 2.0], [], "sum")[0]["word_idx"] is None
-    assert A.align_row([], [], ["a"]) == []
+    assert align_row(["a", "b"], [1.0, 2.0], [], "sum")[0]["word_idx"] is None
+    assert align_row([], [], ["a"]) == []
+
+
+def test_align_words_equals_brute_force(spark):
+    from tests.align_brute import align_row
     rng = np.random.default_rng(5)
-    parts = ["ab", "—", "c.", "!", "7", "", "é"]
-    for _ in range(300):
-        p = [parts[k] for k in rng.integers(0, 7, rng.integers(0, 9))]
-        w = [parts[k] for k in rng.integers(0, 7, rng.integers(0, 6))]
-        rows = A.align_row(p, [1.0] * len(p), w, "sum")
-        assert sum(r["score"] for r in rows) == len(p)      # no score is lost, whatever the texts
+    parts = ["ab", "—", "c.", "!", "7", "", "é", None]
+    cases = [(["—", "—", "—"], [1.0, 1.0, 1.0], ["——", "—"]), (["a", "b"], [1.0, 2.0], []), ([], [], ["a"]), (None, None, None),
+             (["a", "!"], [None, None], ["a!"]), (["a", "b", "c"], [1.0], ["a", "b"])]
+    for _ in range(1500):
+        p = [parts[k] for k in rng.integers(0, 8, rng.integers(0, 9))]
+        scores = [None if v > 3.5 else float(v) for v in rng.integers(-8, 9, len(p)) / 2]
+        cases.append((p, scores, [parts[k] for k in rng.integers(0, 8, rng.integers(0, 6))]))
+    rows = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, p array<string>, s array<double>, w array<string>")
+    for agg in ("max", "sum"):
+        got = {r["k"]: [x.asDict() for x in r["a"]] for r in rows.select("k", A.align_words("p", "s", "w", agg).alias("a")).collect()}
+        for k, (p, s, w) in enumerate(cases):
+            want = align_row(p or [], s or [], w or [], agg)
+            assert got[k] == want, (agg, p, s, w)
+            if agg == "sum":                            # no score is lost, whatever the texts
+                assert sum(r["score"] or 0.0 for r in got[k]) == sum(v or 0.0 for _, v in zip(p or [], s or []))
+
+
+def test_align_words_takes_linear_time(spark):
+    import time
+    took = []
+    for n in (20000, 40000):
+        rows = spark.createDataFrame([(["ab", "!", "c", ""] * (n // 4), [0.5] * n, ["ab!", "c", ""] * (n // 4))],
+                                     "p array<string>, s array<double>, w array<string>")
+        best = 1e9
+        for _ in range(3):
+            t0 = time.time()
+            rows.select(F.size(A.align_words("p", "s", "w"))).collect()
+            best = min(best, time.time() - t0)
+        took.append(best)
+    assert took[1] < 3.0 and took[1] < 4 * took[0]
 
 
 def _sides(spark, qid="qid", cid="cid"):
