@@ -6,10 +6,14 @@ of an item lies whole in some window of like size, however long the document: th
 overlap of item and window is then at least 0.19 of their union when 0.8 of
 the item is there. A window is a candidate if one of ``hashes`` minima equals the
 item's (a miss: below 2e-6). Candidates are verified by exact containment: the share
-of the item's distinct word shingles that the whole document has.
+of the item's distinct word shingles that the whole document has. An item of fewer words
+than a shingle is one shingle, all its words: classes of their own, one a number of words,
+looked up in the document's shingles of that many words.
 
 The items are the small side: they go to the tasks in blocks of at most ``block_words``
-words, as many blocks as it takes. Documents pass once, row by row, without a shuffle.
+words (a longer item alone), one block after the other. For each block the documents pass once, row by row, without a
+shuffle; what a pass finds or keeps is written before the next block is read, so neither
+the driver nor a task holds more than one block.
 """
 from __future__ import annotations
 
@@ -18,7 +22,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stancekit.llm import common as C
@@ -29,12 +33,10 @@ _WORD = C.byte_class(C.ALNUM)
 MATCH = "array<struct<item_id:bigint,shared:int,total:int>>"
 
 
-def _shingles(data: np.ndarray, offsets: np.ndarray, n: int):
-    """Word starts and ends, words per row (as first index), shingle hashes and their rows."""
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes and the rows they are of."""
     starts, ends, first = C.spans(data, offsets, _WORD)
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    g, grow = _joined(C.span_hashes(data, starts, ends), row, n, n)
-    return starts, ends, first, g, grow
+    return C.span_hashes(data, starts, ends), np.repeat(np.arange(len(offsets) - 1), np.diff(first))
 
 
 def folded(text: str | None) -> str:
@@ -56,22 +58,31 @@ class Items:
     ids: list
     sets: list[set]
     hashes: list[np.ndarray]
+    width: list[int]                                         # words in a shingle: n, or all words of a shorter item
     mult: np.ndarray
     classes: dict[int, list] = field(default_factory=dict)   # u -> per hash: (values, item numbers, bit table)
+    short: dict[int, tuple] = field(default_factory=dict)    # words -> (hashes, item numbers)
 
     @classmethod
     def of(cls, rows: list[tuple], n: int, hashes: int, seed: int) -> "Items":
         mult = np.random.default_rng(seed).integers(0, 1 << 63, hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        out = cls([], [], [], mult)
+        out = cls([], [], [], [], mult)
         for key, text in rows:
             raw = np.frombuffer(folded(text).encode(), np.uint8)
-            g = np.unique(_shingles(raw, np.array([0, len(raw)]), n)[3])
-            if len(g):
+            h, row = _words(raw, np.array([0, len(raw)]))
+            if len(h):
                 out.ids.append(key)
-                out.sets.append(word_shingles(text, n))
-                out.hashes.append(g)
-        size = np.array([1 << int(np.ceil(np.log2(len(g)))) for g in out.hashes], np.int64)
-        for u in np.unique(size):
+                out.width.append(min(n, len(h)))
+                out.sets.append(word_shingles(text, out.width[-1]))
+                out.hashes.append(np.unique(_joined(h, row, out.width[-1], out.width[-1])[0]))
+        width = np.array(out.width, np.int64)
+        for m in np.unique(width[width < n]):
+            who = np.flatnonzero(width == m)
+            values = np.array([out.hashes[k][0] for k in who], np.uint64)
+            order = np.argsort(values, kind="stable")
+            out.short[int(m)] = (values[order], who[order])
+        size = np.array([1 << int(np.ceil(np.log2(len(g)))) if m == n else 0 for g, m in zip(out.hashes, out.width)], np.int64)
+        for u in np.unique(size[size > 0]):
             who = np.flatnonzero(size == u)
             per = []
             for a in mult:
@@ -83,6 +94,16 @@ class Items:
             out.classes[int(u)] = per
         return out
 
+    def short_candidates(self, h: np.ndarray, row: np.ndarray) -> set[tuple[int, int]]:
+        """(row, item) pairs of items that are one shingle; equal hashes, not yet equal words."""
+        found: set[tuple[int, int]] = set()
+        for m, (values, who) in self.short.items():
+            g, grow = _joined(h, row, m, m)
+            lo, hi = np.searchsorted(values, g, "left"), np.searchsorted(values, g, "right")
+            for at in np.flatnonzero(hi > lo):
+                found.update((int(grow[at]), int(k)) for k in who[lo[at]:hi[at]])
+        return found
+
     def candidates(self, g: np.ndarray, grow: np.ndarray) -> set[tuple[int, int]]:
         """(row, item) pairs that share a minimum in some window."""
         found: set[tuple[int, int]] = set()
@@ -118,35 +139,38 @@ class Items:
         data, offsets = C.utf8(lower)
         for lo, hi in C.row_blocks(offsets):
             d, off = data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
-            g, grow = _shingles(d, off, n)[3:]
+            h, row = _words(d, off)
+            g, grow = _joined(h, row, n, n)
             seen: dict[int, np.ndarray] = {}
-            exact: dict[int, set] = {}
-            for r, k in sorted(self.candidates(g, grow)):
-                if r not in seen:
-                    a, b = np.searchsorted(grow, [r, r + 1])
-                    seen[r] = np.unique(g[a:b])
-                if np.isin(self.hashes[k], seen[r], assume_unique=True).sum() < least * len(self.sets[k]):
-                    continue                         # equal hashes can only add to the count
-                if r not in exact:
-                    exact[r] = word_shingles(d[off[r]:off[r + 1]].tobytes().decode(), n)
-                shared = len(self.sets[k] & exact[r])
+            exact: dict[tuple[int, int], set] = {}
+            for r, k in sorted(self.candidates(g, grow) | self.short_candidates(h, row)):
+                m = self.width[k]
+                if m == n:
+                    if r not in seen:
+                        a, b = np.searchsorted(grow, [r, r + 1])
+                        seen[r] = np.unique(g[a:b])
+                    if np.isin(self.hashes[k], seen[r], assume_unique=True).sum() < least * len(self.sets[k]):
+                        continue                     # equal hashes can only add to the count
+                if (r, m) not in exact:
+                    exact[r, m] = word_shingles(d[off[r]:off[r + 1]].tobytes().decode(), m)
+                shared = len(self.sets[k] & exact[r, m])
                 if shared >= least * len(self.sets[k]):
                     out[lo + r].append({"item_id": self.ids[k], "shared": shared, "total": len(self.sets[k])})
         return out
 
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int):
-    """Items in blocks of bounded size; an iterator, so the driver holds one block at a time."""
+    """(block, whether it is the last): items in blocks of bounded size, read as they are asked for."""
     block, words = [], 0
     for r in items.select(F.col(id_col).cast("long"), text_col).orderBy(id_col, text_col).toLocalIterator():
         size = len((r[1] or "").split())
         if block and words + size > block_words:
-            yield block
+            yield block, False
             block, words = [], 0
         block.append((r[0], r[1]))
         words += size
     if block:
-        yield block
+        yield block, True
 
 
 def searching(block: Items, n: int, least: float):
@@ -160,35 +184,40 @@ def searching(block: Items, n: int, least: float):
     return search
 
 
-def matches(text: Column, items: DataFrame, id_col: str = "item_id", text_col: str = "text", n: int = SHINGLE,
-            least: float = LEAST, hashes: int = HASHES, block_words: int = BLOCK_WORDS, seed: int = 11) -> Column:
-    """array<struct<item_id, shared, total>> of the items a text contains, by item id.
+def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", id_col: str = "item_id",
+                 text_col: str = "text", n: int = SHINGLE, least: float = LEAST, hashes: int = HASHES,
+                 block_words: int = BLOCK_WORDS, seed: int = 11) -> DataFrame:
+    """One row per (document, item contained): id, item_id, shared and total shingles, containment.
 
-    Null and empty texts contain nothing; an item without a whole shingle (null,
-    empty, fewer than ``n`` words) is contained in nothing; equal items each match; no
-    items: empty arrays.
+    Null and empty texts contain nothing; an item without a word (null, empty) is contained in
+    nothing, one of fewer than ``n`` words where all of them follow each other; equal items each match;
+    repeated documents stay rows of their own; other columns, whatever their names, play no part; no items or no
+    documents: no rows.
     """
-    found = []
-    for rows in item_blocks(items, id_col, text_col, block_words):
-        found.append(searching(Items.of(rows, n, hashes, seed), n, least)(text))
-    if not found:
-        return F.from_json(F.lit("[]"), MATCH)
-    return F.array_sort(F.concat(*found)) if len(found) > 1 else F.array_sort(found[0])
-
-
-def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", **options) -> DataFrame:
-    """One row per (document, item contained): id, item_id, shared and total shingles, containment."""
-    hit = docs.select(F.col(doc_id), matches(F.col(doc_text), items, **options).alias("m")).where(F.size("m") > 0)
-    return hit.select(doc_id, F.explode("m").alias("m")).select(
-        doc_id, "m.item_id", "m.shared", "m.total", (F.col("m.shared") / F.col("m.total")).alias("containment"))
-
-
-def clean(docs: DataFrame, items: DataFrame, doc_text: str = "text", **options) -> DataFrame:
-    """The documents that contain no test item, with their columns."""
-    return docs.where(F.size(matches(F.col(doc_text), items, **options)) == 0)
-
-
-#: Exact containment of the same shingles, by brute force.
+    x = docs.select(F.col(doc_id).alias("id"), F.col(doc_text).alias("text"))
+    none = x.select("id", F.from_json(F.lit("[]"), MATCH).alias("m")).where(F.lit(False))
+    hits = none
+    for block, last in item_blocks(items, id_col, text_col, block_words):
+        found = searching(Items.of(block, n, hashes, seed), n, least)
+        hit = x.select("id", found("text").alias("m")).where(F.size("m") > 0)
+        hit = hit if last else C.written(hit, "item-hits")
+        hits = hit if hits is none else hits.unionByName(hit)
+    return hits.select("id", F.explode("m").alias("m")).select(
+        F.col("id").alias(doc_id), "m.item_id", "m.shared", "m.total", (F.col("m.shared") / F.col("m.total")).alias("containment"))
+
+
+def clean(docs: DataFrame, items: DataFrame, doc_text: str = "text", id_col: str = "item_id", text_col: str = "text",
+          n: int = SHINGLE, least: float = LEAST, hashes: int = HASHES, block_words: int = BLOCK_WORDS, seed: int = 11) -> DataFrame:
+    """The documents that contain no test item, with all their columns and repeated rows. What is
+    contained is as for ``contaminated``; a block of items sees what the blocks before it left."""
+    for block, last in item_blocks(items, id_col, text_col, block_words):
+        found = searching(Items.of(block, n, hashes, seed), n, least)
+        docs = docs.where(F.size(found(F.col(doc_text))) == 0)
+        docs = docs if last else C.written(docs, "clean-of-block")
+    return docs
+
+
+#: Exact containment of the same shingles, by brute force; items below five words as one shingle.
 ORACLE = r"""
 WITH words AS (
   SELECT 'd' AS kind, doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents
@@ -201,4 +230,11 @@ total AS (SELECT id, count(*) AS n FROM grams WHERE kind = 'b' GROUP BY id)
 SELECT d.id AS doc_id, b.id AS item_id, count(*)::INTEGER AS shared, any_value(t.n)::INTEGER AS total, count(*) / any_value(t.n) AS containment
 FROM grams b JOIN grams d ON b.kind = 'b' AND d.kind = 'd' AND b.g = d.g JOIN total t ON t.id = b.id
 GROUP BY d.id, b.id HAVING count(*) >= 0.8 * any_value(t.n)
+UNION ALL
+SELECT d.id, s.id, 1::INTEGER, 1::INTEGER, 1.0
+FROM (SELECT id, len(w) AS m, array_to_string(w, ' ') AS g FROM words WHERE kind = 'b' AND len(w) BETWEEN 1 AND 4) s
+JOIN (SELECT DISTINCT id, m, array_to_string(w[i:i + m - 1], ' ') AS g
+      FROM (SELECT id, w, m, unnest(range(1, len(w) - m + 2)) AS i
+            FROM (SELECT id, w FROM words WHERE kind = 'd') JOIN (SELECT DISTINCT len(w) AS m FROM words WHERE kind = 'b' AND len(w) BETWEEN 1 AND 4) ON true)) d
+ON d.m = s.m AND d.g = s.g
 """

@@ -1,8 +1,10 @@
 """SimHash near-duplicates and benchmark decontamination against brute force."""
 import random
+import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -139,25 +141,37 @@ def test_decontamination_cases(spark):
     rng = random.Random(3)
     words = [f"W{i}é" for i in range(3000)]
     item = [" ".join(rng.choices(words, k=k)) for k in (5, 6, 9, 17, 40, 60, 130, 300)]
-    items = [(i, t) for i, t in enumerate(item)] + [(50, item[4]), (60, None), (61, ""), (62, "too few words"), (63, "four words are short")]
+    items = [(i, t) for i, t in enumerate(item)] + [(50, item[4]), (60, None), (61, ""), (62, "too few words"), (63, "four words are short"),
+                                                    (64, "Lone"), (65, "lone!"), (66, "...")]
     noise = lambda k: " ".join(rng.choices(words, k=k))
     w = item[4].split()
     docs = [(1, noise(20000) + " " + item[3] + " " + noise(9000)), (2, noise(500)), (3, None), (4, ""), (5, item[0]), (6, item[5].upper().replace(" ", "*** ")),
             (7, noise(3000) + " " + item[6] + "\n" + noise(2500)), (8, " ".join(w[:20]) + " " + noise(50) + " " + " ".join(w[20:])), (9, " ".join(w[:30])),
-            (10, noise(100) + item[7] + " " + noise(1)), (11, item[1] + " " + item[2] + " " + item[1]), (None, item[3]), (12, item[2]), (12, item[2])]
+            (10, noise(100) + item[7] + " " + noise(1)), (11, item[1] + " " + item[2] + " " + item[1]), (None, item[3]), (12, item[2]), (12, item[2]),
+            (13, noise(30) + " Four, words  ARE short " + noise(40)), (14, "four words are not short"), (15, noise(3) + " lone " + noise(1)),
+            (16, "few words too few words"), (17, "lone")]
     d = spark.createDataFrame([(*r, 1) for r in docs], "doc_id long, text string, item_id int").repartition(3)
     b = spark.createDataFrame(items, "item_id long, text string")
     want = []
-    sets = {k: decontam.word_shingles(t) for k, t in items}
+    lengths = {k: min(5, len(re.findall("[^\\x00-/:-@\\[-`{-\\x7f]+", t or ""))) for k, t in items}
+    assert [lengths[k] for k in (0, 60, 61, 62, 63, 64, 65, 66)] == [5, 0, 0, 3, 4, 1, 1, 0]
+    sets = {k: decontam.word_shingles(t, lengths[k]) if lengths[k] else set() for k, t in items}
     for k, t in docs:
-        s = decontam.word_shingles(t)
-        want += [(k, i, len(v & s), len(v)) for i, v in sets.items() if v and len(v & s) >= 0.8 * len(v)]
+        s = {m: decontam.word_shingles(t, m) for m in range(1, 6)}
+        want += [(k, i, len(v & s[lengths[i]]), len(v)) for i, v in sets.items() if v and len(v & s[lengths[i]]) >= 0.8 * len(v)]
+    assert {(13, 63), (15, 64), (15, 65), (16, 62), (17, 64)} <= {r[:2] for r in want} and 14 not in {r[0] for r in want}
     assert len(want) > 10
     for options in ({}, {"block_words": 30}):               # many blocks of items change nothing
         got = [tuple(r)[:4] for r in decontam.contaminated(d, b, **options).collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
     hit = {k for k, *_ in want}
-    assert sorted(str(r["doc_id"]) for r in decontam.clean(d, b).collect()) == sorted(str(k) for k, _ in docs if k not in hit)
+    for options in ({}, {"block_words": 30}):
+        assert sorted(str(r["doc_id"]) for r in decontam.clean(d, b, **options).collect()) == sorted(str(k) for k, _ in docs if k not in hit)
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [k for k, _ in docs], "text": [t for _, t in docs]}))
+    con.register("benchmark", pa.table({"item_id": [k for k, _ in items], "text": [t for _, t in items]}))
+    sql = {r[:4] for r in con.sql(decontam.ORACLE).fetchall()}
+    assert sql == set(want)
     assert decontam.contaminated(d.limit(0), b).collect() == []
     assert decontam.contaminated(d, b.limit(0)).collect() == [] and decontam.clean(d, b.limit(0)).count() == len(docs)
 
