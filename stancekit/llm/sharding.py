@@ -1,15 +1,17 @@
 """Hilbert-curve sharding: metadata is quantised, rows are sorted by curve index, runs are cut.
 
-Each dimension gets 2**bits cells of about equal counts (approximate quantiles over all
-rows; strings by their first bytes, in order). Rows in one cell lie together on the curve, so
+Each dimension gets 2**bits cells of about equal counts: numbers by quantile sketches over all
+rows, strings by exact counts of all their values, compared whole. Rows in one cell lie together on the curve, so
 a shard covers a compact box of every dimension and a reader can skip shards by
 their minima and maxima. The law is ``rows``: shard sizes differ by one row at most.
 """
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,33 +53,50 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def as_number(df: DataFrame, name: str) -> Column:
-    """A dimension as a double that keeps its order; strings by their first six bytes."""
-    if isinstance(df.schema[name].dataType, T.StringType):
-        head = F.rpad(F.substring(F.hex(F.encode(F.col(name), "utf-8")), 1, 12), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
-    return F.col(name).cast("double")
-
-
-def cuts(df: DataFrame, names: list[str], bits: int) -> list[list[float]]:
+def number_cuts(df: DataFrame, names: list[str], bits: int) -> list[list[float]]:
     """Cut points of each numeric column: quantile sketches, of bounded size, over all rows."""
     share = [k / (1 << bits) for k in range(1, 1 << bits)]
-    row = df.agg(*[F.percentile_approx(n, share, 10000).alias(n) for n in names]).first()
-    return [sorted(set(row[n] or [])) for n in names]
+    row = df.agg(*[F.percentile_approx(F.col(n).cast("double"), share, 10000).alias(f"c{k}") for k, n in enumerate(names)]).first()
+    return [sorted(set(c or [])) for c in row]
+
+
+def string_cuts(df: DataFrame, name: str, bits: int, partitions: int | None = None) -> list[str]:
+    """Cut points of a string column, at most 2**bits: a value starts a cell if it is the first whose
+    smaller rows fill another 1 / 2**bits of all. Exact: values are counted, ranged over partitions
+    and their counts summed up in order; only the cuts come to the driver."""
+    cells = 1 << bits
+    p = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    laid = C.written(values.repartitionByRange(p, "value").withColumn("part", F.spark_partition_id()), "value-counts")
+    ends = Window.orderBy("part")                               # one row a partition
+    parts = laid.groupBy("part").agg(F.sum("n").alias("t")).select(
+        "part", (F.sum("t").over(ends) - F.col("t")).alias("base"), F.sum("t").over(Window.partitionBy()).alias("all"))
+    run = F.sum("n").over(Window.partitionBy("part").orderBy("value"))
+    before = laid.withColumn("before", run - F.col("n")).join(F.broadcast(parts), "part")
+    firsts = before.groupBy(F.floor((F.col("base") + F.col("before")) * cells / F.col("all")).alias("cell")).agg(F.min("value").alias("value"))
+    return sorted(r["value"] for r in firsts.collect())[1:]     # nothing lies below the first
 
 
 def curve_index(df: DataFrame, dims: list[str], bits: int = BITS, out: str = "curve") -> DataFrame:
-    """Adds the Hilbert index of ``dims``; null takes cell 0."""
-    names = [f"_dim{k}" for k in range(len(dims))]
-    x = df.withColumns({n: as_number(df, d) for n, d in zip(names, dims)})
-    edges = [np.array(c) for c in cuts(x, names, bits)]
+    """Adds the Hilbert index of ``dims``, as ``out``; all columns stay, whatever their names.
+
+    A cell is the number of cuts at or below the value; null takes cell 0, an empty string is a value.
+    A column without values has one cell; an empty table stays empty.
+    """
+    strings = [d for d in dims if isinstance(df.schema[d].dataType, T.StringType)]
+    numbers = [d for d in dims if d not in strings]
+    edges = dict(zip(numbers, number_cuts(df, numbers, bits) if numbers else []))
+    edges |= {d: string_cuts(df, d, bits) for d in strings}
+
+    def cell(d: str) -> Column:
+        x = F.col(d) if d in strings else F.col(d).cast("double")
+        return F.coalesce(reduce(lambda a, e: a + (x >= F.lit(e)).cast("int"), edges[d], F.lit(0)), F.lit(0))
 
     @F.arrow_udf("long")
-    def index(*cols: pa.Array) -> pa.Array:
-        cells = [np.where(np.asarray(c.is_valid()), np.searchsorted(e, np.asarray(c.fill_null(0.0)), "right"), 0) for c, e in zip(cols, edges)]
-        return pa.array(hilbert(np.stack(cells, 1), bits))
+    def index(*cells: pa.Array) -> pa.Array:
+        return pa.array(hilbert(np.stack([np.asarray(c) for c in cells], 1), bits))
 
-    return x.withColumn(out, index(*[F.col(n) for n in names])).drop(*names)
+    return df.withColumn(out, index(*[cell(d) for d in dims]))
 
 
 def assign(docs: DataFrame, dims: list[str], shards: int = 16, bits: int = BITS, id_col: str = "doc_id",

@@ -102,6 +102,46 @@ def check_shards(rows, n, shards=16):
         assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sizes[s]))
 
 
+def curve_by_definition(rows, dims, bits=5):
+    """Curve index of each row (tuples), from sorted lists: the brute force of ``curve_index``."""
+    cells = []
+    for k, _ in enumerate(dims):
+        col = sorted(r[k] for r in rows if r[k] is not None)
+        if col and isinstance(col[0], str):
+            first = {}
+            for i, v in enumerate(col):
+                if i == 0 or col[i - 1] != v:
+                    first.setdefault(i * (1 << bits) // len(col), v)
+            edge = sorted(first.values())[1:]
+        else:
+            edge = sorted({col[-(-len(col) * j // (1 << bits)) - 1] for j in range(1, 1 << bits)}) if col else []
+        cells.append([0 if r[k] is None else sum(r[k] >= e for e in edge) for r in rows])
+    return sharding.hilbert(np.array(cells).T, bits) if rows else []
+
+
+def test_op2_order_equals_brute_force(spark):
+    docs = [(r["source"], r["lang"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode()), r["doc_id"])
+            for r in C.table(spark, SF, "documents").collect()]
+    curve = curve_by_definition([d[:3] for d in docs], ["source", "lang", "size"])
+    order = sorted(range(len(docs)), key=lambda i: (curve[i], docs[i][3], docs[i][4]))
+    small, more = divmod(len(docs), 16)
+    want = {}
+    for rank, i in enumerate(order):
+        shard = rank // (small + 1) if rank < more * (small + 1) else more + (rank - more * (small + 1)) // small
+        want[docs[i][4]] = (int(curve[i]), shard, rank - shard * small - min(shard, more))
+    got = {r["doc_id"]: (r["curve"], r["shard"], r["slot"]) for r in Q.op2_hilbert(spark, SF).collect()}
+    assert got == want
+
+
+def test_strings_with_a_common_start_keep_their_cells(spark):
+    rows = [(f"https://www.example.org/{'x' * 40}/{k % 50:03d}", None if k % 11 == 0 else k % 7, "hot" if k % 3 else None, k) for k in range(700)]
+    df = spark.createDataFrame(rows, "url string, _dim0 int, `part` string, value int").repartition(5)
+    got = {r["value"]: r["curve"] for r in sharding.curve_index(df, ["url", "_dim0", "part"]).collect()}
+    curve = curve_by_definition([r[:3] for r in rows], ["url", "_dim0", "part"])
+    assert got == {r[3]: int(c) for r, c in zip(rows, curve)} and len(set(got.values())) > 60
+    assert sharding.string_cuts(df.where("url is null"), "url", 5) == [] and sharding.curve_index(df.limit(0), ["url"]).count() == 0
+
+
 def test_sharding_law_and_edges(spark):
     rng = random.Random(5)
     rows = [(i, "t" * rng.randint(0, 300), rng.choice(["en", "de", None]), rng.choice(["a", "bb", "src0", "src0"])) for i in range(333)]
