@@ -161,8 +161,27 @@ def test_orc_round_trip_and_pruning(spark, tmp_path):
     assert keys[0] is None and keys[1:] == sorted(keys[1:])
     empty = str(tmp_path / "none")
     orc_ids.write_ids(df.limit(0), empty)
-    read = spark.read.schema("doc_id long, part int, ids array<int>").orc(empty)
+    read = spark.read.schema("doc_id long, part int, pos long, ids array<int>").orc(empty)
     assert orc_ids.with_start(orc_ids.digests(read)).count() == 0
+    for name in ("part", "pos", "ids"):
+        with pytest.raises(ValueError):
+            orc_ids.write_ids(df.withColumnRenamed("doc_id", name), empty, id_col=name)
+
+
+def test_start_is_the_place_in_the_files(spark, tmp_path):
+    texts = ["b c d", "a", None, "", "zz y", "a", "q r s t u v", "1 2"]
+    df = spark.createDataFrame([(k // 8 if k < 32 else 9, texts[k % 8]) for k in range(64)], "doc_id long, text string").repartition(6)
+    path = tmp_path / "ids"
+    orc_ids.write_ids(df, str(path), partitions=3)
+    rows = orc_ids.read_ids(spark, str(path))
+    at, want = 0, {}
+    for r in sorted(rows.collect(), key=lambda r: (r["part"], r["pos"])):
+        want.setdefault((r["doc_id"], zlib.crc32(np.array(r["ids"], "<u4").tobytes())), []).append(at)
+        at += len(r["ids"])
+    got = {}
+    for r in sorted(orc_ids.with_start(orc_ids.digests(rows)).collect(), key=lambda r: r["start"]):
+        got.setdefault((r["doc_id"], r["ids_crc32"]), []).append(r["start"])
+    assert got == want and sum(map(len, got.values())) == 64
 
 
 def test_orc_files_hold_stripes_and_filters(spark, tmp_path):
