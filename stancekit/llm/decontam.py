@@ -198,7 +198,8 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_
     none = x.select("id", F.from_json(F.lit("[]"), MATCH).alias("m")).where(F.lit(False))
     hits = none
     for block, last in item_blocks(items, id_col, text_col, block_words):
-        found = searching(Items.of(block, n, hashes, seed), n, least)
+        # called nondeterministic so that a hit is searched once, not for the filter and again for its rows
+        found = searching(Items.of(block, n, hashes, seed), n, least).asNondeterministic()
         hit = x.select("id", found("text").alias("m")).where(F.size("m") > 0)
         hit = hit if last else C.written(hit, "item-hits")
         hits = hit if hits is none else hits.unionByName(hit)
