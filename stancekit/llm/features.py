@@ -46,6 +46,11 @@ def _joined(h: np.ndarray, row: np.ndarray, n: int, salt: int) -> tuple[np.ndarr
     return g[same], row[:len(g)][same]
 
 
+def parts(rows, size: int = 1024):
+    """A batch or array in slices of ``size`` rows: features take many times the room of their texts."""
+    return (rows.slice(lo, size) for lo in range(0, len(rows), size))
+
+
 def indicators(column, bits: int, words: int = 1, shapes: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Distinct feature buckets per row, ascending: flat uint32, and row offsets.
 
@@ -53,7 +58,7 @@ def indicators(column, bits: int, words: int = 1, shapes: int = 0) -> tuple[np.n
     """
     data, offsets = C.utf8(column)
     flat, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-    for lo, hi in C.row_blocks(offsets, 1 << 20):
+    for lo, hi in C.row_blocks(offsets, 1 << 18):
         d, off = data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
         rows = hi - lo
         if not len(d):
@@ -89,7 +94,7 @@ def bucket_counts(df: DataFrame, groups: list[str], bits: int, words: int, shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(groups), 1 << bits), np.int64)
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b)):
             flat, off = indicators(batch.column(text), bits, words, shapes)
             for k, g in enumerate(groups):
                 on = np.repeat(np.asarray(batch.column(g).fill_null(0)).astype(np.int64), np.diff(off))
@@ -107,7 +112,7 @@ def sparse_rows(df: DataFrame, keep: list[str], bits: int, words: int, shapes: i
     """keep columns (ints) and the row's buckets as binary uint32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b)):
             flat, off = indicators(batch.column(text), bits, words, shapes)
             rows = [flat[a:b].astype("<u4").tobytes() for a, b in zip(off[:-1], off[1:])]
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array(rows, pa.binary())], [*keep, "buckets"])

@@ -124,7 +124,7 @@ def score(model: Model, text: Column, bits: int = BITS, words: int = WORDS, shap
 
     @F.arrow_udf("double")
     def run(column: pa.Array) -> pa.Array:
-        return pa.array(model.scores(*X.indicators(column, bits, words, shapes)))
+        return pa.array(np.concatenate([np.zeros(0), *(model.scores(*X.indicators(c, bits, words, shapes)) for c in X.parts(column))]))
 
     return run(text)
 
