@@ -67,3 +67,9 @@ def test_knn_has_no_pairwise_join(spark):
     p = _plan(R.knn_cosine(q, c, 8))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
     assert "FlatMapCoGroups" in p
+
+
+def test_vector_facts_read_stored_values(spark):
+    """No dense array a row, which would be as long as the vocabulary."""
+    p = catalog.QUERIES_LOADED()["tfidf_vectors"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert ".values AS _v" in p
