@@ -43,29 +43,33 @@ def topk_rows(scores: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def dense_scorer(q: pd.DataFrame):
-    """Cosine scores of a corpus slice for the queries of ``q`` (column vec)."""
-    def unit(v):
-        m = np.stack(v.to_numpy()).astype("float64")
-        n = np.linalg.norm(m, axis=1)
-        return m / np.where(n == 0, 1.0, n)[:, None]
+def dense_units(x: pd.DataFrame) -> np.ndarray:
+    """The vectors (column vec) at length one, as rows; a zero vector stays zero."""
+    m = np.stack(x["vec"].to_numpy()).astype("float64")
+    n = np.linalg.norm(m, axis=1)
+    return m / np.where(n == 0, 1.0, n)[:, None]
 
-    qm = unit(q["vec"])
-    return lambda c: np.round(qm @ unit(c["vec"]).T, SIM_DIGITS)
 
 
-def local_topk(q: pd.DataFrame, c: pd.DataFrame, qkeys, ckeys, k: int, scorer) -> pd.DataFrame:
-    """The k best corpus rows of one part for every query of one block."""
+def local_topk(q: pd.DataFrame, c: pd.DataFrame, qkeys, ckeys, k: int, matrix, rows: int = 1 << 30) -> pd.DataFrame:
+    """The k best corpus rows of one part for every query of one tile.
+    ``q`` has its blocks in ``_block``: each meets the corpus in slices of at most ``rows`` rows."""
     c = c.sort_values(ckeys, kind="stable").reset_index(drop=True)
-    score, step = scorer(q), max(1, SCORE_CELLS // max(len(q), 1))
-    best_s, best_i = np.zeros((len(q), 0)), np.zeros((len(q), 0), "int64")
-    for lo in range(0, len(c), step):
-        s = score(c.iloc[lo:lo + step])
-        i = np.broadcast_to(np.arange(lo, lo + s.shape[1]), s.shape)
-        s, i = np.concatenate([best_s, s], axis=1), np.concatenate([best_i, i], axis=1)
-        top = topk_rows(s, k)
-        best_s, best_i = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
-    who, col = np.nonzero(np.isfinite(best_s))
+    q = q.sort_values("_block", kind="stable").reset_index(drop=True)
+    qm, cm, ends = matrix(q), matrix(c), np.append(np.unique(q["_block"].to_numpy(), return_index=True)[1], len(q))
+    found = []
+    for a, b in zip(ends[:-1], ends[1:]):
+        step = max(1, min(rows, SCORE_CELLS // (b - a)))
+        best_s, best_i = np.zeros((b - a, 0)), np.zeros((b - a, 0), "int64")
+        for lo in range(0, len(c), step):
+            s = np.round(qm[a:b] @ cm[lo:lo + step].T, SIM_DIGITS)
+            i = np.broadcast_to(np.arange(lo, lo + s.shape[1]), s.shape)
+            s, i = np.concatenate([best_s, s], axis=1), np.concatenate([best_i, i], axis=1)
+            top = topk_rows(s, k)
+            best_s, best_i = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
+        who, col = np.nonzero(np.isfinite(best_s))
+        found.append((who + a, best_i[who, col], best_s[who, col]))
+    who, which, sim = (np.concatenate(x) for x in zip(*found))
 
     def taken(x: pd.Series, rows: np.ndarray) -> pd.Series:
         """Strings as plain objects: a concatenated Arrow-backed column would come back in chunks."""
@@ -74,15 +78,16 @@ def local_topk(q: pd.DataFrame, c: pd.DataFrame, qkeys, ckeys, k: int, scorer) -
         return pd.Series(x.to_numpy(dtype=object)[rows], dtype=object)
 
     out = {f"q{j}": taken(q[name], who) for j, name in enumerate(qkeys)}
-    out |= {f"c{j}": taken(c[name], best_i[who, col]) for j, name in enumerate(ckeys)}
-    return pd.DataFrame(out | {"sim": best_s[who, col]})
+    out |= {f"c{j}": taken(c[name], which) for j, name in enumerate(ckeys)}
+    return pd.DataFrame(out | {"sim": sim})
 
 
-def blocked_topk(queries: DataFrame, corpus: DataFrame, qkeys, ckeys, values: list[str], k: int, scorer,
+def blocked_topk(queries: DataFrame, corpus: DataFrame, qkeys, ckeys, values: list[str], k: int, matrix,
                  block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(q0.., c0.., sim, rank). ``values`` are the array columns the scorer reads.
+    """(q0.., c0.., sim, rank). ``values`` are the array columns that ``matrix`` makes rows of.
 
-    Both sides are materialised; the numbers of blocks follow their measured bytes. An
+    Both sides are materialised; the numbers of blocks follow their measured bytes. Blocks travel in
+    tiles of ``BLOCK_BYTES`` (or one block, if that is more), so small blocks are met inside a task and cost no copies. An
     empty side gives an empty frame. Null keys are not allowed to meet: rows with one take no part.
     """
     from stancekit.session import materialize
@@ -103,24 +108,25 @@ def blocked_topk(queries: DataFrame, corpus: DataFrame, qkeys, ckeys, values: li
         cells = sum((F.coalesce(F.size(v), F.lit(0)) for v in values), F.lit(0))
         return int(df.agg(F.sum(F.lit(8) * cells + 64).cast("long")).first()[0] or 0)
 
-    blocks = max(1, -(-measured(q) // block_bytes))
-    size = measured(c)
+    q_size, size, tile = measured(q), measured(c), max(BLOCK_BYTES, block_bytes)
+    blocks, tiles = max(1, -(-q_size // block_bytes)), max(1, -(-q_size // tile))
     # enough parts to use the cluster, none smaller than PART_BYTES for that alone
-    wide = min(int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks, -(-size // PART_BYTES))
-    parts = max(1, wide, -(-size // block_bytes))
+    wide = min(int(spark.conf.get("spark.sql.shuffle.partitions")) // tiles, -(-size // PART_BYTES))
+    parts = max(1, wide, -(-size // tile))
     dealt_q = q.withColumn("_block", F.pmod(F.xxhash64(*qk), F.lit(blocks)).cast("int")).withColumn(
-        "_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        "_tile", F.col("_block") % tiles).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     dealt_c = c.withColumn("_part", F.pmod(F.xxhash64(*ck), F.lit(parts)).cast("int")).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        "_tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    slices = max(1, -(-size // parts // block_bytes))      # of a part
     types = {**dict(q.dtypes), **dict(c.dtypes)}
     schema = ", ".join(f"{n} {types[n]}" for n in qk + ck) + ", sim double"
 
     def meet(_, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({n: pd.Series([], dtype="float64" if n == "sim" else object) for n in [*qk, *ck, "sim"]})
-        return local_topk(a, b, qk, ck, k, scorer)
+        return local_topk(a, b, qk, ck, k, matrix, -(-len(b) // slices))
 
-    found = dealt_q.groupBy("_block", "_part").cogroup(dealt_c.groupBy("_block", "_part")).applyInPandas(meet, schema)
+    found = dealt_q.groupBy("_tile", "_part").cogroup(dealt_c.groupBy("_tile", "_part")).applyInPandas(meet, schema)
     return ranked(found, qk, ck, k)
 
 
@@ -141,7 +147,7 @@ def knn_cosine(queries: DataFrame, corpus: DataFrame, k: int = 8, qid="qid", cid
     if method != "block":
         raise ValueError("method is 'block' or 'lsh'")
     q, c = _keys(qid), _keys(cid)
-    out = blocked_topk(queries.withColumnRenamed(vec, "vec"), corpus.withColumnRenamed(vec, "vec"), q, c, ["vec"], k, dense_scorer, block_bytes)
+    out = blocked_topk(queries.withColumnRenamed(vec, "vec"), corpus.withColumnRenamed(vec, "vec"), q, c, ["vec"], k, dense_units, block_bytes)
     return out.select(*[F.col(f"q{j}").alias(n) for j, n in enumerate(q)], *[F.col(f"c{j}").alias(n) for j, n in enumerate(c)], "rank", "sim")
 
 
@@ -365,7 +371,7 @@ def cell_search(qs: DataFrame, cs: DataFrame, k: int, recall: float = 0.9, seed:
     # rows that the cells were not fitted on, as queries: their true neighbours and the place of their cells
     some = materialize(by_hash(c, ck, held).select(*[F.col(a).alias(f"q{j}") for j, a in enumerate(ck)], F.col("cv").alias("vec")), "cell-sample")
     names = [f"q{j}" for j in range(len(ck))]
-    near = blocked_topk(some, c.withColumnRenamed("cv", "vec"), names, ck, ["vec"], k + 1, dense_scorer)
+    near = blocked_topk(some, c.withColumnRenamed("cv", "vec"), names, ck, ["vec"], k + 1, dense_units)
     near = near.where(~_same(names, ck)).select(*names, *ck).join(some, names).join(c.select(*ck, "_cell"), ck)
 
     @F.pandas_udf("int")
@@ -483,7 +489,7 @@ def knn_cosine_lsh(queries: DataFrame, corpus: DataFrame, k: int = 8, qid="qid",
     planes, middle = lsh_model(cs, "cv", dims, most, tables, seed)
 
     def exact(some: DataFrame) -> DataFrame:
-        return blocked_topk(some.withColumnRenamed("qv", "vec"), cs.withColumnRenamed("cv", "vec"), qk, ck, ["vec"], k, dense_scorer).select(*qk, *ck, "rank", "sim")
+        return blocked_topk(some.withColumnRenamed("qv", "vec"), cs.withColumnRenamed("cv", "vec"), qk, ck, ["vec"], k, dense_units).select(*qk, *ck, "rank", "sim")
 
     def named(out: DataFrame) -> DataFrame:
         return out.select(*[F.col(a).alias(b) for a, b in zip(qk, q)], *[F.col(a).alias(b) for a, b in zip(ck, c)], "rank", "sim")
