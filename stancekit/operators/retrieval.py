@@ -22,6 +22,7 @@ SIM_DIGITS = 9
 BLOCK_BYTES = 64 << 20       # one side of one task
 PART_BYTES = 256 << 10
 SCORE_CELLS = 4_000_000      # largest (queries x rows) score block held by a task
+SLICE_CELLS = 2_000_000      # largest (rows x cells of the sphere) block
 
 
 def _keys(x) -> list[str]:
@@ -50,9 +51,9 @@ def dense_units(x: pd.DataFrame) -> np.ndarray:
     return m / np.where(n == 0, 1.0, n)[:, None]
 
 
-
 def local_topk(q: pd.DataFrame, c: pd.DataFrame, qkeys, ckeys, k: int, matrix, rows: int = 1 << 30) -> pd.DataFrame:
     """The k best corpus rows of one part for every query of one tile.
+
     ``q`` has its blocks in ``_block``: each meets the corpus in slices of at most ``rows`` rows."""
     c = c.sort_values(ckeys, kind="stable").reset_index(drop=True)
     q = q.sort_values("_block", kind="stable").reset_index(drop=True)
@@ -359,9 +360,10 @@ def cell_search(qs: DataFrame, cs: DataFrame, k: int, recall: float = 0.9, seed:
     few = unit_rows(by_hash(cs, ck, min(n, trained + held)).select("cv").toPandas()["cv"], dims)[held:]     # bounded by ``trained`` and ``sample``
     centres = sphere_cells(few, int(min(most_cells, max(1, 10 * np.sqrt(n)))), seed)
 
-    def nearest(v: pd.Series) -> np.ndarray:
-        """All cells of each row, nearest first (ties: the lower number)."""
-        return np.argsort(-(unit_rows(v, dims) @ centres.T), axis=1, kind="stable")
+    def nearest(v: pd.Series):
+        """(from, cells of each row, nearest first, ties to the lower number) by slices of ``SLICE_CELLS`` numbers."""
+        for lo in range(0, len(v), step := max(1, SLICE_CELLS // len(centres))):
+            yield lo, np.argsort(-(unit_rows(v[lo:lo + step], dims) @ centres.T), axis=1, kind="stable")
 
     @F.pandas_udf("int")
     def cell(v: pd.Series) -> pd.Series:
@@ -376,7 +378,10 @@ def cell_search(qs: DataFrame, cs: DataFrame, k: int, recall: float = 0.9, seed:
 
     @F.pandas_udf("int")
     def place(v: pd.Series, at: pd.Series) -> pd.Series:
-        return pd.Series((nearest(v) == at.to_numpy()[:, None]).argmax(1).astype("int32"))
+        out, own = np.zeros(len(v), "int32"), at.to_numpy()
+        for lo, order in nearest(v):
+            out[lo:lo + len(order)] = (order == own[lo:lo + len(order), None]).argmax(1)
+        return pd.Series(out)
 
     ranks = np.array([r[0] for r in near.select(place("vec", "_cell")).collect()], dtype=np.int64)   # at most sample * (k + 1)
     opened = probes_for(ranks, len(centres), recall) if len(ranks) else len(centres)
@@ -387,7 +392,7 @@ def cell_search(qs: DataFrame, cs: DataFrame, k: int, recall: float = 0.9, seed:
 
     @F.pandas_udf("array<int>")
     def parts_of(v: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(r % parts).astype("int32") for r in nearest(v)[:, :opened]], dtype=object)
+        return pd.Series([np.unique(r % parts).astype("int32") for _, order in nearest(v) for r in order[:, :opened]], dtype=object)
 
     dealt_q = qs.withColumn("_block", F.pmod(F.xxhash64(*qk), F.lit(blocks)).cast("int")).withColumn("_part", F.explode(parts_of("qv")))
     dealt_c = c.withColumn("_part", F.col("_cell") % parts).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
@@ -397,19 +402,22 @@ def cell_search(qs: DataFrame, cs: DataFrame, k: int, recall: float = 0.9, seed:
         if not len(a) or not len(b):
             return pd.DataFrame({x: pd.Series([], dtype=object) for x in columns})
         b = b.sort_values(ck, kind="stable").reset_index(drop=True)
-        x, y, at = unit_rows(a["qv"], dims), unit_rows(b["cv"], dims), b["_cell"].to_numpy()
-        open_ = np.zeros((len(a), len(centres)), bool)
-        np.put_along_axis(open_, nearest(a["qv"])[:, :opened], True, axis=1)
+        y, at = unit_rows(b["cv"], dims), b["_cell"].to_numpy()
+        lists = {j: np.flatnonzero(at == j) for j in np.unique(at)}
         best_s, best_i, met = np.full((len(a), k), -np.inf), np.full((len(a), k), len(b)), 0
-        for j in np.unique(at):
-            rows, who = np.flatnonzero(at == j), np.flatnonzero(open_[:, j])
-            met += len(rows) * len(who)
-            for lo in range(0, len(who), max(1, SCORE_CELLS // max(1, len(rows)))):
-                w = who[lo:lo + max(1, SCORE_CELLS // max(1, len(rows)))]
-                s = np.concatenate([best_s[w], np.round(x[w] @ y[rows].T, SIM_DIGITS)], axis=1)
-                i = np.concatenate([best_i[w], np.broadcast_to(rows, (len(w), len(rows)))], axis=1)
-                order = np.lexsort((i, -s), axis=1)[:, :k]
-                best_s[w], best_i[w] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+        for first, order in nearest(a["qv"]):
+            open_ = np.zeros((len(order), len(centres)), bool)
+            np.put_along_axis(open_, order[:, :opened], True, axis=1)
+            x = unit_rows(a["qv"][first:first + len(order)], dims)
+            for j, rows in lists.items():
+                who = np.flatnonzero(open_[:, j])
+                met += len(rows) * len(who)
+                for lo in range(0, len(who), max(1, SCORE_CELLS // len(rows))):
+                    w = who[lo:lo + max(1, SCORE_CELLS // len(rows))]
+                    s = np.concatenate([best_s[first + w], np.round(x[w] @ y[rows].T, SIM_DIGITS)], axis=1)
+                    i = np.concatenate([best_i[first + w], np.broadcast_to(rows, (len(w), len(rows)))], axis=1)
+                    top = np.lexsort((i, -s), axis=1)[:, :k]
+                    best_s[first + w], best_i[first + w] = np.take_along_axis(s, top, 1), np.take_along_axis(i, top, 1)
         q, col = np.nonzero(np.isfinite(best_s))
         i = best_i[q, col]
         out = {m: pd.Series([*a[m].to_numpy(dtype=object)[q], None], dtype=object) for m in qk}

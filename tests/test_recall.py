@@ -59,3 +59,24 @@ def test_cells_of_the_sphere():
     x = np.eye(4)[np.arange(40) % 4]
     centres = R.sphere_cells(x, 4, 1)
     assert np.allclose(np.linalg.norm(centres, axis=1), 1) and len(R.sphere_cells(x[:2], 5, 1)) == 2
+
+
+def test_small_blocks_travel_in_tiles(spark):
+    """Blocks of a few rows cost no copies: the corpus goes to one tile of queries, and the answer is that of large blocks."""
+    rng = np.random.default_rng(8)
+    q, c = (_table(spark, rng.normal(size=(n, 16)), name) for n, name in ((60, "qid"), (400, "cid")))
+    near = R.knn_cosine(q, c, 5, block_bytes=1 << 10)
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert "% 1) AS _tile" in plan                      # one tile of queries: the corpus is dealt once
+    assert sorted(map(tuple, near.collect())) == sorted(map(tuple, R.knn_cosine(q, c, 5).collect()))
+
+
+def test_cells_are_opened_by_slices(spark, monkeypatch):
+    """The order of the cells is held for a slice of rows, and slices change no answer."""
+    rng = np.random.default_rng(9)
+    q, c = (_table(spark, rng.normal(size=(n, 16)), name) for n, name in ((90, "qid"), (900, "cid")))
+    found = []
+    for cells in (R.SLICE_CELLS, 1000):
+        monkeypatch.setattr(R, "SLICE_CELLS", cells)
+        found.append(sorted(map(tuple, R.knn_cosine_lsh(q, c, 8, most_met=0.0).collect())))
+    assert found[0] == found[1] and len(found[0]) == 720
