@@ -55,6 +55,27 @@ def test_sketch_loses_no_term(spark, monkeypatch):
         assert sorted(map(tuple, FE.fit_vocabulary(train, weight_col="copies").select("term", "df", "ctf").collect())) == want
 
 
+def test_vocabulary_counts_few_buckets(spark, monkeypatch):
+    """Where every bucket reaches ``min_df``, only the largest are counted term by term, unless they may miss a term."""
+    train = S.upsample_weights(fx.sentences(spark, SF_SMALL).where("split = 'train'"))
+    plain = FE.vocabulary(FE.term_counts(train, extra=["copies"]), FE.document_total(train, "copies"), 1, 0.5, 40, "copies")
+    want = sorted(map(tuple, plain.select("term", "df", "ctf").collect()))
+    vocabulary, counted = FE.vocabulary, []
+
+    def counting(terms, *a):
+        counted.append(terms.select("term").distinct().count())
+        return vocabulary(terms, *a)
+
+    monkeypatch.setattr(FE, "vocabulary", counting)
+    for buckets, wide in ((1 << 16, 4), (1 << 10, 1)):    # the second has to count again
+        monkeypatch.setattr(FE, "BUCKETS", buckets)
+        monkeypatch.setattr(FE, "WIDE", wide)
+        got = FE.fit_vocabulary(train, weight_col="copies", min_df=1, max_features=40)
+        assert sorted(map(tuple, got.select("term", "df", "ctf").collect())) == want
+    assert counted[0] < FE.term_counts(train).select("term").distinct().count() / 10
+    assert len(counted) > 2
+
+
 def test_sketch_prunes(spark):
     rows = spark.createDataFrame([(i, 0, f"common words and rare{i} thing{i}") for i in range(50)], "speech_id long, sent_idx int, sentence string")
     able = FE.plausible(FE.with_grams(rows, "sentence", "_grams"), None, 20)
