@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +20,9 @@ from stancekit.functions.labels import FULL_LABELS, LETTERS
 from stancekit.operators.sampling import CLASS_SHARES
 
 
+SLICE_ROWS = 1024    # prompts handed to a scorer at once, at most
+
+
 class StubScorer:
     """Deterministic test model: answer chosen by md5 of the prompt.
 
@@ -69,25 +72,27 @@ def scored(scorer, prompts: list[str]) -> list:
 
 def annotate(df: DataFrame, scorer_factory, prompt: str = "prompt", max_units: int = 2,
              opening: str = ANSWER_OPENING) -> DataFrame:
-    """Adds ``model_response`` (opening + answer cut at ``max_units`` words) and ``error``."""
+    """Adds ``model_response`` (opening + answer cut at ``max_units`` words) and ``error``.
+
+    A worker holds one Arrow batch and the Python values of ``SLICE_ROWS`` prompts."""
     schema = T.StructType(df.schema.fields + [T.StructField("model_response", T.StringType()),
                                               T.StructField("error", T.StringType())])
 
     def run(batches):
         scorer = scorer_factory()
-        for pdf in batches:
-            res = scored(scorer, pdf[prompt].tolist())
-            resp, err = [], []
-            for r in res:
-                if isinstance(r, Exception):
-                    resp.append(None)
-                    err.append(f"{type(r).__name__}: {r}")
-                else:
-                    resp.append(opening + " ".join(str(r).split(" ")[:max_units]))
-                    err.append(None)
-            yield pdf.assign(model_response=pd.Series(resp, dtype="object"), error=pd.Series(err, dtype="object"))
-
-    return df.mapInPandas(run, schema)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, SLICE_ROWS):
+                # only the prompts become Python values; the other columns pass through as they came
+                batch = whole.slice(lo, SLICE_ROWS)
+                resp, err = [], []
+                for r in scored(scorer, batch.column(prompt).to_pylist()):
+                    failed = isinstance(r, Exception)
+                    resp.append(None if failed else opening + " ".join(str(r).split(" ")[:max_units]))
+                    err.append(f"{type(r).__name__}: {r}" if failed else None)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(resp, pa.string()), pa.array(err, pa.string())],
+                                                 [*batch.schema.names, "model_response", "error"])
+
+    return df.mapInArrow(run, schema)
 
 
 def split_failed(annotated: DataFrame) -> tuple[DataFrame, DataFrame]:

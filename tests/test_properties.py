@@ -341,3 +341,12 @@ def test_copies_as_weights_equal_physical_copies(spark):
     b = {r[0]: r[1] for r in cp.select("term", "weight").collect()}
     same_sign = sum((a[t] > 0) == (b[t] > 0) for t in a) / len(a)
     assert same_sign >= 0.95
+
+
+def test_annotate_hands_out_slices(spark):
+    """A scorer gets a bounded number of prompts at once, whatever the size of an Arrow batch; other columns stay."""
+    from stancekit.operators import annotate as AN
+    t = spark.range(5000, numPartitions=1).select("id", F.array("id").alias("kept"), F.col("id").cast("string").alias("prompt"))
+    got = AN.annotate(t, lambda: lambda prompts: [str(len(prompts))] * len(prompts), opening="").collect()
+    assert [r["kept"] for r in sorted(got)] == [[i] for i in range(5000)] and len(got) == 5000
+    assert 0 < max(int(r["model_response"]) for r in got) <= 1024
