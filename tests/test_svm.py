@@ -69,3 +69,10 @@ def test_rounds_repeat(vecs):
 def test_empty_table(vecs):
     coef, bias = LN.train_linear_svm(vecs.limit(0), TERMS, weight_col="copies", k=2)
     assert {r["weight"] for r in coef.collect()} == {0.0} and bias.count() == 2
+
+
+def test_a_label_is_a_task_of_its_own(vecs):
+    """Labels do not wait for each other in one task: a block stands once a label, each in a partition of its own."""
+    blocks = LN.packed_blocks(vecs.coalesce(1), "gold_vec", "features", F.col("copies").cast("double"), 1.0, 3)
+    assert [tuple(r) for r in blocks.select("label", F.size("y")).orderBy("label").collect()] == [(j, 600) for j in range(3)]
+    assert len(blocks.inputFiles()) == 3
