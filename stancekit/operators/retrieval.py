@@ -153,148 +153,245 @@ def knn_cosine(queries: DataFrame, corpus: DataFrame, k: int = 8, qid="qid", cid
 
 
 # ------------------------------------------------------------ lexical form
-HEAD = 32              # rows of the strongest impact that give a first floor
+HEAD = 32              # rows of a list that give a first floor: half of the strongest impact, half with the query's own weight
+SOME = 256             # rows of a list, strongest first, that may raise the floor
+LOOKUP = 4             # a posting looked up by its row costs as much as so many read in a list
+DENSE = 12             # a row touched in a list costs as much as so many in a pass over all rows
 MARGIN = 1e-8          # above the rounding of a similarity
+INDEX_BYTES = 256 << 20      # rows of the corpus that one task searches: some 11 million postings
+
+
+def reach(weight: float, rest: float, longest: float, floor: float) -> tuple[float, float]:
+    """(low, high) of the v in [0, longest] with weight * v + rest * sqrt(longest^2 - v^2) >= floor: they are an interval."""
+    if floor <= 0:
+        return 0.0, longest
+    full = np.hypot(weight, rest) * longest
+    if full < floor:
+        return np.inf, -np.inf
+    peak, wide = np.arctan2(weight, rest), np.arccos(floor / full)
+    return longest * np.sin(max(0.0, peak - wide)), longest * np.sin(min(np.pi / 2, peak + wide))
 
 
 class Postings:
-    """A term's rows in the order of their weights, largest first, and once more by row for lookups."""
+    """A term's rows in the order of their weights, largest first (``fall``: the weights, negated)."""
 
     def __init__(self, rows: np.ndarray, values: np.ndarray):
-        self.rows, self.values, self.fall = rows, values, -values
-        by = np.argsort(rows)
-        self.sorted, self.weights = rows[by], values[by]
-
-    def of(self, rows: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.sorted, rows), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == rows, self.weights[at], 0.0)
+        self.rows, self.fall = rows, -values
 
     def reaching(self, weight: float, rest: float, longest: float, floor: float) -> slice:
         """The rows that can still reach ``floor``: with value v here, and at most sqrt(longest^2 - v^2) elsewhere
         against a rest of the query of length ``rest``. These v are an interval, so the rows are a slice."""
         if floor <= 0:
             return slice(0, len(self.rows))
-        full = np.hypot(weight, rest) * longest
-        if full < floor:
+        low, high = reach(weight, rest, longest, floor)
+        if low > high:
             return slice(0, 0)
-        peak, wide = np.arctan2(weight, rest), np.arccos(min(1.0, floor / full))
-        low, high = longest * np.sin(max(0.0, peak - wide)), longest * np.sin(min(np.pi / 2, peak + wide))
         return slice(np.searchsorted(self.fall, -high - MARGIN, "left"), np.searchsorted(self.fall, -low + MARGIN, "right"))
 
+    def near(self, weight: float) -> np.ndarray:
+        """``HEAD`` rows: those of the strongest impact and those whose weight is nearest to ``weight``."""
+        at = int(np.searchsorted(self.fall, -weight))
+        return np.concatenate([self.rows[:HEAD // 2], self.rows[max(0, at - HEAD // 4):at + HEAD // 4]])
+
+
+class PostingLists(dict):
+    """Postings by term, the same values by row, and a sum a row that a search uses and leaves at zero.
+    ``copies``: how many rows each row stands for; ``order``: their order in ties. By default 1 and the row."""
+
+    def __init__(self, lists: dict[int, Postings]):
+        super().__init__(lists)
+        rows = np.concatenate([p.rows for p in lists.values()] or [np.zeros(0, np.int64)])
+        terms = np.repeat(np.array([*lists], np.int32), [len(p.rows) for p in lists.values()])
+        by = np.argsort(rows, kind="stable")
+        n = int(rows.max()) + 1 if len(rows) else 0
+        self.ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))])
+        self.terms, self.values = terms[by], -np.concatenate([p.fall for p in lists.values()] or [np.zeros(0)])[by]
+        self.sums, self.mark, self.weights = np.zeros(n), np.zeros(n, np.int64), np.zeros(int(terms.max()) + 1 if len(terms) else 0)
+        self.copies, self.order = np.ones(n, np.int64), np.arange(n)
+        self.longest = float(np.sqrt(np.bincount(rows[by], self.values ** 2, n).max())) if n else 0.0
+        self.width = len(rows) / max(1, n)
+
+    def of(self, rows: np.ndarray) -> tuple[np.ndarray, int]:
+        """(similarities of ``rows`` to the weights set, postings met). Each row has a posting."""
+        n = self.ends[rows + 1] - self.ends[rows]
+        last = np.cumsum(n)
+        at = np.repeat(self.ends[rows] - (last - n), n) + np.arange(last[-1])
+        w = self.weights[self.terms[at]]
+        return np.add.reduceat(w * self.values[at], last - n), int(np.count_nonzero(w))
+
+    def kth(self, rows: np.ndarray, sums: np.ndarray, k: int) -> float:
+        """The k-th best of ``sums``, copies counted; -inf if there are fewer."""
+        some = np.argpartition(-sums, k - 1)[:k] if len(sums) > k else np.arange(len(sums))
+        some = some[np.argsort(-sums[some])]
+        at = int(np.searchsorted(np.cumsum(self.copies[rows[some]]), k))
+        return float(sums[some[at]]) if at < len(some) else -np.inf
 
-def search_postings(lists: dict[int, Postings], longest: float, terms, weights, k: int) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """(rows, similarities, postings shared, postings scored) of one query's k best rows, ties to the lower row.
 
-    The rows of the strongest impact give a first floor, the k-th similarity known so far. Terms follow by the
-    square of their weight over the length of their list, so long lists of little weight come last. A row not met yet can
-    gain no more than the length of the query's rest times its own, ``longest`` at most: a list's rows that cannot
-    reach the floor are skipped, and once the rest is below it no list is opened any more. Rows met
-    are scored up in the lists that follow and dropped as soon as what they may still gain is too little."""
+def search_postings(lists: dict[int, Postings], longest: float, terms, weights, k: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(rows, similarities, postings shared, postings scored) of one query's k best rows, ties to the lower row. Where rows
+    stand for copies, rows that k copies precede are left out.
+
+    A few rows of the best lists give a first floor, the k-th similarity known so far. Terms follow by the
+    square of their weight over the length of their list, so long lists of little weight come last; their rows' sums are added
+    up. A row can gain no more in the other lists than the length of the query's rest times its own, ``longest`` at most: a
+    list's rows that cannot reach the floor are skipped, and once the rest is below it no new row counts. The rows met that can still
+    reach the floor are then scored one by one from their own values, or in the next list where that is less work."""
+    if not isinstance(lists, PostingLists):
+        lists = PostingLists(lists)
     mine = sorted(((w * w / len(lists[t].rows), t, w) for t, w in zip(terms, weights) if t in lists and w > 0), reverse=True)
-    post, x = [lists[t] for _, t, _ in mine], np.array([w for *_, w in mine])
+    if not mine:
+        return np.zeros(0, np.int64), np.zeros(0), 0, 0
+    ids = [t for _, t, _ in mine]
+    post, x, sums = [lists[t] for t in ids], np.array([w for *_, w in mine]), lists.sums
     rest = np.sqrt(np.append(np.cumsum((x * x)[::-1])[::-1], 0.0))
-    shared, scored, floor = sum(len(p.rows) for p in post), 0, -np.inf
+    other = np.sqrt(np.maximum(0.0, rest[0] ** 2 - x * x))
+    shared, scored, floor, j = sum(len(p.rows) for p in post), 0, -np.inf, 0
+    lists.weights[ids] = x
+    opened, read = [], 0
+
+    def add(j: int) -> np.ndarray:
+        part = post[j].reaching(x[j], other[j], longest, floor)
+        rows = post[j].rows[part]
+        np.add.at(sums, rows, -x[j] * post[j].fall[part])
+        opened.append(rows)
+        return rows
+
+    def least() -> float:
+        """The sum below which a row can't reach the floor by what the lists from the j-th on may add."""
+        met = np.sqrt(max(0.0, rest[0] ** 2 - rest[j] ** 2))
+        return max(met * reach(met, rest[j], longest, floor)[0] - MARGIN, 1e-300)
+
+    def raised(rows: np.ndarray, found: np.ndarray) -> float:
+        if floor > 0:
+            high = np.flatnonzero(found > floor + MARGIN)
+            rows, found = rows[high], found[high]
+        return max(floor, lists.kth(rows, found, k) - MARGIN) if len(rows) else floor
+
     if shared > 8 * HEAD * len(post):
-        head = np.unique(np.concatenate([p.rows[:HEAD] for p in post[:3]]))
-        found = [p.of(head) for p in post]
-        sums = sum(w * v for w, v in zip(x, found))
-        scored += sum(np.count_nonzero(v) for v in found)
-        if len(head) >= k:
-            floor = np.partition(sums, len(head) - k)[len(head) - k] - MARGIN
-    seen, got, used = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)      # rows met, their sums and squared lengths so far
-    for j, (w, p) in enumerate(zip(x, post)):
-        value = p.of(seen)
-        scored += np.count_nonzero(value)
-        got, used = got + w * value, used + value * value
-        if rest[j] * longest >= floor:
-            part = p.reaching(w, rest[j + 1], longest, floor)
-            rows, value = p.rows[part], p.values[part]
-            if len(seen):
-                fresh = seen[np.minimum(np.searchsorted(seen, rows), len(seen) - 1)] != rows
-                rows, value = rows[fresh], value[fresh]
-            scored += len(rows)
-            seen, got, used = np.concatenate([seen, rows]), np.concatenate([got, w * value]), np.concatenate([used, value * value])
-            by = np.argsort(seen)
-            seen, got, used = seen[by], got[by], used[by]
-        if len(got) >= k:
-            floor = max(floor, np.partition(got, len(got) - k)[len(got) - k] - MARGIN)
-        near = got + rest[j + 1] * np.sqrt(np.maximum(0.0, longest * longest - used)) >= floor
-        seen, got, used = seen[near], got[near], used[near]
-    sims = np.round(got, SIM_DIGITS)
+        head = np.unique(np.concatenate([p.near(w / rest[0] * longest) for w, p in zip(x, post[:3])]))
+        found, n = lists.of(head)
+        floor, scored = raised(head, found), n
+    while j < len(post) and rest[j] * longest >= floor:
+        rows, j = add(j), j + 1
+        read += len(rows)
+        floor = raised(some := rows[:SOME], sums[some])
+    if read * DENSE > len(sums):
+        seen = np.flatnonzero(sums >= least())
+    else:
+        low = least()
+        seen = np.concatenate([rows[sums[rows] >= low] for rows in opened] or [np.zeros(0, np.int64)])
+        lists.mark[seen] = np.arange(len(seen))
+        seen = seen[lists.mark[seen] == np.arange(len(seen))]                       # each row once
+    if len(seen) > 4 * HEAD:
+        found = sums[seen]
+        best = seen[np.argpartition(-found, HEAD)[:HEAD]]
+        top, n = lists.of(best)
+        floor, scored = raised(best, top), scored + n
+        seen = seen[found >= least()]
+    while j < len(post) and len(seen) * lists.width * LOOKUP > len(post[j].rows):
+        read, j = read + len(add(j)), j + 1
+        found = sums[seen]
+        floor = raised(seen, found)
+        seen = seen[found >= least()]
+    sims = np.zeros(0)
+    if len(seen):
+        found, n = lists.of(seen)
+        sims, scored = np.round(found, SIM_DIGITS), scored + n
+    scored += read
+    if read * DENSE > len(sums):
+        sums.fill(0.0)
+    else:
+        for rows in opened:
+            sums[rows] = 0.0
+    lists.weights[ids] = 0.0
     seen, sims = seen[sims > 0], sims[sims > 0]
-    best = np.lexsort((seen, -sims))[:k]
-    return seen[best], sims[best], shared, scored
+    best = np.lexsort((lists.order[seen], -sims))[:k]
+    seen, sims = seen[best], sims[best]
+    before = np.concatenate([[0], np.cumsum(lists.copies[seen])])[np.searchsorted(-sims, -sims, "left")]
+    return seen[before < k], sims[before < k], shared, scored
 
 
-def lexical_index(c: DataFrame, ck: list[str], parts: int) -> tuple[DataFrame, DataFrame]:
-    """(rows, postings) of a written table c0.., idx, w. Rows: _part, _row (from 0, in key order), c0..; postings, an
-    inverted index in the order of impact: _part, term, rows, values (descending), written. Rows are dealt to parts by a hash of
-    their key; a part is bounded, and so are its lists. Rows that share a key are told apart by their terms."""
+def lexical_index(c: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, postings) of a written table of classes idx, w, members, _h (their hash). Rows: _part, _row, members; postings, an
+    inverted index in the order of impact: _part, term, rows, values (descending), order (of the rows by key), copies, written.
+    Classes are dealt to parts by hash; a part is bounded, and so are its lists. Rows are numbered by the sum of their weights, about by
+    length, so that a list in the order of impact goes through the rows from one end to the other."""
     from stancekit.session import materialize
 
-    c = c.withColumn("_part", F.pmod(F.xxhash64(*ck), F.lit(parts)).cast("int"))
-    c = c.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(*ck, "idx", "w")) - 1)
-    flat = c.select("_part", "_row", F.explode(F.arrays_zip("idx", "w")).alias("e")).select("_part", F.col("e.idx").alias("term"), F.struct((-F.col("e.w")).alias("fall"), "_row").alias("p"))
+    c = c.withColumn("_part", F.pmod("_h", F.lit(parts)).cast("int")).withColumn("_copies", F.size("members"))
+    c = c.withColumn("_order", F.row_number().over(Window.partitionBy("_part").orderBy("members", "idx", "w")) - 1)
+    total = F.aggregate("w", F.lit(0.0), lambda a, x: a + x)
+    c = materialize(c.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(total, "_order")) - 1), "lexical-classes")
+    flat = c.select("_part", F.explode(F.arrays_zip("idx", "w")).alias("e"), "_row", "_order", "_copies")
+    flat = flat.select("_part", F.col("e.idx").alias("term"), F.struct((-F.col("e.w")).alias("fall"), "_row", "_order", "_copies").alias("p"))
     lists = flat.groupBy("_part", "term").agg(F.sort_array(F.collect_list("p")).alias("p"))
-    return c.drop("idx", "w"), materialize(lists.select("_part", "term", F.col("p._row").alias("rows"), F.transform("p.fall", lambda v: -v).alias("values")), "lexical-postings")
+    lists = lists.select("_part", "term", F.col("p._row").alias("rows"), F.transform("p.fall", lambda v: -v).alias("values"),
+                         F.col("p._order").alias("order"), F.col("p._copies").alias("copies"))
+    return c.select("_part", "_row", "members"), materialize(lists, "lexical-postings")
+
+
+def lexical_side(rows: DataFrame, keys, names: list[str]) -> DataFrame:
+    """(names..., idx, w, _h) of the rows with keys and known terms; equal vectors have equal ``_h``."""
+    x = rows.select(*[F.col(n).alias(a) for n, a in zip(keys, names)], "idx", F.col("weight").alias("w")).dropna(subset=[*names, "idx"])
+    return x.where(F.size("idx") > 0).withColumn("_h", F.xxhash64("idx", "w"))
 
 
 def lexical_search(q_rows: DataFrame, c_rows: DataFrame, k: int = 8, keys=("speech_id", "sent_idx"),
-                   block_bytes: int = BLOCK_BYTES, queries: int = 16) -> tuple[DataFrame, DataFrame]:
-    """(found, rows). found: q0.., _part, _row, sim of the k best of each part, and one row per task with null
-    keys that tells the postings its queries share with the part and those it scored; rows: as ``lexical_index`` has them.
+                   block_bytes: int = INDEX_BYTES, queries: int = 16) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(found, rows, asked). found: _q, _part, _row, sim of the k best of each part, and one row per task with a null _q
+    that tells the postings its queries scored; rows: as ``lexical_index`` has them; asked: q0.., _q.
 
-    The index is cut by bytes alone: the larger a part, the sooner a query has a floor that spares it most of
+    Rows of one vector are one class: a class of the corpus keeps its ``k`` first keys (no more can be among a query's k best), a class of
+    queries is searched once. The index is cut by bytes alone: the larger a part, the sooner a query has a floor that spares it most of
     the postings. Cores get work from blocks of queries, ``queries`` or more in each."""
     from stancekit.session import materialize
 
     spark, keys = q_rows.sparkSession, list(keys)
     qk, ck = [f"q{j}" for j in range(len(keys))], [f"c{j}" for j in range(len(keys))]
+    vector = ["_h", "idx", "w"]
 
-    def side(rows: DataFrame, names: list[str], name: str) -> tuple[DataFrame, int, int]:
-        x = rows.select(*[F.col(n).alias(a) for n, a in zip(keys, names)], "idx", F.col("weight").alias("w")).dropna(subset=[*names, "idx"])
+    def written(x: DataFrame, name: str) -> tuple[DataFrame, int, int]:
         x = materialize(x, name)
         n, size = x.agg(F.count(F.lit(1)), F.sum(F.lit(16) * F.size("idx") + 64)).first()
         return x, n, -(-(size or 0) // block_bytes)
 
-    q, n, q_blocks = side(q_rows, qk, "lexical-queries")
-    c, _, c_parts = side(c_rows, ck, "lexical-rows")
+    all_q = materialize(lexical_side(q_rows, keys, qk), "lexical-queries")
+    q, n, q_blocks = written(all_q.select(*vector).distinct().withColumn("_q", F.monotonically_increasing_id()), "lexical-query-classes")
+    first = F.row_number().over(Window.partitionBy(*vector).orderBy(*ck))
+    few = lexical_side(c_rows, keys, ck).withColumn("_n", first).where(F.col("_n") <= k)
+    c, _, c_parts = written(few.groupBy(*vector).agg(F.sort_array(F.collect_list(F.struct(*ck))).alias("members")), "lexical-rows")
     parts = max(1, c_parts)
-    blocks = max(1, q_blocks, min(int(spark.conf.get("spark.sql.shuffle.partitions")) // parts, n // queries))
-    rows, lists = lexical_index(c, ck, parts)
-    dealt_q = q.withColumn("_block", F.pmod(F.xxhash64(*qk), F.lit(blocks)).cast("int")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    wide = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    blocks = max(1, q_blocks, min(wide // parts, n // queries))
+    rows, lists = lexical_index(c, parts)
+    dealt_q = q.withColumn("_block", F.pmod(F.xxhash64("_q"), F.lit(blocks)).cast("int")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     dealt_c = lists.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    names = [*qk, "_part", "_row", "sim", "shared", "scored"]
 
     def meet(pair, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({c: pd.Series([], dtype=object) for c in names})
-        index = {t: Postings(np.asarray(r, np.int64), v) for t, r, v in zip(b["term"], b["rows"], b["values"])}
-        squares = np.zeros(max(p.sorted[-1] for p in index.values()) + 1)
-        for p in index.values():
-            squares[p.rows] += p.values ** 2
-        longest = float(np.sqrt(squares.max()))
-        who, where, sims, shared, scored = [], [], [], 0, 0
-        for i, (t, w) in enumerate(zip(a["idx"], a["w"])):
-            r, s, x, y = search_postings(index, longest, t.tolist(), w.tolist(), k)
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("_q", "_part", "_row", "sim", "scored")})
+        index = PostingLists({t: Postings(np.asarray(r, np.int64), v) for t, r, v in zip(b["term"], b["rows"], b["values"])})
+        for r, o, m in zip(b["rows"], b["order"], b["copies"]):
+            index.order[r], index.copies[r] = o, m
+        who, where, sims, scored = [], [], [], 0
+        for i, t, w in zip(a["_q"], a["idx"], a["w"]):
+            r, s, _, y = search_postings(index, index.longest, t.tolist(), w.tolist(), k)
             who.append(np.full(len(r), i))
             where.append(r)
             sims.append(s)
-            shared, scored = shared + x, scored + y
-        who = np.concatenate(who)
-        m = len(who)
-        out = {c: pd.Series([*a[c].to_numpy(dtype=object)[who], None], dtype=object) for c in qk}
-        out |= {"_part": pd.Series([pair[1]] * (m + 1), dtype="int32"), "_row": pd.Series([*np.concatenate(where).tolist(), -1], dtype="int32"),
-                "sim": np.append(np.concatenate(sims), np.nan), "shared": pd.Series([0] * m + [shared]), "scored": pd.Series([0] * m + [scored])}
-        return pd.DataFrame(out)
+            scored += y
+        m = sum(map(len, where))
+        return pd.DataFrame({"_q": pd.Series([*np.concatenate(who).tolist(), None], dtype=object), "_part": pd.Series([pair[1]] * (m + 1), dtype="int32"),
+                             "_row": pd.Series([*np.concatenate(where).tolist(), -1], dtype="int32"),
+                             "sim": np.append(np.concatenate(sims), np.nan), "scored": pd.Series([0] * m + [scored])})
 
-    types = dict(q.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in qk) + ", _part int, _row int, sim double, shared bigint, scored bigint"
-    return dealt_q.groupBy("_block", "_part").cogroup(dealt_c.groupBy("_block", "_part")).applyInPandas(meet, schema), rows
+    found = dealt_q.groupBy("_block", "_part").cogroup(dealt_c.groupBy("_block", "_part")).applyInPandas(
+        meet, "_q bigint, _part int, _row int, sim double, scored bigint")
+    return found, rows, all_q.join(q, vector).select(*qk, "_q")
 
 
 def knn_lexical(q_rows: DataFrame, c_rows: DataFrame, k: int = 8, keys=("speech_id", "sent_idx"),
-                block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                block_bytes: int = INDEX_BYTES) -> DataFrame:
     """Top-k tf-idf cosine neighbours over ``features.tfidf_rows`` (rows are
     L2-normalised, so cosine = dot). Only corpus rows sharing a term are neighbours.
 
@@ -303,15 +400,20 @@ def knn_lexical(q_rows: DataFrame, c_rows: DataFrame, k: int = 8, keys=("speech_
     """
     keys = list(keys)
     qk, ck = [f"q{j}" for j in range(len(keys))], [f"c{j}" for j in range(len(keys))]
-    found, rows = lexical_search(q_rows, c_rows, k, keys, block_bytes)
-    near = found.where("_row >= 0").join(rows, ["_part", "_row"])
-    return ranked(near, qk, ck, k).select(*[F.col(a).alias(f"q_{n}") for a, n in zip(qk, keys)], *[F.col(a).alias(f"c_{n}") for a, n in zip(ck, keys)], "rank", "sim")
+    found, rows, asked = lexical_search(q_rows, c_rows, k, keys, block_bytes)
+    near = found.where("_row >= 0").join(rows, ["_part", "_row"]).select("_q", "sim", F.explode("members").alias("_m")).select("_q", "sim", "_m.*")
+    best = ranked(near, ["_q"], ck, k).groupBy("_q").agg(F.collect_list(F.struct("sim", *ck)).alias("_b"))
+    # rows may share a key: their neighbours are ranked together
+    each = asked.join(best, "_q").select(*qk, F.explode("_b").alias("_e")).select(*qk, "_e.*")
+    return ranked(each, qk, ck, k).select(*[F.col(a).alias(f"q_{n}") for a, n in zip(qk, keys)], *[F.col(a).alias(f"c_{n}") for a, n in zip(ck, keys)], "rank", "sim")
 
 
-def lexical_work(q_rows: DataFrame, c_rows: DataFrame, k: int = 8, keys=("speech_id", "sent_idx"), block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def lexical_work(q_rows: DataFrame, c_rows: DataFrame, k: int = 8, keys=("speech_id", "sent_idx"), block_bytes: int = INDEX_BYTES) -> DataFrame:
     """One row: postings that queries and corpus share, and how many of them ``knn_lexical`` scores."""
-    found, _ = lexical_search(q_rows, c_rows, k, keys, block_bytes)
-    return found.where("_row < 0").agg(F.coalesce(F.sum("shared"), F.lit(0)).alias("shared"), F.coalesce(F.sum("scored"), F.lit(0)).alias("scored"))
+    found, _, _ = lexical_search(q_rows, c_rows, k, keys, block_bytes)
+    counted = lambda rows, n: lexical_side(rows, keys, [f"k{j}" for j in range(len(keys))]).select(F.explode("idx").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias(n))
+    shared = counted(q_rows, "_a").join(counted(c_rows, "_b"), "term").agg(F.coalesce(F.sum(F.col("_a") * F.col("_b")), F.lit(0)).alias("shared"))
+    return shared.crossJoin(found.where("_row < 0").agg(F.coalesce(F.sum("scored"), F.lit(0)).alias("scored")))     # one row each
 
 
 # ------------------------------------------------------------ approximate form

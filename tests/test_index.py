@@ -46,6 +46,55 @@ def test_search_keeps_the_k_best(unit):
     assert used < total
 
 
+def test_search_counts_copies():
+    """Rows may stand for copies and be numbered in another order than that of ties; a prepared index is left as it was."""
+    rng = np.random.default_rng(11)
+    rows = corpus(rng, 3000, 60)[:3000]
+    term, value = np.concatenate([t for t, _ in rows]), np.concatenate([w for _, w in rows])
+    where = np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows])
+    lists = {}
+    for t in range(60):
+        r, v = where[term == t], value[term == t]
+        by = np.lexsort((r, -v))
+        lists[t] = R.Postings(r[by], v[by])
+    index = R.PostingLists(lists)
+    index.copies, index.order = rng.integers(1, 9, len(index.sums)), rng.permutation(len(index.sums))
+    dense = np.zeros((len(index.sums), 60))
+    dense[where, term] = value
+    total = used = 0
+    for t, w in corpus(rng, 80, 60):
+        want = np.round(dense[:, t] @ w, R.SIM_DIGITS) if len(t) else np.zeros(len(dense))
+        order = [i for i in np.lexsort((index.order, -want)) if want[i] > 0]
+        keep = [i for i in order[:8] if index.copies[[j for j in order if want[j] > want[i]]].sum() < 8]
+        got, sims, shared, scored = R.search_postings(index, index.longest, t.tolist(), w.tolist(), 8)
+        assert got.tolist() == keep and np.allclose(sims, want[keep], atol=2e-9)
+        assert not index.sums.any() and not index.weights.any()
+        total, used = total + shared, used + scored
+    assert used < total
+
+
+def test_equal_rows_are_searched_once(spark, monkeypatch):
+    """Copies cost no more searches or postings, yet every row has all its neighbours."""
+    text = lambda i: f"w{i % 7} w{i % 5} w{i % 3} w{i % 11}"
+    make = lambda ids: spark.createDataFrame([(i, 0, text(i % 40)) for i in ids], "speech_id long, sent_idx int, sentence string")
+    vocab = spark.createDataFrame([(f"w{i}", 1.0 + i / 7) for i in range(11)], "term string, idf double")
+    q, c = (FE.tfidf_rows(make(ids), vocab) for ids in (range(1000, 1400), range(800)))
+    asked = R.lexical_search(q, c)[0].where("_row >= 0").select("_q").distinct().count()
+    assert asked <= 40                                  # 400 rows, 40 texts
+    got = sorted(map(tuple, R.knn_lexical(q, c).collect()))
+    flat = lambda x: [(r["speech_id"], dict(zip(r["idx"], r["weight"]))) for r in x.collect()]
+    corpus_rows = flat(c)
+    want = []
+    for i, w in flat(q):
+        near = sorted((-round(sum(w[t] * v.get(t, 0.0) for t in w), 9), j) for j, v in corpus_rows)[:8]
+        want += [(i, 0, j, 0, n, -s) for n, (s, j) in enumerate(near, 1) if s < 0]
+    assert [x[:5] for x in got] == [x[:5] for x in sorted(want)]
+    assert np.allclose([x[5] for x in got], [x[5] for x in sorted(want)], atol=2e-9)
+    work = R.lexical_work(q, c).first()
+    plain = sum(len(w.keys() & v.keys()) for _, w in flat(q) for _, v in corpus_rows)
+    assert work["shared"] == plain and work["scored"] * 100 < plain
+
+
 def test_sketch_loses_no_term(spark, monkeypatch):
     train = S.upsample_weights(fx.sentences(spark, SF_SMALL).where("split = 'train'"))
     plain = FE.vocabulary(FE.term_counts(train, extra=["copies"]), FE.document_total(train, "copies"), weight_col="copies")
