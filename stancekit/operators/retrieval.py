@@ -202,7 +202,7 @@ class PostingLists(dict):
         super().__init__(lists)
         rows = np.concatenate([p.rows for p in lists.values()] or [np.zeros(0, np.int64)])
         terms = np.repeat(np.array([*lists], np.int32), [len(p.rows) for p in lists.values()])
-        by = np.argsort(rows, kind="stable")
+        by = np.argsort(rows)
         n = int(rows.max()) + 1 if len(rows) else 0
         self.ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))])
         self.terms, self.values = terms[by], -np.concatenate([p.fall for p in lists.values()] or [np.zeros(0)])[by]
@@ -313,7 +313,7 @@ def search_postings(lists: dict[int, Postings], longest: float, terms, weights,
 
 def lexical_index(c: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
     """(rows, postings) of a written table of classes idx, w, members, _h (their hash). Rows: _part, _row, members; postings, an
-    inverted index in the order of impact: _part, term, rows, values (descending), order (of the rows by key), copies, written.
+    inverted index in the order of impact: _part, term, rows, values (descending), written; as term -1 the rows' order by key and their copies.
     Classes are dealt to parts by hash; a part is bounded, and so are its lists. Rows are numbered by the sum of their weights, about by
     length, so that a list in the order of impact goes through the rows from one end to the other."""
     from stancekit.session import materialize
@@ -322,12 +322,13 @@ def lexical_index(c: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
     c = c.withColumn("_order", F.row_number().over(Window.partitionBy("_part").orderBy("members", "idx", "w")) - 1)
     total = F.aggregate("w", F.lit(0.0), lambda a, x: a + x)
     c = materialize(c.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(total, "_order")) - 1), "lexical-classes")
-    flat = c.select("_part", F.explode(F.arrays_zip("idx", "w")).alias("e"), "_row", "_order", "_copies")
-    flat = flat.select("_part", F.col("e.idx").alias("term"), F.struct((-F.col("e.w")).alias("fall"), "_row", "_order", "_copies").alias("p"))
+    flat = c.select("_part", F.explode(F.arrays_zip("idx", "w")).alias("e"), "_row")
+    flat = flat.select("_part", F.col("e.idx").alias("term"), F.struct((-F.col("e.w")).alias("fall"), "_row").alias("p"))
     lists = flat.groupBy("_part", "term").agg(F.sort_array(F.collect_list("p")).alias("p"))
-    lists = lists.select("_part", "term", F.col("p._row").alias("rows"), F.transform("p.fall", lambda v: -v).alias("values"),
-                         F.col("p._order").alias("order"), F.col("p._copies").alias("copies"))
-    return c.select("_part", "_row", "members"), materialize(lists, "lexical-postings")
+    lists = lists.select("_part", "term", F.col("p._row").alias("rows"), F.transform("p.fall", lambda v: -v).alias("values"))
+    each = c.groupBy("_part").agg(F.sort_array(F.collect_list(F.struct("_row", "_order", "_copies"))).alias("r"))
+    each = each.select("_part", F.lit(-1).alias("term"), F.col("r._order").alias("rows"), F.transform("r._copies", lambda n: n.cast("double")).alias("values"))
+    return c.select("_part", "_row", "members"), materialize(lists.unionByName(each), "lexical-postings")
 
 
 def lexical_side(rows: DataFrame, keys, names: list[str]) -> DataFrame:
@@ -361,7 +362,7 @@ def lexical_search(q_rows: DataFrame, c_rows: DataFrame, k: int = 8, keys=("spee
     few = lexical_side(c_rows, keys, ck).withColumn("_n", first).where(F.col("_n") <= k)
     c, _, c_parts = written(few.groupBy(*vector).agg(F.sort_array(F.collect_list(F.struct(*ck))).alias("members")), "lexical-rows")
     parts = max(1, c_parts)
-    wide = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    wide = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
     blocks = max(1, q_blocks, min(wide // parts, n // queries))
     rows, lists = lexical_index(c, parts)
     dealt_q = q.withColumn("_block", F.pmod(F.xxhash64("_q"), F.lit(blocks)).cast("int")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
@@ -370,9 +371,9 @@ def lexical_search(q_rows: DataFrame, c_rows: DataFrame, k: int = 8, keys=("spee
     def meet(pair, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("_q", "_part", "_row", "sim", "scored")})
-        index = PostingLists({t: Postings(np.asarray(r, np.int64), v) for t, r, v in zip(b["term"], b["rows"], b["values"])})
-        for r, o, m in zip(b["rows"], b["order"], b["copies"]):
-            index.order[r], index.copies[r] = o, m
+        index = PostingLists({t: Postings(np.asarray(r, np.int64), v) for t, r, v in zip(b["term"], b["rows"], b["values"]) if t >= 0})
+        order, copies = next((r, v) for t, r, v in zip(b["term"], b["rows"], b["values"]) if t < 0)
+        index.order, index.copies = np.asarray(order, np.int64), np.asarray(copies, np.int64)
         who, where, sims, scored = [], [], [], 0
         for i, t, w in zip(a["_q"], a["idx"], a["w"]):
             r, s, _, y = search_postings(index, index.longest, t.tolist(), w.tolist(), k)
