@@ -155,7 +155,8 @@ def knn_cosine(queries: DataFrame, corpus: DataFrame, k: int = 8, qid="qid", cid
 # ------------------------------------------------------------ lexical form
 HEAD = 32              # rows of a list that give a first floor: half of the strongest impact, half with the query's own weight
 SOME = 256             # rows of a list, strongest first, that may raise the floor
-LOOKUP = 4             # a posting looked up by its row costs as much as so many read in a list
+LOOKUP = 1             # a row is scored from its own values where it has at most so many times fewer than the next list,
+FEW = 512              # or where so few rows are left
 DENSE = 12             # a row touched in a list costs as much as so many in a pass over all rows
 MARGIN = 1e-8          # above the rounding of a similarity
 INDEX_BYTES = 256 << 20      # rows of the corpus that one task searches: some 11 million postings
@@ -207,17 +208,19 @@ class PostingLists(dict):
         self.ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))])
         self.terms, self.values = terms[by], -np.concatenate([p.fall for p in lists.values()] or [np.zeros(0)])[by]
         self.sums, self.mark, self.weights = np.zeros(n), np.zeros(n, np.int64), np.zeros(int(terms.max()) + 1 if len(terms) else 0)
+        self.place = np.full(len(self.weights), -1)
         self.copies, self.order = np.ones(n, np.int64), np.arange(n)
         self.longest = float(np.sqrt(np.bincount(rows[by], self.values ** 2, n).max())) if n else 0.0
         self.width = len(rows) / max(1, n)
 
-    def of(self, rows: np.ndarray) -> tuple[np.ndarray, int]:
-        """(similarities of ``rows`` to the weights set, postings met). Each row has a posting."""
+    def of(self, rows: np.ndarray, j: int) -> tuple[np.ndarray, int]:
+        """(similarities of ``rows`` to the weights set, postings met in the query's lists from the j-th on, so not read in a list
+        before). Each row has a posting."""
         n = self.ends[rows + 1] - self.ends[rows]
         last = np.cumsum(n)
         at = np.repeat(self.ends[rows] - (last - n), n) + np.arange(last[-1])
-        w = self.weights[self.terms[at]]
-        return np.add.reduceat(w * self.values[at], last - n), int(np.count_nonzero(w))
+        terms = self.terms[at]
+        return np.add.reduceat(self.weights[terms] * self.values[at], last - n), int(np.count_nonzero(self.place[terms] >= j))
 
     def kth(self, rows: np.ndarray, sums: np.ndarray, k: int) -> float:
         """The k-th best of ``sums``, copies counted; -inf if there are fewer."""
@@ -235,7 +238,8 @@ def search_postings(lists: dict[int, Postings], longest: float, terms, weights,
     square of their weight over the length of their list, so long lists of little weight come last; their rows' sums are added
     up. A row can gain no more in the other lists than the length of the query's rest times its own, ``longest`` at most: a
     list's rows that cannot reach the floor are skipped, and once the rest is below it no new row counts. The rows met that can still
-    reach the floor are then scored one by one from their own values, or in the next list where that is less work."""
+    reach the floor are then scored one by one from their own values, or in the next list where that is less work. A posting that is
+    read in a list and once more from its row is counted once."""
     if not isinstance(lists, PostingLists):
         lists = PostingLists(lists)
     mine = sorted(((w * w / len(lists[t].rows), t, w) for t, w in zip(terms, weights) if t in lists and w > 0), reverse=True)
@@ -246,7 +250,7 @@ def search_postings(lists: dict[int, Postings], longest: float, terms, weights,
     rest = np.sqrt(np.append(np.cumsum((x * x)[::-1])[::-1], 0.0))
     other = np.sqrt(np.maximum(0.0, rest[0] ** 2 - x * x))
     shared, scored, floor, j = sum(len(p.rows) for p in post), 0, -np.inf, 0
-    lists.weights[ids] = x
+    lists.weights[ids], lists.place[ids] = x, np.arange(len(x))
     opened, read = [], 0
 
     def add(j: int) -> np.ndarray:
@@ -269,7 +273,7 @@ def search_postings(lists: dict[int, Postings], longest: float, terms, weights,
 
     if shared > 8 * HEAD * len(post):
         head = np.unique(np.concatenate([p.near(w / rest[0] * longest) for w, p in zip(x, post[:3])]))
-        found, n = lists.of(head)
+        found, n = lists.of(head, 0)
         floor, scored = raised(head, found), n
     while j < len(post) and rest[j] * longest >= floor:
         rows, j = add(j), j + 1
@@ -285,17 +289,17 @@ def search_postings(lists: dict[int, Postings], longest: float, terms, weights,
     if len(seen) > 4 * HEAD:
         found = sums[seen]
         best = seen[np.argpartition(-found, HEAD)[:HEAD]]
-        top, n = lists.of(best)
+        top, n = lists.of(best, j)
         floor, scored = raised(best, top), scored + n
         seen = seen[found >= least()]
-    while j < len(post) and len(seen) * lists.width * LOOKUP > len(post[j].rows):
+    while j < len(post) and len(seen) > FEW and len(seen) * lists.width * LOOKUP > len(post[j].rows):
         read, j = read + len(add(j)), j + 1
         found = sums[seen]
         floor = raised(seen, found)
         seen = seen[found >= least()]
     sims = np.zeros(0)
     if len(seen):
-        found, n = lists.of(seen)
+        found, n = lists.of(seen, j)
         sims, scored = np.round(found, SIM_DIGITS), scored + n
     scored += read
     if read * DENSE > len(sums):
@@ -303,7 +307,7 @@ def search_postings(lists: dict[int, Postings], longest: float, terms, weights,
     else:
         for rows in opened:
             sums[rows] = 0.0
-    lists.weights[ids] = 0.0
+    lists.weights[ids], lists.place[ids] = 0.0, -1
     seen, sims = seen[sims > 0], sims[sims > 0]
     best = np.lexsort((lists.order[seen], -sims))[:k]
     seen, sims = seen[best], sims[best]
