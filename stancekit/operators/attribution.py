@@ -35,11 +35,22 @@ def _c(x) -> Column:
 
 
 # ------------------------------------------------------------ linear models
-def relevance_linear(tfidf_long: DataFrame, coef: DataFrame, explained: DataFrame, keys=KEY) -> DataFrame:
-    """(keys..., class_id, term, relevance = coef * value) for every explained class."""
+def relevance_linear(tfidf: DataFrame, coef: DataFrame, explained: DataFrame, keys=KEY, by_row: bool = False) -> DataFrame:
+    """(keys..., class_id, term, relevance = coef * value) for every explained class.
+
+    ``tfidf`` is long (keys..., term, weight) or by row (keys..., terms, weight: aligned arrays, as ``tfidf_rows`` gives them). By
+    row, rows meet their classes before they are cut into terms; ``by_row`` leaves them whole: (keys..., class_id, terms, relevance)."""
     keys = list(keys)
+    if "terms" in tfidf.columns:
+        from stancekit.operators.linear import row_relevance
+
+        x = row_relevance(explained.select(*keys, "class_id").join(tfidf.select(*keys, "terms", "weight"), keys), coef)
+        if by_row:
+            return x
+        e = x.select(*keys, "class_id", F.explode(F.arrays_zip("terms", "relevance")).alias("_e"))
+        return e.select(*keys, "class_id", F.col("_e.terms").alias("term"), F.col("_e.relevance").alias("relevance"))
     c = F.broadcast(coef.select("term", F.col("label").alias("class_id"), F.col("weight").alias("_w")))
-    j = tfidf_long.join(explained.select(*keys, "class_id"), keys).join(c, ["term", "class_id"])
+    j = tfidf.join(explained.select(*keys, "class_id"), keys).join(c, ["term", "class_id"])
     return j.select(*keys, "class_id", "term", (F.col("weight") * F.col("_w")).alias("relevance"))
 
 

@@ -5,10 +5,11 @@ from pyspark.sql import functions as F
 
 from stancekit.functions import labels as L
 from stancekit.operators import attribution as A
+from stancekit.operators import features as FE
 from stancekit.operators import linear as LN
 from stancekit.plans import q_features  # noqa: F401  (registers feature CTEs)
 from stancekit.plans.catalog import register
-from stancekit.plans.q_features import _test, test_tfidf, train_vocabulary
+from stancekit.plans.q_features import _test, train_vocabulary
 from stancekit.plans.sqlfrag import KEY_SQL, U, cte, lit, with_ctes
 from stancekit.session import materialize
 from stancekit.sources import fixtures as fx
@@ -17,10 +18,11 @@ KEY = ["speech_id", "sent_idx"]
 
 
 def linear_explained(spark, sf):
-    """(test tf-idf, margins, explained classes) under the fixed weights."""
+    """(test tf-idf by row, margins, explained classes) under the fixed weights."""
     vocab = train_vocabulary(spark, sf)
     coef, bias = fx.coef(spark, vocab)
-    tt = test_tfidf(spark, sf, vocab)
+    # read by the margins and by the relevance: cut into n-grams once
+    tt = materialize(FE.tfidf_rows(_test(spark, sf), vocab).select(*KEY, "terms", "weight"), "test-tfidf")
     # read by the explained classes and by whatever asks for their margins: computed once
     m = materialize(LN.score_linear(tt, _test(spark, sf).select(*KEY), coef, bias), "margins")
     explained = m.where(F.col("pred") == 1).select(*KEY, F.col("label").alias("class_id"), F.col("margin").alias("logit"))

@@ -265,7 +265,7 @@ def q_write_relevance(spark, sf):
     tt, coef, m, ex = q_attribution.linear_explained(spark, sf)
     side = LN.predictions(m).join(_test(spark, sf).select(*KEY, F.col("class_code").alias("gold")), KEY)
     path = scratch_path(spark, "relevance")
-    IO.write_relevance(IO.relevance_rows(A.relevance_linear(tt, coef, ex), ex.drop("logit").join(side, KEY)), path)
+    IO.write_relevance(IO.relevance_rows(A.relevance_linear(tt, coef, ex, by_row=True), ex.drop("logit").join(side, KEY)), path)
     r = spark.read.parquet(path)
     ten = lambda c: F.transform(c, lambda x: F.round(x * 10000).cast("long").cast("string"))
     return r.select(*KEY, F.col("class_id").cast("long"), F.array_join("tokens", "|").alias("tokens"), F.array_join(ten("scores"), "|").alias("scores"),

@@ -146,9 +146,15 @@ def relevance_rows(tokens: DataFrame, explained: DataFrame, keys=("speech_id", "
                    score: str = "relevance") -> DataFrame:
     """One row per (row, explained class): tokens and scores as aligned arrays (by word), with the
     prediction, gold code and logits that ``explained`` (keys..., class_id, pred_vec, gold, logits) carries.
+    ``tokens`` has a word a row, or (``terms`` and ``score``) aligned arrays of them: then only whole rows are grouped.
     A class without any known token has empty arrays. A row's tokens are bounded by its text."""
     keys = list(keys)
-    g = tokens.groupBy(*keys, "class_id").agg(F.array_sort(F.collect_list(F.struct(F.col(word).alias("t"), F.col(score).alias("s")))).alias("_e"))
+    entry = lambda t, s: F.struct(t.alias("t"), s.alias("s"))
+    if "terms" in tokens.columns:
+        entries = F.flatten(F.collect_list(F.zip_with("terms", score, entry)))
+    else:
+        entries = F.collect_list(entry(F.col(word), F.col(score)))
+    g = tokens.groupBy(*keys, "class_id").agg(F.sort_array(entries).alias("_e"))
     empty = F.array().cast(g.schema["_e"].dataType)
     j = explained.join(g, [*keys, "class_id"], "left").withColumn("_e", F.coalesce("_e", empty))
     return j.select(*keys, "class_id", F.transform("_e", lambda e: e["t"]).alias("tokens"),
