@@ -18,13 +18,13 @@ KEY = ["speech_id", "sent_idx"]
 
 
 def linear_explained(spark, sf):
-    """(test tf-idf by row, margins, explained classes) under the fixed weights."""
+    """(test rows with class code and tf-idf, weights, margins, explained classes) under the fixed weights."""
     vocab = train_vocabulary(spark, sf)
     coef, bias = fx.coef(spark, vocab)
-    # read by the margins and by the relevance: cut into n-grams once
-    tt = materialize(FE.tfidf_rows(_test(spark, sf), vocab).select(*KEY, "terms", "weight"), "test-tfidf")
+    # read by the margins, the relevance and whatever asks for gold codes: the documents are cut once
+    tt = materialize(FE.tfidf_rows(_test(spark, sf), vocab, [*KEY, "class_code"]).select(*KEY, "class_code", "terms", "weight"), "test-tfidf")
     # read by the explained classes and by whatever asks for their margins: computed once
-    m = materialize(LN.score_linear(tt, _test(spark, sf).select(*KEY), coef, bias), "margins")
+    m = materialize(LN.score_linear(tt, tt.select(*KEY), coef, bias), "margins")
     explained = m.where(F.col("pred") == 1).select(*KEY, F.col("label").alias("class_id"), F.col("margin").alias("logit"))
     return tt, coef, m, explained
 

@@ -263,7 +263,7 @@ def q_write_relevance(spark, sf):
     from stancekit.operators import linear as LN
 
     tt, coef, m, ex = q_attribution.linear_explained(spark, sf)
-    side = LN.predictions(m).join(_test(spark, sf).select(*KEY, F.col("class_code").alias("gold")), KEY)
+    side = LN.predictions(m).join(tt.select(*KEY, F.col("class_code").alias("gold")), KEY)
     path = scratch_path(spark, "relevance")
     IO.write_relevance(IO.relevance_rows(A.relevance_linear(tt, coef, ex, by_row=True), ex.drop("logit").join(side, KEY)), path)
     r = spark.read.parquet(path)
