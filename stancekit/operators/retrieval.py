@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,186 +154,217 @@ def knn_cosine(queries: DataFrame, corpus: DataFrame, k: int = 8, qid="qid", cid
 
 
 # ------------------------------------------------------------ lexical form
-HEAD = 32              # rows of a list that give a first floor: half of the strongest impact, half with the query's own weight
-SOME = 256             # rows of a list, strongest first, that may raise the floor
-LOOKUP = 1             # a row is scored from its own values where it has at most so many times fewer than the next list,
-FEW = 512              # or where so few rows are left
-DENSE = 12             # a row touched in a list costs as much as so many in a pass over all rows
+HEADS = 32             # rows scored at a time to raise the floor
+FIRST = 1024           # postings read before the first floor
+COMMON = 32            # a term is common where its list has more than one in so many of the rows
 MARGIN = 1e-8          # above the rounding of a similarity
-INDEX_BYTES = 256 << 20      # rows of the corpus that one task searches: some 11 million postings
-
-
-def reach(weight: float, rest: float, longest: float, floor: float) -> tuple[float, float]:
-    """(low, high) of the v in [0, longest] with weight * v + rest * sqrt(longest^2 - v^2) >= floor: they are an interval."""
-    if floor <= 0:
-        return 0.0, longest
-    full = np.hypot(weight, rest) * longest
-    if full < floor:
-        return np.inf, -np.inf
-    peak, wide = np.arctan2(weight, rest), np.arccos(floor / full)
-    return longest * np.sin(max(0.0, peak - wide)), longest * np.sin(min(np.pi / 2, peak + wide))
+LOOSE = 1e-5           # above the rounding of a bound in single precision
+INDEX_BYTES = 128 << 20      # rows of the corpus that one task searches, at 16 bytes a posting: some 6 million postings
 
 
 class Postings:
-    """A term's rows in the order of their weights, largest first (``fall``: the weights, negated)."""
+    """A term's rows and their weights."""
 
     def __init__(self, rows: np.ndarray, values: np.ndarray):
-        self.rows, self.fall = rows, -values
-
-    def reaching(self, weight: float, rest: float, longest: float, floor: float) -> slice:
-        """The rows that can still reach ``floor``: with value v here, and at most sqrt(longest^2 - v^2) elsewhere
-        against a rest of the query of length ``rest``. These v are an interval, so the rows are a slice."""
-        if floor <= 0:
-            return slice(0, len(self.rows))
-        low, high = reach(weight, rest, longest, floor)
-        if low > high:
-            return slice(0, 0)
-        return slice(np.searchsorted(self.fall, -high - MARGIN, "left"), np.searchsorted(self.fall, -low + MARGIN, "right"))
+        self.rows, self.values = rows, values
 
-    def near(self, weight: float) -> np.ndarray:
-        """``HEAD`` rows: those of the strongest impact and those whose weight is nearest to ``weight``."""
-        at = int(np.searchsorted(self.fall, -weight))
-        return np.concatenate([self.rows[:HEAD // 2], self.rows[max(0, at - HEAD // 4):at + HEAD // 4]])
 
+class PostingLists:
+    """Lists by term, shortest first, the same values by row, and a sum a row that a search uses and leaves at zero.
 
-class PostingLists(dict):
-    """Postings by term, the same values by row, and a sum a row that a search uses and leaves at zero.
-    ``copies``: how many rows each row stands for; ``order``: their order in ties. By default 1 and the row."""
+    A list's rows fall by the length of what they hold from its term on, in the order of the lists. By posting: the row, its weight, ``suf``
+    (the length of what the row holds behind the term), and in lists of rare terms ``common`` (of the common terms alone), in lists of
+    common terms ``fall`` (of the term and what is behind it, negated). ``copies``: how many rows each row stands for; ``order``: their order in
+    ties. By default 1 and the row."""
 
     def __init__(self, lists: dict[int, Postings]):
-        super().__init__(lists)
         rows = np.concatenate([p.rows for p in lists.values()] or [np.zeros(0, np.int64)])
-        terms = np.repeat(np.array([*lists], np.int32), [len(p.rows) for p in lists.values()])
-        by = np.argsort(rows)
-        n = int(rows.max()) + 1 if len(rows) else 0
-        self.ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))])
-        self.terms, self.values = terms[by], -np.concatenate([p.fall for p in lists.values()] or [np.zeros(0)])[by]
-        self.sums, self.mark, self.weights = np.zeros(n), np.zeros(n, np.int64), np.zeros(int(terms.max()) + 1 if len(terms) else 0)
-        self.place = np.full(len(self.weights), -1)
+        terms = np.repeat(np.array([*lists], np.int64), [len(p.rows) for p in lists.values()])
+        by = np.argsort(rows, kind="stable")
+        ptr = np.concatenate([[0], np.cumsum(np.bincount(rows))])
+        self.number = np.arange(len(ptr) - 1)
+        self._build(ptr, terms[by], np.concatenate([p.values for p in lists.values()] or [np.zeros(0)])[by], False)
+
+    @classmethod
+    def of_rows(cls, ptr: np.ndarray, terms: np.ndarray, values: np.ndarray) -> PostingLists:
+        """The lists of rows given one after the other, each with a term. Rows are numbered anew, those of one rarest term side by
+        side, so that a list's rows lie close together: ``number`` is the row given."""
+        lists = cls.__new__(cls)
+        lists._build(ptr, terms, values, True)
+        return lists
+
+    def _build(self, ptr, terms, values, anew):
+        n, sizes = len(ptr) - 1, np.bincount(terms)
+        ids = np.flatnonzero(sizes)
+        ids = ids[np.argsort(sizes[ids], kind="stable")]
+        sizes, self.rank = sizes[ids], np.full(len(sizes) + 1, -1, np.int64)
+        self.rank[ids] = np.arange(len(ids))
+        code = self.rank[terms].astype(np.uint16 if len(ids) < 1 << 16 else np.int32)
+        long = np.diff(ptr)
+        if anew:
+            key = np.repeat(np.arange(n), long) * len(ids) + code
+            key.sort()
+            code, at = (key % max(1, len(ids))).astype(code.dtype), ptr[:-1]
+            second = np.where(long > 1, code[np.minimum(at + 1, len(code) - 1)], code[at])
+            self.number = np.lexsort((second, code[at]))
+            code = self.rank[terms].astype(code.dtype)
+            del key, at, second
+        place = np.empty(n, np.int64)
+        place[self.number] = np.arange(n)
+        key = np.repeat(place, long) * len(ids) + code
+        by = np.argsort(key)
+        self.code, self.values = code[by], values[by]
+        del key, by, code, place
+        long = long[self.number]
+        self.ptr = np.concatenate([[0], np.cumsum(long)])
+        row = np.repeat(np.arange(n, dtype=np.int32), long)
+        total = np.concatenate([[0.0], np.cumsum(self.values * self.values)])
+        end = total[self.ptr[1:]]
+        full = np.sqrt(np.maximum(0.0, end[row] - total[:-1])).astype(np.float32)
+        suf = np.sqrt(np.maximum(0.0, end[row] - total[1:])).astype(np.float32)
+        del total
+        self.longest = float(full.max()) if len(full) else 0.0
+        self.cut = int(np.searchsorted(sizes, n / COMMON + 64, "right"))       # the first common term
+        common = np.sqrt(np.bincount(row, np.where(self.code < self.cut, 0.0, self.values * self.values), n)).astype(np.float32)
+        by = np.argsort(-full)
+        by = by[np.argsort(self.code[by], kind="stable")]
+        self.ends = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+        self.rows, self.weight, self.suf = row[by], self.values[by].astype(np.float32), suf[by]
+        rare = self.ends[self.cut]
+        self.common, self.fall, self.rare = common[self.rows[:rare]], -full[by[rare:]], rare
+        self.sums, self.weights = np.zeros(n, np.float32), np.zeros(len(ids))
         self.copies, self.order = np.ones(n, np.int64), np.arange(n)
-        self.longest = float(np.sqrt(np.bincount(rows[by], self.values ** 2, n).max())) if n else 0.0
-        self.width = len(rows) / max(1, n)
 
-    def of(self, rows: np.ndarray, j: int) -> tuple[np.ndarray, int]:
-        """(similarities of ``rows`` to the weights set, postings met in the query's lists from the j-th on, so not read in a list
-        before). Each row has a posting."""
-        n = self.ends[rows + 1] - self.ends[rows]
+    def exact(self, rows: np.ndarray) -> tuple[np.ndarray, int]:
+        """(similarities of ``rows`` to the weights set, postings shared with them). Each row has a posting."""
+        lo = self.ptr[rows]
+        n = self.ptr[rows + 1] - lo
         last = np.cumsum(n)
-        at = np.repeat(self.ends[rows] - (last - n), n) + np.arange(last[-1])
-        terms = self.terms[at]
-        return np.add.reduceat(self.weights[terms] * self.values[at], last - n), int(np.count_nonzero(self.place[terms] >= j))
-
-    def kth(self, rows: np.ndarray, sums: np.ndarray, k: int) -> float:
-        """The k-th best of ``sums``, copies counted; -inf if there are fewer."""
-        some = np.argpartition(-sums, k - 1)[:k] if len(sums) > k else np.arange(len(sums))
-        some = some[np.argsort(-sums[some])]
+        at = np.repeat(lo - (last - n), n) + np.arange(last[-1])
+        x = self.weights[self.code[at]]
+        return np.add.reduceat(x * self.values[at], last - n), int(np.count_nonzero(x))
+
+    def kth(self, rows: np.ndarray, sims: np.ndarray, k: int) -> float:
+        """The k-th best of ``sims``, copies counted; -inf if there are fewer."""
+        some = np.argpartition(-sims, k - 1)[:k] if len(sims) > k else np.arange(len(sims))
+        some = some[np.argsort(-sims[some])]
         at = int(np.searchsorted(np.cumsum(self.copies[rows[some]]), k))
-        return float(sums[some[at]]) if at < len(some) else -np.inf
+        return float(sims[some[at]]) if at < len(some) else -np.inf
 
 
 def search_postings(lists: dict[int, Postings], longest: float, terms, weights, k: int) -> tuple[np.ndarray, np.ndarray, int, int]:
     """(rows, similarities, postings shared, postings scored) of one query's k best rows, ties to the lower row. Where rows
     stand for copies, rows that k copies precede are left out.
 
-    A few rows of the best lists give a first floor, the k-th similarity known so far. Terms follow by the
-    square of their weight over the length of their list, so long lists of little weight come last; their rows' sums are added
-    up. A row can gain no more in the other lists than the length of the query's rest times its own, ``longest`` at most: a
-    list's rows that cannot reach the floor are skipped, and once the rest is below it no new row counts. The rows met that can still
-    reach the floor are then scored one by one from their own values, or in the next list where that is less work. A posting that is
-    read in a list and once more from its row is counted once."""
+    Lists are taken shortest first. What a row can gain from a term on is at most the length of the query's rest times that of the
+    row's, both in this order of terms. The lists of the rare terms are added up in a sum a row until the query's rest is
+    below the floor, the k-th similarity known; a row met so counts if its sum and what the rest may add reach the floor, and is then
+    scored from its own values. A row that shares common terms only is met in the first of them, among the
+    list's rows that are long enough from there on. A posting read in a list and once more from its row counts twice."""
     if not isinstance(lists, PostingLists):
         lists = PostingLists(lists)
-    mine = sorted(((w * w / len(lists[t].rows), t, w) for t, w in zip(terms, weights) if t in lists and w > 0), reverse=True)
-    if not mine:
-        return np.zeros(0, np.int64), np.zeros(0), 0, 0
-    ids = [t for _, t, _ in mine]
-    post, x, sums = [lists[t] for t in ids], np.array([w for *_, w in mine]), lists.sums
-    rest = np.sqrt(np.append(np.cumsum((x * x)[::-1])[::-1], 0.0))
-    other = np.sqrt(np.maximum(0.0, rest[0] ** 2 - x * x))
-    shared, scored, floor, j = sum(len(p.rows) for p in post), 0, -np.inf, 0
-    lists.weights[ids], lists.place[ids] = x, np.arange(len(x))
-    opened, read = [], 0
-
-    def add(j: int) -> np.ndarray:
-        part = post[j].reaching(x[j], other[j], longest, floor)
-        rows = post[j].rows[part]
-        np.add.at(sums, rows, -x[j] * post[j].fall[part])
-        opened.append(rows)
-        return rows
-
-    def least() -> float:
-        """The sum below which a row can't reach the floor by what the lists from the j-th on may add."""
-        met = np.sqrt(max(0.0, rest[0] ** 2 - rest[j] ** 2))
-        return max(met * reach(met, rest[j], longest, floor)[0] - MARGIN, 1e-300)
-
-    def raised(rows: np.ndarray, found: np.ndarray) -> float:
+    r, x = lists.rank[np.clip(terms, 0, len(lists.rank) - 1).astype(np.int64)], np.asarray(weights, np.float64)
+    by = np.argsort(r, kind="stable")
+    by = by[(r[by] >= 0) & (x[by] > 0)]
+    r, x = r[by], x[by]
+    m, best, sims = len(r), np.zeros(0, np.int64), np.zeros(0)
+    if not m:
+        return best, sims, 0, 0
+    lists.weights[r] = x
+    rest = np.sqrt(np.append(np.cumsum((x * x)[::-1])[::-1], 0.0)).tolist()
+    ranks, xs, sums = r.tolist(), x.astype(np.float32).tolist(), lists.sums
+    lo, hi = [lists.ends[a] for a in ranks], [lists.ends[a + 1] for a in ranks]
+    floor, scored, read, j, due, met = -np.inf, 0, 0, 0, FIRST, []
+    slack = (LOOSE + 1e-7 * m) * rest[0] * longest
+
+    def check(rows):
+        """Scores rows, each once a search."""
+        nonlocal floor, scored, best, sims
+        found, n = lists.exact(rows)
+        scored += n
+        sums[rows] = -np.inf
         if floor > 0:
-            high = np.flatnonzero(found > floor + MARGIN)
+            high = np.flatnonzero(found >= floor - MARGIN)
             rows, found = rows[high], found[high]
-        return max(floor, lists.kth(rows, found, k) - MARGIN) if len(rows) else floor
-
-    if shared > 8 * HEAD * len(post):
-        head = np.unique(np.concatenate([p.near(w / rest[0] * longest) for w, p in zip(x, post[:3])]))
-        found, n = lists.of(head, 0)
-        floor, scored = raised(head, found), n
-    while j < len(post) and rest[j] * longest >= floor:
-        rows, j = add(j), j + 1
-        read += len(rows)
-        floor = raised(some := rows[:SOME], sums[some])
-    if read * DENSE > len(sums):
-        seen = np.flatnonzero(sums >= least())
-    else:
-        low = least()
-        seen = np.concatenate([rows[sums[rows] >= low] for rows in opened] or [np.zeros(0, np.int64)])
-        lists.mark[seen] = np.arange(len(seen))
-        seen = seen[lists.mark[seen] == np.arange(len(seen))]                       # each row once
-    if len(seen) > 4 * HEAD:
-        found = sums[seen]
-        best = seen[np.argpartition(-found, HEAD)[:HEAD]]
-        top, n = lists.of(best, j)
-        floor, scored = raised(best, top), scored + n
-        seen = seen[found >= least()]
-    while j < len(post) and len(seen) > FEW and len(seen) * lists.width * LOOKUP > len(post[j].rows):
-        read, j = read + len(add(j)), j + 1
-        found = sums[seen]
-        floor = raised(seen, found)
-        seen = seen[found >= least()]
-    sims = np.zeros(0)
-    if len(seen):
-        found, n = lists.of(seen, j)
-        sims, scored = np.round(found, SIM_DIGITS), scored + n
-    scored += read
-    if read * DENSE > len(sums):
-        sums.fill(0.0)
-    else:
-        for rows in opened:
-            sums[rows] = 0.0
-    lists.weights[ids], lists.place[ids] = 0.0, -1
-    seen, sims = seen[sims > 0], sims[sims > 0]
-    best = np.lexsort((lists.order[seen], -sims))[:k]
-    seen, sims = seen[best], sims[best]
-    before = np.concatenate([[0], np.cumsum(lists.copies[seen])])[np.searchsorted(-sims, -sims, "left")]
-    return seen[before < k], sims[before < k], shared, scored
-
-
-def lexical_index(c: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
-    """(rows, postings) of a written table of classes idx, w, members, _h (their hash). Rows: _part, _row, members; postings, an
-    inverted index in the order of impact: _part, term, rows, values (descending), written; as term -1 the rows' order by key and their copies.
-    Classes are dealt to parts by hash; a part is bounded, and so are its lists. Rows are numbered by the sum of their weights, about by
-    length, so that a list in the order of impact goes through the rows from one end to the other."""
+        best, sims = np.concatenate([best, rows]), np.concatenate([sims, found])
+        floor = max(floor, lists.kth(best, sims, k))
+
+    def check_some(rows, bound):
+        """Scores some of the rows with the largest bounds."""
+        if len(rows) > HEADS:
+            rows = rows[np.flatnonzero(bound >= np.partition(bound, len(rows) - HEADS)[-HEADS])[:2 * HEADS]]
+        if len(rows):
+            check(np.unique(rows))
+
+    while j < m and (not j or ranks[j] < lists.cut and rest[j] * longest >= floor - slack):
+        rows = lists.rows[lo[j]:hi[j]].astype(np.int64)
+        np.add.at(sums, rows, lists.weight[lo[j]:hi[j]] * np.float32(xs[j]))
+        met.append(rows)
+        read, j = read + len(rows), j + 1
+        if read >= due and j < m:
+            due, rows = 16 * read, np.concatenate(met)
+            now = sums[rows]
+            go = np.flatnonzero(now > 0)
+            check_some(rows[go], now[go])
+    rows = np.concatenate(met)
+    bound = sums[rows]
+    if j < m:
+        behind = lists.common if ranks[j] >= lists.cut and ranks[j - 1] < lists.cut else lists.suf
+        bound += np.concatenate([behind[a:b] for a, b in zip(lo[:j], hi[:j])]) * np.float32(rest[j])
+    go = np.flatnonzero(bound >= max(floor - slack, 1e-30))
+    rows, bound = rows[go], bound[go]
+    if len(rows) > 3 * HEADS:
+        check_some(rows, bound)
+        rows = rows[np.flatnonzero((bound >= floor - slack) & (sums[rows] > 0))]
+    if len(rows):
+        check(np.unique(rows))
+    while j < m and rest[j] * longest >= floor - slack:
+        a, b = lo[j], hi[j]
+        if floor > slack and a >= lists.rare:
+            b = a + int(np.searchsorted(lists.fall[a - lists.rare:b - lists.rare], np.float32((slack - floor) / rest[j]), "right"))
+        bound = lists.weight[a:b] * np.float32(xs[j]) + lists.suf[a:b] * np.float32(rest[j + 1])
+        go = np.flatnonzero(bound >= floor - slack)
+        rows, bound = lists.rows[a:b][go].astype(np.int64), bound[go]
+        go = np.flatnonzero(sums[rows] == 0)
+        rows, bound = rows[go], bound[go]
+        met.append(rows)
+        if len(rows) > 3 * HEADS:
+            check_some(rows, bound)
+            rows = rows[np.flatnonzero((bound >= floor - slack) & (sums[rows] == 0))]
+        if len(rows):
+            check(rows)
+        read, j = read + b - a, j + 1
+    for rows in met:
+        sums[rows] = 0.0
+    lists.weights[r] = 0.0
+    shared, sims = sum(hi) - sum(lo), np.round(sims, SIM_DIGITS)
+    best, sims = best[sims > 0], sims[sims > 0]
+    by = np.lexsort((lists.order[best], -sims))[:k]
+    best, sims = best[by], sims[by]
+    before = np.concatenate([[0], np.cumsum(lists.copies[best])])[np.searchsorted(-sims, -sims, "left")]
+    return best[before < k], sims[before < k], shared, scored + read
+
+
+def lexical_index(c: DataFrame, parts: int) -> DataFrame:
+    """A written table of classes idx, w, members, _h (their hash) as _part, _row, idx, w, members; written.
+    Classes are dealt to parts by hash; a part is bounded. Rows are numbered by their first key."""
     from stancekit.session import materialize
 
-    c = c.withColumn("_part", F.pmod("_h", F.lit(parts)).cast("int")).withColumn("_copies", F.size("members"))
-    c = c.withColumn("_order", F.row_number().over(Window.partitionBy("_part").orderBy("members", "idx", "w")) - 1)
-    total = F.aggregate("w", F.lit(0.0), lambda a, x: a + x)
-    c = materialize(c.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(total, "_order")) - 1), "lexical-classes")
-    flat = c.select("_part", F.explode(F.arrays_zip("idx", "w")).alias("e"), "_row")
-    flat = flat.select("_part", F.col("e.idx").alias("term"), F.struct((-F.col("e.w")).alias("fall"), "_row").alias("p"))
-    lists = flat.groupBy("_part", "term").agg(F.sort_array(F.collect_list("p")).alias("p"))
-    lists = lists.select("_part", "term", F.col("p._row").alias("rows"), F.transform("p.fall", lambda v: -v).alias("values"))
-    each = c.groupBy("_part").agg(F.sort_array(F.collect_list(F.struct("_row", "_order", "_copies"))).alias("r"))
-    each = each.select("_part", F.lit(-1).alias("term"), F.col("r._order").alias("rows"), F.transform("r._copies", lambda n: n.cast("double")).alias("values"))
-    return c.select("_part", "_row", "members"), materialize(lists.unionByName(each), "lexical-postings")
+    c = c.withColumn("_part", F.pmod("_h", F.lit(parts)).cast("int"))
+    row = F.row_number().over(Window.partitionBy("_part").orderBy("members", "idx", "w")) - 1
+    return materialize(c.select("_part", row.alias("_row"), "idx", "w", "members"), "lexical-classes")
+
+
+def even_keys(spark, groups: int) -> list[int]:
+    """A key (a long) for each of ``groups``, so that a shuffle by the key deals the groups evenly over its partitions."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = spark.range(64 * n).select(F.pmod(F.hash("id"), F.lit(n)).alias("p"), "id").groupBy("p").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    ids = {r["p"]: r["ids"] for r in keys.collect()}
+    spots = sorted(ids)
+    laps = -(-groups // len(spots))
+    each = [(spots[g * len(spots) * laps // groups % len(spots)], g * len(spots) * laps // groups // len(spots)) for g in range(groups)]
+    free = iter(range(64 * n, 64 * n + groups))
+    return [ids[p][lap] if lap < len(ids[p]) else next(free) for p, lap in each]
 
 
 def lexical_side(rows: DataFrame, keys, names: list[str]) -> DataFrame:
@@ -348,7 +380,7 @@ def lexical_search(q_rows: DataFrame, c_rows: DataFrame, k: int = 8, keys=("spee
 
     Rows of one vector are one class: a class of the corpus keeps its ``k`` first keys (no more can be among a query's k best), a class of
     queries is searched once. The index is cut by bytes alone: the larger a part, the sooner a query has a floor that spares it most of
-    the postings. Cores get work from blocks of queries, ``queries`` or more in each."""
+    the postings. Cores get work from blocks of queries, ``queries`` or more in each. A task has one block and one part, whose lists it makes itself."""
     from stancekit.session import materialize
 
     spark, keys = q_rows.sparkSession, list(keys)
@@ -365,32 +397,46 @@ def lexical_search(q_rows: DataFrame, c_rows: DataFrame, k: int = 8, keys=("spee
     first = F.row_number().over(Window.partitionBy(*vector).orderBy(*ck))
     few = lexical_side(c_rows, keys, ck).withColumn("_n", first).where(F.col("_n") <= k)
     c, _, c_parts = written(few.groupBy(*vector).agg(F.sort_array(F.collect_list(F.struct(*ck))).alias("members")), "lexical-rows")
-    parts = max(1, c_parts)
-    wide = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
-    blocks = max(1, q_blocks, min(wide // parts, n // queries))
-    rows, lists = lexical_index(c, parts)
+    parts, cores = max(1, c_parts), spark.sparkContext.defaultParallelism
+    # the number of blocks by which all cores are at work to the end: groups are alike and take up whole rounds of tasks
+    wide = range(max(1, cores // parts), max(1, cores // parts, 3 * cores // parts) + 1)
+    blocks = max(1, q_blocks, min(min(wide, key=lambda b: (-(-parts * b // cores) / b, b)), n // queries))
+    classes = lexical_index(c, parts)
+    rows = classes.select("_part", "_row", "members")
+    at = F.array(*[F.lit(x).cast("long") for x in even_keys(spark, blocks * parts)])
+    at = F.get(at, F.col("_block") * parts + F.col("_part"))
     dealt_q = q.withColumn("_block", F.pmod(F.xxhash64("_q"), F.lit(blocks)).cast("int")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    dealt_c = lists.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def meet(pair, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    dealt_q = dealt_q.select(at.alias("_at"), "_q", "idx", "w")
+    dealt_c = classes.withColumn("_copies", F.size("members")).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt_c = dealt_c.select(at.alias("_at"), "_part", "_row", "_copies", "idx", "w")
+    schema = pa.schema([("_q", pa.int64()), ("_part", pa.int32()), ("_row", pa.int32()), ("sim", pa.float64()), ("scored", pa.int64())])
+
+    def flat(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        chunks = [c for c in t.column("idx").chunks if len(c)]
+        ends = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(np.asarray(c.offsets)) for c in chunks]))])
+        w = [c for c in t.column("w").chunks if len(c)]
+        return ends, np.concatenate([np.asarray(c.flatten()) for c in chunks]), np.concatenate([np.asarray(c.flatten()) for c in w])
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         if not len(a) or not len(b):
-            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("_q", "_part", "_row", "sim", "scored")})
-        index = PostingLists({t: Postings(np.asarray(r, np.int64), v) for t, r, v in zip(b["term"], b["rows"], b["values"]) if t >= 0})
-        order, copies = next((r, v) for t, r, v in zip(b["term"], b["rows"], b["values"]) if t < 0)
-        index.order, index.copies = np.asarray(order, np.int64), np.asarray(copies, np.int64)
+            return schema.empty_table()
+        index = PostingLists.of_rows(*flat(b))
+        row = b.column("_row").to_numpy()[index.number]
+        index.order, index.copies, part = row, b.column("_copies").to_numpy()[index.number].astype(np.int64), b.column("_part")[0].as_py()
+        ends, idx, w = flat(a)
         who, where, sims, scored = [], [], [], 0
-        for i, t, w in zip(a["_q"], a["idx"], a["w"]):
-            r, s, _, y = search_postings(index, index.longest, t.tolist(), w.tolist(), k)
+        for i, lo, hi in zip(a.column("_q").to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+            r, s, _, y = search_postings(index, index.longest, idx[lo:hi], w[lo:hi], k)
             who.append(np.full(len(r), i))
-            where.append(r)
+            where.append(row[r])
             sims.append(s)
             scored += y
         m = sum(map(len, where))
-        return pd.DataFrame({"_q": pd.Series([*np.concatenate(who).tolist(), None], dtype=object), "_part": pd.Series([pair[1]] * (m + 1), dtype="int32"),
-                             "_row": pd.Series([*np.concatenate(where).tolist(), -1], dtype="int32"),
-                             "sim": np.append(np.concatenate(sims), np.nan), "scored": pd.Series([0] * m + [scored])})
+        q = pa.array(np.append(np.concatenate(who).astype(np.int64), 0), mask=np.arange(m + 1) == m)
+        columns = [np.full(m + 1, part, np.int32), np.append(np.concatenate(where), -1).astype(np.int32), np.append(np.concatenate(sims), np.nan), np.append(np.zeros(m, np.int64), scored)]
+        return pa.Table.from_arrays([q, *map(pa.array, columns)], schema=schema)
 
-    found = dealt_q.groupBy("_block", "_part").cogroup(dealt_c.groupBy("_block", "_part")).applyInPandas(
+    found = dealt_q.groupBy("_at").cogroup(dealt_c.groupBy("_at")).applyInArrow(
         meet, "_q bigint, _part int, _row int, sim double, scored bigint")
     return found, rows, all_q.join(q, vector).select(*qk, "_q")
 
@@ -400,7 +446,7 @@ def knn_lexical(q_rows: DataFrame, c_rows: DataFrame, k: int = 8, keys=("speech_
     """Top-k tf-idf cosine neighbours over ``features.tfidf_rows`` (rows are
     L2-normalised, so cosine = dot). Only corpus rows sharing a term are neighbours.
 
-    Exact, through an inverted index whose posting lists are skipped where their maxima cannot change a query's k best
+    Exact, through an inverted index of which only rows that can be among a query's k best are scored
     (``search_postings``). Output: (q_<key>..., c_<key>..., rank, sim). Rows with a null key take no part.
     """
     keys = list(keys)
