@@ -154,9 +154,9 @@ def knn_cosine(queries: DataFrame, corpus: DataFrame, k: int = 8, qid="qid", cid
 
 
 # ------------------------------------------------------------ lexical form
-HEADS = 32             # rows scored at a time to raise the floor
-FIRST = 1024           # postings read before the first floor
-COMMON = 32            # a term is common where its list has more than one in so many of the rows
+HEADS = 64             # rows scored at a time to raise the floor
+FIRST = 4096           # postings read before the first floor
+COMMON = 48            # a term is common where its list has more than one in so many of the rows
 MARGIN = 1e-8          # above the rounding of a similarity
 LOOSE = 1e-5           # above the rounding of a bound in single precision
 INDEX_BYTES = 128 << 20      # rows of the corpus that one task searches, at 16 bytes a posting: some 6 million postings
